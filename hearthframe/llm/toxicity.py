@@ -26,30 +26,30 @@ BITS = 18
 FACTORS = 4
 EPOCHS = 12
 MOST_ROWS = 12000
-#: Terms of a text that teach; scoring uses all. The terms left out of a longer text are those of largest hash.
 SEED = 7
 CUT = 0.3
 _SPACES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
 
 class TermHasher:
-    """Distinct hashed terms of a text; remembers a bounded number of terms."""
+    """Distinct hashed terms of a text: its words and their beginnings of 5 and 7 letters. Remembers a bounded number of words."""
 
-    def __init__(self, bits: int = BITS, remember: int = 400_000):
+    def __init__(self, bits: int = BITS, remember: int = 200_000):
         self.mask, self.remember, self.known = (1 << bits) - 1, remember, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.int64)
         known, mask = self.known, self.mask
-        ids = []
+        ids: list[int] = []
         for w in set(text.encode("utf-8", "surrogatepass").translate(_SPACES).split()):
             i = known.get(w)
             if i is None:
-                i = zlib.crc32(w) & mask
+                word = w.decode("utf-8", "replace")
+                i = (zlib.crc32(w) & mask, *(zlib.crc32(b"^" + word[:n].encode("utf-8", "replace")) & mask for n in (5, 7) if len(word) > n))
                 if len(known) < self.remember:
                     known[w] = i
-            ids.append(i)
+            ids += i
         return np.unique(np.asarray(ids, np.int64))
 
 
@@ -58,38 +58,41 @@ class FactorizationMachine:
     bias: float
     linear: np.ndarray
     factors: np.ndarray
+    slope: float = 1.0
     shift: float = 0.0
 
     def margin(self, ids: np.ndarray) -> float:
         if not len(ids):
-            return self.bias + self.shift
+            return self.bias
         v = self.factors[ids]
         s = v.sum(axis=0)
-        return float(self.bias + self.shift + self.linear[ids].sum() + 0.5 * (s @ s - (v * v).sum()))
+        return float(self.bias + self.linear[ids].sum() + 0.5 * (s @ s - (v * v).sum()))
 
     def score(self, ids: np.ndarray) -> float:
-        return float(1.0 / (1.0 + np.exp(-np.clip(self.margin(ids), -30, 30))))
+        return float(1.0 / (1.0 + np.exp(-np.clip(self.slope * self.margin(ids) + self.shift, -30, 30))))
 
     def thin(self) -> "FactorizationMachine":
         """With 32-bit weights, to be sent to the tasks."""
-        return FactorizationMachine(self.bias, self.linear.astype(np.float32), self.factors.astype(np.float32), self.shift)
+        return FactorizationMachine(self.bias, self.linear.astype(np.float32), self.factors.astype(np.float32), self.slope, self.shift)
 
 
-def fit(terms: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: int = FACTORS, epochs: int = EPOCHS, l2: float = 1e-4, rate: float = 0.15, seed: int = SEED) -> FactorizationMachine:
-    """AdaGrad on the logistic loss, in mini-batches; classes weigh alike, and the prior comes back as a shift."""
-    size = 1 << bits
+def telling_terms(terms: list[np.ndarray], labels: np.ndarray, size: int, least_z: float = 3.0) -> np.ndarray:
+    """Booleans by term: seen in at least three texts, and its log odds ratio is least_z standard errors from 0."""
+    pos, neg = np.zeros(size), np.zeros(size)
+    for t, y in zip(terms, labels):
+        (pos if y == 1 else neg)[t] += 1
+    n1, n0 = float((labels == 1).sum()), float((labels == 0).sum())
+    a, b, c, d = pos + 0.5, neg + 0.5, n1 - pos + 0.5, n0 - neg + 0.5
+    z = (np.log(a * d) - np.log(b * c)) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+    return (pos + neg >= 3) & (np.abs(z) >= least_z)
+
+
+def descend(terms: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, size: int, factors: int, epochs: int, l2: float, rate: float, seed: int) -> FactorizationMachine:
+    """AdaGrad on the weighted logistic loss, in mini-batches."""
     rng = np.random.default_rng(seed)
-    share = float(labels.mean()) if len(labels) else 0.0
-    if not len(labels) or share in (0.0, 1.0):
-        p = min(max(share, 1e-3), 1 - 1e-3)
-        return FactorizationMachine(float(np.log(p / (1 - p))), np.zeros(size), np.zeros((size, factors)))
-    # Only terms in more than one text can teach a rule that holds elsewhere.
-    counts = np.bincount(np.concatenate(terms), minlength=size)
-    terms = [t[counts[t] >= 3] for t in terms]
     w, v, b = np.zeros(size), rng.normal(0, 0.01, (size, factors)), 0.0
-    v[counts < 3] = 0.0
+    v[np.bincount(np.concatenate(terms), minlength=size) == 0] = 0.0
     gw, gv, gb = np.full(size, 1e-6), np.full((size, factors), 1e-6), 1e-6
-    weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
     n = len(labels)
     for _ in range(epochs):
         order = rng.permutation(n)
@@ -108,15 +111,70 @@ def fit(terms: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors:
             dw = np.bincount(place, error[row], len(used)) + l2 * w[used]
             dv = np.zeros((len(used), factors))
             np.add.at(dv, place, error[row][:, None] * (sums[row] - vi))
-            dv += l2 * v[used]
+            dv += l2 * 4 * v[used]
             db = error.sum()
             gw[used] += dw * dw
             gv[used] += dv * dv
             gb += db * db
             w[used] -= rate * dw / np.sqrt(gw[used])
-            v[used] -= rate * 0.3 * dv / np.sqrt(gv[used])
+            v[used] -= rate * 0.1 * dv / np.sqrt(gv[used])
             b -= rate * db / np.sqrt(gb)
-    return FactorizationMachine(b, w, v, 0.0)
+    return FactorizationMachine(b, w, v)
+
+
+def fit(terms: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: int = FACTORS, epochs: int = EPOCHS, l2: float = 3e-4, rate: float = 0.1, seed: int = SEED, prior: float | None = None) -> FactorizationMachine:
+    """The machine on telling terms, calibrated on margins of cross-fitted machines.
+
+    prior: share of label 1 among all labelled rows, where the sample has another.
+    """
+    size = 1 << bits
+    labels = np.asarray(labels, np.float64)
+    share = float(labels.mean()) if len(labels) else 0.0
+    if not len(labels) or share in (0.0, 1.0):
+        p = min(max(share, 1e-3), 1 - 1e-3)
+        return FactorizationMachine(float(np.log(p / (1 - p))), np.zeros(size, np.float32), np.zeros((size, factors), np.float32))
+    distinct = {t.tobytes() + bytes([int(y)]): i for i, (t, y) in enumerate(zip(terms, labels))}
+    kept = sorted(distinct.values())  # copies teach once
+    terms, labels = [terms[i] for i in kept], labels[kept]
+    share = float(labels.mean())
+
+    def machine(rows: np.ndarray) -> FactorizationMachine:
+        mine, y = [terms[i] for i in rows], labels[rows]
+        telling = telling_terms(mine, y, size)
+        mine = [t[telling[t]] for t in mine]
+        s = min(max(float(y.mean()), 1e-6), 1 - 1e-6)
+        fm = descend(mine, y, np.where(y == 1, 0.5 / s, 0.5 / (1 - s)), size, factors, epochs, l2, rate, seed)
+        fm.linear[~telling] = 0.0
+        fm.factors[~telling] = 0.0
+        return fm
+
+    part = np.random.default_rng(seed).permutation(len(labels)) % 3
+    margins = np.zeros(len(labels))
+    for k in range(3):
+        fm = machine(np.flatnonzero(part != k))
+        for i in np.flatnonzero(part == k):
+            margins[i] = fm.margin(terms[i])
+    fm = machine(np.arange(len(labels)))
+    prior = share if prior is None else prior
+    fm.slope, fm.shift = platt(margins, labels, np.where(labels == 1, prior / share, (1 - prior) / (1 - share)))
+    return fm
+
+
+def platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """Slope and shift of the logistic curve through weighted (margin, label) points, by Newton's steps."""
+    a, b = 1.0, 0.0
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+        g = weight * (p - y)
+        h = weight * p * (1 - p) + 1e-9
+        grad = np.array([(g * x).sum() + 1e-3 * (a - 1), g.sum()])
+        hess = np.array([[(h * x * x).sum() + 1e-3, (h * x).sum()], [(h * x).sum(), h.sum() + 1e-9]])
+        step = np.linalg.solve(hess, grad)
+        scale = min(1.0, 2.0 / max(1e-12, float(np.abs(step).max())))
+        a, b = a - scale * step[0], b - scale * step[1]
+        if float(np.abs(step).max()) < 1e-9:
+            break
+    return max(float(a), 1e-3), float(b)
 
 
 def with_held_out(labels: DataFrame, label: str, folds: int, held: int) -> DataFrame:
@@ -134,7 +192,8 @@ def teaching_rows(docs: DataFrame, taught: DataFrame, most_rows: int, smaller: i
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held: int = 2, most_rows: int = MOST_ROWS, bits: int = BITS) -> FactorizationMachine:
-    chosen = teaching_rows(only(docs, doc_id="doc_id", text="text"), with_held_out(labels, label, folds, held), most_rows)
+    taught = with_held_out(labels, label, folds, held)
+    chosen = teaching_rows(only(docs, doc_id="doc_id", text="text"), taught, most_rows)
 
     def terms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = TermHasher(bits)
@@ -142,7 +201,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
             yield pd.DataFrame({"doc_id": f["doc_id"], "label": f["label"], "terms": [hasher(t).astype(np.int32).tobytes() for t in f["text"]]})
 
     got = chosen.mapInPandas(terms, "doc_id long, label int, terms binary").toPandas().sort_values(["doc_id", "label", "terms"])
-    return fit([np.frombuffer(t, np.int32).astype(np.int64) for t in got["terms"]], got["label"].to_numpy(np.float64), bits).thin()
+    counts = {int(r["label"]): int(r["count"]) for r in taught.groupBy("label").count().collect()}  # a row for each label
+    prior = counts.get(1, 0) / max(1, sum(counts.values()))
+    return fit([np.frombuffer(t, np.int32).astype(np.int64) for t in got["terms"]], got["label"].to_numpy(np.float64), bits, prior=prior).thin()
 
 
 def score(docs: DataFrame, model: FactorizationMachine, keep: list[str], bits: int = BITS, text: str = "text") -> DataFrame:
