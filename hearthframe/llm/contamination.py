@@ -263,3 +263,14 @@ def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(only(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text"), inputs(spark, sf_dir))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that are not contaminated.
+
+    The index is keyed by a hash of id and text here, so that a verdict falls on that text alone.
+    """
+    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    judged = decontaminate(keyed.select(F.col("__row").alias("doc_id"), "text"), inputs(spark, sf_dir))
+    bad = judged.filter("contaminated").select(F.col("doc_id").alias("__row")).distinct()
+    return keyed.join(bad, "__row", "left_anti").select(*docs.columns)
