@@ -126,9 +126,10 @@ TERMS = f""", pt AS (SELECT *, {D.advance(TD)} AS advance_months, {D.deposit(TD)
 """
 
 
-@query("payment_terms", TERMS + " SELECT lid, advance_months, deposit_months, terms_stated, upfront_months FROM terms", V1)
+@query("payment_terms", TERMS + " SELECT lid, CAST(advance_months AS DOUBLE) AS advance_months, CAST(deposit_months AS DOUBLE) AS deposit_months, terms_stated, CAST(upfront_months AS DOUBLE) AS upfront_months FROM terms", V1)
 def payment_terms(t):
-    return C.payment_terms(t("listing_raw")).select("lid", "advance_months", "deposit_months", "terms_stated", "upfront_months")
+    number = lambda c: F.col(c).cast("double").alias(c)
+    return C.payment_terms(t("listing_raw")).select("lid", number("advance_months"), number("deposit_months"), "terms_stated", number("upfront_months"))
 
 
 @query(
