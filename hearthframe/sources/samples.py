@@ -132,4 +132,4 @@ def with_views(*names: str) -> str:
     for n in names:
         add(n)
     plain = {n: re.sub(r"\{(\w+)\}", r"\1", VIEWS[n]) for n in order}
-    return "WITH " + ", ".join(f"{n} AS ({plain[n]})" for n in order)
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({plain[n]})" for n in order)
