@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -41,10 +40,13 @@ def token_sort(text: str | None) -> str:
     return " ".join(sorted((text or "").split()))
 
 
-@F.pandas_udf("double")
-def token_sort_ratio(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in frames:
-        yield pd.Series([indel_ratio(token_sort(x), token_sort(y)) for x, y in zip(a, b)])
+def token_sort_ratio(a: Column | str, b: Column | str) -> Column:
+    """Indel ratio of two texts with their words sorted, 0 to 100."""
+
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([indel_ratio(token_sort(p), token_sort(q)) for p, q in zip(x, y)], dtype="float64")
+
+    return F.pandas_udf(ratio, "double")(a, b)
 
 
 def candidate_pairs(rows: DataFrame, block: list[str], rid: str = "rid", price: str = "price", tolerance: float = PRICE_TOLERANCE, carry: list[str] | None = None) -> DataFrame:
@@ -118,10 +120,10 @@ def match_place(texts: DataFrame, gazetteer: DataFrame, text: str, tid: str) ->
 def match_fuzzy(texts: DataFrame, names: DataFrame, block: str, tid: str, least: float = 85.0) -> DataFrame:
     """(tid, name, ratio): best name of the same block by Indel ratio of sound keys, from ``least`` on, ties to the smaller name."""
 
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([indel_ratio(x, y) for x, y in zip(a, b)])
+    def one(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([indel_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
+    ratio = F.pandas_udf(one, "double")
     met = texts.select(tid, block, T.sound_key(F.col("text")).alias("ka")).join(names.select(block, "name", T.sound_key(F.col("name")).alias("kb")), block).withColumn("ratio", ratio("ka", "kb")).filter(F.col("ratio") >= least)
     return met.groupBy(tid).agg(F.max("ratio").alias("ratio"), F.min_by("name", F.struct(-F.col("ratio"), "name")).alias("name"))
 
