@@ -37,13 +37,18 @@ SHINGLE = 5
 SIMILARITY = 0.8
 TOKENS = 64
 BRANCH = 4
-RECALL = 0.999999
+#: Below the root fewer tokens split a bucket: sets that share under half their tokens then thin out level by level.
+BRANCH_BELOW = 2
+RECALL = 0.9999
 LEADERS = 64
 HOT = 20_000
-MOST_LEVELS = 6
+MOST_LEVELS = 8
+#: Levels at which a pair is taken to be split, in all its buckets, when the number of runs is worked out.
+LEVELS_COUNTED = 4
 BLOCK = 256
-#: Equal tokens of 64 from which a set is absorbed by a leader (its links lie near the leader too), or tied.
-ABSORBED, TIED = 48, 26
+#: Equal tokens of 64 from which a set is absorbed by a leader, or tied to it. Distances add up: what is linked to an
+#: absorbed set (0.44 from the leader at most) is within 0.64 of that leader, so it is tied to the same one.
+ABSORBED, TIED = 36, 22
 _U = np.uint64
 
 
@@ -95,19 +100,19 @@ def sampled_tokens(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def runs_for(recall: float, branch: int = BRANCH, similarity: float = SIMILARITY, levels: int = MOST_LEVELS) -> int:
-    """Runs until a pair at the threshold is met with the target probability, were it split at every level."""
-    missed = 1 - (1 - (1 - similarity) ** branch) ** levels
+def runs_for(recall: float, similarity: float = SIMILARITY, levels: int = LEVELS_COUNTED) -> int:
+    """Runs until a pair at the threshold is met with the target probability, were it split at so many levels."""
+    missed = 1 - (1 - (1 - similarity) ** BRANCH) * (1 - (1 - similarity) ** BRANCH_BELOW) ** (levels - 1)
     return max(1, math.ceil(math.log(1 - recall) / math.log(missed)))
 
 
-def chosen_tokens(paths: np.ndarray, branch: int = BRANCH) -> np.ndarray:
+def chosen_tokens(paths: np.ndarray, branch: int) -> np.ndarray:
     """By path, the indices of the tokens that split its bucket: those of least hash with the path."""
     mixed = mix64(paths[:, None] ^ mix64(np.arange(1, TOKENS + 1, dtype=np.uint64))[None, :])
     return np.argpartition(mixed, branch, axis=1)[:, :branch]
 
 
-def child_paths(paths: np.ndarray, tokens: np.ndarray, branch: int = BRANCH) -> np.ndarray:
+def child_paths(paths: np.ndarray, tokens: np.ndarray, branch: int = BRANCH_BELOW) -> np.ndarray:
     """Rows of child paths for rows of (path, tokens)."""
     at = chosen_tokens(paths, branch)
     value = np.take_along_axis(tokens.astype(np.uint64), at, axis=1)
@@ -133,7 +138,7 @@ def describe(docs: DataFrame, runs: int) -> DataFrame:
                     continue
                 t = sampled_tokens(s)
                 tokens.append((t & np.uint32(0xFFFF)).astype(np.uint16).tobytes())
-                paths.append(child_paths(roots, np.broadcast_to(t, (runs, TOKENS))).ravel().view(np.int64))
+                paths.append(child_paths(roots, np.broadcast_to(t, (runs, TOKENS)), BRANCH).ravel().view(np.int64))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "node": pa.array(nodes, pa.binary()), "size": pa.array(sizes, pa.int32()), "tokens": pa.array(tokens, pa.binary()), "paths": pa.array(paths, pa.list_(pa.int64()))})
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty("text").alias("text")).mapInArrow(described, "doc_id long, node binary, size int, tokens binary, paths array<long>")
