@@ -66,7 +66,7 @@ class FactorizationMachine:
             return self.bias
         v = self.factors[ids]
         s = v.sum(axis=0)
-        return float(self.bias + self.linear[ids].sum() + 0.5 * (s @ s - (v * v).sum()))
+        return self.bias + float(self.linear[ids].sum()) + 0.5 * float(s @ s - (v * v).sum())
 
     def score(self, ids: np.ndarray) -> float:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.slope * self.margin(ids) + self.shift, -30, 30))))
