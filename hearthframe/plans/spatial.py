@@ -182,7 +182,7 @@ def shortest_time(t):
     return _times(t)
 
 
-@query("cumulative_access", TIMES + " SELECT round(sum(CASE WHEN minutes <= 10 THEN node * 2.0 END), 4) AS within_10, round(sum(CASE WHEN minutes <= 20 THEN node * 2.0 END), 4) AS within_20, round(sum(CASE WHEN minutes <= 30 THEN node * 2.0 END), 4) AS within_30 FROM times", ("road_edges",))
+@query("cumulative_access", TIMES + " SELECT " + ", ".join(f"round(coalesce(sum(CASE WHEN minutes <= {m} THEN s_suppkey * 2.0e0 END), 0), 4) AS within_{m}" for m in (10, 20, 30)) + " FROM times JOIN supplier ON s_suppkey = node", ("road_edges",))
 def cumulative_access(t):
     o = t("supplier").select(F.col("s_suppkey").cast("bigint").alias("node"), (F.col("s_suppkey") * 2.0).alias("amount")).unionByName(t("supplier").select((F.col("s_suppkey") + 1000000).cast("bigint").alias("node"), F.lit(0.0).alias("amount")))
     return G.cumulative_access(_times(t), o, (10, 20, 30))
