@@ -245,3 +245,72 @@ def shap_by_unit(shap: DataFrame, unit: str, columns: list[str]) -> DataFrame:
     long = shap.select(unit, *[F.abs(c).alias(c) for c in columns]).unpivot([unit], columns, "column", "v")
     per = long.groupBy(unit, "column").agg(F.avg("v").alias("v"))
     return per.groupBy(unit).agg(F.max_by("column", F.struct("v", "column")).alias("dominant"), (F.max("v") / F.sum("v")).alias("share"))
+
+
+def dummies(df: DataFrame, column: str, levels: list, prefix: str) -> tuple[DataFrame, list[str]]:
+    """0/1 columns for every level but the first, which is the reference."""
+    names = {f"{prefix}{i}": (F.col(column) == v).cast("double") for i, v in enumerate(levels) if i}
+    return df.withColumns(names), list(names)
+
+
+def levels_of(df: DataFrame, column: str, least: int = 1) -> list:
+    """Sorted levels with enough rows; levels of a categorical term number dozens."""
+    return [r[0] for r in df.filter(F.col(column).isNotNull()).groupBy(column).count().filter(F.col("count") >= least).orderBy(column).collect()]
+
+
+def ols_hc1(df: DataFrame, y: str, xs: list[str]) -> list[dict]:
+    """Coefficients with HC1 standard errors: a second pass sums squared residuals times cross products."""
+    d = df.dropna(subset=[*xs, y])
+    m, n = gram(d, y, xs)
+    k = len(xs)
+    inv = np.linalg.pinv(m[:k, :k])
+    b = inv @ m[:k, k]
+    u = F.col(y) - sum((F.col(x) * float(b[i]) for i, x in enumerate(xs)), F.lit(0.0))
+    weighted = d.withColumns({f"__s{i}": F.col(x) * u for i, x in enumerate(xs)})
+    meat, _ = gram(weighted.withColumn("__y", F.lit(0.0)), "__y", [f"__s{i}" for i in range(k)])
+    v = inv @ meat[:k, :k] @ inv * n / (n - k)
+    se = np.sqrt(np.diag(v))
+    return [{"term": x, "coef": float(b[i]), "se": float(se[i]), "n": int(n)} for i, x in enumerate(xs)]
+
+
+def time_dummy_index(df: DataFrame, y: str, period: str, controls: list[str], least: int = 15) -> list[dict]:
+    """Hedonic index by period (first = 100) from period dummies, HC1; periods with too few rows after all filters are left out."""
+    d = df.dropna(subset=[y, period, *controls])
+    periods = levels_of(d, period, least)
+    d = d.filter(F.col(period).isin(periods)).withColumn("__one", F.lit(1.0))
+    d, names = dummies(d, period, periods, "__p")
+    fit = {r["term"]: r for r in ols_hc1(d, y, ["__one", *names, *controls])}
+    return [{"period": str(p), "index": 100.0 * float(np.exp(fit[f"__p{i}"]["coef"])) if i else 100.0, "se": fit[f"__p{i}"]["se"] if i else 0.0} for i, p in enumerate(periods)]
+
+
+def premium_table(df: DataFrame, y: str, category: str, controls: list[str], cluster: str, least: int = 15) -> list[dict]:
+    """Percent premium of each category over the first, with its interval, from one clustered regression."""
+    levels = levels_of(df.dropna(subset=[y, *controls]), category, least)
+    d, names = dummies(df.filter(F.col(category).isin(levels)).withColumn("__one", F.lit(1.0)), category, levels, "__c")
+    fit = ols_cluster(d, y, ["__one", *names, *controls], cluster)
+    return [premium(fit, n) | {"term": str(levels[int(n[3:])])} for n in names]
+
+
+def matched_yield(df: DataFrame, y: str, is_rent: str, area: str, controls: list[str], standard: dict[str, float]) -> list[dict]:
+    """Gross yield of a standard dwelling by area: a log-value model of rents and prices with area effects in each market."""
+    areas = levels_of(df.dropna(subset=[y, *controls]), area)
+    d, names = dummies(df.withColumn("__one", F.lit(1.0)), area, areas, "__a")
+    xs = ["__one", *names, *controls]
+    fits = []
+    for market in (1, 0):
+        m, _ = gram(d.filter(F.col(is_rent) == market).dropna(subset=[y, *controls]), y, xs)
+        fits.append(np.linalg.pinv(m[:-1, :-1]) @ m[:-1, -1])
+    gap = fits[0] - fits[1]
+    base = gap[0] + sum(gap[xs.index(c)] * v for c, v in standard.items())
+    return [{"area": str(a), "gross_yield": float(12 * np.exp(base + (gap[i] if i else 0.0)))} for i, a in enumerate(areas)]
+
+
+def linear_baseline(train: DataFrame, test: DataFrame, features: list[str], y: str) -> DataFrame:
+    """test with prediction: medians for missing values, features clipped to the 1st and 99th percentile of train, least squares."""
+    q = F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99))
+    cut = train.agg(*[F.percentile(f, q).alias(f) for f in features]).collect()[0]
+    ready = lambda df: df.withColumns({f"__{f}": F.least(F.greatest(F.coalesce(F.col(f), F.lit(cut[f][1])), F.lit(cut[f][0])), F.lit(cut[f][2])) for f in features}).withColumn("__one", F.lit(1.0))
+    xs = ["__one", *[f"__{f}" for f in features]]
+    m, _ = gram(ready(train).dropna(subset=[y]), y, xs)
+    b = np.linalg.pinv(m[:-1, :-1]) @ m[:-1, -1]
+    return ready(test).withColumn("prediction", sum((F.col(x) * float(b[i]) for i, x in enumerate(xs)), F.lit(0.0))).drop(*xs)

@@ -284,3 +284,27 @@ def wealth_pc1(t):
 def income_model(t):
     p = t("parish_income").filter("income > 0").select("parish", F.col("region_id").alias("region"), "households", (F.ln("income") - 12).alias("wealth"), (400000.0 + 60000 * F.col("region_id")).alias("median"))
     return M.income_model(p).select("parish", F.round("modelled", 3).alias("modelled"))
+
+
+@query("time_dummy_index")
+def time_dummy_index(t):
+    p = t("index_listings").filter("listing_type = 'rent'").withColumns({"lr": F.ln("rent_month"), "q": F.concat(F.year("listing_date").cast("string"), F.lit("Q"), F.quarter("listing_date").cast("string"))})
+    return _rows(t, M.time_dummy_index(p, "lr", "q", ["bedrooms"]))
+
+
+@query("premium_table")
+def premium_table(t):
+    d = t("dwelling").withColumns({"lp": F.ln("price"), "b": F.col("bedrooms").cast("double"), "lplot": F.ln("plot")})
+    return _rows(t, M.premium_table(d, "lp", "kind", ["b", "lplot"], "unit"))
+
+
+@query("matched_yield")
+def matched_yield(t):
+    d = t("index_listings").withColumns({"v": F.ln(F.coalesce("rent_month", "price")), "r": (F.col("listing_type") == "rent").cast("int")})
+    return _rows(t, M.matched_yield(d, "v", "r", "district", ["bedrooms"], {"bedrooms": 2.0}))
+
+
+@query("linear_baseline")
+def linear_baseline(t):
+    d = t("dwelling").withColumns({"lp": F.ln("price"), "b": F.col("bedrooms").cast("double")})
+    return M.cv_metrics(M.linear_baseline(d.filter("did % 5 <> 0"), d.filter("did % 5 = 0"), ["b", "plot", "floor_m2"], "lp").withColumn("fold", F.lit(0)), ["fold"], "lp", "prediction")
