@@ -22,6 +22,22 @@ EXTRACT_COLUMNS = {
 }
 
 
+# ---- Fixed values: the grammar of titles and summary blocks that results depend on. ----
+TITLE = r"(?i)^(.*?)\s+in\s+(.+?)(?:,\s*([^,]+?))?\s+for\s+(rent|sale)\s*$"
+SUBTYPE = r"(?i)^(?:standalone|stand alone|self[- ]contained|block of flats|estate|gated)\s+"
+SUMMARY_KEYS = ("Code", "Location", "District", "Price", "Category", "BedRooms", "Bathrooms", "Size", "Tenure", "Status", "Agent")
+SUMMARY_FIELDS = {
+    "location": r"Location:\s*(.*?)\s+District:",
+    "district": r"District:\s*(.*?)\s+Price:",
+    "price": r"Price:\s*(.*?)\s+Category:",
+    "bedrooms": r"BedRooms:\s*(\w+)",
+    "size": r"Size\s+(.*?)\s+Tenure",
+    "tenure": r"Tenure\s+(.*?)\s+Status",
+    "status": r"Status\s+(For\s+\w+)",
+}
+# ---- End of fixed values. ----
+
+
 class PermissionMissing(RuntimeError):
     """A source whose configuration records no basis for reading it."""
 
@@ -62,10 +78,6 @@ def read_extract(df: DataFrame, source: str) -> DataFrame:
     return to_raw(out)
 
 
-TITLE = r"(?i)^(.*?)\s+in\s+(.+?)(?:,\s*([^,]+?))?\s+for\s+(rent|sale)\s*$"
-SUBTYPE = r"(?i)^(?:standalone|stand alone|self[- ]contained|block of flats|estate|gated)\s+"
-
-
 def title_parts(title: Column) -> Column:
     """struct(ptype, place, admin, deal) of a title of the form '... in place, area for rent'; fields null if it isn't."""
     part = lambda n: X.empty_as_null(F.regexp_extract(title, TITLE, n))
@@ -125,9 +137,6 @@ def url_parts(url: Column) -> Column:
     )
 
 
-SUMMARY_KEYS = ("Code", "Location", "District", "Price", "Category", "BedRooms", "Bathrooms", "Size", "Tenure", "Status", "Agent")
-
-
 def summary_fields(lines: Column, keys: tuple[str, ...] = SUMMARY_KEYS, start: str = "QUICK SUMMARY", span: int = 60) -> Column:
     """map of key to the line after it, within a page's summary block; null without one."""
     at = F.array_position(lines, start).cast("int")
@@ -140,12 +149,9 @@ def summary_fields(lines: Column, keys: tuple[str, ...] = SUMMARY_KEYS, start: s
 def summary_grammar(text: Column) -> Column:
     """struct of the fields of a one-line summary: 'Location: .. District: .. Price: .. Category: ..'."""
     block = F.regexp_extract(text, r"(?i)QUICK SUMMARY(.*?)DESCRIPTION", 1)
-    g = lambda p: X.empty_as_null(F.regexp_extract(block, "(?i)" + p, 1))
-    status = g(r"Status\s+(For\s+\w+)")
-    return F.struct(
-        g(r"Location:\s*(.*?)\s+District:").alias("location"), g(r"District:\s*(.*?)\s+Price:").alias("district"), g(r"Price:\s*(.*?)\s+Category:").alias("price"), g(r"BedRooms:\s*(\w+)").alias("bedrooms"),
-        g(r"Size\s+(.*?)\s+Tenure").alias("size"), g(r"Tenure\s+(.*?)\s+Status").alias("tenure"), status.alias("status"), F.coalesce(F.lower(status).contains("sale"), F.lit(False)).alias("is_sale"),
-    )
+    found = {k: X.empty_as_null(F.regexp_extract(block, "(?i)" + p, 1)) for k, p in SUMMARY_FIELDS.items()}
+    is_sale = F.coalesce(F.lower(found["status"]).contains("sale"), F.lit(False))
+    return F.struct(*[v.alias(k) for k, v in found.items()], is_sale.alias("is_sale"))
 
 
 def specification_fields(text: Column, keys: tuple[str, ...]) -> Column:
