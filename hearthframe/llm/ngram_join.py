@@ -185,14 +185,25 @@ def bucket_pass(rows: DataFrame, leaders: int, last: bool) -> DataFrame:
                 out += [(None, nodes[j], None, nodes[r]) for j, r in enumerate(label.tolist()) if j != r]
             else:
                 left = np.ones(n, bool)
+                label = np.full(n, -1)
                 led = 0
                 while left.any() and (led < leaders or last):
                     k = int(left.argmax())
                     equal = (t == t[k]).sum(axis=1)
-                    out += [(None, nodes[j], None, nodes[k]) for j in np.flatnonzero(equal >= TIED).tolist() if j != k]
+                    near = equal >= TIED
+                    near[k] = True
+                    met = np.unique(label[near])
+                    label[np.isin(label, met[met >= 0])] = led
+                    label[near] = led
                     left[equal >= ABSORBED] = False
                     left[k] = False
                     led += 1
+                # One tie a row, to the least of its part of the bucket: the same one in most buckets of a group.
+                tied = np.flatnonzero(label >= 0)
+                _, first, of = np.unique(label[tied], return_index=True, return_inverse=True)
+                for j, r in zip(tied.tolist(), tied[first][of].tolist()):
+                    if j != r:
+                        out.append((None, nodes[j], None, nodes[r]))
                     if len(out) >= 20_000:
                         yield emit()
                 rest = np.flatnonzero(left)
