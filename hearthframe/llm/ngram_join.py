@@ -67,7 +67,7 @@ _SHINGLE_MULTIPLIERS = _RANDOM.integers(1, 2**63, SHINGLE, dtype=np.uint64) * _U
 class Shingler:
     """Sorted distinct 64-bit shingle hashes of a text; remembers a bounded number of words."""
 
-    def __init__(self, remember: int = 300_000):
+    def __init__(self, remember: int = 100_000):
         self.known: dict[bytes, int] = {}
         self.remember = remember
 

@@ -34,7 +34,7 @@ _SPACES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 12
 class TermHasher:
     """Distinct hashed terms of a text: its words and their beginnings of 5 and 7 letters. Remembers a bounded number of words."""
 
-    def __init__(self, bits: int = BITS, remember: int = 200_000):
+    def __init__(self, bits: int = BITS, remember: int = 100_000):
         self.mask, self.remember, self.known = (1 << bits) - 1, remember, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
