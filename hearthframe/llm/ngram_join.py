@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, only, stream_groups, table, text_or_empty
 from .components import connected_components
-from .contamination import words
+from .contamination import WORDS_SQL, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -380,3 +380,18 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = keyed.join(winners, (F.col("__node") == F.col("__of")) & F.col("doc_id").eqNullSafe(F.col("__id")))
     others = [c for c in given if c != "doc_id"]
     return kept.groupBy("__node", "doc_id").agg(*[F.first(f"`{c}`").alias(c) for c in others]).select(*given)
+
+
+ORACLE_SQL = f"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS id, x AS text FROM (SELECT DISTINCT coalesce(text, '') AS x FROM documents)),
+w AS (SELECT id, {WORDS_SQL} AS w FROM t),
+s AS (SELECT DISTINCT id, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS g FROM w, unnest(range(1, greatest(1, len(w) - {SHINGLE - 1}) + 1)) u(i) WHERE len(w) > 0),
+z AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+p AS (SELECT a.id AS u, b.id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id <> b.id GROUP BY 1, 2),
+e AS (SELECT u, v FROM p JOIN z x ON x.id = u JOIN z y ON y.id = v WHERE c >= {SIMILARITY} * (x.n + y.n - c) - 1e-9),
+r AS (SELECT id, id AS c FROM t UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.id),
+k AS (SELECT id, min(c) AS c FROM r GROUP BY id),
+q AS (SELECT d.doc_id, t.id, k.c FROM documents d JOIN t ON t.text = coalesce(d.text, '') JOIN k USING (id)),
+n AS (SELECT u AS id, count(*) AS n_links FROM e GROUP BY u)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY c) AS class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, CAST(count(*) OVER (PARTITION BY id) AS BIGINT) AS n_copies FROM q LEFT JOIN n USING (id)
+"""
