@@ -1,3 +1,14 @@
 """hearthframe: Spark-native analytics for housing markets and small-area affordability."""
 
 __version__ = "0.1.0"
+
+
+def importable_by_workers(spark) -> None:
+    """Lets Python workers on this machine import the package from where it lies; on a cluster it is shipped (--py-files)."""
+    import os
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])

@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hearthframe import importable_by_workers
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
@@ -113,6 +115,7 @@ def _needed(name: str) -> list[str]:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table or a sample view."""
+    importable_by_workers(spark)
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spark.sql(VIEWS[name], **{n: view(spark, sf_dir, n) for n in dict.fromkeys(_needed(name))})
