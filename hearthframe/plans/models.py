@@ -112,9 +112,10 @@ DUP = "WITH RECURSIVE d AS (SELECT doc_id AS rid, source, lang, n_chars AS price
 
 
 def _dup(t):
-    rows = t("documents").select(F.col("doc_id").alias("rid"), "source", "lang", F.col("n_chars").cast("double").alias("price"), F.regexp_replace(F.lower(F.substring(F.coalesce("text", F.lit("")), 1, 400)), "[^ -~]", "?").alias("txt"))
-    p = U.candidate_pairs(rows, ["lang"], carry=["txt"])
-    return rows, p.filter(F.levenshtein(F.substring("txt_a", 1, 60), F.substring("txt_b", 1, 60)) <= 8).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    """Documents as postings, and the links among them: candidate pairs of one language and nearly one length whose whole comparison texts are similar."""
+    text = F.coalesce("text", F.lit(""))
+    rows = t("documents").select(F.col("doc_id").alias("rid"), "source", "lang", F.col("n_chars").cast("double").alias("price"), U.comparison_text(F.col("text"), F.col("source")).alias("txt"), F.col("source").alias("agent"), F.length(F.substring(text, 1, 400)).alias("filled"))
+    return rows, U.links(U.candidate_pairs(rows, ["lang"], carry=["txt", "agent"]), U.token_sort_ratio("txt_a", "txt_b"))
 
 
 @query("dedup_edges", DUP + " SELECT u, v FROM e")
@@ -135,7 +136,7 @@ def dup_components(t):
 def dedup_representatives(t):
     rows, edges = _dup(t)
     j = rows.join(U.clusters(rows, edges), "rid")
-    return U.representatives(j, "cluster", F.length("txt"), "price").select("rid", "cluster", "n_postings", F.col("n_portals").cast("bigint").alias("n_portals"))
+    return U.representatives(j, "cluster", F.col("filled"), "price").select("rid", "cluster", "n_postings", F.col("n_portals").cast("bigint").alias("n_portals"))
 
 
 @query("dedup_similarity")
