@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthframe.functions.geo import distance, in_ring, segment_distance
 
+from .graph import _settled
+
 
 def _cell(c: Column | str, size: float) -> Column:
     return F.floor((F.col(c) if isinstance(c, str) else c) / size)
@@ -50,6 +54,38 @@ def count_within(points: DataFrame, poi: DataFrame, pid: str, radius: float) ->
     return points.select(pid).join(hits, pid, "left").select(pid, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
+def _room(points: DataFrame, x: str, y: str, goals: list[tuple[str, str]], others: DataFrame) -> tuple[float, int]:
+    """(far, n): a length no distance between a point and one of the others exceeds, and the number of the others; far is 0 if either is empty.
+
+    goals are the coordinate columns of the others, whose boxes hold them.
+    """
+    low = [F.min(c).alias(f"lo{i}{k}") for i, g in enumerate(goals) for k, c in enumerate(g)]
+    high = [F.max(c).alias(f"hi{i}{k}") for i, g in enumerate(goals) for k, c in enumerate(g)]
+    o = others.agg(*low, *high, F.count(F.lit(1)).alias("n")).collect()[0]
+    p = points.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")).collect()[0]
+    if p["x0"] is None or not o["n"]:
+        return 0.0, int(o["n"])
+    span = [max(p[f"{c}1"], *[o[f"hi{i}{k}"] for i in range(len(goals))]) - min(p[f"{c}0"], *[o[f"lo{i}{k}"] for i in range(len(goals))]) for k, c in enumerate("xy")]
+    return float(span[0] ** 2 + span[1] ** 2) ** 0.5 * 1.0001 + 1e-6, int(o["n"])
+
+
+def _widened(points: DataFrame, pid: str, start: float, far: float, met: Callable[[DataFrame, float], DataFrame]) -> DataFrame | None:
+    """(pid, b) of met(points left, cell size), which answers the points it is sure of; cells grow four times a round until every point has an answer.
+
+    A round at a size of at least far must answer all that are left. The rounds' results are checkpointed.
+    """
+    left, done, s = points, None, start
+    while not left.isEmpty():
+        tried = _settled(left.join(met(left, s), pid, "left"))
+        hit = tried.filter("b IS NOT NULL").select(pid, "b")
+        done = hit if done is None else done.unionByName(hit)
+        left = tried.filter("b IS NULL").drop("b")
+        if s >= far and not left.isEmpty():
+            raise ValueError(f"points without an answer, such as {left.first()}")
+        s *= 4
+    return done
+
+
 def nearest(points: DataFrame, poi: DataFrame, pid: str, poi_id: str, size: float, most_rings: int = 12) -> DataFrame:
     """(pid, poi, dist) of the nearest place, ties to the smaller id, by cells that double until the answer is sure.
 
@@ -70,22 +106,59 @@ def nearest(points: DataFrame, poi: DataFrame, pid: str, poi_id: str, size: floa
 
 
 def nearest_line(points: DataFrame, segments: DataFrame, pid: str, reach: float) -> DataFrame:
-    """(pid, dist) to the nearest segment (ax, ay, bx, by) within reach; segments are dealt to the cells of their reach."""
-    lo = lambda a, b: _cell(F.least(F.col(a), F.col(b)) - reach, reach)
-    hi = lambda a, b: _cell(F.greatest(F.col(a), F.col(b)) + reach, reach)
-    s = segments.withColumn("__cx", F.explode(F.sequence(lo("ax", "bx"), hi("ax", "bx")))).withColumn("__cy", F.explode(F.sequence(lo("ay", "by"), hi("ay", "by"))))
-    p = points.select(pid, "x", "y", _cell("x", reach).alias("__cx"), _cell("y", reach).alias("__cy"))
+    """(pid, dist) of every point to its nearest segment (ax, ay, bx, by), however far; null if there are no segments.
+
+    Segments are dealt to the cells of size s they may be within s of, so a found distance of at most s is final; the
+    rest go on with larger cells. Cells start at ``reach``, or smaller where segments are dense.
+    """
+    far, n = _room(points, "x", "y", [("ax", "ay"), ("bx", "by")], segments)
+    if not n:
+        return points.select(pid, F.lit(None).cast("double").alias("dist"))
     d = segment_distance(*[F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")])
-    return p.join(s, ["__cx", "__cy"]).withColumn("__d", d).filter(F.col("__d") <= reach).groupBy(pid).agg(F.min("__d").alias("dist"))
+
+    def met(left: DataFrame, s: float) -> DataFrame:
+        lo = lambda a, b: _cell(F.least(F.col(a), F.col(b)) - s, s)
+        hi = lambda a, b: _cell(F.greatest(F.col(a), F.col(b)) + s, s)
+        centre = [(F.col(c) + 0.5) * s for c in ("__cx", "__cy")]
+        q = segments.select("ax", "ay", "bx", "by").withColumn("__cx", F.explode(F.sequence(lo("ax", "bx"), hi("ax", "bx")))).withColumn("__cy", F.explode(F.sequence(lo("ay", "by"), hi("ay", "by"))))
+        q = q.filter(segment_distance(*centre, *[F.col(c) for c in ("ax", "ay", "bx", "by")]) <= 1.7072 * s)  # a cell's corner is 0.7072 s from its centre
+        near = left.withColumns({"__cx": _cell("x", s), "__cy": _cell("y", s)}).join(q, ["__cx", "__cy"]).withColumn("__d", d).filter(F.col("__d") <= s)
+        return near.groupBy(pid).agg(F.min("__d").alias("b"))
+
+    done = _widened(points.select(pid, "x", "y"), pid, min(reach, far / n**0.5) or reach, far, met)
+    return points.select(pid, F.lit(0.0).alias("dist")).limit(0) if done is None else done.select(pid, F.col("b").alias("dist"))
+
+
+def count_up_to(limits: DataFrame, values: DataFrame, limit: str, value: str, parts: int = 64) -> DataFrame:
+    """(limit, n): for each distinct limit the number of values at most it, by prefix sums over value ranges."""
+    per = values.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    cuts = per.agg(F.percentile_approx("v", [i / parts for i in range(1, parts)]).alias("q")).collect()[0]["q"] or []
+    edges = F.array(*[F.lit(float(v)) for v in sorted(set(cuts))]).cast("array<double>")
+    both = per.unionByName(limits.select(F.col(limit).cast("double").alias("v"), F.lit(0).cast("bigint").alias("c")).filter("v IS NOT NULL").distinct()).groupBy("v").agg(F.sum("c").alias("c")).withColumn("k", F.size(F.filter(edges, lambda e: e < F.col("v"))))
+    before = both.groupBy("k").agg(F.sum("c").alias("t")).withColumn("t", F.sum("t").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)) - F.col("t"))  # a row for each range
+    n = both.withColumn("s", F.sum("c").over(Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).join(before, "k")
+    return n.select(F.col("v").alias(limit), (F.col("s") + F.col("t")).alias("n"))
 
 
 def nearest_within_budget(origins: DataFrame, listings: DataFrame, oid: str, reach: float) -> DataFrame:
-    """(oid, dist, n): nearest listing within reach whose rent is in the origin's budget, and how many there are; dist infinite and n 0 if none."""
-    q = listings.select("px", "py", "rent").withColumn("dx", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn("dy", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumns({"__cx": _cell("px", reach) + F.col("dx"), "__cy": _cell("py", reach) + F.col("dy")})
-    o = origins.select(oid, "x", "y", "budget").withColumns({"__cx": _cell("x", reach), "__cy": _cell("y", reach)})
-    met = o.join(q, ["__cx", "__cy"]).filter(F.col("rent") <= F.col("budget")).withColumn("__d", distance(F.col("x"), F.col("y"), F.col("px"), F.col("py"))).filter(F.col("__d") <= reach)
-    g = met.groupBy(oid).agg(F.min("__d").alias("dist"), F.count(F.lit(1)).alias("n"))
-    return origins.select(oid).join(g, oid, "left").select(oid, F.coalesce("dist", F.lit(float("inf"))).alias("dist"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    """(oid, dist, n): nearest listing whose rent is in the origin's budget, however far, and how many such listings there are; dist infinite and n 0 if none.
+
+    Cells start at ``reach``, or smaller where listings are dense, and grow until every origin with a listing in its budget has its nearest one.
+    """
+    q = listings.select("px", "py", "rent").filter("rent IS NOT NULL")
+    counted = origins.select(oid, "x", "y", F.col("budget").cast("double").alias("budget"))
+    counted = counted.join(count_up_to(counted, q, "budget", "rent"), "budget", "left").select(oid, "x", "y", "budget", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    far, n = _room(origins, "x", "y", [("px", "py")], q)
+
+    def met(left: DataFrame, s: float) -> DataFrame:
+        near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+        o = left.withColumn("dx", near).withColumn("dy", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumns({"__cx": _cell("x", s) + F.col("dx"), "__cy": _cell("y", s) + F.col("dy")})
+        d = o.join(q.withColumns({"__cx": _cell("px", s), "__cy": _cell("py", s)}), ["__cx", "__cy"]).filter(F.col("rent") <= F.col("budget")).withColumn("__d", distance(F.col("x"), F.col("y"), F.col("px"), F.col("py"))).filter(F.col("__d") <= s)
+        return d.groupBy(oid).agg(F.min("__d").alias("b"))
+
+    done = _widened(counted.filter("n > 0").drop("n"), oid, min(reach, far / max(n, 1) ** 0.5) or reach, far, met)
+    got = counted.select(oid, "n") if done is None else counted.select(oid, "n").join(done, oid, "left")
+    return got.select(oid, F.lit(float("inf")).alias("dist") if done is None else F.coalesce("b", F.lit(float("inf"))).alias("dist"), "n")
 
 
 def knn_weights(areas: DataFrame, k: int) -> DataFrame:

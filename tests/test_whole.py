@@ -1,7 +1,12 @@
 """Queries do the whole job: small tables against brute force in plain Python."""
 
+import math
 import random
 
+import numpy as np
+import pytest
+
+from hearthframe.operators import spatial as S
 from hearthframe.plans import models as PM
 
 
@@ -33,3 +38,25 @@ def test_links_compare_whole_texts(spark):
     assert clusters[1] == 0 and len(clusters) == len(docs)
     kept = {r["cluster"]: r for r in PM.dedup_representatives(lambda _: df).collect()}
     assert set(kept) == set(clusters.values()) and kept[0]["n_portals"] == len({texts[i][1] for i, c in clusters.items() if c == 0})
+
+
+def test_searches_have_no_limit(spark):
+    rng = np.random.default_rng(8)
+    spots = [*rng.uniform(0, 3000, (40, 2)).tolist(), [250_000.0, -90_000.0], [-4e6, 10.0]]
+    pts = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(spots)], "pid int, x double, y double")
+    ends = rng.uniform(0, 3000, (12, 4)).tolist() + [[9000.0, 9000.0, 9000.0, 9000.0]]
+    seg = spark.createDataFrame(ends, "ax double, ay double, bx double, by double")
+
+    def line(x, y, ax, ay, bx, by):
+        d = (bx - ax) ** 2 + (by - ay) ** 2
+        k = max(0.0, min(1.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / d)) if d else 0.0
+        return math.hypot(ax + k * (bx - ax) - x, ay + k * (by - ay) - y)
+
+    got = {r["pid"]: r["dist"] for r in S.nearest_line(pts, seg, "pid", 50.0).collect()}
+    assert got == {i: pytest.approx(min(line(x, y, *e) for e in ends)) for i, (x, y) in enumerate(spots)}
+    assert [r["dist"] for r in S.nearest_line(pts.limit(2), seg.limit(0), "pid", 50.0).collect()] == [None, None]
+    homes = [(x, y, float(r)) for (x, y), r in zip(rng.uniform(0, 3000, (300, 2)).tolist(), rng.integers(1, 60, 300))]
+    origins = [(i, x, y, float(b)) for i, ((x, y), b) in enumerate(zip(spots, rng.integers(0, 70, len(spots))))]
+    rows = S.nearest_within_budget(spark.createDataFrame(origins, "oid int, x double, y double, budget double"), spark.createDataFrame(homes, "px double, py double, rent double"), "oid", 20.0).collect()
+    want = {i: ([math.hypot(x - h[0], y - h[1]) for h in homes if h[2] <= b]) for i, x, y, b in origins}
+    assert {r["oid"]: (r["dist"], r["n"]) for r in rows} == {i: (pytest.approx(min(d, default=math.inf)), len(d)) for i, d in want.items()}
