@@ -86,23 +86,24 @@ def _widened(points: DataFrame, pid: str, start: float, far: float, met: Callabl
     return done
 
 
-def nearest(points: DataFrame, poi: DataFrame, pid: str, poi_id: str, size: float, most_rings: int = 12) -> DataFrame:
-    """(pid, poi, dist) of the nearest place, ties to the smaller id, by cells that double until the answer is sure.
+def nearest(points: DataFrame, poi: DataFrame, pid: str, poi_id: str, size: float) -> DataFrame:
+    """(pid, poi, dist) of the nearest place of every point, ties to the smaller id, by cells that grow until the answer is sure.
 
     At cell size s a place within s of a point lies in its nine cells, so a found distance of at most s is final; the
-    rest go on with cells of twice the size. The number of rounds is the logarithm of the extent.
+    rest go on with cells of four times the size, at most to the extent of the data. The number of rounds is the
+    logarithm of the extent. Cells start at ``size``, or smaller where places are dense.
     """
-    left, done, s = points.select(pid, "x", "y"), None, size
-    for _ in range(most_rings):
+    far, n = _room(points, "x", "y", [("px", "py")], poi)
+    if not n and not points.isEmpty():
+        raise ValueError("no places to be near to")
+
+    def met(left: DataFrame, s: float) -> DataFrame:
         q = poi.select(F.col(poi_id).alias("__poi"), "px", "py").withColumn("dx", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn("dy", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumns({"__cx": _cell("px", s) + F.col("dx"), "__cy": _cell("py", s) + F.col("dy")})
-        met = left.withColumns({"__cx": _cell("x", s), "__cy": _cell("y", s)}).join(q, ["__cx", "__cy"]).withColumn("__d", distance(F.col("x"), F.col("y"), F.col("px"), F.col("py"))).filter(F.col("__d") <= s)
-        best = met.groupBy(pid).agg(F.min(F.struct(F.col("__d").alias("dist"), F.col("__poi").alias(poi_id))).alias("b")).select(pid, f"b.{poi_id}", "b.dist")
-        done = best if done is None else done.unionByName(best)
-        left = left.join(best.select(pid), pid, "left_anti")
-        s *= 4
-        if s > 64 * size:
-            break
-    return done
+        near = left.withColumns({"__cx": _cell("x", s), "__cy": _cell("y", s)}).join(q, ["__cx", "__cy"]).withColumn("__d", distance(F.col("x"), F.col("y"), F.col("px"), F.col("py"))).filter(F.col("__d") <= s)
+        return near.groupBy(pid).agg(F.min(F.struct(F.col("__d").alias("dist"), F.col("__poi").alias(poi_id))).alias("b"))
+
+    done = _widened(points.select(pid, "x", "y"), pid, min(size, far / max(n, 1) ** 0.5) or size, far, met)
+    return points.select(pid).join(poi.select(poi_id)).withColumn("dist", F.lit(0.0)).limit(0) if done is None else done.select(pid, f"b.{poi_id}", "b.dist")
 
 
 def nearest_line(points: DataFrame, segments: DataFrame, pid: str, reach: float) -> DataFrame:

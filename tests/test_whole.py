@@ -40,6 +40,15 @@ def test_links_compare_whole_texts(spark):
     assert set(kept) == set(clusters.values()) and kept[0]["n_portals"] == len({texts[i][1] for i, c in clusters.items() if c == 0})
 
 
+def test_nearest_goes_on_to_the_last_point(spark):
+    spots = [(1, 0.0, 0.0), (2, 40_000.0, 3.0), (3, -9e6, 7e6), (4, 11.0, 0.0)]
+    pts, poi = spark.createDataFrame(spots, "pid int, x double, y double"), spark.createDataFrame([(7, 10.0, 0.0), (8, 12.0, 0.0)], "poi int, px double, py double")
+    got = {r["pid"]: (r["poi"], r["dist"]) for r in S.nearest(pts, poi, "pid", "poi", 5.0).collect()}
+    assert got == {i: (p, pytest.approx(d)) for i, x, y in spots for d, p in [min((math.hypot(x - a, y), k) for k, a in ((7, 10.0), (8, 12.0)))]}
+    with pytest.raises(ValueError):
+        S.nearest(pts, poi.limit(0), "pid", "poi", 5.0)
+
+
 def test_searches_have_no_limit(spark):
     rng = np.random.default_rng(8)
     spots = [*rng.uniform(0, 3000, (40, 2)).tolist(), [250_000.0, -90_000.0], [-4e6, 10.0]]
