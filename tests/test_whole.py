@@ -8,6 +8,7 @@ import pytest
 
 from hearthframe.operators import spatial as S
 from hearthframe.plans import models as PM
+from hearthframe.sources.samples import view
 
 
 def sorted_ratio(a, b):
@@ -69,3 +70,20 @@ def test_searches_have_no_limit(spark):
     rows = S.nearest_within_budget(spark.createDataFrame(origins, "oid int, x double, y double, budget double"), spark.createDataFrame(homes, "px double, py double, rent double"), "oid", 20.0).collect()
     want = {i: ([math.hypot(x - h[0], y - h[1]) for h in homes if h[2] <= b]) for i, x, y, b in origins}
     assert {r["oid"]: (r["dist"], r["n"]) for r in rows} == {i: (pytest.approx(min(d, default=math.inf)), len(d)) for i, d in want.items()}
+
+
+def grid(spark, sf_dir="/root/testdata/sf0.001"):
+    return lambda name: view(spark, sf_dir, name)
+
+
+def test_no_point_is_left_out(spark):
+    from hearthframe.plans import places as PP
+    from hearthframe.plans import spatial as PS
+
+    t = grid(spark)
+    points, poi = [r.asDict() for r in t("points").collect()], [r.asDict() for r in t("poi").collect()]
+    away = lambda p, q: math.hypot(p["x"] - q["px"], p["y"] - q["py"])
+    near = {r["pid"]: (r["poi"], r["dist"]) for r in PS.nearest_poi(t).collect()}
+    assert near == {p["pid"]: (b[1], pytest.approx(b[0], abs=1e-5)) for p in points for b in [min((away(p, q), q["poi"]) for q in poi)]}
+    assert {r["pid"]: r["n"] for r in PS.count_within(t).collect()} == {p["pid"]: sum(away(p, q) <= 1000 for q in poi) for p in points}
+    assert {r["pid"] for r in PS.nearest_line(t).collect()} == set(near) == {r["pid"] for r in PP.covariates(t).collect()}
