@@ -6,8 +6,6 @@ systems of a few dozen unknowns and never sees rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -170,29 +168,50 @@ def forest_cv(df: DataFrame, features: list[str], y: str, fold: str, trees: int
     return out
 
 
-def gwr(spark: SparkSession, df: DataFrame, y: str, xs: list[str], neighbours: int = 100, most_rows: int = 3000) -> DataFrame:
-    """(rid, fitted, b0 .. bk): adaptive bisquare local regression. The method compares every point with all others, so it takes at most
-    most_rows (those of least id, a documented cap of the method) as its sample; each task fits its share of the points against them."""
-    sample = df.select("rid", "x", "y", *xs, F.col(y).alias("__y")).orderBy("rid").limit(most_rows)
-    pdf = sample.toPandas()
-    held = spark.sparkContext.broadcast((pdf[["x", "y"]].to_numpy(float), np.c_[np.ones(len(pdf)), pdf[xs].to_numpy(float)], pdf["__y"].to_numpy(float)))
-    names = [f"b{i}" for i in range(len(xs) + 1)]
+def gwr(spark: SparkSession, df: DataFrame, y: str, xs: list[str], neighbours: int = 100) -> DataFrame:
+    """(rid, fitted, b0 .. bk): adaptive bisquare local regression at every point with a target and features.
 
-    def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, design, target = held.value
-        for f in frames:
-            rows = []
-            for r in f.itertuples(index=False):
-                d = np.hypot(at[:, 0] - r.x, at[:, 1] - r.y)
-                h = np.partition(d, min(neighbours, len(d) - 1))[min(neighbours, len(d) - 1)] + 1e-9
-                w = np.where(d < h, (1 - (d / h) ** 2) ** 2, 0.0)
-                xw = design * w[:, None]
-                b = np.linalg.lstsq(xw.T @ design, xw.T @ target, rcond=None)[0]
-                row = np.array([1.0, *[getattr(r, x) for x in xs]])
-                rows.append((r.rid, float(row @ b), *map(float, b)))
-            yield pd.DataFrame(rows, columns=["rid", "fitted", *names])
-
-    return sample.drop("__y").mapInPandas(fit, "rid long, fitted double, " + ", ".join(f"{n} double" for n in names))
+    A fit weighs only the points nearer than its neighbours-th nearest. At cell size s the points within s of a point
+    lie in its nine cells, so the fit is final if so many are within s; the rest go on with larger cells, at most to the
+    extent of the data. Cells start at a size that holds about twice the neighbours.
+    """
+    from .spatial import _cell, _room, _widened
+
+    names = [f"b{i}" for i in range(len(xs) + 1)]
+    data = df.select("rid", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in xs], F.col(y).cast("double").alias("__y")).dropna()
+    far, n = _room(data, "x", "y", [("x", "y")], data)
+    kind = f"rid {dict(data.dtypes)['rid']}, b struct<fitted:double,{','.join(f'{c}:double' for c in names)}>"
+    columns = ["b.fitted", *[f"b.{c}" for c in names]]
+
+    def met(left: DataFrame, s: float) -> DataFrame:
+        near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+        sources = data.drop("rid").withColumn("dx", near).withColumn("dy", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumns({"__cx": _cell("x", s) + F.col("dx"), "__cy": _cell("y", s) + F.col("dy")}).drop("dx", "dy")
+        whole = s >= far
+
+        def fit(targets: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
+            at, design, target = around[["x", "y"]].to_numpy(float), np.c_[np.ones(len(around)), around[xs].to_numpy(float)], around["__y"].to_numpy(float)
+            k, rows = min(neighbours, n - 1), []
+            for rid, px, py, *mine in targets[["rid", "x", "y", *xs]].itertuples(index=False, name=None):
+                d = np.hypot(at[:, 0] - px, at[:, 1] - py)
+                if len(d) <= k:
+                    continue
+                h = np.partition(d, k)[k] + 1e-9
+                if h > s and not whole:
+                    continue
+                held = d < h
+                w = (1 - (d[held] / h) ** 2) ** 2
+                x = design[held]
+                xw = x * w[:, None]
+                b = np.linalg.lstsq(xw.T @ x, xw.T @ target[held], rcond=None)[0]
+                rows.append((rid, dict(zip(["fitted", *names], [float(np.array([1.0, *mine]) @ b), *map(float, b)]))))
+            return pd.DataFrame(rows, columns=["rid", "b"])
+
+        cells = left.withColumns({"__cx": _cell("x", s), "__cy": _cell("y", s)})
+        return cells.groupBy("__cx", "__cy").cogroup(sources.groupBy("__cx", "__cy")).applyInPandas(fit, kind)
+
+    start = far * (2 * (neighbours + 1) / (np.pi * max(n, 1))) ** 0.5
+    done = _widened(data.drop("__y"), "rid", min(float(start), far) or 1.0, far, met)
+    return (spark.createDataFrame([], kind) if done is None else done).select("rid", *columns)
 
 
 def moran_permutation(values: DataFrame, weights: DataFrame, permutations: int = 999, seed: int = 42) -> dict:

@@ -264,7 +264,7 @@ def gbt_cv(t):
 @query("gwr")
 def gwr(t):
     p = t("points").select(F.col("pid").alias("rid"), "x", "y", F.ln("value").alias("ly"), (F.col("pid") % 7).cast("double").alias("z"))
-    return M.gwr(p.sparkSession, p, "ly", ["z"], 100, 800)
+    return M.gwr(p.sparkSession, p, "ly", ["z"], 100)
 
 
 @query("moran_permutation")

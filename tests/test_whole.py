@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+from hearthframe.operators import models as M
 from hearthframe.operators import spatial as S
 from hearthframe.plans import models as PM
 from hearthframe.sources.samples import view
@@ -87,3 +88,20 @@ def test_no_point_is_left_out(spark):
     assert near == {p["pid"]: (b[1], pytest.approx(b[0], abs=1e-5)) for p in points for b in [min((away(p, q), q["poi"]) for q in poi)]}
     assert {r["pid"]: r["n"] for r in PS.count_within(t).collect()} == {p["pid"]: sum(away(p, q) <= 1000 for q in poi) for p in points}
     assert {r["pid"] for r in PS.nearest_line(t).collect()} == set(near) == {r["pid"] for r in PP.covariates(t).collect()}
+
+
+def test_local_regression_fits_every_point(spark):
+    assert PM.gwr(grid(spark)).count() == grid(spark)("points").count() == 1500
+    rng = np.random.default_rng(6)
+    at = np.r_[rng.uniform(0, 10, (250, 2)), rng.uniform(5000, 5001, (30, 2)), [[-9e5, 4.0]]]
+    z = rng.uniform(0, 1, len(at))
+    y = np.sin(at[:, 0]) + z * at[:, 1] % 3
+    got = M.gwr(spark, spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(np.c_[at, z, y])], "rid bigint, x double, y double, z double, t double"), "t", ["z"], 40).toPandas().sort_values("rid")
+    want = []
+    for i, p in enumerate(at):
+        d = np.hypot(*(at - p).T)
+        h = np.sort(d)[40] + 1e-9
+        w = np.where(d < h, (1 - (d / h) ** 2) ** 2, 0.0)
+        design = np.c_[np.ones(len(at)), z]
+        want.append(np.linalg.lstsq((design * w[:, None]).T @ design, (design * w[:, None]).T @ y, rcond=None)[0])
+    assert got["rid"].tolist() == list(range(len(at))) and np.allclose(got[["b0", "b1"]], want, atol=1e-6)
