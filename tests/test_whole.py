@@ -5,11 +5,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hearthframe.operators import models as M
 from hearthframe.operators import spatial as S
 from hearthframe.plans import models as PM
-from hearthframe.sources.samples import view
+from hearthframe.sources.samples import VIEWS, view
 
 
 def sorted_ratio(a, b):
@@ -105,3 +106,33 @@ def test_local_regression_fits_every_point(spark):
         design = np.c_[np.ones(len(at)), z]
         want.append(np.linalg.lstsq((design * w[:, None]).T @ design, (design * w[:, None]).T @ y, rcond=None)[0])
     assert got["rid"].tolist() == list(range(len(at))) and np.allclose(got[["b0", "b1"]], want, atol=1e-6)
+
+
+def test_roads_of_every_supplier(spark):
+    import heapq
+
+    from hearthframe.plans import spatial as PS
+
+    s = spark.range(1, 301).select(F.col("id").cast("int").alias("s_suppkey"))
+    t = {"supplier": s, "road_edges": spark.sql(VIEWS["road_edges"], supplier=s)}.get
+    ways = {}
+    for a in range(1, 301):
+        for b in (a + 1, a + 7):
+            for e in ((a, b), (b, a)):
+                ways[e] = min(ways.get(e, math.inf), 1.0 + 13 * a % 9)
+    assert {(r["u"], r["v"]): r["minutes"] for r in PS.road_edges(t).collect()} == ways
+    kinds = {}
+    for a in range(1, 301):
+        for n in (a, a + 1, a + 7):
+            kinds.setdefault(n, set()).add(a % 4)
+    assert {r["node"] for r in PS.access_nodes(t).collect()} == {n for n, k in kinds.items() if 2 in k and len(k) > 1}
+    best, heap = {}, [(0.0, 3)]
+    while heap:
+        d, n = heapq.heappop(heap)
+        if n not in best and d <= 30:
+            best[n] = d
+            for (u, v), m in ways.items():
+                if u == n:
+                    heapq.heappush(heap, (d + m, v))
+    assert {r["node"]: r["minutes"] for r in PS.shortest_time(t).collect()} == best
+    assert PS.cumulative_access(t).first().asDict() == {f"within_{m}": sum(2.0 * n for n, d in best.items() if d <= m and n <= 300) for m in (10, 20, 30)}
