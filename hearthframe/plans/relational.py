@@ -106,7 +106,7 @@ def cagr(t):
     ("monthly",),
 )
 def asof_nearest(t):
-    d = t("orders").filter("o_orderkey % 50 = 0").select(F.date_add(F.trunc("o_orderdate", "quarter"), (F.col("o_orderkey") % 90).cast("int")).alias("day")).distinct()
+    d = t("orders").select(F.date_add(F.trunc("o_orderdate", "quarter"), (F.col("o_orderkey") % 90).cast("int")).alias("day")).distinct()
     return R.as_of_nearest(d, t("monthly").filter("month(month) % 2 = 1").withColumnRenamed("month", "m"), "day", "m", "value").select(F.col("day").cast("string").alias("day"), F.round("value", 6).alias("value"))
 
 
@@ -120,7 +120,7 @@ def asof_nearest(t):
 )
 def code_date(t):
     cap = t("orders").select(F.col("o_orderkey").alias("code"), F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).alias("d"))
-    out = R.interpolate(cap.filter("code % 7 = 0").select("code"), R.monotone_anchors(cap, "code", "d"), "code", "bin", "day")
+    out = R.interpolate(cap.select("code"), R.monotone_anchors(cap, "code", "d"), "code", "bin", "day")
     return out.select("code", F.round("y", 2).alias("day"))
 
 
@@ -235,7 +235,7 @@ AD = "'{\"id\":' || CAST(lid AS STRING) || ',\"title\":\"' || title || '\",\"url
     ("listing_raw",),
 )
 def json_adverts(t):
-    rows = t("listing_raw").filter("lid < 900000").select(F.expr(AD).alias("json"))
+    rows = t("listing_raw").select(F.expr(AD).alias("json"))
     return S.adverts(rows, "alpha", "houses-for-rent").select("source_id", "url", "listing_type", "price_raw", "currency_raw", "bedrooms_raw", "size_raw", "size_unit_raw", "agent_key")
 
 
@@ -306,8 +306,8 @@ def earliest_capture(t):
 
 @query("hierarchy_fill", "SELECT r_name AS l1, n_name AS l2, c_name AS l3 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey <= 400")
 def hierarchy_fill(t):
-    r, n, c = t("region"), t("nation"), t("customer").filter("c_custkey <= 400")
-    o = lambda a, b, d: (F.col(a) * 100_000_000 + b * 100_000 + d).cast("bigint")
+    r, n, c = t("region"), t("nation"), t("customer")
+    o = lambda a, b, d: (F.col(a).cast("bigint") * 10**15 + b * 10**12 + d).cast("bigint")
     top = r.select(o("r_regionkey", F.lit(0), F.lit(0)).alias("ordinal"), F.lit(0).alias("indent"), F.col("r_name").alias("text"))
     mid = n.select(o("n_regionkey", F.col("n_nationkey") + 1, F.lit(0)).alias("ordinal"), F.lit(1).alias("indent"), F.col("n_name").alias("text"))
     low = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(o("n_regionkey", F.col("n_nationkey") + 1, F.col("c_custkey") + 1).alias("ordinal"), F.lit(2).alias("indent"), F.col("c_name").alias("text"))

@@ -88,6 +88,12 @@ def title_parts(title: Column) -> Column:
 ADVERT = "id bigint, title string, details string, url string, price_obj struct<value:double,view:string,period:string>, attrs array<struct<name:string,value:string,unit:string>>, region_name string, region_parent_name string, user_id bigint"
 
 
+def plain_number(value: Column) -> Column:
+    """A number as text without an exponent, to six decimals where it is large: 9.5, 10000000.0."""
+    digits = F.regexp_replace(value.cast("decimal(38,6)").cast("string"), r"(\.\d+?)0+$", "$1")
+    return F.when((F.abs(value) >= 1e7) & (F.abs(value) < 1e30), digits).otherwise(value.cast("string"))
+
+
 def adverts(records: DataFrame, source: str, category: str, column: str = "json") -> DataFrame:
     """JSON adverts as raw rows; a record that can't be read gives nulls."""
     ad = F.from_json(column, ADVERT)
@@ -97,7 +103,7 @@ def adverts(records: DataFrame, source: str, category: str, column: str = "json"
     view = F.coalesce("ad.price_obj.view", F.lit("USh"))
     return df.select(
         F.lit(source).alias("source"), F.col("ad.id").cast("string").alias("source_id"), F.get(F.split("ad.url", r"\?"), F.lit(0)).alias("url"), deal.alias("listing_type"), F.coalesce("t.ptype", F.lit(category)).alias("property_type"),
-        F.col("ad.title").alias("title"), F.col("ad.details").alias("description"), F.col("ad.price_obj.value").cast("string").alias("price_raw"), F.when(view.contains("USh"), "UGX").otherwise(view).alias("currency_raw"), F.col("ad.price_obj.period").alias("price_period"),
+        F.col("ad.title").alias("title"), F.col("ad.details").alias("description"), plain_number(F.col("ad.price_obj.value")).alias("price_raw"), F.when(view.contains("USh"), "UGX").otherwise(view).alias("currency_raw"), F.col("ad.price_obj.period").alias("price_period"),
         F.col("t.place").alias("location_raw"), F.col("ad.region_parent_name").alias("district_raw"), F.col("ad.region_name").alias("region_raw"), attr("Bedrooms").alias("bedrooms_raw"), attr("Bathrooms").alias("bathrooms_raw"),
         attr("Property size").alias("size_raw"), attr("Property size", "unit").alias("size_unit_raw"), attr("Furnishing").alias("furnishing_raw"), X.agent_key(F.lit(source), F.col("ad.user_id").cast("string")).alias("agent_key"),
     )
@@ -179,16 +185,24 @@ def sitemap_frame(xml: DataFrame, column: str = "xml") -> DataFrame:
     return rows.groupBy("code").agg(F.min_by(F.struct("url", "title", "place"), "url").alias("r")).select("code", "r.*")
 
 
-def hierarchy_paths(rows: DataFrame, levels: int = 3) -> DataFrame:
+def hierarchy_paths(rows: DataFrame, levels: int = 3, parts: int = 64) -> DataFrame:
     """Indented rows (ordinal, indent, text) as paths (l1 .. ln) for rows of the deepest level.
 
-    The ordinal orders one table of a report; partitions of several tables would go into the window's key.
+    The ordinals are cut into ranges; the last row of each level in the ranges before is carried into a range, so no
+    task reads the whole report.
     """
-    w = Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    df = rows
-    for k in range(1, levels + 1):
-        df = df.withColumn(f"o{k}", F.max(F.when(F.col("indent") == k - 1, F.col("ordinal"))).over(w)).withColumn(f"t{k}", F.last(F.when(F.col("indent") == k - 1, F.col("text")), True).over(w))
-    valid = lambda k: F.when((F.lit(k == 1)) | (F.col(f"o{k}") > F.col(f"o{max(1, k - 1)}")), F.col(f"t{k}"))
+    cuts = rows.agg(F.percentile_approx("ordinal", [i / parts for i in range(1, parts)]).alias("q")).collect()[0]["q"] or []
+    edges = F.array(*[F.lit(v) for v in sorted(set(cuts))]).cast(f"array<{dict(rows.dtypes)['ordinal']}>")
+    df = rows.withColumn("__r", F.size(F.filter(edges, lambda e: e < F.col("ordinal"))))
+    at = {f"o{k}": F.when(F.col("indent") == k - 1, F.col("ordinal")) for k in range(1, levels + 1)}
+    said = {f"t{k}": F.when((F.col("indent") == k - 1) & F.col("text").isNotNull(), F.struct("ordinal", "text")) for k in range(1, levels + 1)}
+    names = [*at, *said]
+    ends = df.groupBy("__r").agg(*[F.max(v).alias(n) for n, v in (at | said).items()])
+    before = ends.select("__r", *[F.max(n).over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)).alias(f"b_{n}") for n in names])  # a row for each range
+    w = Window.partitionBy("__r").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
+    df = df.select("*", *[F.max(v).over(w).alias(n) for n, v in (at | said).items()]).join(before, "__r")
+    df = df.withColumns({n: F.coalesce(n, f"b_{n}") for n in names})
+    valid = lambda k: F.when((F.lit(k == 1)) | (F.col(f"o{k}") > F.col(f"o{max(1, k - 1)}")), F.col(f"t{k}.text"))
     return df.filter(F.col("indent") == levels - 1).select("ordinal", *[valid(k).alias(f"l{k}") for k in range(1, levels + 1)])
 
 

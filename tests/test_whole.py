@@ -1,5 +1,6 @@
 """Queries do the whole job: small tables against brute force in plain Python."""
 
+import datetime as dt
 import math
 import random
 
@@ -136,3 +137,22 @@ def test_roads_of_every_supplier(spark):
                     heapq.heappush(heap, (d + m, v))
     assert {r["node"]: r["minutes"] for r in PS.shortest_time(t).collect()} == best
     assert PS.cumulative_access(t).first().asDict() == {f"within_{m}": sum(2.0 * n for n, d in best.items() if d <= m and n <= 300) for m in (10, 20, 30)}
+
+
+def test_whole_tables_are_read(spark):
+    from hearthframe.plans import relational as PR
+
+    few = spark.createDataFrame([(k, 150_000 + k if k else 1, dt.datetime(1995 + k % 4, 1 + k % 12, 9)) for k in (1, 50, 7, 13, 900_001, 1_200_002)], "o_orderkey long, o_custkey long, o_orderdate timestamp")
+    months = spark.createDataFrame([(dt.date(1995, 1, 1), 1.0, 1), (dt.date(1998, 11, 1), 2.0, 1)], "month date, value double, n long")
+    t = {"orders": few, "monthly": months}.get
+    quarter = lambda d: dt.date(d.year, d.month - (d.month - 1) % 3, 1)
+    days = {str(quarter(r["o_orderdate"]) + dt.timedelta(r["o_orderkey"] % 90)) for r in few.collect()}
+    assert {r["day"] for r in PR.asof_nearest(t).collect()} == days
+    codes = spark.range(1, 41).select(F.col("id").alias("o_orderkey"), F.lit("1995-01-01").alias("o_orderdate"))
+    assert {r["code"]: r["day"] for r in PR.code_date({"orders": codes}.get).collect()} == dict.fromkeys(range(1, 41), 9131.0)
+    listings = spark.createDataFrame([(k, "3 bedroom house in KENYA for rent", 5) for k in (7, 900_000, 1_000_000, 6_000_000)], "lid long, title string, custkey long")
+    assert {r["source_id"]: r["price_raw"] for r in PR.json_adverts({"listing_raw": listings}.get).collect()} == {"7": "70.0", "900000": "9000000.0", "1000000": "10000000.0", "6000000": "60000000.0"}
+    region, nation = spark.createDataFrame([(i, f"r{i}") for i in range(3)], "r_regionkey int, r_name string"), spark.createDataFrame([(i, f"n{i}", i % 3) for i in range(7)], "n_nationkey int, n_name string, n_regionkey int")
+    people = [(i, f"c{i}", i % 7) for i in (*range(1, 900), 99_999, 100_000, 250_000, 31_000_000)]
+    got = PR.hierarchy_fill({"region": region, "nation": nation, "customer": spark.createDataFrame(people, "c_custkey long, c_name string, c_nationkey int")}.get).collect()
+    assert sorted(map(tuple, got)) == sorted((f"r{n % 3}", f"n{n}", c) for _, c, n in people)
