@@ -87,6 +87,64 @@ def telling_terms(terms: list[np.ndarray], labels: np.ndarray, size: int, least_
     return (pos + neg >= 3) & (np.abs(z) >= least_z)
 
 
+def telling_pairs(terms: list[np.ndarray], labels: np.ndarray, size: int, telling: np.ndarray) -> np.ndarray:
+    """Booleans by term: one of a pair whose texts' labels differ from what both terms tell by themselves.
+
+    A pair of terms, not both telling, is tested in all texts that hold both: under the share expected from each term's
+    odds, the chance of the share seen (Chernoff's bound) is at most 0.01 by the number of all pairs. Tested are pairs in
+    as many texts as two neutral terms need to pass if all those texts have the rarer label, whose share counts as at
+    most 0.4. Terms that are in the same texts are tested once.
+    """
+    n, share = len(labels), float(labels.mean())
+    if share in (0.0, 1.0):
+        return np.zeros(size, bool)
+    low = min(share, 1 - share, 0.4)
+    limit = float(np.log(size * size / 2 / 0.01))
+    least = int(np.ceil(limit / np.log(1 / low)))
+    lengths = np.fromiter((len(t) for t in terms), np.int64, n)
+    ids, rows = np.concatenate(terms), np.repeat(np.arange(n, dtype=np.int32), lengths)
+    often = np.bincount(ids, minlength=size) >= least
+    rows, ids = rows[often[ids]], ids[often[ids]]
+    order = np.argsort(ids, kind="stable")
+    rows, ids = rows[order], ids[order]
+    names, starts = np.unique(ids, return_index=True)
+    groups: dict[bytes, list[int]] = {}
+    for t, r in zip(names, np.split(rows, starts[1:])):
+        groups.setdefault(r.tobytes(), []).append(int(t))
+    ranked = sorted(groups.items(), key=lambda g: -len(g[0]))  # commonest first: each pair is counted from its rarer term
+    held, members = [np.frombuffer(k, np.int32) for k, _ in ranked], [v for _, v in ranked]
+    one = labels == 1
+    n1 = float(one.sum())
+    all_of = np.array([len(r) for r in held], np.float64)
+    pos_of = np.array([one[r].sum() for r in held], np.float64)
+    base = np.log(n1 / (n - n1))
+    odds = np.log((pos_of + 0.5) / (all_of - pos_of + 0.5)) - base
+    told = np.array([telling[m[0]] for m in members], bool)
+    flat = np.concatenate([np.empty(0, np.int32), *held])
+    ends = np.cumsum(np.bincount(flat, minlength=n))[:-1]
+    texts = np.split(np.repeat(np.arange(len(held), dtype=np.int32), all_of.astype(np.int64))[np.argsort(flat, kind="stable")], ends)
+    found = np.zeros(len(held), bool)
+    nothing = np.empty(0, np.int32)
+    for a in range(1, len(held)):
+        hits, others = (np.bincount(np.concatenate([nothing, *[texts[r] for r in held[a][one[held[a]] == v]]]), minlength=a)[:a] for v in (True, False))
+        b = np.flatnonzero((hits + others >= least) & ~(told[:a] & told[a]))
+        if not len(b):
+            continue
+        m = (hits[b] + others[b]).astype(np.float64)
+        seen, raw = hits[b] / m, 1 / (1 + np.exp(-np.clip(base + odds[a] + odds[b], -30, 30)))
+        p = np.clip(raw, 0.01, 0.99)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gap = np.where(seen > 0, seen * np.log(seen / p), 0.0) + np.where(seen < 1, (1 - seen) * np.log((1 - seen) / (1 - p)), 0.0)
+        gap[((raw <= 0.01) & (seen <= 0.01)) | ((raw >= 0.99) & (seen >= 0.99))] = 0.0
+        new = b[m * gap >= limit]
+        if len(new):
+            found[a] = found[new] = True
+    out = np.zeros(size, bool)
+    for k in np.flatnonzero(found):
+        out[members[k]] = True
+    return out
+
+
 def descend(terms: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, size: int, factors: int, epochs: int, l2: float, rate: float, seed: int) -> FactorizationMachine:
     """AdaGrad on the weighted logistic loss, in mini-batches."""
     rng = np.random.default_rng(seed)
@@ -123,7 +181,7 @@ def descend(terms: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, siz
 
 
 def fit(terms: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: int = FACTORS, epochs: int = EPOCHS, l2: float = 3e-4, rate: float = 0.1, seed: int = SEED, prior: float | None = None) -> FactorizationMachine:
-    """The machine on telling terms, calibrated on margins of cross-fitted machines.
+    """The machine on terms that tell alone or in a pair, calibrated on margins of cross-fitted machines.
 
     prior: share of label 1 among all labelled rows, where the sample has another.
     """
@@ -141,6 +199,7 @@ def fit(terms: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors:
     def machine(rows: np.ndarray) -> FactorizationMachine:
         mine, y = [terms[i] for i in rows], labels[rows]
         telling = telling_terms(mine, y, size)
+        telling |= telling_pairs(mine, y, size, telling)
         mine = [t[telling[t]] for t in mine]
         s = min(max(float(y.mean()), 1e-6), 1 - 1e-6)
         fm = descend(mine, y, np.where(y == 1, 0.5 / s, 0.5 / (1 - s)), size, factors, epochs, l2, rate, seed)

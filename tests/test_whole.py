@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from hearthframe.llm import toxicity
 from hearthframe.operators import models as M
 from hearthframe.operators import spatial as S
 from hearthframe.plans import models as PM
@@ -156,3 +157,20 @@ def test_whole_tables_are_read(spark):
     people = [(i, f"c{i}", i % 7) for i in (*range(1, 900), 99_999, 100_000, 250_000, 31_000_000)]
     got = PR.hierarchy_fill({"region": region, "nation": nation, "customer": spark.createDataFrame(people, "c_custkey long, c_name string, c_nationkey int")}.get).collect()
     assert sorted(map(tuple, got)) == sorted((f"r{n % 3}", f"n{n}", c) for _, c, n in people)
+
+
+@pytest.mark.parametrize("law", ["apart", "beside"])
+def test_terms_that_tell_only_in_a_pair(law):
+    rng = np.random.default_rng(11)
+    terms, y = [], []
+    for i in range(2000):
+        a, b = rng.integers(0, 2, 2)
+        toxic = a != b if law == "apart" else (rng.random() < (0.95 if b else 0.55)) if a else (rng.random() < (0.05 if b else 0.45))
+        terms.append(np.array(sorted({100 + int(x) for x in rng.integers(0, 40, 8)} | ({1} if a else set()) | ({2} if b else set()))))
+        y.append(float(toxic))
+    telling = toxicity.telling_terms(terms, np.array(y), 1024)
+    assert not telling[2] and telling[1] == (law == "beside")
+    assert set(np.flatnonzero(toxicity.telling_pairs(terms, np.array(y), 1024, telling))) == {1, 2}
+    fm = toxicity.fit(terms, np.array(y), bits=10, epochs=30)
+    none, one, two, both = (fm.score(np.array(x, np.int64)) for x in ([], [1], [2], [1, 2]))
+    assert one > both and two > both and both < 0.2 < 0.8 < one if law == "apart" else both > one + 0.1 and two < none - 0.1
