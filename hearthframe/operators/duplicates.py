@@ -84,6 +84,8 @@ def clusters(rows: DataFrame, edges: DataFrame, rid: str = "rid", most_rounds: i
         label = jump.select("n", "l")
         if jump.filter("l <> old").isEmpty():
             break
+    else:
+        raise RuntimeError(f"labels still change after {most_rounds} rounds")
     return rows.select(rid).join(label.withColumnRenamed("n", rid), rid, "left").select(rid, F.coalesce("l", F.col(rid)).alias("cluster"))
 
 

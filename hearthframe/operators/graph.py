@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthframe import shared_folder
+
 
 def _settled(df: DataFrame) -> DataFrame:
     """Checkpointed to the shared folder, which cuts the lineage of a loop."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix=f"hearthframe-{uuid.uuid4().hex[:6]}-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -42,11 +38,12 @@ def access_nodes(edges: DataFrame, kind: int) -> DataFrame:
     return ends.groupBy("node").agg(F.count_distinct("kind").alias("k"), F.max((F.col("kind") == kind).cast("int")).alias("has")).filter("k > 1 AND has = 1").select("node")
 
 
-def shortest_times(edges: DataFrame, sources: DataFrame, cutoff: float = 60.0, most_rounds: int = 500) -> DataFrame:
+def shortest_times(edges: DataFrame, sources: DataFrame, cutoff: float = 60.0, most_rounds: int = 10_000) -> DataFrame:
     """(node, minutes) from the nearest source, up to the cutoff: relaxation by joins, only from nodes whose time improved.
 
     edges (u, v, minutes) go both ways already; sources (node). Each round's frontier is the nodes that got a better
-    time in the round before, and rounds end when none did. The state is checkpointed every fourth round.
+    time in the round before, and rounds end when none did. The state is checkpointed every fourth round. Paths of
+    more edges than ``most_rounds`` raise an error rather than give times that are not the shortest.
     """
     best = sources.select("node", F.lit(0.0).alias("minutes"))
     front = best
@@ -55,11 +52,11 @@ def shortest_times(edges: DataFrame, sources: DataFrame, cutoff: float = 60.0, m
         front = reached.join(best, "node", "left").filter(F.col("minutes").isNull() | (F.col("t") < F.col("minutes") - 1e-12)).select("node", F.col("t").alias("minutes"))
         front = _settled(front)
         if front.isEmpty():
-            break
+            return best
         best = best.unionByName(front).groupBy("node").agg(F.min("minutes").alias("minutes"))
         if r % 4 == 3:
             best = _settled(best)
-    return best
+    raise RuntimeError(f"times still improve after {most_rounds} rounds")
 
 
 def cumulative_access(times: DataFrame, opportunities: DataFrame, limits: tuple[int, ...] = (30, 45, 60)) -> DataFrame:

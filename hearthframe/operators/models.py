@@ -154,16 +154,18 @@ def block_folds(df: DataFrame, block: str, folds: int) -> DataFrame:
 
 
 def forest_cv(df: DataFrame, features: list[str], y: str, fold: str, trees: int = 20, seed: int = 42, boosted: bool = False) -> DataFrame:
-    """Predictions of every row by a forest (or boosted trees) fitted on the other folds."""
+    """Predictions of every row by a forest (or boosted trees) fitted on the other folds' rows that have a target; missing features take the training median."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
-    data = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="skip").transform(df)
+    together = VectorAssembler(inputCols=[f"__in_{f}" for f in features], outputCol="__x")
     make = (lambda: GBTRegressor(featuresCol="__x", labelCol=y, maxIter=trees, seed=seed)) if boosted else (lambda: RandomForestRegressor(featuresCol="__x", labelCol=y, numTrees=trees, maxDepth=6, seed=seed))
     out = None
     for r in sorted(x[0] for x in df.select(fold).distinct().collect()):
-        model = make().fit(data.filter(F.col(fold) != r))
-        part = model.transform(data.filter(F.col(fold) == r)).drop("__x")
+        train, test = df.filter((F.col(fold) != r) & F.col(y).isNotNull()), df.filter(F.col(fold) == r)
+        middle = train.agg(*[F.percentile_approx(f, 0.5, 10_000).alias(f) for f in features]).collect()[0]  # one row
+        ready = lambda d: together.transform(d.withColumns({f"__in_{f}": F.coalesce(F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")), F.lit(float(middle[f] or 0.0))) for f in features}))
+        part = make().fit(ready(train)).transform(ready(test)).drop("__x", *[f"__in_{f}" for f in features])
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -17,26 +17,69 @@ def first_rows(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFra
     return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
+def value_ranks(values: DataFrame, value: str, parts: int = 64) -> DataFrame:
+    """(v, c, below): each distinct value as a double, how often it occurs and how many values are less; nulls and NaN are left out.
+
+    Values are counted before the shuffle and cut into ranges; prefix sums run within a range and over the few ranges,
+    so no task sorts the whole column.
+    """
+    v = F.col(value).cast("double")
+    per = values.filter(v.isNotNull() & ~F.isnan(v)).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    cuts = per.agg(F.percentile_approx("v", [i / parts for i in range(1, parts)]).alias("q")).collect()[0]["q"] or []  # as many numbers as ranges
+    edges = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]).cast("array<double>")
+    ranged = per.withColumn("__k", F.size(F.filter(edges, lambda e: e < F.col("v"))))
+    before = ranged.groupBy("__k").agg(F.sum("c").alias("__t"))
+    before = before.select("__k", (F.sum("__t").over(Window.orderBy("__k").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__t")).alias("__t"))  # a row for each range
+    within = F.sum("c").over(Window.partitionBy("__k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
+    return ranged.withColumn("__w", within).join(before, "__k").select("v", "c", (F.col("__w") + F.col("__t")).alias("below"))
+
+
+def exact_quantiles(df: DataFrame, value: str, at: list[float], name: str = "q") -> DataFrame:
+    """One row with the array of linearly interpolated quantiles of the values that are not null; a null array if there are none."""
+    ranks = value_ranks(df, value)
+    n = ranks.agg(F.sum("c").alias("n"))
+    held = ranks.join(F.broadcast(n))  # one row
+    of = lambda place: F.max(F.when((F.col("below") <= place) & (place < F.col("below") + F.col("c")), F.col("v")))
+    places = [(F.col("n") - 1) * F.lit(float(q)) for q in at]
+    ends = held.agg(*[of(F.floor(p)).alias(f"l{i}") for i, p in enumerate(places)], *[of(F.ceil(p)).alias(f"h{i}") for i, p in enumerate(places)], F.max("n").alias("n"))
+    value_at = lambda i, p: F.when(F.floor(p) == F.ceil(p), F.col(f"l{i}")).otherwise((F.ceil(p) - p) * F.col(f"l{i}") + (p - F.floor(p)) * F.col(f"h{i}"))
+    return ends.select(F.when(F.col("n").isNotNull(), F.array(*[value_at(i, p) for i, p in enumerate(places)])).alias(name))
+
+
 def as_of_nearest(left: DataFrame, right: DataFrame, at: str, day: str, value: str) -> DataFrame:
-    """left with the value of the nearest day in right, ties to the earlier. right is a calendar series, so days that can be nearest lie in the
-    same or a neighbouring bucket of its largest gap; the join is on buckets."""
-    gap = right.select(F.max(F.datediff(F.lead(day).over(Window.orderBy(day)), F.col(day))).over(Window.partitionBy(F.lit(1))).alias("g")).limit(1)
-    span = right.agg(F.min(day).alias("lo"), F.max(day).alias("hi")).join(gap).select("lo", "hi", F.greatest(F.coalesce("g", F.lit(1)), F.lit(1)).alias("g"))
+    """left with the value of the nearest day in right, ties to the earlier day, then to the smaller value. Every row of
+    left comes back once: a null date, and any date if right has no days, gets a null.
+
+    right is a calendar series, so days that can be nearest lie in the same or a neighbouring bucket of its largest
+    gap; distinct dates are joined on buckets and the answers joined back.
+    """
+    days = right.filter(F.col(day).isNotNull()).select(F.col(day).alias("__day"), F.col(value).alias("__v"))
+    own = days.select("__day").distinct()
+    gaps = own.select("__day", F.datediff(F.lead("__day").over(Window.orderBy("__day")), F.col("__day")).alias("g"))  # days of a calendar
+    span = gaps.agg(F.min("__day").alias("lo"), F.max("__day").alias("hi"), F.greatest(F.coalesce(F.max("g"), F.lit(1)), F.lit(1)).alias("g"))
     bucket = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / F.col("g"))
-    l = left.join(F.broadcast(span)).withColumn("__at", F.least(F.greatest(F.col(at), F.col("lo")), F.col("hi"))).withColumn("__b", F.explode(F.array(*[bucket(F.col("__at")) + d for d in (-1, 0, 1)])))  # noqa: E741  one row
-    r = right.join(F.broadcast(span.select("g"))).select(bucket(F.col(day)).alias("__b"), F.col(day).alias("__day"), F.col(value).alias("__v"))
-    near = l.join(r, "__b").groupBy(*left.columns).agg(F.min_by("__v", F.struct(F.abs(F.datediff("__at", "__day")), "__day")).alias(value))
-    return near
+    dates = left.filter(F.col(at).isNotNull()).select(F.col(at).alias("__at")).distinct()
+    l = dates.join(F.broadcast(span)).withColumn("__to", F.least(F.greatest(F.col("__at"), F.col("lo")), F.col("hi"))).withColumn("__b", F.explode(F.array(*[bucket(F.col("__to")) + d for d in (-1, 0, 1)])))  # noqa: E741  one row
+    r = days.join(F.broadcast(span.select("g"))).select(bucket(F.col("__day")).alias("__b"), "__day", "__v")
+    near = l.join(r, "__b").groupBy("__at").agg(F.min_by("__v", F.struct(F.abs(F.datediff("__to", "__day")), "__day", "__v")).alias("__v"))
+    return left.join(near, F.col(at) == F.col("__at"), "left").select(*[F.col(f"`{c}`") for c in left.columns if c != value], F.col("__v").alias(value))
 
 
 def interpolate(points: DataFrame, anchors: DataFrame, x: str, ax: str, ay: str) -> DataFrame:
-    """points with y by piecewise-linear interpolation over the anchors, flat beyond them. Anchors are a short curve."""
+    """points with y by piecewise-linear interpolation over the anchors, flat beyond them; a null x, and any x without anchors, gets a null.
+
+    The pieces between anchors are dealt to buckets as wide as the longest of them, so points meet them in an equi-join.
+    """
     w = Window.orderBy(ax)
-    seg = anchors.select(F.col(ax).alias("x0"), F.col(ay).alias("y0"), F.lead(ax).over(w).alias("x1"), F.lead(ay).over(w).alias("y1"), F.row_number().over(w).alias("k"))
-    seg = seg.withColumn("lo", F.when(F.col("k") == 1, F.lit(float("-inf"))).otherwise(F.col("x0").cast("double")))
-    inside = (F.col(x) >= F.col("lo")) & (F.col("x1").isNull() | (F.col(x) < F.col("x1")))
-    y = F.when(F.col("x1").isNull() | (F.col(x) <= F.col("x0")), F.col("y0").cast("double")).otherwise(F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col(x) - F.col("x0")) / (F.col("x1") - F.col("x0")))
-    return points.join(seg, inside).select(*points.columns, y.alias("y"))
+    seg = anchors.select(F.col(ax).cast("double").alias("x0"), F.col(ay).cast("double").alias("y0"), F.lead(ax).over(w).cast("double").alias("x1"), F.lead(ay).over(w).cast("double").alias("y1"))  # the anchors of a curve
+    span = seg.agg(F.min("x0").alias("lo"), F.max("x0").alias("hi"), F.coalesce(F.max(F.col("x1") - F.col("x0")), F.lit(1.0)).alias("g"))
+    bucket = lambda c: F.floor(c / F.col("g"))
+    pieces = seg.join(F.broadcast(span)).withColumn("__b", F.explode(F.sequence(bucket(F.col("x0")), bucket(F.coalesce("x1", "x0"))))).select("__b", "x0", "y0", "x1", "y1")  # one row
+    p = points.join(F.broadcast(span)).withColumn("__x", F.least(F.greatest(F.col(x).cast("double"), F.col("lo")), F.col("hi")))
+    p = p.withColumn("__x", F.when(F.col(x).isNotNull(), F.col("__x"))).withColumn("__p", bucket(F.col("__x")))
+    y = F.when(F.col("x1").isNull() | (F.col("__x") <= F.col("x0")), F.col("y0")).otherwise(F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("__x") - F.col("x0")) / (F.col("x1") - F.col("x0")))
+    inside = (F.col("__p") == F.col("__b")) & (F.col("__x") >= F.col("x0")) & (F.col("x1").isNull() | (F.col("__x") < F.col("x1")))
+    return p.join(pieces, inside, "left").select(*[F.col(f"`{c}`") for c in points.columns], y.alias("y"))
 
 
 def monotone_anchors(captures: DataFrame, code: str, day: str, width: int = 2000, min_n: int = 10) -> DataFrame:
@@ -88,18 +131,21 @@ def concentration_index(curve: DataFrame) -> DataFrame:
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row (spearman, n): Pearson correlation of average ranks."""
-    average = lambda c: F.rank().over(Window.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2
-    return df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(average(a).alias("ra"), average(b).alias("rb")).agg(F.corr("ra", "rb").alias("spearman"), F.count(F.lit(1)).alias("n"))
+    """One row (spearman, n): Pearson correlation of average ranks; rows with a null in either column are left out."""
+    both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("__a"), F.col(b).cast("double").alias("__b"))
+    rank = lambda c, name: value_ranks(both, c).select(F.col("v").alias(c), (F.col("below") + (F.col("c") + 1) / 2).alias(name))
+    return both.join(rank("__a", "ra"), "__a").join(rank("__b", "rb"), "__b").agg(F.corr("ra", "rb").alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 
 def quantile_bins(df: DataFrame, value: str, bins: int, name: str = "bin") -> DataFrame:
-    """Adds the number (from 1) of the quantile bin, right-closed, equal edges dropped."""
-    edges = df.agg(F.array_distinct(F.percentile(value, F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias("__e"))
+    """Adds the number (from 1) of the quantile bin, right-closed, equal edges dropped; null for a null."""
+    edges = exact_quantiles(df, value, [i / bins for i in range(bins + 1)]).select(F.array_distinct("q").alias("__e"))
     inner = F.slice("__e", 2, F.greatest(F.size("__e") - 2, F.lit(0)))
     return df.join(F.broadcast(edges)).withColumn(name, F.when(F.col(value).isNotNull(), F.size(F.filter(inner, lambda e: e < F.col(value))) + 1)).drop("__e")  # one row
 
 
 def winsorised(df: DataFrame, value: str, low: float, high: float) -> DataFrame:
-    edge = df.agg(F.percentile(value, low).alias("__lo"), F.percentile(value, high).alias("__hi"))
-    return df.join(F.broadcast(edge)).withColumn(value, F.least(F.greatest(F.col(value), F.col("__lo")), F.col("__hi"))).drop("__lo", "__hi")  # one row
+    """The value drawn in to the two quantiles; a null stays null."""
+    edge = exact_quantiles(df, value, [low, high], "__q")
+    drawn = F.least(F.greatest(F.col(value), F.col("__q")[0]), F.col("__q")[1])
+    return df.join(F.broadcast(edge)).withColumn(value, F.when(F.col(value).isNotNull(), drawn)).drop("__q")  # one row

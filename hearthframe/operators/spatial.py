@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthframe.functions.geo import distance, in_ring, segment_distance
 
 from .graph import _settled
+from .relational import exact_quantiles, value_ranks
 
 
 def _cell(c: Column | str, size: float) -> Column:
@@ -130,15 +132,14 @@ def nearest_line(points: DataFrame, segments: DataFrame, pid: str, reach: float)
     return points.select(pid, F.lit(0.0).alias("dist")).limit(0) if done is None else done.select(pid, F.col("b").alias("dist"))
 
 
-def count_up_to(limits: DataFrame, values: DataFrame, limit: str, value: str, parts: int = 64) -> DataFrame:
+def count_up_to(limits: DataFrame, values: DataFrame, limit: str, value: str) -> DataFrame:
     """(limit, n): for each distinct limit the number of values at most it, by prefix sums over value ranges."""
-    per = values.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    cuts = per.agg(F.percentile_approx("v", [i / parts for i in range(1, parts)]).alias("q")).collect()[0]["q"] or []
-    edges = F.array(*[F.lit(float(v)) for v in sorted(set(cuts))]).cast("array<double>")
-    both = per.unionByName(limits.select(F.col(limit).cast("double").alias("v"), F.lit(0).cast("bigint").alias("c")).filter("v IS NOT NULL").distinct()).groupBy("v").agg(F.sum("c").alias("c")).withColumn("k", F.size(F.filter(edges, lambda e: e < F.col("v"))))
-    before = both.groupBy("k").agg(F.sum("c").alias("t")).withColumn("t", F.sum("t").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)) - F.col("t"))  # a row for each range
-    n = both.withColumn("s", F.sum("c").over(Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).join(before, "k")
-    return n.select(F.col("v").alias(limit), (F.col("s") + F.col("t")).alias("n"))
+    both = values.select(F.col(value).cast("double").alias("v"), F.lit(1).alias("own")).unionByName(limits.select(F.col(limit).cast("double").alias("v"), F.lit(0).alias("own")).distinct())
+    asked = both.filter("own = 0 AND v IS NOT NULL").select("v").distinct()
+    # A limit among the values counts once itself, as does every limit below it; both are taken off again.
+    all_of, of_limits = value_ranks(both, "v"), value_ranks(asked, "v")
+    n = asked.join(all_of.select("v", (F.col("below") + F.col("c")).alias("a")), "v").join(of_limits.select("v", (F.col("below") + F.col("c")).alias("b")), "v")
+    return n.select(F.col("v").alias(limit), (F.col("a") - F.col("b")).alias("n"))
 
 
 def nearest_within_budget(origins: DataFrame, listings: DataFrame, oid: str, reach: float) -> DataFrame:
@@ -163,12 +164,27 @@ def nearest_within_budget(origins: DataFrame, listings: DataFrame, oid: str, rea
 
 
 def knn_weights(areas: DataFrame, k: int) -> DataFrame:
-    """(i, j, w): the k nearest areas of each, row-standardised. areas (id, x, y) is a table of map units, hundreds of rows, paired with itself
-    through one constant key."""
-    a = areas.select(F.col("id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), F.lit(1).alias("__k"))
-    b = areas.select(F.col("id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), F.lit(1).alias("__k"))
-    d = a.join(b, "__k").filter("i <> j").withColumn("d", distance(F.col("xi"), F.col("yi"), F.col("xj"), F.col("yj")))
-    return d.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).filter(F.col("r") <= k).select("i", "j", F.lit(1.0 / k).alias("w"))
+    """(i, j, w): the k nearest other areas of each (id, x, y), ties to the smaller id, row-standardised; all others if there are fewer.
+
+    At cell size s the areas within s of one lie in its nine cells, so an area with k others within s is done; the rest
+    go on with larger cells, at most to the extent of the data.
+    """
+    own = areas.select(F.col("id").alias("i"), "x", "y")
+    far, n = _room(own, "x", "y", [("x", "y")], own)
+    least = min(k, n - 1)
+    near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+
+    def met(left: DataFrame, s: float) -> DataFrame:
+        q = own.select(F.col("i").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj")).withColumn("dx", near).withColumn("dy", near).withColumns({"__cx": _cell("xj", s) + F.col("dx"), "__cy": _cell("yj", s) + F.col("dy")}).drop("dx", "dy")
+        d = left.withColumns({"__cx": _cell("x", s), "__cy": _cell("y", s)}).join(q, ["__cx", "__cy"]).filter("i <> j").withColumn("d", distance(F.col("x"), F.col("y"), F.col("xj"), F.col("yj"))).filter(F.col("d") <= s)
+        best = d.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).filter(F.col("r") <= k)
+        return best.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("r", "j"))).alias("b")).filter(F.size("b") >= least)
+
+    start = far * (2 * (k + 1) / (3.14 * max(n, 1))) ** 0.5
+    done = _widened(own, "i", min(start, far) or 1.0, far, met) if n > 1 else None
+    if done is None:
+        return own.select("i", F.col("i").alias("j"), F.lit(0.0).alias("w")).limit(0)
+    return done.select("i", F.explode("b").alias("b"), F.size("b").alias("n")).select("i", "b.j", (1.0 / F.col("n")).alias("w"))
 
 
 def queen_weights(boxes: DataFrame) -> DataFrame:
@@ -206,7 +222,56 @@ def spatial_blocks(points: DataFrame, size: float) -> DataFrame:
     return points.withColumn("block", F.concat_ws("_", _cell("x", size).cast("string"), _cell("y", size).cast("string")))
 
 
-def class_breaks(df: DataFrame, value: str, classes: int) -> DataFrame:
-    """Adds the quantile class (from 0, right-closed) of each value."""
-    edges = df.agg(F.percentile(value, F.array(*[F.lit(i / classes) for i in range(1, classes)])).alias("__e"))
-    return df.join(F.broadcast(edges)).withColumn("class", F.size(F.filter("__e", lambda e: e < F.col(value)))).drop("__e")  # one row
+def class_edges(df: DataFrame, value: str, classes: int, scheme: str = "quantiles", grains: int = 512) -> DataFrame:
+    """One row: the inner edges of the classes. quantiles; equal_interval; symmetric around 0 (thirds of the 97th
+    percentile of the absolute values, six classes); fisher_jenks, the edges of least squared deviation within classes,
+    exact for up to ``grains`` distinct values and over that many equal-count groups of neighbours beyond it.
+    """
+    v = F.col(value).cast("double")
+    if scheme == "quantiles":
+        return exact_quantiles(df, value, [i / classes for i in range(1, classes)], "__e")
+    if scheme == "equal_interval":
+        return df.agg(F.min(v).alias("lo"), F.max(v).alias("hi")).select(F.array(*[F.col("lo") + (F.col("hi") - F.col("lo")) * (i / classes) for i in range(1, classes)]).alias("__e"))
+    if scheme == "symmetric":
+        step = exact_quantiles(df.select(F.abs(v).alias("__v")), "__v", [0.97]).select((F.col("q")[0] / 3).alias("s"))
+        return step.select(F.array(*[F.col("s") * k for k in (-2, -1, 0, 1, 2)]).alias("__e"))
+    if scheme != "fisher_jenks":
+        raise ValueError(f"no scheme {scheme}")
+    ranks = value_ranks(df, value)
+    n = ranks.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("d"))
+    grain = F.when(F.col("d") <= grains, F.col("v")).otherwise(F.floor(F.col("below") * grains / F.col("n")).cast("double"))
+    cells = ranks.join(F.broadcast(n)).groupBy(grain.alias("g")).agg(F.max("v").alias("top"), F.sum("c").alias("c"), F.sum(F.col("v") * F.col("c")).alias("s"), F.sum(F.col("v") * F.col("v") * F.col("c")).alias("q"))  # one row
+    edges = natural_edges([(r["top"], r["c"], r["s"], r["q"]) for r in cells.orderBy("top").collect()], classes)  # at most ``grains`` rows
+    return df.sparkSession.range(1).select(F.array(*[F.lit(float(e)) for e in edges]).cast("array<double>").alias("__e"))
+
+
+def natural_edges(cells: list[tuple[float, float, float, float]], classes: int) -> list[float]:
+    """Tops of all classes but the last, by dynamic programming over cells (top, count, sum, sum of squares) in order of value."""
+    n = len(cells)
+    classes = min(classes, n)
+    if classes < 2:
+        return []
+    c, s, q = (np.concatenate([[0.0], np.cumsum([x[i] for x in cells])]) for i in (1, 2, 3))
+    cost = lambda i, j: (q[j] - q[i]) - (s[j] - s[i]) ** 2 / (c[j] - c[i])  # noqa: E731  cells i to j - 1
+    best = np.array([np.inf] + [cost(0, j) for j in range(1, n + 1)])
+    cuts = []
+    for k in range(2, classes + 1):
+        new, cut = np.full(n + 1, np.inf), np.zeros(n + 1, int)
+        for j in range(k, n + 1):
+            i = np.arange(k - 1, j)
+            total = best[i] + cost(i, j)
+            at = int(total.argmin())
+            new[j], cut[j] = total[at], i[at]
+        best = new
+        cuts.append(cut)
+    edges, j = [], n
+    for cut in reversed(cuts):
+        j = cut[j]
+        edges.append(cells[j - 1][0])
+    return edges[::-1]
+
+
+def class_breaks(df: DataFrame, value: str, classes: int, scheme: str = "quantiles") -> DataFrame:
+    """Adds the class (from 0, right-closed) of each value; null for a null."""
+    edges = class_edges(df, value, classes, scheme)
+    return df.join(F.broadcast(edges)).withColumn("class", F.when(F.col(value).isNotNull(), F.size(F.filter("__e", lambda e: e < F.col(value))))).drop("__e")  # one row

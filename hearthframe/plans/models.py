@@ -108,9 +108,6 @@ def affordable_supply(t):
     return g.select(F.coalesce("subcounty", F.lit("TOTAL")).alias("area"), "n", F.round(F.when(F.col("n") >= 20, F.col("s")), 6).alias("share"))
 
 
-DUP = "WITH RECURSIVE d AS (SELECT doc_id AS rid, source, lang, n_chars AS price, regexp_replace(lower(substr(coalesce(text, ''), 1, 400)), '[^ -~]', '?', 'g') AS txt FROM documents), e AS (SELECT a.rid AS u, b.rid AS v FROM d a JOIN d b ON a.lang = b.lang AND a.price > 0 AND b.price > 0 AND (b.price > a.price OR (b.price = a.price AND b.rid > a.rid)) AND b.price <= a.price * 1.005e0 AND levenshtein(substr(a.txt, 1, 60), substr(b.txt, 1, 60)) <= 8)"
-
-
 def _dup(t):
     """Documents as postings, and the links among them: candidate pairs of one language and nearly one length whose whole comparison texts are similar."""
     text = F.coalesce("text", F.lit(""))
@@ -118,21 +115,18 @@ def _dup(t):
     return rows, U.links(U.candidate_pairs(rows, ["lang"], carry=["txt", "agent"]), U.token_sort_ratio("txt_a", "txt_b"))
 
 
-@query("dedup_edges", DUP + " SELECT u, v FROM e")
+@query("dedup_edges")
 def dedup_edges(t):
     return _dup(t)[1]
 
 
-REACH = DUP.replace("levenshtein(substr(a.txt, 1, 60), substr(b.txt, 1, 60)) <= 8)", "levenshtein(substr(a.txt, 1, 60), substr(b.txt, 1, 60)) <= 8), s AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r AS (SELECT rid, rid AS c FROM d UNION SELECT s.v, r.c FROM r JOIN s ON s.u = r.rid WHERE r.c <= s.v OR true), k AS (SELECT rid, min(c) AS cluster FROM r GROUP BY 1)")
-
-
-@query("dup_components", REACH + " SELECT rid, cluster FROM k")
+@query("dup_components")
 def dup_components(t):
     rows, edges = _dup(t)
     return U.clusters(rows, edges)
 
 
-@query("dedup_representatives", REACH + ", j AS (SELECT d.*, cluster, count(*) OVER (PARTITION BY cluster) AS n_postings, min(source) OVER (PARTITION BY cluster) AS first_source, row_number() OVER (PARTITION BY cluster ORDER BY length(txt) DESC, price DESC, rid) AS o FROM d JOIN k USING (rid)), p AS (SELECT cluster, count(DISTINCT source) AS n_portals FROM j GROUP BY 1) SELECT rid, cluster, CAST(n_postings AS BIGINT) AS n_postings, CAST(n_portals AS BIGINT) AS n_portals FROM j JOIN p USING (cluster) WHERE o = 1")
+@query("dedup_representatives")
 def dedup_representatives(t):
     rows, edges = _dup(t)
     j = rows.join(U.clusters(rows, edges), "rid")

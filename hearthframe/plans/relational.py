@@ -102,7 +102,7 @@ def cagr(t):
 
 @query(
     "asof_nearest",
-    ", d AS (SELECT DISTINCT CAST(date_trunc('quarter', o_orderdate) AS DATE) + CAST(o_orderkey % 90 AS INTEGER) AS day FROM orders WHERE o_orderkey % 50 = 0), m AS (SELECT month, value FROM monthly WHERE month(month) % 2 = 1) SELECT CAST(day AS VARCHAR) AS day, round(value, 6) AS value FROM (SELECT day, value, row_number() OVER (PARTITION BY day ORDER BY abs(date_diff('day', month, day)), month) AS n FROM d, m) WHERE n = 1",
+    ", d AS (SELECT DISTINCT CAST(date_trunc('quarter', o_orderdate) AS DATE) + CAST(o_orderkey % 90 AS INTEGER) AS day FROM orders), m AS (SELECT month, value FROM monthly WHERE month(month) % 2 = 1) SELECT CAST(day AS VARCHAR) AS day, round(value, 6) AS value FROM (SELECT day, value, row_number() OVER (PARTITION BY day ORDER BY abs(date_diff('day', month, day)), month) AS n FROM d, m) WHERE n = 1",
     ("monthly",),
 )
 def asof_nearest(t):
@@ -116,7 +116,7 @@ def asof_nearest(t):
   b AS (SELECT floor(code / 2000) * 2000 + 1000 AS bin, quantile_cont(d, 0.05) AS d FROM cap GROUP BY 1 HAVING count(*) >= 10),
   a AS (SELECT bin, max(d) OVER (ORDER BY bin) AS day FROM b),
   s AS (SELECT bin AS x0, day AS y0, lead(bin) OVER (ORDER BY bin) AS x1, lead(day) OVER (ORDER BY bin) AS y1, row_number() OVER (ORDER BY bin) AS k FROM a)
-  SELECT code, round(CASE WHEN x1 IS NULL OR code <= x0 THEN y0 ELSE y0 + (y1 - y0) * (code - x0) / (x1 - x0) END, 2) AS day FROM cap JOIN s ON (k = 1 OR code >= x0) AND (x1 IS NULL OR code < x1) WHERE code % 7 = 0""",
+  SELECT code, round(CASE WHEN x1 IS NULL OR code <= x0 THEN y0 ELSE y0 + (y1 - y0) * (code - x0) / (x1 - x0) END, 2) AS day FROM cap JOIN s ON (k = 1 OR code >= x0) AND (x1 IS NULL OR code < x1)""",
 )
 def code_date(t):
     cap = t("orders").select(F.col("o_orderkey").alias("code"), F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).alias("d"))
@@ -231,7 +231,7 @@ AD = "'{\"id\":' || CAST(lid AS STRING) || ',\"title\":\"' || title || '\",\"url
 
 @query(
     "json_adverts",
-    r", p AS (SELECT *, regexp_extract(title, '^(.*?)\s+in\s+(.+?)(?:,\s*([^,]+?))?\s+for\s+(rent|sale)\s*$', 4, 'i') AS deal FROM listing_raw) SELECT CAST(lid AS VARCHAR) AS source_id, '/ad/' || CAST(lid AS VARCHAR) AS url, lower(deal) AS listing_type, CAST(CAST(lid * 10 AS DOUBLE) AS VARCHAR) AS price_raw, 'UGX' AS currency_raw, CAST(lid % 4 AS VARCHAR) AS bedrooms_raw, CAST(lid % 90 AS VARCHAR) AS size_raw, 'sqm' AS size_unit_raw, substr(sha256('alpha|' || CAST(custkey AS VARCHAR)), 1, 16) AS agent_key FROM p WHERE lid < 900000",
+    r", p AS (SELECT *, regexp_extract(title, '^(.*?)\s+in\s+(.+?)(?:,\s*([^,]+?))?\s+for\s+(rent|sale)\s*$', 4, 'i') AS deal FROM listing_raw) SELECT CAST(lid AS VARCHAR) AS source_id, '/ad/' || CAST(lid AS VARCHAR) AS url, lower(deal) AS listing_type, CAST(CAST(lid * 10 AS DOUBLE) AS VARCHAR) AS price_raw, 'UGX' AS currency_raw, CAST(lid % 4 AS VARCHAR) AS bedrooms_raw, CAST(lid % 90 AS VARCHAR) AS size_raw, 'sqm' AS size_unit_raw, substr(sha256('alpha|' || CAST(custkey AS VARCHAR)), 1, 16) AS agent_key FROM p",
     ("listing_raw",),
 )
 def json_adverts(t):
@@ -304,7 +304,7 @@ def earliest_capture(t):
     return t("events").groupBy(F.col("user_id").alias("code")).agg(F.min("ts").alias("first"), F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
-@query("hierarchy_fill", "SELECT r_name AS l1, n_name AS l2, c_name AS l3 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey <= 400")
+@query("hierarchy_fill", "SELECT r_name AS l1, n_name AS l2, c_name AS l3 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def hierarchy_fill(t):
     r, n, c = t("region"), t("nation"), t("customer")
     o = lambda a, b, d: (F.col(a).cast("bigint") * 10**15 + b * 10**12 + d).cast("bigint")

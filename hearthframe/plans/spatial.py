@@ -52,10 +52,10 @@ def hex_grid(t):
     return S.hex_grid(t("region"), 1000.0, 0.0, 0.0, 8000.0, 8000.0).select("hex_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-NEAR = ", d AS (SELECT pid, poi, sqrt((px - x) * (px - x) + (py - y) * (py - y)) AS dist FROM points CROSS JOIN poi WHERE pid % 3 = 0)"
+NEAR = ", d AS (SELECT pid, poi, sqrt((px - x) * (px - x) + (py - y) * (py - y)) AS dist FROM points CROSS JOIN poi)"
 
 
-@query("nearest_poi", NEAR + " SELECT pid, poi, round(dist, 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY dist, poi) AS n FROM d) WHERE n = 1", ("points", "poi"))
+@query("nearest_poi", NEAR + " SELECT pid, min_by(poi, (dist, poi)) AS poi, round(min(dist), 6) AS dist FROM d GROUP BY 1", ("points", "poi"))
 def nearest_poi(t):
     return S.nearest(t("points"), t("poi"), "pid", "poi", 500.0).select("pid", "poi", F.round("dist", 6).alias("dist"))
 
@@ -70,7 +70,7 @@ LINES = ", seg AS (SELECT px AS ax, py AS ay, lead(px) OVER w AS bx, lead(py) OV
 
 @query(
     "nearest_line",
-    LINES + ", q AS (SELECT pid, x, y, s.*, CASE WHEN dx * dx + dy * dy > 0 THEN greatest(0, least(1, ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy))) ELSE 0 END AS k FROM points CROSS JOIN sg s WHERE pid % 5 = 0), e AS (SELECT pid, sqrt(pow(ax + k * dx - x, 2) + pow(ay + k * dy - y, 2)) AS d FROM q) SELECT pid, round(min(d), 6) AS dist FROM e WHERE d <= 400 GROUP BY 1",
+    LINES + ", q AS (SELECT pid, x, y, s.*, CASE WHEN dx * dx + dy * dy > 0 THEN greatest(0, least(1, ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy))) ELSE 0 END AS k FROM points CROSS JOIN sg s), e AS (SELECT pid, sqrt(pow(ax + k * dx - x, 2) + pow(ay + k * dy - y, 2)) AS d FROM q) SELECT pid, round(min(d), 6) AS dist FROM points LEFT JOIN e USING (pid) GROUP BY 1",
     ("points", "poi"),
 )
 def nearest_line(t):
@@ -83,7 +83,7 @@ def nearest_line(t):
 
 @query(
     "nearest_in_budget",
-    ", o AS (SELECT poi AS oid, px AS ox, py AS oy, 20000.0 + 3000 * (poi % 40) AS budget FROM poi), d AS (SELECT oid, sqrt((x - ox) * (x - ox) + (y - oy) * (y - oy)) AS d FROM o CROSS JOIN points WHERE value <= budget) SELECT oid, round(coalesce(min(d.d), 1e12), 4) AS dist, CAST(count(d.d) AS BIGINT) AS n FROM o LEFT JOIN d USING (oid) WHERE d.d IS NULL OR d.d <= 1500 GROUP BY 1 UNION ALL SELECT oid, 1e12, 0 FROM o WHERE oid IN (SELECT oid FROM d GROUP BY 1 HAVING min(d) > 1500)",
+    ", o AS (SELECT poi AS oid, px AS ox, py AS oy, 20000.0 + 3000 * (poi % 40) AS budget FROM poi), d AS (SELECT oid, sqrt((x - ox) * (x - ox) + (y - oy) * (y - oy)) AS d FROM o CROSS JOIN points WHERE value <= budget) SELECT oid, round(coalesce(min(d.d), 1e12), 4) AS dist, CAST(count(d.d) AS BIGINT) AS n FROM o LEFT JOIN d USING (oid) GROUP BY 1",
     ("points", "poi"),
 )
 def nearest_in_budget(t):
@@ -151,10 +151,8 @@ def neighbourhood_points(t):
 
 
 def _roads(t):
-    """A road from every supplier to the next and to the seventh after it. The sample view road_edges holds the first 92 only."""
-    a = F.col("a")
-    s = t("supplier").select(F.col("s_suppkey").alias("a"), F.explode(F.array(F.lit(1), F.lit(7))).alias("step"))
-    return s.select(a.alias("src"), (a + F.col("step")).alias("dst"), (1 + (13 * a) % 9).cast("double").alias("minutes"), (a % 4).alias("kind"))
+    """A road from every supplier to the next and to the seventh after it."""
+    return t("road_edges")
 
 
 @query("road_edges", ", b AS (SELECT src AS u, dst AS v, minutes FROM road_edges UNION ALL SELECT dst, src, minutes FROM road_edges) SELECT u, v, min(minutes) AS minutes FROM b GROUP BY 1, 2", ("road_edges",))

@@ -1,11 +1,12 @@
 """Append-only snapshots as streams: upsert of the latest row of each key, first sights and counts, and the cleaning projection.
 
-A stream reads new files once (the checkpoint holds the offsets), so a rerun resumes where the last one ended.
+A stream reads new files once (the checkpoint holds the offsets). State is kept as reduced batches, one folder each, and
+merged into a base now and then, so a batch writes what it brought and not the whole state. A call that names a ``root``
+goes on where the last one with that root ended; without one it is a run of its own. Empty sources give empty results.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,69 +14,85 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from hearthframe import shared_folder
 from hearthframe.operators.relational import latest_snapshot
 
 
-def shared_folder(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hearthframe-")
-    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+def stream_root(spark: SparkSession, root: str | None = None) -> str:
+    return root or f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
 
 
 def file_stream(spark: SparkSession, folder: str, glob: str, schema: StructType) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).option("recursiveFileLookup", "true").parquet(folder)
 
 
-class SnapshotStore:
-    """The latest row of each key, in one folder a batch; a batch that is run again writes the same folder."""
+class MergedStore:
+    """Rows by key under an associative merge: reduced batches, and a base that holds those up to its own batch.
 
-    def __init__(self, spark: SparkSession, root: str, keys: list[str], order: list[str]):
-        self.spark, self.root, self.keys, self.order = spark, root, keys, order
-        self.version = -1
+    A batch that is run again writes the same folder. Only finished folders (with their mark) are read.
+    """
 
-    def _path(self, version: int) -> str:
-        return f"{self.root}/state/v{version:09d}"
+    def __init__(self, spark: SparkSession, root: str, schema: StructType, merge: Callable[[DataFrame], DataFrame], compact_every: int = 8):
+        self.spark, self.root, self.schema, self.merge, self.compact_every = spark, root, schema, merge, compact_every
 
-    def upsert(self, batch: DataFrame, batch_id: int) -> None:
-        rows = batch if batch_id == 0 else batch.unionByName(self.spark.read.parquet(self._path(batch_id - 1)))
-        latest_snapshot(rows, self.keys, self.order).write.mode("overwrite").parquet(self._path(batch_id))
-        self.version = batch_id
+    def _finished(self, kind: str) -> list[int]:
+        jvm = self.spark._jvm
+        fs_path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{kind}")
+        fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(fs_path):
+            return []
+        marked = [s.getPath() for s in fs.listStatus(fs_path) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+        return sorted(int(p.getName()) for p in marked)
 
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(self._path(self.version))
+    def _write(self, df: DataFrame, kind: str, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.root}/{kind}/{number:012d}")
 
+    def _parts(self, upto: int | None = None) -> list[str]:
+        bases = [b for b in self._finished("base") if upto is None or b <= upto]
+        since = bases[-1] if bases else -1
+        batches = [b for b in self._finished("batch") if b > since and (upto is None or b <= upto)]
+        return [f"{self.root}/base/{since:012d}"] * bool(bases) + [f"{self.root}/batch/{b:012d}" for b in batches]
 
-def run_available(stream: DataFrame, root: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    def add(self, batch: DataFrame, batch_id: int) -> None:
+        self._write(self.merge(batch), "batch", batch_id)
+        if (batch_id + 1) % self.compact_every == 0:
+            self._write(self.read(batch_id), "base", batch_id)
+
+    def read(self, upto: int | None = None) -> DataFrame:
+        parts = self._parts(upto)
+        return self.merge(self.spark.read.schema(self.schema).parquet(*parts)) if parts else self.spark.createDataFrame([], self.schema)
+
+
+def run_available(stream: DataFrame, root: str, each: Callable[[DataFrame, int], None]) -> None:
     """Everything there is now, in batches, then stop."""
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(each).start()
+    q = stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(each).start()
     q.awaitTermination()
 
 
-def stream_latest(stream: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    root = shared_folder(stream.sparkSession)
-    store = SnapshotStore(stream.sparkSession, root, keys, order)
-    run_available(stream, root, store.upsert)
+def _merged(stream: DataFrame, root: str | None, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    spark = stream.sparkSession
+    at = stream_root(spark, root)
+    store = MergedStore(spark, at, stream.schema, merge)
+    run_available(stream, at, store.add)
     return store.read()
 
 
-def stream_first_seen(stream: DataFrame, keys: list[str], seen: str) -> DataFrame:
-    """(keys, first_seen, n_postings) as a stateful aggregation; each batch writes the whole state."""
-    root = shared_folder(stream.sparkSession)
-    spark = stream.sparkSession
-    state = stream.groupBy(*keys).agg(F.min(seen).alias("first_seen"), F.count(F.lit(1)).alias("n_postings"))
-    last: list[str] = []
+def stream_latest(stream: DataFrame, keys: list[str], order: list[str], root: str | None = None) -> DataFrame:
+    columns = stream.columns
+    return _merged(stream, root, lambda df: latest_snapshot(df, keys, order).select(*columns))
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        path = f"{root}/state/v{batch_id:09d}"
-        batch.write.mode("overwrite").parquet(path)
-        last[:] = [path]
 
-    run_available(state, root, write, "complete")
-    return spark.read.parquet(last[0])
+def stream_first_seen(stream: DataFrame, keys: list[str], seen: str, root: str | None = None) -> DataFrame:
+    """(keys, first_seen, n_postings): least sight and number of postings of each key, summed over the batches."""
+    ones = stream.select(*keys, F.col(seen).alias("first_seen"), F.lit(1).cast("bigint").alias("n_postings"))
+    return _merged(ones, root, lambda df: df.groupBy(*keys).agg(F.min("first_seen").alias("first_seen"), F.sum("n_postings").alias("n_postings")))
 
 
-def stream_project(stream: DataFrame, projection: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def stream_project(stream: DataFrame, projection: Callable[[DataFrame], DataFrame], root: str | None = None) -> DataFrame:
     """A projection of new rows, appended to a table."""
-    root = shared_folder(stream.sparkSession)
-    out = f"{root}/out"
-    run_available(projection(stream), root, lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/batch={i}"))
-    return stream.sparkSession.read.parquet(out).drop("batch")
+    spark = stream.sparkSession
+    at = stream_root(spark, root)
+    made = projection(stream)
+    store = MergedStore(spark, at, made.schema, lambda df: df, compact_every=1 << 62)
+    run_available(made, at, store.add)
+    return store.read()

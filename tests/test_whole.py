@@ -8,7 +8,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hearthframe.llm import toxicity
 from hearthframe.operators import models as M
 from hearthframe.operators import spatial as S
 from hearthframe.plans import models as PM
@@ -159,18 +158,75 @@ def test_whole_tables_are_read(spark):
     assert sorted(map(tuple, got)) == sorted((f"r{n % 3}", f"n{n}", c) for _, c, n in people)
 
 
-@pytest.mark.parametrize("law", ["apart", "beside"])
-def test_terms_that_tell_only_in_a_pair(law):
-    rng = np.random.default_rng(11)
-    terms, y = [], []
-    for i in range(2000):
-        a, b = rng.integers(0, 2, 2)
-        toxic = a != b if law == "apart" else (rng.random() < (0.95 if b else 0.55)) if a else (rng.random() < (0.05 if b else 0.45))
-        terms.append(np.array(sorted({100 + int(x) for x in rng.integers(0, 40, 8)} | ({1} if a else set()) | ({2} if b else set()))))
-        y.append(float(toxic))
-    telling = toxicity.telling_terms(terms, np.array(y), 1024)
-    assert not telling[2] and telling[1] == (law == "beside")
-    assert set(np.flatnonzero(toxicity.telling_pairs(terms, np.array(y), 1024, telling))) == {1, 2}
-    fm = toxicity.fit(terms, np.array(y), bits=10, epochs=30)
-    none, one, two, both = (fm.score(np.array(x, np.int64)) for x in ([], [1], [2], [1, 2]))
-    assert one > both and two > both and both < 0.2 < 0.8 < one if law == "apart" else both > one + 0.1 and two < none - 0.1
+def test_nulls_and_ties_keep_their_rows(spark):
+    from hearthframe.operators import relational as R
+
+    v = spark.createDataFrame([(i, x) for i, x in enumerate([None, 1.0, 2.0, 2.0, 9.0, 40.0, None])], "i int, v double")
+    got = {r["i"]: r["v"] for r in R.winsorised(v, "v", 0.25, 0.75).collect()}
+    lo, hi = np.percentile([1, 2, 2, 9, 40], [25, 75])
+    assert got == {0: None, 1: lo, 2: 2.0, 3: 2.0, 4: 9.0, 5: hi, 6: None}
+    assert [r["class"] for r in S.class_breaks(v, "v", 2).orderBy("i").collect()] == [None, 0, 0, 0, 1, 1, None]
+    assert [r["bin"] for r in R.quantile_bins(v, "v", 2).orderBy("i").collect()] == [None, 1, 1, 1, 2, 2, None]
+    nothing = v.limit(0)
+    assert R.winsorised(nothing, "v", 0.1, 0.9).count() == 0 and [r["class"] for r in S.class_breaks(v.filter("v IS NULL"), "v", 3).collect()] == [None, None]
+    day = dt.date
+    left = spark.createDataFrame([(1, day(2020, 1, 5)), (1, day(2020, 1, 5)), (2, None), (3, day(1999, 1, 1))], "k int, at date")
+    right = spark.createDataFrame([(day(2020, 1, 4), 1.0), (day(2020, 1, 6), 2.0), (None, 3.0)], "day date, value double")
+    assert sorted((r["k"], r["value"]) for r in R.as_of_nearest(left, right, "at", "day", "value").collect() if r["k"] != 2) == [(1, 1.0), (1, 1.0), (3, 1.0)]
+    assert [r["value"] for r in R.as_of_nearest(left, right, "at", "day", "value").filter("k = 2").collect()] == [None]
+    assert [r["value"] for r in R.as_of_nearest(left, right.limit(0), "at", "day", "value").collect()] == [None] * 4
+
+
+def test_quantiles_and_ranks_against_numpy(spark):
+    from hearthframe.operators import relational as R
+
+    rng = np.random.default_rng(2)
+    x = np.r_[rng.integers(0, 40, 3000).astype(float), rng.normal(0, 1e6, 500)]
+    df = spark.createDataFrame([(float(a),) for a in x], "v double")
+    at = [0.0, 0.05, 0.5, 0.77, 0.95, 1.0]
+    assert np.allclose(R.exact_quantiles(df, "v", at).first()["q"], np.percentile(x, [100 * a for a in at]))
+    ranks = {r["v"]: (r["c"], r["below"]) for r in R.value_ranks(df, "v").collect()}
+    assert ranks == {v: ((x == v).sum(), (x < v).sum()) for v in np.unique(x)}
+
+
+def test_natural_breaks_are_the_best_cuts(spark):
+    import itertools
+
+    rng = np.random.default_rng(4)
+    x = np.sort(np.r_[rng.normal(0, 1, 9), rng.normal(7, 1, 6), rng.normal(20, 2, 5)].round(2))
+    spread = lambda part: ((part - part.mean()) ** 2).sum()
+    best = min(itertools.combinations(range(1, len(x)), 2), key=lambda c: sum(spread(p) for p in np.split(x, c)))
+    edges = S.class_edges(spark.createDataFrame([(float(v),) for v in x], "v double"), "v", 3, "fisher_jenks").first()["__e"]
+    assert edges == [x[c - 1] for c in best]
+    df = spark.createDataFrame([(-3.0,), (0.0,), (9.0,), (None,)], "v double")
+    assert S.class_edges(df, "v", 4, "equal_interval").first()["__e"] == [0.0, 3.0, 6.0]
+    assert S.class_edges(df, "v", 6, "symmetric").first()["__e"][2] == 0.0
+
+
+def test_weights_of_near_areas(spark):
+    rng = np.random.default_rng(3)
+    at = np.r_[rng.uniform(0, 100, (40, 2)), [[9000.0, 9000.0]]]
+    areas = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)], "id int, x double, y double")
+    got = {}
+    for r in S.knn_weights(areas, 5).collect():
+        got.setdefault(r["i"], set()).add(r["j"])
+        assert r["w"] == 0.2
+    assert got == {i: set(np.argsort(np.hypot(*(at - p).T))[1:6].tolist()) for i, p in enumerate(at)}
+    assert S.knn_weights(areas.limit(1), 5).count() == 0 and S.knn_weights(areas.limit(3), 5).count() == 6
+
+
+def test_streams_resume_and_take_empty_sources(spark, tmp_path):
+    from hearthframe.streaming import snapshots as N
+
+    schema = spark.createDataFrame([], "k string, at int, v double").schema
+    folder, root = str(tmp_path / "in"), str(tmp_path / "root")
+    (tmp_path / "in").mkdir()
+    source = lambda: N.file_stream(spark, folder, "*.parquet", schema)
+    assert N.stream_latest(source(), ["k"], ["at"], root).count() == 0 and N.stream_first_seen(source(), ["k"], "at").count() == 0
+    for n in range(10):
+        spark.createDataFrame([("a", n, float(n)), (f"b{n % 3}", n, 0.0)], schema).coalesce(1).write.mode("append").parquet(folder)
+        last = {r["k"]: r["at"] for r in N.stream_latest(source(), ["k"], ["at"], root).collect()}
+        assert last["a"] == n and last[f"b{n % 3}"] == n
+    assert last == {"a": 9, "b0": 9, "b1": 7, "b2": 8}
+    seen = {r["k"]: (r["first_seen"], r["n_postings"]) for r in N.stream_first_seen(source(), ["k"], "at").collect()}
+    assert seen == {"a": (0, 10), "b0": (0, 4), "b1": (1, 3), "b2": (2, 3)}
