@@ -20,6 +20,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op5_mix_sources": mixing.ORACLE_SQL,
     "op6_line_spread_dedup": lines.ORACLE_SQL,
+    "op7_hilbert_neighbours": neighbours.ORACLE_SQL,
     "op8_chosen_path_jaccard": ngram_join.ORACLE_SQL,
     "op9_benchmark_decontamination": contamination.ORACLE_SQL,
     "op10_glob_url_filter": urls.ORACLE_SQL,

@@ -109,25 +109,68 @@ def test_hilbert_steps_are_single():
     assert (np.abs(np.diff(g[order], axis=0)).sum(axis=1) == 1).all()
 
 
-@pytest.mark.parametrize("block", [64, 2048])
-def test_neighbours_against_brute_force(spark, block):
-    rng = np.random.default_rng(4)
-    centres = rng.normal(size=(6, 16))
-    x = [centres[i % 6] + 0.05 * rng.normal(size=16) for i in range(400)]
-    x += [x[0].copy() for _ in range(150)]  # ties
-    rows = [(i, [float(v) for v in vec], "c") for i, vec in enumerate(x)]
-    bad = [(1000, None, ""), (1020, [0.0] * 16, ""), (1040, [math.nan] + [1.0] * 15, ""), (1060, [1.0, None] + [1.0] * 14, ""), (1080, [math.inf] + [1.0] * 15, ""), (None, [1.0] * 16, ""), (1100, [1.0] * 3, "")]
-    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>, score string")
-    got = sorted(tuple(r) for r in neighbours.search(df, block=block).collect())
-    m = np.array(x)
+def brute(rows, k=20, every=20):
+    """(query_id, rank, vec_id, score) of rows (vec_id, vector), in plain Python order of summing."""
     want = []
-    for i in range(0, len(m), 20):
-        s = (m * m[i]).sum(axis=1)
-        s[i] = -np.inf
-        for r, j in enumerate(np.lexsort((np.arange(len(m)), -s))[:20]):
-            want.append((i, r + 1, int(j), float(s[j])))
-    assert [g[:3] for g in got] == [w[:3] for w in sorted(want)]
-    assert np.allclose([g[3] for g in got], [w[3] for w in sorted(want)], rtol=0, atol=0)
+    for at, (i, q) in enumerate(rows):
+        if i % every:
+            continue
+        scored = [(-sum_in_order(q, v), j) for o, (j, v) in enumerate(rows) if o != at]
+        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(sorted(scored)[:k])]
+    return sorted(want)
+
+
+def sum_in_order(a, b):
+    total = 0.0
+    for x, y in zip(a, b):
+        total += x * y
+    return total
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
+
+
+@pytest.mark.parametrize("block", [64, 256, 2048])
+def test_exact_search_against_brute_force(spark, block):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(600, 16))
+    x[50:80] = x[40]  # equal vectors
+    x[300:310] = -np.abs(x[300:310])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [rows[40], rows[41], (60, rows[7][1]), (20, rows[9][1])]  # a repeated row of a query, and ids of several vectors
+    got = sorted(tuple(r) for r in neighbours.search(frame(spark, rows), block=block, recall=1).collect())
+    assert got == brute(rows)
+
+
+@pytest.mark.parametrize("block", [64, 256])
+def test_windows_alone_reach_the_recall(spark, block):
+    rng = np.random.default_rng(5)
+    even = rng.normal(size=(3000, 32))
+    clustered = rng.normal(size=(60, 32))[rng.integers(0, 60, 3000)] * 3 + rng.normal(size=(3000, 32)) * 0.2
+    for x in (even, clustered):
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        got = {}
+        for r in neighbours.search(frame(spark, list(enumerate(x))), block=block).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        share = []
+        for i in range(0, 3000, 20):
+            s = x @ x[i]
+            s[i] = -9
+            share.append(len(got[i] & set(np.argsort(-s)[:20].tolist())) / 20)
+            assert len(got[i]) == 20 and i not in got[i]
+        assert np.mean(share) >= 0.9
+
+
+def test_one_common_vector_and_negative_products(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(1, 5001)] + [(0, [-1.0, 0.0]), (6000, [0.0, -1.0])]
+    got = {}
+    for r in neighbours.search(frame(spark, rows), block=64).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert sorted(got[0]) == [(1, 6000, 0.0)] + [(r, r - 1, -1.0) for r in range(2, 21)]
+    assert sorted(got[20]) == [(r, r if r < 20 else 21, 1.0) for r in range(1, 21)]
+    assert sorted(got[4000]) == [(r, r, 1.0) for r in range(1, 21)]
+    assert len(got) == 252
 
 
 def test_few_vectors(spark):
