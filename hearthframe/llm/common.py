@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthframe import importable_by_workers
+from hearthframe import importable_by_workers, shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,14 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else one set here for local runs."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="hearthframe-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+_MADE: list[str] = []
+
+
+def scratch_mark() -> int:
+    """A point in time to release scratch tables from."""
+    return len(_MADE)
+
+
+def release(spark: SparkSession, mark: int) -> None:
+    """Delete the folders of operator calls made since the mark; for callers that have written down what they need."""
+    for root in _MADE[mark:]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    del _MADE[mark:]
 
 
 class Scratch:
@@ -39,7 +44,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         importable_by_workers(spark)
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/hearthframe/{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/hearthframe/{name}-{uuid.uuid4().hex}"
+        _MADE.append(self.root)
 
     def write(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         path = f"{self.root}/{name}"

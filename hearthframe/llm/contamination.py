@@ -1,19 +1,23 @@
 """Benchmark decontamination by a positional inverted index of the training text.
 
-Indexing: each task turns its documents into segments of a bounded number of words. A segment holds, for each term it
-indexes, the sorted positions of that term; it is one row of a table in the shared folder, so the index is as
-distributed as its segments, built without a shuffle, and survives lost executors.
-
-Searching: every segment takes the test windows, block by block. A window's postings are intersected from its rarest
-term in that segment, each list moved by its term's offset, until no start is left; the starts that stay are exact
-phrase matches. With ``slack`` above 0, terms must follow in order with at most so many words between neighbours
-(proximity matches). Words inside a match are hit.
-
-Terms indexed are those of the given test items; other words only hold their places. Test items are cut into blocks of at
-most ``BLOCK_WINDOWS`` windows; each block is sent to the tasks on its own, so what is broadcast has a fixed bound.
-
-Null and empty texts have no words: n_words and n_hit 0, not contaminated. Items with null text or id are no items.
-Repeated items count once by id. Repeated documents are judged alike, each in a row of its own.
+Indexing: each task turns its documents into segments of a bounded number of words. A segment holds its terms and, for
+each, the sorted positions where it stands; it is one row of a table in the shared folder, so the index is as
+distributed as its segments, built without a shuffle, and survives lost executors. A document longer than a segment is
+a segment of its own.
+
+Searching: every segment takes the test windows, block by block. From the rarest of a window's terms in that segment,
+the postings of the others are intersected, moved by their offsets, until no start is left; the starts that stay are
+exact phrase matches. Proximity matches are found the same way, from the rarest term outwards: the terms in order, with
+at most ``slack`` other words between neighbours. Words inside an exact match are hit; words from the first to the last
+word of a proximity match (exact ones are such, too) are near.
+
+Test windows are cut and merged by Spark and come to the driver and out to the tasks one block at a time: a block holds
+about ``BLOCK_WINDOWS`` windows and their words, so what is broadcast has a bound that does not grow with the benchmark.
+
+Null and empty texts have no words: n_words, n_hit and n_near 0, not contaminated. Items with null text or id, or
+without words, are no items; an empty id is an id like others. Repeated items count once by id. Repeated documents are
+judged alike, each in a row of its own. Texts of any length are read whole. Other columns are not read. An empty table of
+documents gives an empty result, one of items no hits.
 """
 
 from __future__ import annotations
@@ -32,10 +36,12 @@ from pyspark.sql import functions as F
 from .common import Scratch, only, table
 
 WINDOW = 13
-SEGMENT_WORDS = 2_000_000
+#: Other words allowed between neighbouring words of a proximity match.
+SLACK = 2
+SEGMENT_WORDS = 1_000_000
 BLOCK_WINDOWS = 100_000
-#: Between item ids within a column of intermediate results.
-JOIN = "\x1f"
+#: Positions left empty between the documents of a segment; proximity matches can't cross it.
+DOCUMENT_GAP = 64
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
 
@@ -45,67 +51,82 @@ def words(text: str | None) -> list[bytes]:
 
 
 @dataclass
-class Queries:
-    """A block of windows: term ids by window, and the items each window belongs to."""
+class Windows:
+    """A block of windows: their vocabulary, word numbers by window, and the items each window belongs to."""
 
+    vocabulary: list[bytes]
     terms: list[np.ndarray]
     items: list[list[str]]
 
 
-def item_windows(items: list[tuple[str, str]], window: int = WINDOW) -> tuple[dict[bytes, int], list[tuple[np.ndarray, list[str]]]]:
-    """Vocabulary, and the distinct windows with the ids of their items."""
-    vocabulary: dict[bytes, int] = {}
-    found: dict[tuple[int, ...], set[str]] = {}
-    for item, text in items:
-        ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words(text)]
-        if not ids:
-            continue
-        for i in range(max(1, len(ids) - window + 1)):
-            found.setdefault(tuple(ids[i : i + window]), set()).add(item)
-    return vocabulary, [(np.array(k, np.int64), sorted(v)) for k, v in found.items()]
+def cut_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(window, items): the distinct windows of (item_id, text), words joined by blanks, and the ids of their items."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made, ids = [], []
+            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
+                w = words(text)
+                for i in range(max(1, len(w) - window + 1) if w else 0):
+                    made.append(b" ".join(w[i : i + window]))
+                    ids.append(item)
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), pa.array(ids, pa.string())], names=["window", "item"])
+
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
+    return rows.mapInArrow(cut, "window binary, item string").groupBy("window").agg(F.collect_set("item").alias("items"))
+
+
+def blocks_of(windows: DataFrame, size: int) -> Iterator[Windows]:
+    """The windows in blocks of about ``size``, one at a time."""
+    number = max(1, -(-windows.count() // size))
+    for b in range(number):
+        rows = windows.filter(F.pmod(F.xxhash64("window"), F.lit(number)) == b).collect()  # about ``size`` rows
+        vocabulary: dict[bytes, int] = {}
+        terms = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in bytes(r["window"]).split(b" ")], np.int64) for r in rows]
+        yield Windows(list(vocabulary), terms, [sorted(r["items"]) for r in rows])
 
 
-INDEX_SCHEMA = "segment string, doc_ids binary, doc_nulls binary, doc_starts binary, terms binary, term_starts binary, positions binary"
+INDEX_SCHEMA = "segment string, doc_ids binary, doc_nulls binary, doc_starts binary, doc_words binary, terms array<binary>, term_starts binary, positions binary"
 
 
-def build_index(docs: DataFrame, vocabulary: dict[bytes, int], segment_words: int = SEGMENT_WORDS) -> DataFrame:
-    """Segments over (doc_id, text) rows; positions run on through a segment's documents, a gap of 1 between them."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFrame:
+    """Segments over (doc_id, text) rows; positions run on through a segment's documents, a gap between them."""
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         task, numbers = TaskContext.get().partitionId(), count()
+        vocabulary: dict[bytes, int] = {}
         ids: list[np.ndarray] = []
         keys: list[int | None] = []
         starts: list[int] = [0]
 
         def flush() -> pa.RecordBatch:
-            where = [np.flatnonzero(x >= 0) + s for x, s in zip(ids, starts)]
-            term = np.concatenate([x[x >= 0] for x in ids]) if ids else np.empty(0, np.int32)
-            place = np.concatenate(where).astype(np.int32) if where else np.empty(0, np.int32)
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            term = np.concatenate(ids) if ids else np.empty(0, np.int32)
+            place = np.arange(len(term), dtype=np.int64) + np.repeat(np.array(starts[:-1]) - (np.cumsum(lengths) - lengths), lengths)
             order = np.argsort(term, kind="stable")
-            listed, first = np.unique(term[order], return_index=True)
+            first = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(vocabulary)))])
             row = {
-                "segment": [f"{task}-{next(numbers)}"],
-                "doc_ids": [np.array([k if k is not None else 0 for k in keys], np.int64).tobytes()],
-                "doc_nulls": [np.array([k is None for k in keys], np.bool_).tobytes()],
-                "doc_starts": [np.array(starts, np.int32).tobytes()],
-                "terms": [listed.astype(np.int32).tobytes()],
-                "term_starts": [np.append(first, len(term)).astype(np.int32).tobytes()],
-                "positions": [place[order].tobytes()],
+                "segment": pa.array([f"{task}-{next(numbers)}"], pa.string()),
+                "doc_ids": pa.array([np.array([k if k is not None else 0 for k in keys], np.int64).tobytes()], pa.binary()),
+                "doc_nulls": pa.array([np.array([k is None for k in keys], np.bool_).tobytes()], pa.binary()),
+                "doc_starts": pa.array([np.array(starts, np.int64).tobytes()], pa.binary()),
+                "doc_words": pa.array([lengths.tobytes()], pa.binary()),
+                "terms": pa.array([list(vocabulary)], pa.list_(pa.binary())),
+                "term_starts": pa.array([first.astype(np.int64).tobytes()], pa.binary()),
+                "positions": pa.array([place[order].astype(np.int32).tobytes()], pa.binary()),
             }
-            return pa.RecordBatch.from_pydict(row, schema=pa.schema([("segment", pa.string())] + [(c, pa.binary()) for c in list(row)[1:]]))
+            return pa.RecordBatch.from_pydict(row)
 
         for batch in batches:
             for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                tokens = words(text)
-                get = known.get
-                ids.append(np.fromiter((get(w, -1) for w in tokens), np.int32, len(tokens)))
-                keys.append(key)
-                starts.append(starts[-1] + len(tokens) + 1)
-                if starts[-1] >= segment_words:
+                w = words(text)
+                if keys and starts[-1] + len(w) > segment_words:
                     yield flush()
-                    ids, keys, starts = [], [], [0]
+                    vocabulary, ids, keys, starts = {}, [], [], [0]
+                number = vocabulary.setdefault
+                ids.append(np.fromiter((number(x, len(vocabulary)) for x in w), np.int32, len(w)))
+                keys.append(key)
+                starts.append(starts[-1] + len(w) + DOCUMENT_GAP)
         if keys:
             yield flush()
 
@@ -118,86 +139,108 @@ class Segment:
     def __init__(self, row: dict):
         self.docs = np.frombuffer(row["doc_ids"], np.int64)
         self.nulls = np.frombuffer(row["doc_nulls"], np.bool_)
-        self.starts = np.frombuffer(row["doc_starts"], np.int32).astype(np.int64)
-        self.terms = np.frombuffer(row["terms"], np.int32)
-        self.first = np.frombuffer(row["term_starts"], np.int32).astype(np.int64)
+        self.starts = np.frombuffer(row["doc_starts"], np.int64)
+        self.lengths = np.frombuffer(row["doc_words"], np.int64)
+        self.number = {w: i for i, w in enumerate(row["terms"])}
+        self.first = np.frombuffer(row["term_starts"], np.int64)
         self.positions = np.frombuffer(row["positions"], np.int32).astype(np.int64)
 
     def postings(self, term: int) -> np.ndarray:
-        i = int(np.searchsorted(self.terms, term))
-        if i >= len(self.terms) or self.terms[i] != term:
-            return self.positions[:0]
-        return self.positions[self.first[i] : self.first[i + 1]]
+        return self.positions[self.first[term] : self.first[term + 1]]
 
     def phrase(self, terms: np.ndarray) -> np.ndarray:
-        """Starts of the exact phrase; a gap between documents keeps matches inside one."""
+        """Starts of the exact phrase; the gap between documents keeps matches inside one."""
         lists = sorted(((len(p := self.postings(int(t))), k, p) for k, t in enumerate(terms)), key=lambda x: x[:2])
-        if not lists[0][0]:
-            return self.positions[:0]
         starts = lists[0][2] - lists[0][1]
-        for n, k, p in lists[1:]:
-            at = np.searchsorted(p, starts + k)
-            starts = starts[(at < n) & (p[np.minimum(at, n - 1)] == starts + k)]
+        for _, k, p in lists[1:]:
+            starts = starts[held(p, starts + k)]
             if not len(starts):
                 break
         return starts
 
-    def near(self, terms: np.ndarray, slack: int) -> list[tuple[int, int]]:
-        """Spans [start, end) where the terms follow in order, at most slack words between neighbours.
-
-        Forward sets of reachable positions, term by term; each kept position remembers its nearest start.
-        """
-        reach = {int(p): int(p) for p in self.postings(int(terms[0]))}
-        for t in terms[1:]:
-            step: dict[int, int] = {}
-            p = self.postings(int(t))
-            for at, start in reach.items():
-                for q in p[np.searchsorted(p, at + 1) : np.searchsorted(p, at + 2 + slack)]:
-                    if self.doc_of(start) == self.doc_of(int(q)):
-                        step[int(q)] = max(start, step.get(int(q), -1))
-            reach = step
-            if not reach:
-                break
-        return [(s, e + 1) for e, s in sorted(reach.items())]
-
-    def doc_of(self, position: int | np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.starts, position, side="right") - 1
-
-
-HITS_SCHEMA = "segment string, ordinal int, doc_id long, n_words long, spans binary, items string"
-
-
-def search(index: DataFrame, queries: Queries, slack: int = 0) -> DataFrame:
-    """Per document of the index: its number of words, the merged spans of hit words and the items found."""
-    shared = index.sparkSession.sparkContext.broadcast(queries)  # at most BLOCK_WINDOWS windows
+    def near(self, terms: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the proximity matches through each occurrence of the rarest term: its earliest start and latest end."""
+        lists = [self.postings(int(t)) for t in terms]
+        rarest = min(range(len(lists)), key=lambda k: len(lists[k]))
+        after, last = outward(lists[rarest], lists[rarest + 1 :], slack, 1)
+        before, first = outward(lists[rarest][after], lists[:rarest][::-1], slack, -1)
+        return first, last[before] + 1
+
+    def add(self, spans: dict[int, list[tuple[int, int]]], begin: np.ndarray, end: np.ndarray) -> list[int]:
+        """Spans by document, counted from its first word; returns the documents."""
+        at = np.searchsorted(self.starts, begin, side="right") - 1
+        for d, s, e in zip(at.tolist(), (begin - self.starts[at]).tolist(), (end - self.starts[at]).tolist()):
+            spans.setdefault(d, []).append((s, e))
+        return sorted(set(at.tolist()))
+
+
+def held(sorted_list: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(sorted_list, values)
+    return (at < len(sorted_list)) & (sorted_list[np.minimum(at, len(sorted_list) - 1)] == values)
+
+
+def outward(places: np.ndarray, lists: list[np.ndarray], slack: int, sign: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the places from which all lists can be passed in turn, each step 1 to slack + 1 positions in the direction
+    of the sign, and the farthest position reached from each."""
+    origin, at = np.arange(len(places)), places
+    steps = sign * np.arange(1, slack + 2)
+    for p in lists:
+        to = (at[:, None] + steps).ravel()
+        origin = np.repeat(origin, len(steps))
+        ok = held(p, to)
+        to, origin = to[ok], origin[ok]
+        if not len(to):
+            return origin, to
+        order = np.lexsort((sign * to, origin))
+        to, origin = to[order], origin[order]
+        new = np.concatenate([[True], (to[1:] != to[:-1]) | (origin[1:] != origin[:-1])])
+        at, origin = to[new], origin[new]
+    last = np.concatenate([origin[1:] != origin[:-1], [True]]) if len(origin) else np.empty(0, bool)
+    return origin[last], at[last]
+
+
+HITS_SCHEMA = "segment string, ordinal int, doc_id long, n_words long, spans binary, near binary, items array<string>"
+
+
+def search(index: DataFrame, block: Windows, slack: int, every: bool) -> DataFrame:
+    """Per document of the index with a match, or per document: its number of words, the merged spans of hit and of near
+    words, and the items found."""
+    shared = index.sparkSession.sparkContext.broadcast(block)  # about BLOCK_WINDOWS windows
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
+        windows = shared.value
+        cuts = np.cumsum([0, *map(len, windows.terms)])
+        flat = np.concatenate([np.empty(0, np.int64), *windows.terms])
         for batch in batches:
             for row in batch.to_pylist():
                 seg = Segment(row)
-                n = len(seg.docs)
                 spans: dict[int, list[tuple[int, int]]] = {}
+                near: dict[int, list[tuple[int, int]]] = {}
                 items: dict[int, set[str]] = {}
-                present = np.isin(np.concatenate([q for q in block.terms]) if block.terms else np.empty(0, np.int64), seg.terms)
-                cuts = np.cumsum([0, *map(len, block.terms)])
-                missing = np.concatenate([[0], np.cumsum(~present)])
+                local = np.array([seg.number.get(w, -1) for w in windows.vocabulary], np.int64)
+                numbers = local[flat] if len(flat) else flat
+                missing = np.concatenate([[0], np.cumsum(numbers < 0)])
                 for k in np.flatnonzero(missing[cuts[1:]] == missing[cuts[:-1]]):
-                    q = block.terms[k]
-                    matches = [(int(s), int(s) + len(q)) for s in seg.phrase(q)] if not slack else seg.near(q, slack)
-                    for s, e in matches:
-                        d = int(seg.doc_of(s))
-                        spans.setdefault(d, []).append((s - int(seg.starts[d]), e - int(seg.starts[d])))
-                        items.setdefault(d, set()).update(block.items[k])
-                merged = {d: merge_spans(x) for d, x in spans.items()}
+                    q = numbers[cuts[k] : cuts[k + 1]]
+                    begin, end = seg.near(q, slack)
+                    if not len(begin):
+                        continue
+                    seg.add(near, begin, end)
+                    begin = seg.phrase(q)
+                    for d in seg.add(spans, begin, begin + len(q)):
+                        items.setdefault(d, set()).update(windows.items[k])
+                rows = range(len(seg.docs)) if every else sorted(near)
+                packed = lambda x: pa.array([np.array(merge_spans(x[d]), np.int64).tobytes() if d in x else b"" for d in rows], pa.binary())  # noqa: E731,B023
+                at = np.array(rows, np.int64)
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "segment": [row["segment"]] * n,
-                        "ordinal": pa.array(range(n), pa.int32()),
-                        "doc_id": pa.array(seg.docs, pa.int64(), mask=seg.nulls),
-                        "n_words": pa.array(np.diff(seg.starts) - 1, pa.int64()),
-                        "spans": pa.array([np.array(merged[d], np.int32).tobytes() if d in merged else b"" for d in range(n)], pa.binary()),
-                        "items": [JOIN.join(sorted(items[d])) if d in items else "" for d in range(n)],
+                        "segment": pa.array([row["segment"]] * len(at), pa.string()),
+                        "ordinal": pa.array(at.astype(np.int32)),
+                        "doc_id": pa.array(seg.docs[at], pa.int64(), mask=seg.nulls[at]),
+                        "n_words": pa.array(seg.lengths[at]),
+                        "spans": packed(spans),
+                        "near": packed(near),
+                        "items": pa.array([sorted(items.get(d, ())) for d in rows], pa.list_(pa.string())),
                     }
                 )
 
@@ -215,42 +258,42 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def summary(parts: DataFrame, several: bool) -> DataFrame:
-    """n_words, n_hit, n_items, items_sha256 and contaminated per document; parts of several blocks are merged first."""
+    """n_words, n_hit, n_items, items_sha256, contaminated and n_near per document; parts of several blocks are merged first."""
     if several:
         parts = parts.groupBy("segment", "ordinal").agg(
-            F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.concat_ws(JOIN, F.collect_list(F.nullif("items", F.lit("")))).alias("items")
+            F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.collect_list("near").alias("near"), F.flatten(F.collect_list("items")).alias("items")
         )
     else:
-        parts = parts.withColumn("spans", F.array("spans"))
+        parts = parts.withColumns({"spans": F.array("spans"), "near": F.array("near")})
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit, number, digest = [], [], []
-            for spans, items in zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist()):
-                every = [tuple(x) for b in spans for x in np.frombuffer(b, np.int32).reshape(-1, 2).tolist()]
-                hit.append(sum(e - s for s, e in merge_spans(every)))
-                ids = sorted(set(items.split(JOIN))) if items else []
-                number.append(len(ids))
-                digest.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_words": batch.column("n_words"), "n_hit": pa.array(hit, pa.int64()), "n_items": pa.array(number, pa.int64()), "items_sha256": digest})
+            made: dict[str, list] = {"spans": [], "near": []}
+            for name, numbers in made.items():
+                for spans in batch.column(name).to_pylist():
+                    every = [tuple(x) for b in spans for x in np.frombuffer(b, np.int64).reshape(-1, 2).tolist()]
+                    numbers.append(sum(e - s for s, e in merge_spans(every)))
+            ids = [sorted(set(x)) for x in batch.column("items").to_pylist()]
+            digest = [hashlib.sha256(",".join(x).encode("utf-8", "surrogatepass")).hexdigest() for x in ids]
+            columns = [batch.column("doc_id"), batch.column("n_words"), pa.array(made["spans"], pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(digest, pa.string()), pa.array(made["near"], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "n_near"])
 
-    made = parts.select("doc_id", "n_words", "spans", "items").mapInArrow(counted, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")
-    return made.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
+    made = parts.select("doc_id", "n_words", "spans", "near", "items").mapInArrow(counted, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, n_near long")
+    verdict = (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))
+    return made.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", verdict.alias("contaminated"), "n_near")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack: int = 0, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """One row per document (doc_id, text) with the contract's columns.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack: int = SLACK, block_windows: int = BLOCK_WINDOWS, segment_words: int = SEGMENT_WORDS) -> DataFrame:
+    """One row per document (doc_id, text) with the contract's columns and n_near, the words inside proximity matches.
 
-    The test items are the stated query set: their texts come to the driver, which cuts them into windows, and go out
-    in blocks. Their number is that of the benchmark, never of the documents.
+    The windows of the test items are the stated query set against all documents, in blocks.
     """
-    spark = docs.sparkSession
-    items = [(str(r["item_id"]), r["text"]) for r in benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).toLocalIterator()]
-    vocabulary, windows = item_windows(items, window)
-    scratch = Scratch(spark, "contamination")
-    index = scratch.write(build_index(docs, vocabulary), "index")
-    blocks = [windows[i : i + block_windows] for i in range(0, len(windows), block_windows)] or [[]]
-    parts = [search(index, Queries([w for w, _ in b], [i for _, i in b]), slack) for b in blocks]
+    if not 0 <= slack < DOCUMENT_GAP - 1:
+        raise ValueError(f"slack must be from 0 to {DOCUMENT_GAP - 2}")
+    scratch = Scratch(docs.sparkSession, "contamination")
+    windows = scratch.write(cut_windows(benchmark, window), "windows")
+    index = scratch.write(build_index(docs, segment_words), "index")
+    parts = [search(index, b, slack, i == 0) for i, b in enumerate(blocks_of(windows, block_windows))]
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
@@ -273,20 +316,27 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
     judged = decontaminate(keyed.select(F.col("__row").alias("doc_id"), "text"), inputs(spark, sf_dir))
     bad = judged.filter("contaminated").select(F.col("doc_id").alias("__row")).distinct()
-    return keyed.join(bad, "__row", "left_anti").select(*docs.columns)
+    return keyed.join(bad, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 ORACLE_SQL = f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS_SQL} AS w FROM documents),
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS_SQL} AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS_SQL} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
-bw AS (SELECT DISTINCT item, least(len(w), {WINDOW}) AS n, array_to_string(w[i:i + least(len(w), {WINDOW}) - 1], ' ') AS win FROM b, unnest(range(1, greatest(1, len(w) - {WINDOW - 1}) + 1)) t(i) WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item, least(len(w), {WINDOW}) AS n, w[i:i + least(len(w), {WINDOW}) - 1] AS ws FROM b, unnest(range(1, greatest(1, len(w) - {WINDOW - 1}) + 1)) t(i) WHERE len(w) > 0),
 ns AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT rid, n, i, array_to_string(w[i:i + n - 1], ' ') AS win FROM d, ns, unnest(range(1, len(w) - n + 2)) t(i) WHERE len(w) >= n),
-h AS (SELECT rid, n, i, item FROM dw JOIN bw USING (n, win)),
+h AS (SELECT rid, n, i, item FROM dw JOIN (SELECT item, n, array_to_string(ws, ' ') AS win FROM bw) USING (n, win)),
 hit AS (SELECT rid, count(DISTINCT i + k) AS n_hit FROM h, unnest(range(h.n)) t(k) GROUP BY rid),
-it AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY rid)
+it AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY rid),
+x AS (SELECT DISTINCT ws, n FROM bw),
+y AS (SELECT row_number() OVER () AS q, ws, n FROM x),
+o AS (SELECT rid, i, w[i] AS word FROM d, unnest(range(1, len(w) + 1)) t(i)),
+c AS (SELECT q, rid, 1 AS k, i AS s, i AS p FROM y JOIN o ON o.word = ws[1]
+  UNION SELECT c.q, c.rid, c.k + 1, c.s, c.p + g FROM c JOIN y USING (q) JOIN d USING (rid), unnest([{", ".join(str(g) for g in range(1, SLACK + 2))}]) t(g) WHERE c.k < y.n AND d.w[c.p + g] = y.ws[c.k + 1]),
+nr AS (SELECT DISTINCT c.rid, s, p FROM c JOIN y USING (q) WHERE c.k = y.n),
+nn AS (SELECT rid, count(DISTINCT j) AS n_near FROM nr, unnest(range(s, p + 1)) t(j) GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-       coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
-FROM d LEFT JOIN hit USING (rid) LEFT JOIN it USING (rid)
+       coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN it USING (rid) LEFT JOIN nn USING (rid)
 """

@@ -128,7 +128,19 @@ def plain_words(t):
     return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
 
 
-def plain_contamination(docs, items, window):
+def plain_near(w, windows, slack):
+    """Words from the first to the last word of any proximity match, by walking all chains."""
+    near = set()
+    for k in windows:
+        chains = {(i, i) for i, x in enumerate(w) if x == k[0]}
+        for word in k[1:]:
+            chains = {(s, q) for s, p in chains for q in range(p + 1, min(len(w), p + slack + 2)) if w[q] == word}
+        for s, p in chains:
+            near |= set(range(s, p + 1))
+    return near
+
+
+def plain_contamination(docs, items, window, slack):
     found = {}
     for i, t in items:
         w = plain_words(t)
@@ -145,18 +157,19 @@ def plain_contamination(docs, items, window):
                 if (x := found.get(tuple(w[j : j + n]))) is not None:
                     hit |= set(range(j, j + n))
                     ids |= x
-        out.append((d, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)))
+        out.append((d, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w), len(plain_near(w, found, slack))))
     return sorted(map(repr, out))
 
 
-@pytest.mark.parametrize("block", [100_000, 3])
-def test_decontamination_against_plain(spark, block):
+@pytest.mark.parametrize(("block", "segment"), [(100_000, 1_000_000), (3, 50)])
+def test_decontamination_against_plain(spark, block, segment):
     rng = random.Random(9)
     v = ["a", "b", "c", "É", "naïve", "x1"]
-    items = [(i, " ".join(rng.choices(v, k=rng.choice([0, 1, 2, 4, 5, 6])))) for i in range(10)] + [(None, "a b c"), (11, None), (10, "b, A"), (10, "b a c")]
-    docs = [(i if i % 7 else None, " ".join(rng.choices([*v, "--", "B"], k=rng.randrange(0, 40)))) for i in range(80)] + [(99, None), (100, ""), (1, "a b"), (1, "a b"), (101, "a " * 30_000)]
-    got = contamination.decontaminate(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"), window=4, block_windows=block)
-    assert sorted(repr(tuple(r)) for r in got.collect()) == plain_contamination(docs, items, 4)
+    items = [(str(i), " ".join(rng.choices(v, k=rng.choice([0, 1, 2, 4, 5, 6])))) for i in range(10)] + [(None, "a b c"), ("11", None), ("10", "b, A"), ("10", "b a c"), ("", "c c É x1"), ("a\x1fb", "x1 naïve x1 b"), (" ", "b b b a")]
+    docs = [(i if i % 7 else None, " ".join(rng.choices([*v, "--", "B", "other"], k=rng.randrange(0, 40)))) for i in range(80)] + [(99, None), (100, ""), (1, "a b"), (1, "a b"), (101, "a " * 3_000), (102, "c c É x1"), (103, "x1 naïve z x1 z z b")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_words", F.lit("clash")).repartition(3)
+    got = contamination.decontaminate(rows, spark.createDataFrame(items, "item_id string, text string"), window=4, slack=2, block_windows=block, segment_words=segment)
+    assert sorted(repr(tuple(r)) for r in got.collect()) == plain_contamination(docs, items, 4, 2)
 
 
 def test_decontamination_of_nothing(spark):
@@ -166,12 +179,13 @@ def test_decontamination_of_nothing(spark):
 
 
 def test_proximity(spark):
-    d = spark.createDataFrame([(1, "the quick brown red fox jumps"), (2, "quick a b c d brown fox"), (3, "fox brown quick")], "doc_id long, text string")
+    d = spark.createDataFrame([(1, "the quick brown red fox jumps"), (2, "quick a b c d brown fox"), (3, "fox brown quick"), (4, "quick"), (5, "brown fox"), (6, "a quick brown fox")], "doc_id long, text string")
     b = spark.createDataFrame([(7, "quick brown fox")], "item_id long, text string")
-    got = {r.doc_id: (r.n_hit, r.n_items) for r in contamination.decontaminate(d, b, slack=2).collect()}
-    assert got == {1: (4, 1), 2: (0, 0), 3: (0, 0)}
-    assert {r.doc_id: r.n_items for r in contamination.decontaminate(d, b).collect()} == {1: 0, 2: 0, 3: 0}
-    assert F is not None
+    got = {r.doc_id: (r.n_near, r.n_hit, r.n_items) for r in contamination.decontaminate(d.coalesce(1), b, slack=2).collect()}
+    assert got == {1: (4, 0, 0), 2: (0, 0, 0), 3: (0, 0, 0), 4: (0, 0, 0), 5: (0, 0, 0), 6: (3, 3, 1)}
+    assert {r.n_near for r in contamination.decontaminate(d.filter("doc_id = 1"), b, slack=0).collect()} == {0}
+    with pytest.raises(ValueError):
+        contamination.decontaminate(d, b, slack=64)
 
 
 @pytest.mark.parametrize("law", ["apart", "beside"])
