@@ -45,10 +45,12 @@ class Scratch:
         importable_by_workers(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/hearthframe/{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
         _MADE.append(self.root)
 
     def write(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         path = f"{self.root}/{name}"
+        self.names.add(name)
         writer = df.write.mode("overwrite").option("compression", "zstd")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path) if not partition_by else self.spark.read.parquet(path)
@@ -58,6 +60,10 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.names.discard(name)
+
+    def drop_all_but(self, *kept: str) -> None:
+        self.drop(*sorted(self.names - set(kept)))
 
 
 def text_or_empty(text: str | Column) -> Column:

@@ -280,7 +280,7 @@ def search(rows: DataFrame, every: int = 20, k: int = NEAREST, recall: float = R
     others = F.slice(F.filter("list", lambda x: x["n"] != F.coalesce(itself, F.lit(-1))), 1, k)
     ordered = answers.select("query_id", F.posexplode(others).alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
     out = scratch.write(ordered, "answers")
-    scratch.drop("vectors", "nodes", "placed", "ranks", "blocks")
+    scratch.drop_all_but("answers")
     return out
 
 

@@ -5,17 +5,19 @@ Texts are sets of five-word shingles; two texts are linked at a Jaccard similari
 1. Equal texts are one node. A node carries the size of its set and 64 sampled tokens: the least shingles under 64
    hash functions, so two sets share a token with the probability of their similarity.
 2. Sets are split on sampled shared tokens: each run picks BRANCH tokens at the root, and a set goes to the bucket of
-   each. In a bucket, up to LEADERS sets lead; sets near a leader are tied to it, and what lies near none of them goes
-   down the recursion, split on further tokens. Small buckets are compared whole, by their tokens. Runs repeat until
-   the target recall, which ``runs_for`` turns into their number. Buckets of more than HOT sets are never gathered:
-   leaders are elected by aggregation and met in a join.
+   each. The LEADERS sets of least hash lead a bucket, whatever its size, and every set is held against them by its
+   tokens: a set near a leader is tied to it, and one that is far from all goes down the recursion, split on further
+   tokens, until nothing is left. So a bucket of no more sets than leaders is compared whole. Buckets are dealt to chunks
+   of about CHUNK sets, each with the bucket's leaders, which are elected across chunks by a ranking that is cut before
+   the shuffle; no task gathers a bucket. Runs repeat until the target recall, which ``runs_for`` turns into their number.
 3. Ties join to groups of possible links. Each group is checked exactly, by whole shingle sets, in blocks of BLOCK
    texts against BLOCK texts; a pair is looked at once. Links are counted, not written out: every text returns its
    number of links and one tie into its class.
 
 Null and empty texts have no shingles and no links; being equal, they form one class. Texts of one to four words are
-one shingle. Repeated rows and copies share a class. A class is named by its least doc_id (null ids are last); a class
-without ids has a null name. Empty tables give empty results.
+one shingle; texts of any length are read whole. Repeated rows and copies share a class. A class is named by its least
+doc_id (null ids are last); a class without ids has a null name. Of rows that tie for staying (equal id and text), one
+stays. Other columns of the input are carried by ``stage`` and not read by ``join``. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, only, stream_groups, table, text_or_empty
@@ -41,8 +43,9 @@ BRANCH = 4
 BRANCH_BELOW = 2
 RECALL = 0.9999
 LEADERS = 64
-HOT = 20_000
-MOST_LEVELS = 8
+CHUNK = 2048
+#: Every level takes the leaders out of each bucket, so the recursion ends; this many levels without an end is an error.
+MOST_LEVELS = 400
 #: Levels at which a pair is taken to be split, in all its buckets, when the number of runs is worked out.
 LEVELS_COUNTED = 4
 BLOCK = 256
@@ -156,13 +159,29 @@ def _roots(near: np.ndarray) -> np.ndarray:
         label = new
 
 
+def tied_parts(near: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """By leader, the least leader of its part: leaders are one part if they are near each other or to one set."""
+    label = np.arange(near.shape[1])
+    big = len(label)
+    while True:
+        of_set = np.where(near, label[None, :], big).min(axis=1)
+        new = np.minimum(label, np.where(near, of_set[:, None], big).min(axis=0, initial=big))
+        new = np.minimum(new, np.where(among, label[None, :], big).min(axis=1))
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 BUCKET_SCHEMA = "path long, node binary, tokens binary, leader binary"
 
 
-def bucket_pass(rows: DataFrame, leaders: int, last: bool) -> DataFrame:
-    """Ties (node, leader) within each bucket of rows (path, node, tokens) sorted by path, and the rows to split further.
+def bucket_pass(rows: DataFrame, leaders: int) -> DataFrame:
+    """Ties (node, leader) within each bucket, and the rows to split further.
 
-    A row with a leader is a tie; a row without one goes down under its new path.
+    rows (path, chunk, leads, lot, node, tokens) come sorted so. A chunk of a bucket dealt to several has the bucket's
+    leaders as extra rows that lead; the leaders of a bucket in one chunk are its first rows. A row with a leader is a
+    tie; a row without one goes down under its new path.
     """
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,47 +193,28 @@ def bucket_pass(rows: DataFrame, leaders: int, last: bool) -> DataFrame:
             out.clear()
             return batch
 
-        for group in stream_groups(batches, "path"):
-            n = group.num_rows
-            if n < 2:
-                continue
+        for group in stream_groups(batches, ["path", "chunk"]):
             nodes = group.column("node").to_pylist()
-            t = np.frombuffer(b"".join(group.column("tokens").to_pylist()), np.uint16).reshape(n, TOKENS)
-            if n <= leaders:
-                label = _roots((t[:, None, :] == t[None, :, :]).sum(axis=2) >= TIED)
-                out += [(None, nodes[j], None, nodes[r]) for j, r in enumerate(label.tolist()) if j != r]
-            else:
-                left = np.ones(n, bool)
-                label = np.full(n, -1)
-                led = 0
-                while left.any() and (led < leaders or last):
-                    k = int(left.argmax())
-                    equal = (t == t[k]).sum(axis=1)
-                    near = equal >= TIED
-                    near[k] = True
-                    met = np.unique(label[near])
-                    label[np.isin(label, met[met >= 0])] = led
-                    label[near] = led
-                    left[equal >= ABSORBED] = False
-                    left[k] = False
-                    led += 1
-                # One tie a row, to the least of its part of the bucket: the same one in most buckets of a group.
-                tied = np.flatnonzero(label >= 0)
-                _, first, of = np.unique(label[tied], return_index=True, return_inverse=True)
-                for j, r in zip(tied.tolist(), tied[first][of].tolist()):
-                    if j != r:
-                        out.append((None, nodes[j], None, nodes[r]))
+            every = np.frombuffer(b"".join(group.column("tokens").to_pylist()), np.uint16).reshape(len(nodes), TOKENS)
+            leads = group.column("leads").to_numpy(zero_copy_only=False).astype(bool)
+            first = int(leads.sum())  # extra rows sort before the others
+            lead = every[:first] if first else every[:leaders]
+            t, own = every[first:], nodes[first:]
+            equal = np.concatenate([np.empty((0, len(lead)), np.int64), *[(t[a : a + 256, None, :] == lead[None]).sum(axis=2) for a in range(0, len(t), 256)]])
+            near = equal >= TIED
+            part = tied_parts(near, (lead[:, None, :] == lead[None]).sum(axis=2) >= TIED)
+            tied = np.flatnonzero(near.any(axis=1))
+            root = part[near[tied].argmax(axis=1)]
+            out += [(None, own[j], None, nodes[r]) for j, r in zip(tied.tolist(), root.tolist()) if own[j] != nodes[r]]
+            out += [(None, nodes[k], None, nodes[r]) for k, r in enumerate(part.tolist()) if k != r and nodes[k] != nodes[r]]
+            rest = np.flatnonzero(~(equal >= ABSORBED).any(axis=1))
+            if len(rest):
+                path = np.full(len(rest), group.column("path")[0].as_py(), np.int64).view(np.uint64)
+                for j, row in zip(rest.tolist(), child_paths(path, t[rest]).view(np.int64).tolist()):
+                    token = t[j].tobytes()
+                    out += [(p, own[j], token, None) for p in row]
                     if len(out) >= 20_000:
                         yield emit()
-                rest = np.flatnonzero(left)
-                if len(rest) > 1:
-                    path = np.full(len(rest), group.column("path")[0].as_py(), np.int64).view(np.uint64)
-                    children = child_paths(path, t[rest]).view(np.int64)
-                    for j, row in zip(rest.tolist(), children.tolist()):
-                        token = t[j].tobytes()
-                        out += [(p, nodes[j], token, None) for p in row]
-                        if len(out) >= 20_000:
-                            yield emit()
             if len(out) >= 20_000:
                 yield emit()
         yield emit()
@@ -222,60 +222,32 @@ def bucket_pass(rows: DataFrame, leaders: int, last: bool) -> DataFrame:
     return rows.mapInArrow(passed, BUCKET_SCHEMA)
 
 
-def hot_pass(rows: DataFrame) -> DataFrame:
-    """Like bucket_pass for buckets too large to gather: two leaders a bucket by aggregation, met in a join."""
-    led = rows.groupBy("path").agg(F.min(F.struct("node", "tokens")).alias("a"), F.max(F.struct("node", "tokens")).alias("b")).select("path", "a.*", F.col("b.node").alias("node2"), F.col("b.tokens").alias("tokens2"))
-    led = led.select("path", F.col("node").alias("node1"), F.col("tokens").alias("tokens1"), "node2", "tokens2")
-    met = rows.join(led, "path").select("path", "node", "tokens", "node1", "tokens1", "node2", "tokens2")
-
-    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            read = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(n, TOKENS)
-            t = read("tokens")
-            nodes = batch.column("node").to_pylist()
-            out: list[tuple] = []
-            absorbed = np.zeros(n, bool)
-            for k in ("1", "2"):
-                equal = (t == read("tokens" + k)).sum(axis=1)
-                leader = batch.column("node" + k).to_pylist()
-                out += [(None, nodes[j], None, leader[j]) for j in np.flatnonzero(equal >= TIED).tolist() if nodes[j] != leader[j]]
-                absorbed |= equal >= ABSORBED
-            rest = np.flatnonzero(~absorbed)
-            if len(rest):
-                path = batch.column("path").to_numpy(zero_copy_only=False)[rest].view(np.uint64)
-                for j, row in zip(rest.tolist(), child_paths(path, t[rest]).view(np.int64).tolist()):
-                    out += [(p, nodes[j], t[j].tobytes(), None) for p in row]
-            cols = list(zip(*out)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["path", "node", "tokens", "leader"])
-
-    return met.mapInArrow(passed, BUCKET_SCHEMA)
-
-
-def possible_ties(nodes: DataFrame, scratch: Scratch, leaders: int = LEADERS, hot: int = HOT, levels: int = MOST_LEVELS) -> DataFrame:
+def possible_ties(nodes: DataFrame, scratch: Scratch, leaders: int = LEADERS, chunk: int = CHUNK, levels: int = MOST_LEVELS) -> DataFrame:
     """(u, v) ties whose components hold every linked pair, of nodes (node, tokens, paths)."""
     ties: DataFrame | None = None
     rows = nodes.select(F.explode("paths").alias("path"), "node")
+    columns = ["path", "chunk", "leads", "lot", "node", "tokens"]
     for level in range(1, levels + 1):
         several = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         several = scratch.write(several, f"several{level}")
         shared = rows.join(several, "path")
         if level == 1:
             shared = shared.join(nodes.select("node", "tokens"), "node")
-        last = level == levels
-        cool = shared.filter(F.lit(last) | (F.col("n") <= hot)).select("path", "node", "tokens").repartition("path").sortWithinPartitions("path", "node")
-        made = bucket_pass(cool, leaders, last)
-        if not last and several.filter(F.col("n") > hot).limit(1).count():
-            made = made.unionByName(hot_pass(shared.filter(F.col("n") > hot).select("path", "node", "tokens")))
+        shared = shared.withColumns({"lot": F.xxhash64("path", "node"), "chunks": F.ceil(F.col("n") / chunk).cast("int")})
+        dealt = shared.withColumns({"chunk": F.pmod(F.xxhash64("node", "path"), F.col("chunks")).cast("int"), "leads": F.lit(0)}).select(*columns)
+        if not several.filter(F.col("n") > chunk).isEmpty():
+            by_lot = Window.partitionBy("path").orderBy("lot", "node")
+            elected = shared.filter("chunks > 1").withColumn("place", F.row_number().over(by_lot)).filter(F.col("place") <= leaders)
+            copies = elected.withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "leads": F.lit(1)}).select(*columns)
+            dealt = dealt.unionByName(copies)
+        made = bucket_pass(dealt.repartition("path", "chunk").sortWithinPartitions("path", "chunk", F.desc("leads"), "lot", "node"), leaders)
         made = scratch.write(made, f"level{level}")
         tied = made.filter("leader is not null").select(F.col("node").alias("u"), F.col("leader").alias("v"))
         ties = tied if ties is None else ties.unionByName(tied)
         rows = made.filter("leader is null").select("path", "node", "tokens")
-        if not rows.limit(1).count():
-            break
-    return ties
+        if rows.isEmpty():
+            return ties
+    raise RuntimeError(f"sets are still split after {levels} levels")
 
 
 VERIFIED_SCHEMA = "node binary, links long, tie binary"
@@ -332,7 +304,7 @@ def linked(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return near
 
 
-def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, leaders: int = LEADERS, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, leaders: int = LEADERS, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
     """One row per row of (doc_id, text): (doc_id, node, class_id, n_links, n_copies, winner).
 
     n_links counts the different texts at the threshold or above; n_copies the rows of equal text; winner marks the
@@ -344,7 +316,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     described = scratch.write(describe(rows, runs_for(recall)), "described")
     nodes = described.groupBy("node").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"), F.first("paths").alias("paths"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"))
     nodes = scratch.write(nodes, "nodes")
-    groups = connected_components(possible_ties(nodes.filter("size > 0"), scratch, leaders, hot), scratch, "ties")
+    groups = connected_components(possible_ties(nodes.filter("size > 0"), scratch, leaders, chunk), scratch, "ties")
     groups = scratch.write(groups.select("node", F.col("label").alias("job")), "groups")
     # Number the texts of a group by hash into blocks; a block pair is a job of its own.
     sized = groups.groupBy("job").agg(F.count(F.lit(1)).alias("members"))
@@ -362,6 +334,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     links = verified.groupBy("node").agg(F.sum("links").alias("n_links"))
     full = nodes.select("node", "least", "n_copies").join(classes, "node", "left").join(links, "node", "left").withColumn("label", F.coalesce("label", "node"))
     full = scratch.write(full.select("node", "least", "n_copies", "label", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")), "full")
+    scratch.drop_all_but("described", "full")
     named = full.groupBy("label").agg(F.min("least").alias("class_id"), F.min_by("node", F.struct(F.col("least").isNull(), F.coalesce("least", F.lit(0)), "node")).alias("winner_node"))
     named = full.join(named, "label").select(F.col("node").alias("__node"), "class_id", "n_links", "n_copies", F.col("least").alias("__least"), (F.col("winner_node") == F.col("node")).alias("__won"))
     return described.select("doc_id", "node").join(named, F.col("node") == F.col("__node")).select("doc_id", "node", "class_id", "n_links", "n_copies", (F.col("__won") & F.col("doc_id").eqNullSafe(F.col("__least"))).alias("winner"))

@@ -81,7 +81,7 @@ def brute(rows, similarity=0.8):
     return Counter((d, least.get(find(at[t or ""])), links[at[t or ""]], copies[t or ""]) for d, t in rows)
 
 
-@pytest.mark.parametrize("limits", [{}, {"leaders": 3, "hot": 10, "block": 4}])
+@pytest.mark.parametrize("limits", [{}, {"leaders": 3, "chunk": 10, "block": 4}])
 def test_join_against_brute_force(spark, limits):
     rows = texts()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -90,6 +90,26 @@ def test_join_against_brute_force(spark, limits):
     assert ngram_join.join(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limits", [{}, {"leaders": 16, "chunk": 64}])
+def test_pairs_inside_a_large_family(spark, limits):
+    """Texts that share half their words by a common passage, and pairs among them just above the threshold."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = [word() for _ in range(130)]
+    rows = []
+    for _ in range(250):
+        own = [word() for _ in range(100)]
+        rows.append(" ".join(passage + own))
+        if len(rows) < 200:
+            own[40:40] = [word() for _ in range(rng.randrange(38, 52))]
+            rows.append(" ".join(passage + own))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = ngram_join.join(df, **limits).collect()
+    want = brute(list(enumerate(rows)))
+    assert sum(n for (_, _, n, _) in want.elements()) >= 100
+    assert Counter((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in got) == want
+
+
 def test_one_of_each_class_stays(spark):
     rows = texts()
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, node string")
@@ -109,7 +129,7 @@ def test_hilbert_steps_are_single():
     assert (np.abs(np.diff(g[order], axis=0)).sum(axis=1) == 1).all()
 
 
-def brute(rows, k=20, every=20):
+def nearest_by_scan(rows, k=20, every=20):
     """(query_id, rank, vec_id, score) of rows (vec_id, vector), in plain Python order of summing."""
     want = []
     for at, (i, q) in enumerate(rows):
@@ -140,7 +160,7 @@ def test_exact_search_against_brute_force(spark, block):
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     rows += [rows[40], rows[41], (60, rows[7][1]), (20, rows[9][1])]  # a repeated row of a query, and ids of several vectors
     got = sorted(tuple(r) for r in neighbours.search(frame(spark, rows), block=block, recall=1).collect())
-    assert got == brute(rows)
+    assert got == nearest_by_scan(rows)
 
 
 @pytest.mark.parametrize("block", [64, 256])
