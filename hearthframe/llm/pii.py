@@ -1,17 +1,25 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
-Base spans come from fixed patterns (email, ip, card, phone) and their checks. They are the seeds. The words around a
-seed are its lexical patterns; patterns and the identifiers they occur with form a graph that Spark scores in rounds:
-a pattern is as good for a kind as the identifiers it occurs with, an identifier as sure as its good patterns make it.
-Identifiers of a fitting shape that good patterns vouch for become further spans of that kind. Base spans stay.
-
-Null and empty texts have no spans. Offsets are code points, the end exclusive. Every text is scanned whole, in time
-that grows with its length: patterns are possessive and start at the edge of a run. Repeated rows are rows of their
-own, but an identifier supports a pattern once, however often it is copied.
+Base spans come from fixed patterns (email, ip, card, phone) and their checks. They are the seeds: an identifier is a
+whole span, blanks and all, and its lexical patterns are the words before and after it. Patterns and the identifiers
+they occur with form a graph that Spark scores in rounds: a pattern is as good for a kind as the identifiers it occurs
+with, an identifier as sure as its good patterns make it. Tokens of a fitting shape that good patterns vouch for become
+further spans of that kind. Base spans stay.
+
+To find contexts outside the spans, every character of a base span is put under a shield: a character of the private
+use area that stands for it and for the span's kind. A span is then one token, its kind can be read off it, and offsets
+stay the same. Where base spans of two kinds overlap, one of them is the seed; both are returned.
+
+Null and empty texts have no spans. Offsets are code points, the end exclusive. Texts of any length are scanned whole,
+tokens and contexts of any length too, in time that grows with the text's length: patterns are possessive and start at
+the edge of a run, and a context is sought only between two tokens. Repeated rows are rows of their own, but an
+identifier supports a pattern once, however often it is copied. Of kinds with equal scores an identifier gets the first.
+Null ids stay null. Other columns of the input are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,17 +37,28 @@ _PHONE = "\\+[0-9][\\x20().0-9-]+[0-9]"
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 PATTERNS = {"email": _EMAIL, "ip": _IP, "card": _CARD, "phone": _PHONE}
 
-#: A token that may be an identifier: it holds a digit or an @.
-TOKEN = "(?<!\\S)[^\\s0-9@]*+[0-9@]\\S*+"
-MOST_TOKEN = 64
-CONTEXT = 80
+#: Characters a base span can hold, and the private-use characters that stand for them, kind by kind.
+SPAN_CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@ ()"
+SHIELDS = tuple("".join(chr(0xE000 + 128 * k + ord(c)) for c in SPAN_CHARACTERS) for k in range(len(KINDS)))
+SHIELDED = "\uE000-\uE1FF"
+SHIELDED_RUN = "|".join(f"[{chr(0xE000 + 128 * k)}-{chr(0xE07F + 128 * k)}]++" for k in range(len(KINDS)))
+#: Kinds in the order in which they shield their spans: phone numbers before the digits in them.
+SHIELD_ORDER = ("phone", "card", "ip", "email")
+
+#: A token that may be an identifier: it holds a digit, an @ or a shield.
+TOKEN = f"(?<!\\S)[^\\s0-9@{SHIELDED}]*+[0-9@{SHIELDED}]\\S*+"
+LAST_WORD = "(?<!\\S)(\\S++)\\s*+$"
+LAST_TWO = "(?<!\\S)(\\S++\\s++\\S++)\\s*+$"
+FIRST_WORD = "^\\s*+(\\S++)"
+#: What may stand before an identifier in its token: a label up to a colon or equals sign, and punctuation.
+LABEL = f"^(?:[^\\s0-9@{SHIELDED}:=]*+[:=])?[\\p{{Punct}}&&[^+(]]*+"
 ROUNDS = 3
 LEAST_SUPPORT = 5
 LEAST_PATTERN = 0.6
 LEAST_INSTANCE = 0.9
 #: Shapes an unseen identifier of each kind may have.
 SHAPES = {
-    "email": "^[^@\\s]{1,40}@[^@\\s]{1,40}$",
+    "email": "^[^@\\s]++@[^@\\s]++$",
     "ip": "^[0-9]{1,3}(?:[.,:_-][0-9]{1,3}){3}$",
     "card": "^(?=(?:[^0-9]*[0-9]){12,19}[^0-9]*$)[0-9]+(?:[-.][0-9]+)*$",
     "phone": "^(?=(?:[^0-9]*[0-9]){7,15}[^0-9]*$)[+(]?[0-9]+(?:[().-]+[0-9]+)*$",
@@ -95,16 +114,22 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def gate(kind: str, text: Column) -> Column:
+    """A cheap test that a text with a span of the kind passes."""
+    if kind in ("email", "phone"):
+        return text.contains("@" if kind == "email" else "+")
+    return text.rlike("[0-9]\\.[0-9]" if kind == "ip" else "[0-9][\\x20-]?[0-9]")
+
+
 def _luhn(digits: Column) -> Column:
     return F.call_function("luhn_check", digits)
 
 
 def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``base``: array of (kind, s, e, m), by kind and start."""
-    gates = {"email": F.col(text).contains("@"), "ip": F.col(text).rlike("[0-9]\\.[0-9]"), "card": F.col(text).rlike("[0-9][\\x20-]?[0-9]"), "phone": F.col(text).contains("+")}
     df = docs
     for kind in KINDS:
-        df = with_matches(df, text, PATTERNS[kind], gates[kind], f"__{kind}")
+        df = with_matches(df, text, PATTERNS[kind], gate(kind, F.col(text)), f"__{kind}")
     def checked(i: int, kind: str) -> Column:
         valid = F.filter(f"__{kind}", lambda x: _valid(kind, x["m"]))
         return F.transform(valid, lambda x: F.struct(F.lit(i).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m")))
@@ -113,41 +138,53 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("base", F.concat(*parts)).drop(*[f"__{k}" for k in KINDS])
 
 
-def with_candidates(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``cands``: array of (s, e, core, patterns, kind) where kind is that of a base span starting there, else -1.
+def replaced(df: DataFrame, text: str, kind: str, by: Callable[[Column], Column]) -> DataFrame:
+    """The text with every valid span of the kind replaced, rebuilt from the pieces between matches in one pass."""
+    found, between = located(F.col(text), PATTERNS[kind])
+    df = df.withColumn("__m", F.when(gate(kind, F.col(text)), found).otherwise(F.array().cast("array<string>")))
+    df = df.withColumn("__g", F.when(F.size("__m") > 0, between))
+    made = F.zip_with(F.slice("__g", 1, F.size("__m")), F.col("__m"), lambda g, m: F.concat(g, F.when(_valid(kind, m), by(m)).otherwise(m)))
+    return df.withColumn(text, F.when(F.size("__m") > 0, F.concat(F.array_join(made, ""), F.element_at("__g", -1))).otherwise(F.col(text))).drop("__m", "__g")
 
-    Tokens that lie within a base span without starting it are no candidates.
-    """
-    found, between = located(F.col(text), TOKEN)
+
+def with_candidates(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``cands``: array of (s, e, core, patterns, kind), kind that of a base span or -1 for a token that may be an identifier."""
+    own = F.when(F.col(text).rlike(f"[{SHIELDED}]"), F.regexp_replace(text, f"[{SHIELDED}]", "\uFFFD")).otherwise(F.col(text))
+    df = df.withColumn("__x", own)
+    for kind in SHIELD_ORDER:
+        df = replaced(df, "__x", kind, lambda m, k=KINDS.index(kind): F.translate(m, SPAN_CHARACTERS, SHIELDS[k]))
+    found, between = located(F.col("__x"), TOKEN)
     none = F.array().cast("array<string>")
-    df = df.withColumn("__t", F.when(F.col(text).rlike("[0-9@]"), found).otherwise(none))
+    df = df.withColumn("__t", F.when(F.col("__x").rlike(f"[0-9@{SHIELDED}]"), found).otherwise(none))
     df = df.withColumn("__p", F.when(F.size("__t") > 0, between).otherwise(none))
     df = df.withColumn("__b", F.when(F.size("__t") > 0, prefix_sums(F.zip_with(F.slice("__p", 1, F.size("__t")), F.col("__t"), lambda g, t: F.length(g) + F.length(t)))).otherwise(F.array().cast("array<int>")))
 
-    def one(i: Column) -> Column:
-        token, gap, after = F.get("__t", i), F.get("__p", i), F.get("__p", i + 1)
-        lead = F.length(F.regexp_extract(token, "^[\\p{Punct}&&[^+(]]*+", 0))
-        core = F.regexp_replace(F.substring(token, lead + 1, F.length(token)), "(?<!\\p{Punct})\\p{Punct}++$", "")
-        start = F.get("__b", i) + F.length(gap) + lead
-        near = F.lower(F.right(gap, F.lit(CONTEXT)))
-        left = F.regexp_extract(near, "(\\S+)\\s*$", 1)
-        two = F.regexp_extract(near, "(\\S+\\s+\\S+)\\s*$", 1)
-        right = F.regexp_extract(F.lower(F.left(after, F.lit(CONTEXT))), "^\\s*(\\S+)", 1)
-        patterns = F.array(F.concat(F.lit("l:"), left), F.concat(F.lit("ll:"), two), F.concat(F.lit("r:"), right))
-        return F.struct(start.alias("s"), (start + F.length(core)).alias("e"), core.alias("core"), F.filter(patterns, lambda p: ~p.isin("l:", "ll:", "r:")).alias("patterns"))
-
-    tokens = F.transform(F.sequence(F.lit(0), F.size("__t") - 1), one)
-    df = df.withColumn("__c", F.when(F.size("__t") > 0, tokens))
-    kept = F.filter("__c", lambda c: (F.length(c["core"]) > 0) & (F.length(c["core"]) <= MOST_TOKEN))
-
-    def labelled(c: Column) -> Column:
-        starts = F.filter("base", lambda b: b["s"] == c["s"])
-        within = F.exists("base", lambda b: (b["s"] < c["e"]) & (b["e"] > c["s"]))
-        kind = F.when(F.size(starts) > 0, F.get(starts, F.lit(0))["kind"]).when(within, F.lit(-2)).otherwise(F.lit(-1))
-        return F.struct(c["s"].alias("s"), c["e"].alias("e"), c["core"].alias("core"), c["patterns"].alias("patterns"), kind.alias("kind"))
-
+    # Each token with its place and the gaps around it; a lambda that read other columns might have them made anew for each element.
+    around = F.zip_with(F.slice("__p", 1, F.size("__t")), F.slice("__p", 2, F.size("__t")), lambda g, a: F.struct(g.alias("gap"), a.alias("after")))
+    placed = F.zip_with(F.zip_with("__t", "__b", lambda t, b: F.struct(t.alias("token"), b.alias("b"))), around, lambda x, y: F.struct(x["token"].alias("token"), x["b"].alias("b"), y["gap"].alias("gap"), y["after"].alias("after")))
+
+    def one(t: Column) -> Column:
+        """Where the identifier starts in its token, the identifier (shielded if it is a seed), the gaps around the token."""
+        token = t["token"]
+        span = F.regexp_extract(token, SHIELDED_RUN, 0)
+        before = F.when(span != "", F.regexp_extract(token, f"^[^{SHIELDED}]*+", 0)).otherwise(F.regexp_extract(token, LABEL, 0))
+        rest = F.regexp_replace(F.substring(token, F.length(before) + 1, F.length(token)), "(?<!\\p{Punct})\\p{Punct}++$", "")
+        core = F.when(span != "", span).otherwise(rest)
+        return F.struct((t["b"] + F.length(t["gap"]) + F.length(before)).alias("s"), core.alias("core"), (span != "").alias("seed"), F.lower(before).alias("before"), F.lower(t["gap"]).alias("gap"), F.lower(t["after"]).alias("after"))
+
+    def described(c: Column) -> Column:
+        word, labelled = F.regexp_extract(c["gap"], LAST_WORD, 1), c["before"].rlike("[^\\p{Punct}]")
+        left = F.when(labelled, c["before"]).otherwise(word)
+        two = F.when(labelled, F.when(word != "", F.concat(word, F.lit(" "), c["before"])).otherwise("")).otherwise(F.regexp_extract(c["gap"], LAST_TWO, 1))
+        patterns = F.array(F.concat(F.lit("l:"), left), F.concat(F.lit("ll:"), two), F.concat(F.lit("r:"), F.regexp_extract(c["after"], FIRST_WORD, 1)))
+        kind = F.when(c["seed"], F.floor((F.ascii(c["core"]) - 0xE000) / 128)).otherwise(-1).cast("int")
+        core = F.when(c["seed"], F.translate(c["core"], "".join(SHIELDS), SPAN_CHARACTERS * len(SHIELDS))).otherwise(c["core"])
+        return F.struct(c["s"].alias("s"), (c["s"] + F.length(core)).alias("e"), core.alias("core"), F.filter(patterns, lambda p: ~p.isin("l:", "ll:", "r:")).alias("patterns"), kind.alias("kind"))
+
+    df = df.withColumn("__c", F.when(F.size("__t") > 0, F.transform(placed, one)))
+    kept = F.transform(F.filter("__c", lambda c: c["core"] != ""), described)
     none = F.array().cast("array<struct<s:int,e:int,core:string,patterns:array<string>,kind:int>>")
-    return df.withColumn("cands", F.coalesce(F.filter(F.transform(kept, labelled), lambda c: c["kind"] > -2), none)).drop("__t", "__p", "__b", "__c")
+    return df.withColumn("cands", F.coalesce(kept, none)).drop("__x", "__t", "__p", "__b", "__c")
 
 
 def fits(kind: Column, core: Column) -> Column:
@@ -200,10 +237,12 @@ def joined(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, mask: str = "x") -> DataFrame:
-    """(doc_id, text) with every character of a base span but white space replaced; contexts are not needed for it."""
-    rows = base_spans(docs.select("doc_id", text_or_empty("text").alias("text")))
-    hidden = F.aggregate("base", F.col("text"), lambda t, b: F.overlay(t, F.regexp_replace(b["m"], "\\S", mask), b["s"] + 1, b["e"] - b["s"]))
-    return rows.select("doc_id", hidden.alias("text"))
+    """(doc_id, text) with every character of a base span but white space replaced, a kind at a time: phone numbers, cards,
+    addresses, emails, each sought in what is left of the text. Contexts are not needed for it."""
+    rows = docs.select("doc_id", text_or_empty("text").alias("text"))
+    for kind in SHIELD_ORDER:
+        rows = replaced(rows, "text", kind, lambda m: F.regexp_replace(m, "\\S", mask))
+    return rows.select("doc_id", "text")
 
 
 def op1_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
