@@ -1,12 +1,14 @@
 """Quality by compression: zstandard dictionaries of good and of bad text, and which of them makes a text smaller.
 
-A text is cut into pieces of 512 bytes so that the dictionaries, not the text's own past, decide; every piece of the
-whole text is compressed against both dictionaries. The normalised difference of the two sizes, with the size against
-the text's length, is turned into a probability by a logistic curve fitted on labelled rows that taught no dictionary.
-
-Learning uses a bounded, documented sample: at most ``most_rows`` labelled rows (smallest hash of doc_id, half of each
-label), of each at most ``most_pieces`` evenly spaced pieces. Null and empty texts score as a difference of 0. Null
-labels or ids teach nothing. Without rows of both labels every score is the known rate.
+A text is cut into pieces of 256 bytes so that the dictionaries, not the text's own past, decide; every piece of the
+whole text is compressed against both dictionaries. The normalised difference of the two compressed sizes, and nothing
+else, is turned into a probability by a logistic curve fitted on labelled rows that taught no dictionary.
+
+Learning uses bounded, documented samples: at most ``most_rows`` labelled rows (smallest hash of doc_id, half of each
+label), read whole, and of the pieces of six tenths of them at most ``most_pieces`` a label (smallest hash). Null and
+empty texts score as a difference of 0; texts of any length are read whole. Repeated rows score alike; copies teach
+once. Of several labels of one doc_id the highest counts. Null labels or ids teach nothing. Without rows of both labels
+every score is the known rate. An empty table gives an empty result. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -21,13 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import only, table
-from .toxicity import teaching_rows, with_held_out
+from .toxicity import SEED, teaching_rows, with_held_out
 
-PIECE = 512
+PIECE = 256
 DICTIONARY_BYTES = 112_640
 LEVEL = 3
 MOST_ROWS = 8000
-MOST_PIECES = 12
+MOST_PIECES = 60_000
 CUT = 0.3
 
 
@@ -35,10 +37,6 @@ def pieces(text: bytes, size: int = PIECE) -> list[bytes]:
     return [text[i : i + size] for i in range(0, len(text), size)]
 
 
-def spaced(items: list[bytes], most: int) -> list[bytes]:
-    return items if len(items) <= most else [items[i * len(items) // most] for i in range(most)]
-
-
 def dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
     """A trained dictionary; with too few samples to train on, their raw content."""
     try:
@@ -55,21 +53,21 @@ class Sizer:
         of = lambda d: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d), **kind)
         self.bad, self.good = of(bad), of(good)
 
-    def features(self, text: str | None) -> tuple[float, float]:
-        """The normalised difference, above 0 if the good dictionary wins; and the smaller size a byte of text."""
+    def difference(self, text: str | None) -> float:
+        """The normalised difference of the compressed sizes, above 0 if the good dictionary wins."""
         raw = (text or "").encode("utf-8", "surrogatepass")
         if not raw:
-            return 0.0, 0.5
+            return 0.0
         a = b = 0
         for piece in pieces(raw):
             a += len(self.bad.compress(piece))
             b += len(self.good.compress(piece))
-        return (a - b) / (a + b), min(a, b) / len(raw)
+        return (a - b) / (a + b)
 
 
-def curve(difference: np.ndarray, ratio: np.ndarray) -> np.ndarray:
-    d, r = np.clip(difference * 10, -8, 8), np.clip(ratio, 0, 1.5)
-    return np.stack([np.ones_like(d), d, d * np.abs(d), r, r * r, d * r], axis=1)
+def curve(difference: np.ndarray) -> np.ndarray:
+    d = np.clip(difference * 10, -8, 8)
+    return np.stack([np.ones_like(d), d, d * np.abs(d)], axis=1)
 
 
 @dataclass
@@ -78,8 +76,8 @@ class QualityModel:
     good: bytes
     weights: np.ndarray
 
-    def probability(self, features: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(curve(features[:, 0], features[:, 1]) @ self.weights, -30, 30)))
+    def probability(self, difference: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(curve(difference) @ self.weights, -30, 30)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.02) -> np.ndarray:
@@ -94,16 +92,16 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
 
 
 def measure(rows: DataFrame, bad: bytes, good: bytes, keep: list[str]) -> DataFrame:
-    """The kept columns with ``difference`` and ``ratio`` of their whole text; no shuffle."""
+    """The kept columns with ``difference`` of their whole text; no shuffle."""
     shared = rows.sparkSession.sparkContext.broadcast((bad, good))  # two dictionaries of fixed size
 
-    @F.pandas_udf("difference double, ratio double")
-    def measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def measured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         sizer = Sizer(*shared.value)
         for texts in batches:
-            yield pd.DataFrame([sizer.features(t) for t in texts], columns=["difference", "ratio"], dtype="float64")
+            yield pd.Series([sizer.difference(t) for t in texts], dtype="float64")
 
-    return rows.select(*keep, measured("text").alias("__m")).select(*keep, "__m.difference", "__m.ratio")
+    return rows.select(*keep, measured("text").alias("difference"))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0, most_rows: int = MOST_ROWS, most_pieces: int = MOST_PIECES) -> QualityModel:
@@ -113,28 +111,27 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
     part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(10))
     chosen = teaching_rows(only(docs, doc_id="doc_id", text="text"), taught, most_rows, smaller=0)
     rate = float(np.log(max(prior, 1e-3) / max(1 - prior, 1e-3)))
-    plain = QualityModel(b" " * 8, b" " * 8, np.array([rate, 0, 0, 0, 0, 0]))
+    plain = QualityModel(b" " * 8, b" " * 8, np.array([rate, 0, 0]))
     if len([n for n in counts.values() if n]) < 2:
         return plain
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(int(y), p) for y, t in zip(f["label"], f["text"]) if t for p in spaced(pieces(t.encode("utf-8", "surrogatepass")), most_pieces)]
+            rows = [(int(y), p) for y, t in zip(f["label"], f["text"]) if t for p in pieces(t.encode("utf-8", "surrogatepass"))]
             yield pd.DataFrame(rows, columns=["label", "piece"])
 
-    teach = chosen.filter(part < 6).select("label", "text").dropDuplicates(["text"])
-    got = teach.mapInPandas(cut, "label int, piece binary").toPandas().sort_values(["label", "piece"])
-    sets = {y: [bytes(p) for p in got.loc[got["label"] == y, "piece"]] for y in (0, 1)}
+    every = chosen.filter(part < 6).select("label", "text").dropDuplicates(["text"]).mapInPandas(cut, "label int, piece binary")
+    lot = F.xxhash64("piece", F.lit(SEED))
+    sets = {y: [bytes(r["piece"]) for r in every.filter(F.col("label") == y).orderBy(lot, "piece").limit(most_pieces).collect()] for y in (0, 1)}  # at most most_pieces of 256 bytes each
     if not sets[0] or not sets[1]:
         return plain
-    order = np.random.default_rng(5)
-    bad, good = (dictionary([sets[y][i] for i in order.permutation(len(sets[y]))]) for y in (0, 1))
-    rest = measure(chosen.filter(part >= 6), bad, good, ["label"]).toPandas()
+    bad, good = dictionary(sets[0]), dictionary(sets[1])
+    rest = measure(chosen.filter(part >= 6), bad, good, ["label"]).toPandas()  # at most most_rows numbers
     y = rest["label"].to_numpy(np.float64)
     if len(y) == 0 or y.min() == y.max():
-        return QualityModel(bad, good, np.array([rate, 4.0, 0, 0, 0, 0]))
+        return QualityModel(bad, good, np.array([rate, 4.0, 0]))
     weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
-    return QualityModel(bad, good, logistic(curve(rest["difference"].to_numpy(), rest["ratio"].to_numpy()), y, weight))
+    return QualityModel(bad, good, logistic(curve(rest["difference"].to_numpy()), y, weight))
 
 
 def score(docs: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:
@@ -142,10 +139,10 @@ def score(docs: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:
     weights = model.weights.tolist()
 
     @F.pandas_udf("double")
-    def probability(difference: pd.Series, ratio: pd.Series) -> pd.Series:
-        return pd.Series(QualityModel(b"", b"", np.array(weights)).probability(np.stack([difference.to_numpy(), ratio.to_numpy()], axis=1)))
+    def probability(difference: pd.Series) -> pd.Series:
+        return pd.Series(QualityModel(b"", b"", np.array(weights)).probability(difference.to_numpy()))
 
-    return sized.select(*keep, probability("difference", "ratio").alias("score"))
+    return sized.select(*keep, probability("difference").alias("score"))
 
 
 def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
