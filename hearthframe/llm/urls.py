@@ -4,13 +4,21 @@ All glob patterns are packed one after another into words of 64 bits. Reading on
 pattern at once and masks them by that character; a ``*`` is a state that keeps itself. The urls of an Arrow batch
 advance together, a position at a time.
 
-A canonical url is ``.host/path``: the host lower-cased (A to Z), the path as it is. Null urls and urls without
-``://`` have empty host and path, fit no rule and are blocked by the default globs' last word (``INVALID``). Empty
-tables give empty results. Repeated rows are judged alike.
+A canonical url is ``.host/path``: the host lower-cased (A to Z), the path as it is. Rules (verdict, host, path) become
+globs of the same automaton. Of the rules that fit, the longest decides, of equally long ones the first listed; where
+none fits, a url that a block glob fits is blocked, and any other is allowed. Rules and globs come from the constants
+below or from a table (``read_rules``), of at most ``MOST_PATTERNS`` rows.
+
+Null urls and urls without ``://`` have empty host and path, fit no rule and are blocked (``INVALID``). Urls of any length are
+read whole, those of a batch in bounded lots. Repeated rows are judged alike. Other columns of the input are not read
+unless they are to be kept. Empty tables give empty results; an empty set of patterns fits nothing.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +36,12 @@ RULES = (
 )
 #: Globs of the method's own, for urls that no rule fits. ``*`` stands for any run of characters; before the first
 #: ``/`` of a glob it stands for host characters only.
-BLOCK_GLOBS = ("*spam*/*", "*pills*/*", "*casino*/*", "*.xxx/*", "*/*phpsessid=*", "*/*.exe")
+HOST_WORDS = ("spam", "pills", "casino", "poker", "viagra", "porn", "escort", "warez", "phishing", "malware", "gambling", "payday-loan")
+HOST_ENDS = ("xxx", "porn", "adult", "sex", "casino", "bet", "poker")
+PATH_PARTS = ("phpsessid=", "jsessionid=", "/cgi-bin/", "/wp-login.php", "/wp-admin/", "/cart/", "/checkout/", "/signin/", "/logout", "/unsubscribe")
+FILE_ENDS = ("exe", "msi", "dmg", "apk", "iso", "zip", "rar", "7z", "gz", "mp3", "mp4", "avi", "mkv", "wmv", "jpg", "jpeg", "png", "gif", "ico", "css", "js", "swf")
+BLOCK_GLOBS = (*[f"*{w}*/*" for w in HOST_WORDS], *[f"*.{e}/*" for e in HOST_ENDS], *[f"*/*{t.removeprefix('/')}*" if not t.startswith("/") else f"*{t}*" for t in PATH_PARTS], *[f"*/*.{e}" for e in FILE_ENDS])
+MOST_PATTERNS = 100_000
 INVALID = "block"
 #: Rows of a batch that advance together; bounds the automaton's memory whatever the batch holds.
 ROWS_AT_ONCE = 4096
@@ -76,9 +89,14 @@ class GlobSet:
                     put(self.stay_path if cells[i + 1][2] else self.stay_host, i)
             if tails[g]:
                 put(self.stay_path, ends[g])
-        self.final = zero()
-        for e in ends:
-            put(self.final, e)
+        self.masks = np.zeros((len(self.of) + 1, self.words), np.uint64)
+        self.ascii, self.beyond = np.zeros(129, np.int32), {}
+        for k, (ch, mask) in enumerate(self.of.items(), 1):
+            self.masks[k] = mask
+            if ord(ch) < 128:
+                self.ascii[ord(ch)] = k
+            else:
+                self.beyond[ord(ch)] = k
 
     def match(self, urls: list[str]) -> np.ndarray:
         out = np.zeros((len(urls), len(self.globs)), bool)
@@ -93,12 +111,9 @@ class GlobSet:
         points = np.frombuffer("".join(urls).encode("utf-32-le", "surrogatepass"), np.uint32)
         begin = np.concatenate([[0], np.cumsum(lengths)])[:-1][order]
         lengths = lengths[order]
-        alphabet = {ord(c): k + 1 for k, c in enumerate(self.of)}
-        masks = np.zeros((len(self.of) + 1, self.words), np.uint64)
-        for c, k in alphabet.items():
-            masks[k] = self.of[chr(c)]
-        code = np.zeros(len(points), np.int32)
-        for c, k in alphabet.items():
+        masks = self.masks
+        code = self.ascii[np.minimum(points, 128)]
+        for c, k in self.beyond.items():
             code[points == c] = k
         slash = points == ord("/")
         state = np.zeros((n, self.words), np.uint64)
@@ -149,37 +164,60 @@ def canonical_parts(url: str | None) -> tuple[str, str]:
     return host, tail[: min(cuts, default=len(tail))]
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, block_globs: tuple[str, ...] = BLOCK_GLOBS, url: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """The kept columns with host, path, the longest rule that fits, and the verdict. No shuffle."""
+Rules = tuple[tuple[str, str, str], ...]
+
+
+def read_rules(patterns: DataFrame, most: int = MOST_PATTERNS) -> tuple[Rules, tuple[str, ...]]:
+    """Rules and block globs from a table (verdict, host, path, glob): a row with a glob is a block glob, any other a rule.
+
+    The table goes to every task, so a larger one than ``most`` rows is refused.
+    """
+    rows = patterns.select("verdict", "host", "path", "glob").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} patterns")
+    rules = tuple((r["verdict"], r["host"].lower(), r["path"]) for r in rows if r["glob"] is None and r["host"] is not None and r["path"] is not None)
+    return rules, tuple(r["glob"] for r in rows if r["glob"] is not None)
+
+
+def judge(pages: DataFrame, rules: Rules = RULES, block_globs: tuple[str, ...] = BLOCK_GLOBS, url: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """The kept columns with host, path, the longest rule that fits, and the verdict. No shuffle; masks are made once a task."""
     rules = tuple(rules)
     globs = [f"*.{host}{path}*" for _, host, path in rules] + list(block_globs)
-    by_length = sorted(range(len(rules)), key=lambda i: -len(rules[i][1] + rules[i][2]))
+    shortest_first = sorted(range(len(rules)), key=lambda i: -len(rules[i][1] + rules[i][2]))[::-1]
 
-    def judged(urls: pd.Series) -> pd.DataFrame:
-        parts = [canonical_parts(u) for u in urls]
+    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         automaton = GlobSet(globs)
-        hits = automaton.match([f".{h}{p}" for h, p in parts])
-        rule = np.full(len(parts), None, object)
-        verdict = np.where(hits[:, len(rules) :].any(axis=1), "block", "allow").astype(object)
-        for i, (h, p) in enumerate(parts):
-            if not h and not p:
-                verdict[i] = INVALID
-        for r in reversed(by_length):  # the longest is written last
-            fits = hits[:, r]
-            rule[fits] = rules[r][1] + rules[r][2]
-            verdict[fits] = rules[r][0]
-        return pd.DataFrame({"host": [h for h, _ in parts], "path": [p for _, p in parts], "rule": rule, "verdict": verdict})
+        for urls in batches:
+            parts = [canonical_parts(u) for u in urls]
+            hits = automaton.match([f".{h}{p}" for h, p in parts])
+            rule = np.full(len(parts), None, object)
+            verdict = np.where(hits[:, len(rules) :].any(axis=1), "block", "allow").astype(object)
+            verdict[[i for i, (h, p) in enumerate(parts) if not h and not p]] = INVALID
+            for r in shortest_first:  # the longest is written last
+                fits = hits[:, r]
+                rule[fits] = rules[r][1] + rules[r][2]
+                verdict[fits] = rules[r][0]
+            yield pd.DataFrame({"host": [h for h, _ in parts], "path": [p for _, p in parts], "rule": rule, "verdict": verdict})
 
     udf = F.pandas_udf(judged, "host string, path string, rule string, verdict string")
     base = pages.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{url}`").alias("__url"))
     made = base.withColumn("__j", udf(F.col("__url")))
-    return made.select(*keep, "__j.host", "__j.path", "__j.rule", "__j.verdict")
+    return made.select(*[F.col(f"`{k}`") for k in keep], "__j.host", "__j.path", "__j.rule", "__j.verdict")
 
 
 def op10_glob_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(only(table(spark, sf_dir, "pages"), page_id="page_id", url="url"))
 
 
+def glob_regex(glob: str) -> str:
+    """A glob as a regular expression over a canonical url."""
+    out, path = "", False
+    for ch in glob:
+        out += (".*" if path else "[^/]*") if ch == "*" else re.escape(ch)
+        path |= ch == "/"
+    return out
+
+
 ORACLE_SQL = """
 WITH a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -189,7 +227,5 @@ f AS (SELECT p.page_id, p.host, p.path, r.rhost || r.rpath AS rule, r.verdict,
              row_number() OVER (PARTITION BY p.page_id, p.host, p.path ORDER BY length(r.rhost || r.rpath) DESC) AS o
       FROM p JOIN r ON (p.host = r.rhost OR ends_with(p.host, '.' || r.rhost)) AND starts_with(p.path, r.rpath)),
 b AS (SELECT p.*, f.rule, f.verdict AS by_rule FROM p LEFT JOIN (SELECT * FROM f WHERE o = 1) f USING (page_id, host, path))
-SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN host = '' AND path = '' THEN 'block'
-  WHEN path <> '' AND (contains(host, 'spam') OR contains(host, 'pills') OR contains(host, 'casino') OR ends_with(host, '.xxx')) THEN 'block'
-  WHEN contains(path, 'phpsessid=') OR (path <> '' AND ends_with(path, '.exe')) THEN 'block' ELSE 'allow' END) AS verdict FROM b
-"""
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN host = '' AND path = '' THEN 'block' WHEN regexp_full_match('.' || host || path, '__GLOBS__', 's') THEN 'block' ELSE 'allow' END) AS verdict FROM b
+""".replace("__GLOBS__", "|".join(glob_regex(g) for g in BLOCK_GLOBS).replace("'", "''"))
