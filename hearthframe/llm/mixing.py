@@ -4,8 +4,14 @@ Each document gets a hash-random key. Its source is cut into ranges of that key;
 range), prefix sums over the ranges give each range its start, and rows are summed within their range. A source gives
 whole epochs first, then documents in key order up to its exact budget; the document on the cut gives its first words.
 
-Null and empty texts have size 0 and are never taken. A null source is a source of its own, last in order. Null ids
-take part. Repeated rows are documents of their own. An empty table gives an empty result.
+Null and empty texts have size 0 and are never taken; texts of any length are counted whole. A null source is a source
+of its own, last in order. Rows without an id take part; their keys come from their texts, so many of them are no hot
+range. Repeated rows are documents of their own; of rows with one key those come first that have the smaller id, then
+the smaller size. Columns of the input may bear any name, those of the results too: ``stage`` carries them apart. An
+empty table gives an empty result.
+
+Texts are read once for their sizes and keys, which are written down; ``source_targets`` sorts the table of sources,
+one row a source, never rows of documents.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import only, table, text_or_empty
+from .common import Scratch, only, table, text_or_empty
 
 #: Weights of the sources in order of code point, repeating.
 WEIGHTS = (3, 1, 2)
@@ -27,8 +33,10 @@ def word_count(text: str | Column) -> Column:
     return F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("bigint")
 
 
-def random_key(doc_id: str, seed: str = SEED) -> Column:
-    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary"))
+def random_key(doc_id: str, text: str, seed: str = SEED) -> Column:
+    """Hash-random key of an id; of the text where there is no id."""
+    known = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("text "), F.md5(text_or_empty(text).cast("binary"))))
+    return F.md5(F.concat(F.lit(seed + ":"), known).cast("binary"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS) -> DataFrame:
@@ -56,14 +64,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return rated.withColumn("rate_all", settled).select("source", "weight", "source_size", F.when(F.col("rate_all").isNull(), F.col("ceiling").cast("double")).otherwise(target).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS, seed: str = SEED, carry: list[str] | None = None) -> DataFrame:
-    """Rows (doc_id, source, size, source_size, target, taken) and the carried columns.
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS, carry: list[str] | None = None) -> DataFrame:
+    """Rows (doc_id, source, size, source_size, target, taken) and the carried columns, of rows (doc_id, source, size, __key).
 
     Ranges are the first two hex digits of the key: 256 a source, so a source that holds a third of all rows is
     summed by 256 tasks.
     """
     carry = carry or []
-    rows = docs.select("doc_id", "source", "size", *carry).withColumn("__key", random_key("doc_id", seed)).withColumn("__range", F.substring("__key", 1, 2))
+    rows = docs.select("doc_id", "source", "size", "__key", *carry).withColumn("__range", F.substring("__key", 1, 2))
     ranges = rows.groupBy("source", "__range").agg(F.sum("size").alias("__words"))
     before = Window.partitionBy("source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranges.withColumn("__start", F.coalesce(F.sum("__words").over(before), F.lit(0)))
@@ -80,37 +88,39 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     return joined.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).alias("taken"), *carry)
 
 
-def sized(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    return docs.select("doc_id", "source", word_count("text").alias("size"), *(carry or []))
+def sized(docs: DataFrame, carry: list[str] | None = None, seed: str = SEED) -> DataFrame:
+    return docs.select("doc_id", "source", word_count("text").alias("size"), random_key("doc_id", "text", seed).alias("__key"), *(carry or []))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = only(table(spark, sf_dir, "documents"), doc_id="doc_id", source="source", text="text")
-    return mix(sized(docs)).select("doc_id", "size", "source_size", "target", "taken")
+    rows = Scratch(spark, "mixing").write(sized(docs), "sizes")  # no texts; read several times from here on
+    return mix(rows).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed corpus: a row for each whole time a document is taken, and one with its first words where the budget cuts it."""
     given = docs.columns
-    carried = [c for c in given if c not in ("doc_id", "source")]
-    mixed = mix(docs.select("doc_id", "source", word_count("text").alias("size"), *carried), carry=carried)
+    whole_row = F.struct(*[F.col(f"`{c}`") for c in given]).alias("__row")
+    mixed = mix(sized(docs.select("doc_id", "source", "text", whole_row), ["__row"]), carry=["__row"]).select("__row", "size", "taken")
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
     rest = (F.col("taken") - whole * F.col("size")).cast("int")
     copies = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
     out = mixed.withColumn("__words", F.explode(copies))
-    gaps = F.split("text", WORD, -1)
-    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
+    text = F.col("__row.text")
+    gaps = F.split(text, WORD, -1)
+    words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
     first = F.concat_ws("", F.flatten(F.zip_with(F.slice(gaps, 1, F.col("__words")), F.slice(words, 1, F.col("__words")), lambda g, w: F.array(g, w))))
-    cut = out.withColumn("text", F.when(F.col("__words") < 0, F.col("text")).otherwise(first))
-    if "n_chars" in given:
-        cut = cut.withColumn("n_chars", F.when(F.col("__words") < 0, F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
-    return cut.select(*given)
+    cut = out.withColumn("__text", F.when(F.col("__words") < 0, text).otherwise(first))
+    whole_text = F.col("__words") < 0
+    made = {"text": F.col("__text"), "n_chars": F.when(whole_text, F.col("__row")["n_chars"]).otherwise(F.length("__text").cast("bigint")) if "n_chars" in given else None}
+    return cut.select(*[(made[c] if c in made else F.col("__row")[c]).alias(c) for c in given])
 
 
 ORACLE_SQL = """
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'text ' || md5(coalesce(text, '')))) AS k FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS o FROM d GROUP BY source),
 w AS (SELECT source, source_size, CASE (o - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, 2 * source_size AS ceiling FROM s),
 r AS (
