@@ -3,8 +3,10 @@
 A key and the number of shards alone decide a row's shard; no ring table is kept. When a shard is appended, a row
 either stays or moves into the new shard, and 1/(n+1) of the keys do so.
 
-Null keys hash as the key 0. Rows of equal key share a shard. An empty table gives an empty result. Columns of the
-input that bear a result's name are replaced.
+Null keys hash as the key 0. Rows of equal key share a shard. Ranges within a shard follow a hash of the whole row, so
+many rows without a key, or of one key, are no hot range unless their texts are equal, too. Null and empty texts have
+the size of the row alone; texts of any length count whole. Repeated rows and ties get slots of their own. An empty
+table gives an empty result. Columns of the input that bear a result's name are replaced.
 """
 
 from __future__ import annotations
@@ -48,15 +50,9 @@ def shard_column(key: Column, shards: int) -> Column:
     return udf(F.coalesce(key.cast("bigint"), F.lit(0).cast("bigint")))
 
 
-def range_column(key: Column, ranges: int = RANGES) -> Column:
-    """Range of a key within its shard: the high bits of the generator's first value."""
-
-    @F.pandas_udf("int")
-    def udf(keys: pd.Series) -> pd.Series:
-        first = keys.to_numpy(np.int64).view(np.uint64) * np.uint64(MULTIPLIER) + np.uint64(1)
-        return pd.Series(((first >> np.uint64(33)) % np.uint64(ranges)).astype(np.int32))
-
-    return udf(F.coalesce(key.cast("bigint"), F.lit(0).cast("bigint")))
+def range_column(*parts: Column, ranges: int = RANGES) -> Column:
+    """Range of a row within its shard, by a hash of what makes the row."""
+    return F.pmod(F.xxhash64(*parts), F.lit(ranges)).cast("int")
 
 
 def number_slots(df: DataFrame, shard: str, bucket: str, order: list[str], slot: str = "slot") -> DataFrame:
@@ -81,7 +77,7 @@ def assign_shards(df: DataFrame, key: str = "doc_id", shards: int = 24, column:
 
 def write_shards(df: DataFrame, path: str, key: str = "doc_id", shards: int = 24) -> None:
     """The rows as a folder per shard; each shard is written by several tasks, so a hot one doesn't wait on one."""
-    spread = assign_shards(df, key, shards, "shard").withColumn("__range", range_column(F.col(f"`{key}`"), 8))
+    spread = assign_shards(df, key, shards, "shard").withColumn("__range", range_column(*[F.col(f"`{c}`") for c in df.columns if c.lower() != "shard"], ranges=8))
     spread.repartition("shard", "__range").drop("__range").write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
@@ -97,7 +93,7 @@ def shard_report(docs: DataFrame, shards: int = 24) -> DataFrame:
         F.crc32(text_or_empty("text").cast("binary")).alias("text_crc32"),
     )
     key = F.col("doc_id")
-    placed = base.withColumns({"shard": shard_column(key, shards), "grown_shard": shard_column(key, shards + 1), "__range": range_column(key)})
+    placed = base.withColumns({"shard": shard_column(key, shards), "grown_shard": shard_column(key, shards + 1), "__range": range_column(key, F.col("size"), F.col("text_crc32"))})
     numbered = number_slots(placed, "shard", "__range", ["doc_id", "size", "text_crc32"])
     return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
@@ -107,6 +103,11 @@ def op2_jump_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with shard and slot, the last stage of the pipeline."""
-    placed = assign_shards(docs, "doc_id", 24).withColumns({"__range": range_column(F.col("doc_id")), "__crc": F.crc32(text_or_empty("text").cast("binary"))})
+    """The documents with shard and slot, the last stage of the pipeline.
+
+    Rows are numbered with their columns alongside: without a key that tells repeated rows apart, numbers could not be
+    joined back.
+    """
+    crc = F.crc32(text_or_empty("text").cast("binary"))
+    placed = assign_shards(docs, "doc_id", 24).withColumns({"__crc": crc, "__range": range_column(F.col("doc_id"), crc)})
     return number_slots(placed, "shard", "__range", ["doc_id", "__crc"]).drop("__range", "__crc")
