@@ -172,3 +172,37 @@ def test_lines(spark):
     assert got == want
     assert lines.clean(df.limit(0).select("doc_id", "source", "text")).count() == 0
     assert hashlib.md5(b"").hexdigest()
+
+
+def test_patterns_from_a_table(spark):
+    rows = [("block", "Bad.example", "/", None), ("allow", "bad.example", "/ok/", None), (None, None, None, "*/*.tar"), (None, None, None, None), ("block", None, "/", None)]
+    rules, globs = urls.read_rules(spark.createDataFrame(rows, "verdict string, host string, path string, glob string"))
+    assert rules == (("block", "bad.example", "/"), ("allow", "bad.example", "/ok/")) and globs == ("*/*.tar",)
+    pages = [(1, "http://x.BAD.example/a"), (2, "http://bad.example/ok/b.tar"), (3, "http://good/b.tar"), (4, "http://good/" + "b" * 200_000), (5, None), (6, "http://notbad.example/"), (1, "http://x.BAD.example/a")]
+    df = spark.createDataFrame(pages, "page_id int, url string").withColumn("verdict", F.lit("clash"))
+    got = sorted((r.page_id, r.rule, r.verdict) for r in urls.judge(df, rules, globs).collect())
+    assert got == [(1, "bad.example/", "block")] * 2 + [(2, "bad.example/ok/", "allow"), (3, None, "block"), (4, None, "allow"), (5, None, "block"), (6, None, "allow")]
+    assert {r.verdict for r in urls.judge(df.filter("url IS NOT NULL"), (), ()).collect()} == {"allow"}
+    with pytest.raises(ValueError):
+        urls.read_rules(spark.createDataFrame(rows, "verdict string, host string, path string, glob string"), most=4)
+
+
+def test_many_patterns_at_once():
+    rng = random.Random(1)
+    globs = [f"*.{''.join(rng.choices('abc', k=3))}/*{''.join(rng.choices('xyz', k=4))}*" for _ in range(400)]
+    texts = [f".{''.join(rng.choices('abc.', k=9))}/{''.join(rng.choices('xyz/', k=30))}" for _ in range(300)]
+    got = urls.GlobSet(globs).match(texts)
+    assert got.sum() > 50
+    for g, glob in enumerate(globs):
+        pattern = re.compile(urls.glob_regex(glob), re.S)
+        assert got[:, g].tolist() == [bool(pattern.fullmatch(t)) for t in texts]
+
+
+def test_clashing_columns_pass_the_stages(spark):
+    rows = [(1, "a b c", "s", 3, "x"), (None, None, None, None, "y"), (2, "", "t", 0, "z"), (2, "", "t", 0, "z")]
+    names = ["size", "target", "taken", "source_size", "score", "shard", "slot", "__key", "__words", "weight"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, lang string").withColumns({n: F.lit(n) for n in names})
+    mixed = mixing.stage(spark, docs, "")
+    assert mixed.columns == docs.columns and {r["size"] for r in mixed.collect()} == {"size"}
+    placed = sharding.stage(spark, docs, "")
+    assert len(placed.columns) == len(docs.columns) and placed.count() == 4

@@ -1,6 +1,7 @@
 """PII, quality, toxicity and decontamination against plain versions and held-out rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -59,6 +60,72 @@ def test_contexts_find_unseen_identifiers(spark):
     assert not any(v for k, v in got.items() if k != 40 and k != 42)
 
 
+def found_spans(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("base", F.lit("clash")).repartition(3)
+    return {r.doc_id: [(pii.KINDS[x.kind], x.s, x.e) for x in r.extra] for r in pii.find(rows).collect()}
+
+
+@pytest.mark.parametrize(
+    ("seed", "unseen", "kind"),
+    [
+        ("call mobile +1 (415) 555-1{:03d} today", "call mobile 415-555-2{:03d} today", "phone"),
+        ("my account mail joe{}@mail.example now", "my account mail jill{}@localhost now", "email"),
+        ("Server=10.0.7.{} is down", "server=10-1-7-{} was up", "ip"),
+        ("reach tel:+256 772 001 {:03d} (home)", "reach tel:0772.002.{:03d} (work)", "phone"),
+    ],
+)
+def test_whole_spans_teach_contexts(spark, seed, unseen, kind):
+    texts = [seed.format(i + 100) for i in range(40)] + [unseen.format(i + 100) for i in range(20)] + [None, "", "mobile mail tel:", "\ue001 +1 (415) 555-1999 \ue0b0"]
+    got = found_spans(spark, texts)
+    for i in range(40, 60):
+        (found,) = got[i]
+        assert found[0] == kind and re.fullmatch(r"[0-9a-z@.-]+", texts[i][found[1] : found[2]]), (texts[i], found)
+    assert not any(v for i, v in got.items() if not 40 <= i < 60)
+
+
+def plain_bootstrap(edges, rounds=pii.ROUNDS):
+    """(core, kind) by the scores of the docstring, in plain Python."""
+    shape = lambda k, c: re.search(pii.SHAPES[pii.KINDS[k]], c) is not None
+    of = {}
+    for p, c, k in edges:
+        of.setdefault(p, set()).add(c)
+    known = [(p, c, k, 1.0) for p, c, k in edges if k >= 0]
+    unseen = {(p, c) for p, c, k in edges if k < 0}
+    for _ in range(rounds):
+        mass, support = {}, {}
+        for p, _, k, s in known:
+            mass[p, k] = mass.get((p, k), 0.0) + s
+            support[p, k] = support.get((p, k), 0) + (s >= 0.5)
+        good = {pk: m / (len(of[pk[0]]) + 1) for pk, m in mass.items() if support[pk] >= pii.LEAST_SUPPORT and m / (len(of[pk[0]]) + 1) >= pii.LEAST_PATTERN}
+        doubt = {}
+        for p, c in unseen:
+            for k in range(4):
+                if (p, k) in good and shape(k, c):
+                    doubt[c, k] = doubt.get((c, k), 0.0) + math.log1p(-min(good[p, k], 0.999))
+        best = {}
+        for (c, k), d in sorted(doubt.items(), key=lambda x: x[0][1]):
+            if 1 - math.exp(d) > best.get(c, (None, 0.0))[1]:
+                best[c] = (k, 1 - math.exp(d))
+        found = {c: v for c, v in best.items() if v[1] >= 0.5}
+        known = [(p, c, k, 1.0) for p, c, k in edges if k >= 0] + [(p, c, *found[c]) for p, c in unseen if c in found]
+    return {(c, k) for c, (k, s) in found.items() if s >= pii.LEAST_INSTANCE}
+
+
+def test_scores_against_plain(spark):
+    from hearthframe.llm.common import Scratch
+
+    rng = random.Random(13)
+    edges = set()
+    for i in range(900):
+        kind = rng.choice([-1, 0, 0, 1, 1, 2, 2, 3, 3])
+        core = {0: f"a{i}@b.c", 1: f"1.2.3.{i % 250}", 2: luhn_card(rng), 3: f"+1 415 555 {i:04d}"}.get(kind) or rng.choice([f"u{i % 60}@h", f"10-0-0-{i % 90}", f"07{i % 80:08d}", f"word{i}"])
+        for _ in range(rng.randrange(1, 4)):
+            edges.add((f"l:w{(rng.randrange(4) if kind < 0 else kind) * 5 + rng.randrange(6)}", core, kind))
+    got = pii.bootstrap(spark.createDataFrame(sorted(edges), "pattern string, core string, kind int"), Scratch(spark, "t")).collect()
+    want = plain_bootstrap(edges)
+    assert {(r.core, r.found) for r in got} == want and len(want) > 3
+
+
 def test_redaction(spark):
     rows = spark.createDataFrame([(1, "mail a@b.cd now"), (2, None)], "doc_id int, text string")
     assert {r.doc_id: r.text for r in pii.redact(rows).collect()} == {1: "mail xxxxxx now", 2: ""}
@@ -124,6 +191,38 @@ def test_quality(spark):
     assert quality.score(docs.limit(3), plain, ["doc_id"]).count() == 3
 
 
+def test_quality_is_the_difference_of_direct_compressions(spark):
+    import zstandard
+
+    docs, labels = corpus(spark)
+    model = quality.train(docs, labels)
+    texts = [None, "", "a", "word " * 9_000, "é" * 700, *[r["text"] for r in docs.limit(30).collect()]]
+
+    def size(text, content):
+        raw = text.encode()
+        with_dict = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(content), write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(with_dict.compress(raw[i : i + 256])) for i in range(0, len(raw), 256))
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("difference", F.lit("clash"))
+    got = {r["doc_id"]: r["score"] for r in quality.score(rows.select("doc_id", "text"), model, ["doc_id"]).collect()}
+    for i, t in enumerate(texts):
+        a, b = (size(t, model.bad), size(t, model.good)) if t else (1, 1)
+        d = 10 * (a - b) / (a + b)
+        z = model.weights @ np.array([1, d, d * abs(d)])
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-12)
+    assert quality.score(rows.limit(0), model, ["doc_id"]).count() == 0
+    assert quality.train(docs, labels, most_pieces=40).weights[1] != 0
+
+
+def test_margin_is_the_sum_over_pairs():
+    rng = np.random.default_rng(3)
+    fm = toxicity.FactorizationMachine(0.3, rng.normal(size=64), rng.normal(size=(64, 4)), 1.5, -0.2)
+    texts = [np.unique(rng.integers(0, 64, n)) for n in (0, 1, 2, 7, 0, 40, 3)]
+    want = [0.3 + sum(fm.linear[i] for i in t) + sum(fm.factors[i] @ fm.factors[j] for a, i in enumerate(t) for j in t[a + 1 :]) for t in texts]
+    assert np.allclose(fm.margins(texts), want)
+    assert np.allclose(fm.scores(texts), [1 / (1 + math.exp(-1.5 * w + 0.2)) for w in want])
+
+
 def plain_words(t):
     return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
 
