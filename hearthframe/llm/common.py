@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -105,3 +105,17 @@ def stream_groups(batches: Iterator[pa.RecordBatch], key: str | list[str]) -> It
             last = now
     if held:
         yield pa.concat_tables(held)
+
+
+class Remembered(dict):
+    """Values by key under a function, of which a bounded number is remembered; looked up without a Python call once known."""
+
+    def __init__(self, made: Callable, most: int):
+        super().__init__()
+        self.made, self.most = made, most
+
+    def __missing__(self, key):
+        value = self.made(key)
+        if len(self) < self.most:
+            self[key] = value
+        return value

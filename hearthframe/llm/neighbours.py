@@ -3,8 +3,10 @@
 1. Equal vectors are one node, which keeps the ``k + 1`` smallest of its vec_ids: no answer can hold more of them.
 2. Nodes are projected to few dimensions, shifted, and ordered along a Hilbert curve, several times over with other
    projections and shifts. Each ordering is range-partitioned and sorted by Spark and cut into blocks by rank.
-3. A query meets the blocks around its place on each curve. These windows merge, and what they hold is reranked by the
-   exact inner product. Nothing outside the windows is looked at.
+3. A query meets the blocks around its place on each curve. Queries of neighbouring blocks go together, as a job of at
+   most about ``QUERIES_AT_ONCE``, and the rows of their windows stream past them; a job holds its queries, their best so
+   far and one chunk of rows. The windows of all curves merge, reranked by the exact inner product. Nothing outside the
+   windows is looked at.
 4. How many curves are used and how wide their windows are is fitted on a bounded sample of the queries (``SAMPLE``): their
    true neighbours among all nodes are found by a scan, and the cheapest windows that hold the target share of them
    are taken. So windows are a few blocks wide where vectors lie in clusters, and grow with the table where they have
@@ -26,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, only, stream_groups, table
+from .common import Scratch, only, table
 
 CURVES = 6
 FEWEST_CURVES = 2
 DIMENSIONS = 4
 BITS = 10
 BLOCK = 2048
-QUERIES_AT_ONCE = 2048
+QUERIES_AT_ONCE = 1024
 NEAREST = 20
 #: Target share of true neighbours in the windows, and the number of queries it is fitted on.
 RECALL = 0.95
@@ -224,43 +226,94 @@ def fit_windows(nodes: DataFrame, ranks: DataFrame, k: int, block: int, recall:
 PAIRS = "curve int, asker long, node long, least long, score double"
 
 
+class Meeting:
+    """Queries of one job and the k best nodes each has seen."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.asked: list[np.ndarray] = []
+        self.vectors: list[np.ndarray] = []
+        self.q: np.ndarray | None = None
+        self.best: tuple[np.ndarray, ...] = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64))
+
+    def ask(self, nodes: np.ndarray, vectors: np.ndarray) -> None:
+        self.asked.append(nodes)
+        self.vectors.append(vectors)
+
+    def see(self, nodes: np.ndarray, least: np.ndarray, x: np.ndarray) -> None:
+        if not self.asked:
+            return
+        if self.q is None:
+            self.q = np.concatenate(self.vectors)
+            self.floor = np.full(len(self.q), -np.inf)
+        for a in range(0, len(x), 2048):
+            part = x[a : a + 2048]
+            product = self.q @ part.T
+            own = np.partition(product, max(0, len(part) - self.k), axis=1)[:, max(0, len(part) - self.k)]
+            floor = np.maximum(own, self.floor) if len(part) >= self.k else self.floor
+            with np.errstate(invalid="ignore"):
+                floor = np.where(np.isfinite(floor), floor - 1e-9 * (1 + np.abs(floor)), -np.inf)  # the fast product is near the exact one; ties stay in
+            i, j = np.nonzero(product >= floor[:, None])
+            new = (i, inner(part[j], self.q[i]), least[a + j], nodes[a + j])
+            i, score, low, node = (np.concatenate([u, v]) for u, v in zip(self.best, new))
+            order = np.lexsort((node, low, -score, i))
+            i = i[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            kept = order[place < self.k]
+            self.best = (i[place < self.k], score[kept], low[kept], node[kept])
+            last = place == self.k - 1
+            self.floor[i[last]] = score[order][last]
+
+    def result(self, curve: int) -> pa.RecordBatch:
+        i, score, low, node = self.best
+        asked = np.concatenate([np.empty(0, np.int64), *self.asked])
+        made = [np.full(len(i), curve, np.int32), asked[i.astype(np.int64)], node, low, score]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in made], names=["curve", "asker", "node", "least", "score"])
+
+
 def meet(rows: DataFrame, k: int) -> DataFrame:
-    """The k best of each block for each query that came to it; rows: (curve, block, salt, query, node, least, vec)."""
+    """The k best nodes each query of a job meets there; rows: (curve, job, chunk, query, node, least, vec)."""
+    keys = ["curve", "job", "chunk"]
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in stream_groups(batches, ["curve", "block", "salt"]):
-            asks = group.column("query").to_numpy(zero_copy_only=False)
-            if asks.all() or not asks.any():
+        last, now = None, None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            ids, least, every = group.column("node").to_numpy(), group.column("least").to_numpy(), matrix(group.column("vec"))
-            x, xi, xl, q, qi = every[~asks], ids[~asks], least[~asks], every[asks], ids[asks]
-            for a in range(0, len(q), 256):
-                product = q[a : a + 256] @ x.T
-                floor = np.partition(product, max(0, len(x) - k), axis=1)[:, max(0, len(x) - k)]
-                floor -= 1e-9 * (1 + np.abs(floor))  # the fast product is near the exact one; ties stay in
-                i, j = np.nonzero(product >= floor[:, None])
-                made = [np.full(len(i), group.column("curve")[0].as_py(), np.int32), qi[a + i], xi[j], xl[j], inner(x[j], q[a + i])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], names=["curve", "asker", "node", "least", "score"])
-
-    return rows.repartition("curve", "block", "salt").sortWithinPartitions("curve", "block", "salt", "query", "node").mapInArrow(met, PAIRS)
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in [*keys, "query"]]
+            change = np.any([c[1:] != c[:-1] for c in columns], axis=0).nonzero()[0] + 1
+            nodes, least, x = batch.column("node").to_numpy(), batch.column("least").to_numpy(), matrix(batch.column("vec"))
+            for a, b in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
+                key = tuple(c[a] for c in columns[:3])
+                if key != last:
+                    if now is not None:
+                        yield now.result(last[0])
+                    last, now = key, Meeting(k)
+                if columns[3][a]:
+                    now.ask(nodes[a:b], x[a:b])
+                else:
+                    now.see(nodes[a:b], least[a:b], x[a:b])
+        if now is not None:
+            yield now.result(last[0])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, F.desc("query"), "node").mapInArrow(met, PAIRS)
 
 
 def in_windows(nodes: DataFrame, ranks: DataFrame, curves: int, reach: int, block: int, k: int, scratch: Scratch) -> DataFrame:
     """(asker, node, least, score): the k best nodes of each asking node in its windows, itself among them."""
     placed = ranks.filter(F.col("curve") < curves).withColumn("block", F.floor(F.col("rank") / block).cast("int")).drop("rank").join(nodes, "node")
     placed = scratch.write(placed, "blocks")
-    per = placed.groupBy("curve", "block").agg(F.count_if("asks").alias("n"))
-    around = Window.partitionBy("curve").orderBy("block").rangeBetween(-reach, reach)
-    most = per.select(F.sum("n").over(around).alias("n")).agg(F.max("n")).collect()[0][0] or 0  # one number
-    salts = max(1, -(-most // QUERIES_AT_ONCE))
-    last = placed.agg(F.max("block")).collect()[0][0] or 0  # one number
-    near = F.sequence(F.greatest(F.col("block") - reach, F.lit(0)), F.least(F.col("block") + reach, F.lit(last)))
-    asking = placed.filter("asks").withColumns({"block": F.explode(near), "salt": F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")})
-    held = placed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    of = lambda df, query: df.select("curve", "block", "salt", F.lit(query).alias("query"), "node", "least", "vec")
+    size = placed.agg(F.count_if("asks").alias("asks"), F.max("block").alias("last")).collect()[0]  # two numbers
+    per_block = -(-(size["asks"] or 0) // max(1, curves * ((size["last"] or 0) + 1)))
+    together = max(1, QUERIES_AT_ONCE // max(1, per_block))  # blocks whose queries go together
+    asking = placed.filter("asks").withColumn("job", F.floor(F.col("block") / together).cast("int"))
+    jobs = asking.groupBy("curve", "job").agg(F.ceil(F.count(F.lit(1)) / QUERIES_AT_ONCE).cast("int").alias("chunks"))
+    first, last = F.floor((F.col("block") - reach) / together).cast("int"), F.floor((F.col("block") + reach) / together).cast("int")
+    held = placed.withColumn("job", F.explode(F.sequence(F.greatest(first, F.lit(0)), last))).join(jobs, ["curve", "job"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    asking = asking.join(jobs, ["curve", "job"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    of = lambda df, query: df.select("curve", "job", "chunk", F.lit(query).alias("query"), "node", "least", "vec")
     best = lambda df, by: df.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "least", "node"))).filter(F.col("n") <= k).drop("n")
-    per_curve = best(meet(of(held, False).unionByName(of(asking, True)), k), ["asker", "curve"])
-    return best(per_curve.select("asker", "node", "least", "score").distinct(), ["asker"])
+    return best(meet(of(held, False).unionByName(of(asking, True)), k).select("asker", "node", "least", "score").distinct(), ["asker"])
 
 
 def search(rows: DataFrame, every: int = 20, k: int = NEAREST, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
