@@ -5,7 +5,7 @@ Texts are sets of five-word shingles; two texts are linked at a Jaccard similari
 1. Equal texts are one node. A node carries the size of its set and 64 sampled tokens: the least shingles under 64
    hash functions, so two sets share a token with the probability of their similarity.
 2. Sets are split on sampled shared tokens: each run picks BRANCH tokens at the root, and a set goes to the bucket of
-   each. The LEADERS sets of least hash lead a bucket, whatever its size, and every set is held against them by its
+   each. The LEADERS sets of least node (a hash of the text) lead a bucket, whatever its size, and every set is held against them by its
    tokens: a set near a leader is tied to it, and one that is far from all goes down the recursion, split on further
    tokens, until nothing is left. So a bucket of no more sets than leaders is compared whole. Buckets are dealt to chunks
    of about CHUNK sets, each with the bucket's leaders, which are elected across chunks by a ranking that is cut before
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, only, stream_groups, table, text_or_empty
+from .common import Remembered, Scratch, only, stream_groups, table, text_or_empty
 from .components import connected_components
 from .contamination import WORDS_SQL, words
 
@@ -71,21 +71,13 @@ class Shingler:
     """Sorted distinct 64-bit shingle hashes of a text; remembers a bounded number of words."""
 
     def __init__(self, remember: int = 100_000):
-        self.known: dict[bytes, int] = {}
-        self.remember = remember
-
-    def word(self, w: bytes) -> int:
-        h = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        if len(self.known) < self.remember:
-            self.known[w] = h
-        return h
+        self.known = Remembered(lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"), remember)
 
     def __call__(self, text: str | None) -> np.ndarray:
         tokens = words(text)
         if not tokens:
             return np.empty(0, np.uint64)
-        get, new = self.known.get, self.word
-        h = np.fromiter((get(w) or new(w) for w in tokens), np.uint64, len(tokens))
+        h = np.fromiter(map(self.known.__getitem__, tokens), np.uint64, len(tokens))
         n = len(h) - SHINGLE + 1
         if n < 1:
             return mix64(np.array([(h * _SHINGLE_MULTIPLIERS[: len(h)]).sum() + _U(len(h))], np.uint64))
@@ -179,7 +171,7 @@ BUCKET_SCHEMA = "path long, node binary, tokens binary, leader binary"
 def bucket_pass(rows: DataFrame, leaders: int) -> DataFrame:
     """Ties (node, leader) within each bucket, and the rows to split further.
 
-    rows (path, chunk, leads, lot, node, tokens) come sorted so. A chunk of a bucket dealt to several has the bucket's
+    rows (path, chunk, leads, node, tokens) come sorted so, leading rows first. A chunk of a bucket dealt to several has the bucket's
     leaders as extra rows that lead; the leaders of a bucket in one chunk are its first rows. A row with a leader is a
     tie; a row without one goes down under its new path.
     """
@@ -205,6 +197,7 @@ def bucket_pass(rows: DataFrame, leaders: int) -> DataFrame:
             part = tied_parts(near, (lead[:, None, :] == lead[None]).sum(axis=2) >= TIED)
             tied = np.flatnonzero(near.any(axis=1))
             root = part[near[tied].argmax(axis=1)]
+            # One tie a row, to the least leader of its part: the same one in most buckets of a group.
             out += [(None, own[j], None, nodes[r]) for j, r in zip(tied.tolist(), root.tolist()) if own[j] != nodes[r]]
             out += [(None, nodes[k], None, nodes[r]) for k, r in enumerate(part.tolist()) if k != r and nodes[k] != nodes[r]]
             rest = np.flatnonzero(~(equal >= ABSORBED).any(axis=1))
@@ -226,21 +219,21 @@ def possible_ties(nodes: DataFrame, scratch: Scratch, leaders: int = LEADERS, ch
     """(u, v) ties whose components hold every linked pair, of nodes (node, tokens, paths)."""
     ties: DataFrame | None = None
     rows = nodes.select(F.explode("paths").alias("path"), "node")
-    columns = ["path", "chunk", "leads", "lot", "node", "tokens"]
+    columns = ["path", "chunk", "leads", "node", "tokens"]
     for level in range(1, levels + 1):
         several = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         several = scratch.write(several, f"several{level}")
         shared = rows.join(several, "path")
         if level == 1:
             shared = shared.join(nodes.select("node", "tokens"), "node")
-        shared = shared.withColumns({"lot": F.xxhash64("path", "node"), "chunks": F.ceil(F.col("n") / chunk).cast("int")})
+        shared = shared.withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
         dealt = shared.withColumns({"chunk": F.pmod(F.xxhash64("node", "path"), F.col("chunks")).cast("int"), "leads": F.lit(0)}).select(*columns)
         if not several.filter(F.col("n") > chunk).isEmpty():
-            by_lot = Window.partitionBy("path").orderBy("lot", "node")
-            elected = shared.filter("chunks > 1").withColumn("place", F.row_number().over(by_lot)).filter(F.col("place") <= leaders)
+            by_node = Window.partitionBy("path").orderBy("node")
+            elected = shared.filter("chunks > 1").withColumn("place", F.row_number().over(by_node)).filter(F.col("place") <= leaders)
             copies = elected.withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "leads": F.lit(1)}).select(*columns)
             dealt = dealt.unionByName(copies)
-        made = bucket_pass(dealt.repartition("path", "chunk").sortWithinPartitions("path", "chunk", F.desc("leads"), "lot", "node"), leaders)
+        made = bucket_pass(dealt.repartition("path", "chunk").sortWithinPartitions("path", "chunk", F.desc("leads"), "node"), leaders)
         made = scratch.write(made, f"level{level}")
         tied = made.filter("leader is not null").select(F.col("node").alias("u"), F.col("leader").alias("v"))
         ties = tied if ties is None else ties.unionByName(tied)
