@@ -86,6 +86,14 @@ def blocks_of(windows: DataFrame, size: int) -> Iterator[Windows]:
         yield Windows(list(vocabulary), terms, [sorted(r["items"]) for r in rows])
 
 
+class Numbered(dict):
+    """Numbers of keys in order of first sight."""
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = number = len(self)
+        return number
+
+
 INDEX_SCHEMA = "segment string, doc_ids binary, doc_nulls binary, doc_starts binary, doc_words binary, terms array<binary>, term_starts binary, positions binary"
 
 
@@ -94,7 +102,7 @@ def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFram
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, numbers = TaskContext.get().partitionId(), count()
-        vocabulary: dict[bytes, int] = {}
+        vocabulary = Numbered()
         ids: list[np.ndarray] = []
         keys: list[int | None] = []
         starts: list[int] = [0]
@@ -122,9 +130,8 @@ def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFram
                 w = words(text)
                 if keys and starts[-1] + len(w) > segment_words:
                     yield flush()
-                    vocabulary, ids, keys, starts = {}, [], [], [0]
-                number = vocabulary.setdefault
-                ids.append(np.fromiter((number(x, len(vocabulary)) for x in w), np.int32, len(w)))
+                    vocabulary, ids, keys, starts = Numbered(), [], [], [0]
+                ids.append(np.fromiter(map(vocabulary.__getitem__, w), np.int32, len(w)))
                 keys.append(key)
                 starts.append(starts[-1] + len(w) + DOCUMENT_GAP)
         if keys:
