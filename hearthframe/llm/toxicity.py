@@ -4,9 +4,11 @@ A text is the set of its hashed terms. The score is w0 + sum w_i + sum over pair
 insult and a group's name can weigh more than its parts. The pair sum costs one pass over the terms.
 
 Learning: a bounded sample of labelled rows (``most_rows``, smallest hash of doc_id within each label; documented and
-by default 12,000), whose term ids, not texts, come to the driver. Scoring: whole texts, in Arrow batches, with the
-fixed-size weights in the task closure. Null and empty texts get the score of no terms. Repeated labels of one doc_id
-count as toxic if any does; null labels or ids teach nothing. With one class only, all scores are that class's rate.
+by default 12,000), whose term ids, not texts, come to the driver. Scoring: whole texts of any length, in Arrow batches, with the
+fixed-size weights in the task closure. Null and empty texts get the score of no terms. Repeated rows score alike.
+Repeated labels of one doc_id count as toxic if any does; null labels or ids teach nothing. With one class only, or an
+empty table of labels, all scores are that class's rate. An empty table gives an empty result. Columns of the input may
+bear any name, ``score`` too: the stage carries them apart.
 """
 
 from __future__ import annotations
@@ -14,13 +16,14 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, table, text_or_empty
+from .common import Remembered, only, table, text_or_empty
 
 BITS = 18
 FACTORS = 4
@@ -35,22 +38,17 @@ class TermHasher:
     """Distinct hashed terms of a text: its words and their beginnings of 5 and 7 letters. Remembers a bounded number of words."""
 
     def __init__(self, bits: int = BITS, remember: int = 100_000):
-        self.mask, self.remember, self.known = (1 << bits) - 1, remember, {}
+        mask = (1 << bits) - 1
+
+        def made(w: bytes) -> tuple[int, ...]:
+            word = w.decode("utf-8", "replace")
+            return (zlib.crc32(w) & mask, *(zlib.crc32(b"^" + word[:n].encode("utf-8", "replace")) & mask for n in (5, 7) if len(word) > n))
+
+        self.known = Remembered(made, remember)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.int64)
-        known, mask = self.known, self.mask
-        ids: list[int] = []
-        for w in set(text.encode("utf-8", "surrogatepass").translate(_SPACES).split()):
-            i = known.get(w)
-            if i is None:
-                word = w.decode("utf-8", "replace")
-                i = (zlib.crc32(w) & mask, *(zlib.crc32(b"^" + word[:n].encode("utf-8", "replace")) & mask for n in (5, 7) if len(word) > n))
-                if len(known) < self.remember:
-                    known[w] = i
-            ids += i
-        return np.unique(np.asarray(ids, np.int64))
+        words = set((text or "").encode("utf-8", "surrogatepass").translate(_SPACES).split())
+        return np.unique(np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), np.int64))
 
 
 @dataclass
@@ -62,14 +60,26 @@ class FactorizationMachine:
     shift: float = 0.0
 
     def margin(self, ids: np.ndarray) -> float:
-        if not len(ids):
-            return self.bias
-        v = self.factors[ids]
-        s = v.sum(axis=0)
-        return self.bias + float(self.linear[ids].sum()) + 0.5 * float(s @ s - (v * v).sum())
+        return float(self.margins([ids])[0])
+
+    def margins(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Margins of several texts in one pass over all their terms."""
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        out = np.full(len(texts), float(self.bias))
+        some = np.flatnonzero(lengths)
+        if len(some):
+            ids = np.concatenate([texts[i] for i in some])
+            starts = np.concatenate([[0], np.cumsum(lengths[some])[:-1]])
+            v = self.factors[ids].astype(np.float64)
+            s, squares = np.add.reduceat(v, starts, axis=0), np.add.reduceat((v * v).sum(axis=1), starts)
+            out[some] += np.add.reduceat(self.linear[ids].astype(np.float64), starts) + 0.5 * ((s * s).sum(axis=1) - squares)
+        return out
+
+    def scores(self, texts: list[np.ndarray]) -> np.ndarray:
+        return 1.0 / (1.0 + np.exp(-np.clip(self.slope * self.margins(texts) + self.shift, -30, 30)))
 
     def score(self, ids: np.ndarray) -> float:
-        return float(1.0 / (1.0 + np.exp(-np.clip(self.slope * self.margin(ids) + self.shift, -30, 30))))
+        return float(self.scores([ids])[0])
 
     def thin(self) -> "FactorizationMachine":
         """With 32-bit weights, to be sent to the tasks."""
@@ -273,7 +283,8 @@ def score(docs: DataFrame, model: FactorizationMachine, keep: list[str], bits: i
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         hasher, fm = TermHasher(bits), shared.value
         for texts in batches:
-            yield pd.Series([fm.score(hasher(t)) for t in texts], dtype="float64")
+            made = [fm.scores([hasher(t) for t in texts.iloc[a : a + 256]]) for a in range(0, len(texts), 256)]
+            yield pd.Series(np.concatenate([np.empty(0), *made]), dtype="float64")
 
     return docs.select(*keep, scored(text_or_empty(text)).alias("score"))
 
@@ -289,5 +300,5 @@ def op4_fm_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are not toxic."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    given = docs.columns
-    return score(docs, model, given).filter(F.col("score") < CUT).select(*given)
+    kept = score(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "text"), model, ["__row"]).filter(F.col("score") < CUT)
+    return kept.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
