@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from hearthframe.llm import contamination, mixing, ngram_join, sharding, toxicity
-from hearthframe.llm.common import Scratch, table
+from hearthframe.llm.common import Scratch, release, scratch_mark, table
 
 STAGES = [
     ("toxicity", toxicity.stage),
@@ -24,9 +24,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage keeps is written to the shared folder."""
+    """All stages over documents; what a stage keeps is written to the shared folder, what it needed for that is deleted."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
+        mark = scratch_mark()
         docs = scratch.write(stage(spark, docs, sf_dir), name)
+        release(spark, mark)
+        if before:
+            scratch.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
