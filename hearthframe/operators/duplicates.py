@@ -70,6 +70,20 @@ def links(pairs: DataFrame, similarity: Column) -> DataFrame:
     return pairs.withColumn("sim", similarity).filter((F.col("sim") >= SIMILAR) | (same & (F.col("sim") >= SIMILAR_SAME_AGENT))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def same_posting(rows: DataFrame, rid: str = "rid", keys: tuple[str, ...] = ("source", "source_id")) -> DataFrame:
+    """(u, v): each later row of a portal's id tied to its first, so a group of n rows makes n - 1 links. Null ids tie nothing."""
+    known = rows.dropna(subset=list(keys))
+    first = known.groupBy(*keys).agg(F.min(rid).alias("u"))
+    return known.join(first, list(keys)).filter(F.col("u") != F.col(rid)).select("u", F.col(rid).alias("v"))
+
+
+def listing_links(rows: DataFrame, rid: str = "rid") -> DataFrame:
+    """(u, v) among listings: equal portal ids, and pairs of one market, type, number of bedrooms and place (nulls are a value) with
+    nearly one price that are linked by agent or text. rows: rid, source, source_id, market, ptype, bedrooms, place, price, agent, txt."""
+    pairs = candidate_pairs(rows, ["market", "ptype", "bedrooms", "place"], rid, carry=["txt", "agent"])
+    return same_posting(rows, rid).unionByName(links(pairs, token_sort_ratio("txt_a", "txt_b"))).distinct()
+
+
 def clusters(rows: DataFrame, edges: DataFrame, rid: str = "rid", most_rounds: int = 60) -> DataFrame:
     """(rid, cluster): least id of the linked rows, by labels that spread along links and jump to their label's label."""
     from .graph import _settled

@@ -230,6 +230,64 @@ def moran_permutation(values: DataFrame, weights: DataFrame, permutations: int =
     return {"moran": observed, "p": float(((np.abs(sims - sims.mean()) >= abs(observed - sims.mean())).sum() + 1) / (permutations + 1)), "z": float((observed - sims.mean()) / sims.std())}
 
 
+def covered(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, int]]:
+    """Share of rows with a value and number of different values (at most a few matter; approximate beyond), in one pass."""
+    there = [c for c in columns if c in df.columns]
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"c{i}") for i, c in enumerate(there)], *[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(there)]).collect()[0]  # one row
+    return {c: (row[f"c{i}"] / row["n"] if row["n"] else 0.0, row[f"d{i}"]) for i, c in enumerate(there)}
+
+
+def feature_matrix(df: DataFrame, numeric: list[str], categorical: list[str], flags: str = "f_", least: float = 0.3, xy: tuple[str, str] | None = ("x", "y")) -> tuple[DataFrame, list[str]]:
+    """Adds the model's columns and names them: numbers present in more than ``least`` of the rows, all flags, one 0/1
+    column for each level of a category that has several (null is the level "missing"), coordinates in kilometres."""
+    share = covered(df, [*numeric, *categorical])
+    names = [c for c in numeric if share.get(c, (0.0, 0))[0] > least] + [c for c in df.columns if c.startswith(flags)]
+    out = df.withColumns({c: F.col(c).cast("double") for c in names}) if names else df
+    for c in categorical:
+        level = F.coalesce(F.col(c).cast("string"), F.lit("missing"))
+        levels = levels_of(df.select(level.alias(c)), c) if share.get(c, (0.0, 0))[1] > 1 else []
+        out = out.withColumns({f"{c}__{v}": (level == v).cast("double") for v in levels}) if levels else out
+        names += [f"{c}__{v}" for v in levels]
+    if xy:
+        out = out.withColumns({"x_km": F.col(xy[0]) / 1000, "y_km": F.col(xy[1]) / 1000})
+        names += ["x_km", "y_km"]
+    return out, names
+
+
+#: Terms of the price model: name, columns it needs, expression, least share of rows with a value, market or None for both.
+PRICE_TERMS = (
+    ("bedrooms", lambda: F.col("bedrooms"), "bedrooms", 0.0, None),
+    ("bedrooms_squared", lambda: F.col("bedrooms") * F.col("bedrooms"), "bedrooms", 0.0, None),
+    ("bathrooms", lambda: F.col("bathrooms"), "bathrooms", 0.8, None),
+    ("log_plot", lambda: F.when(F.col("plot_decimals") > 0, F.ln("plot_decimals")), "plot_decimals", 0.5, "sale"),
+    ("log_night_light", lambda: F.log1p("ntl_500m"), "ntl_500m", 0.8, None),
+    ("wealth_index", lambda: F.col("wealth_index"), "wealth_index", 0.8, None),
+)
+
+
+def price_design(df: DataFrame, market: str, amenities: list[str], distances: list[str], effects: dict[str, str | None]) -> tuple[DataFrame, list[str]]:
+    """Adds the columns of a log-price regression to the rows of a market and names them, by what the rows hold.
+
+    Terms of PRICE_TERMS and the given amenities (as they are) and distances (log of one more) enter if enough rows have
+    them and they vary; ``effects`` are categories with their reference level, or None for the first. Rows without a
+    needed value are left out.
+    """
+    d = df.filter(F.col("listing_type") == market).withColumn("__one", F.lit(1.0))
+    share = covered(d, [*{t[2] for t in PRICE_TERMS}, *amenities, *distances, *effects])
+    there = lambda c, least: c in share and share[c][0] > least and share[c][1] > 1
+    made = {f"t_{n}": e().cast("double") for n, e, c, least, only in PRICE_TERMS if only in (None, market) and there(c, least)}
+    made |= {f"t_{c}": F.col(c).cast("double") for c in amenities if there(c, 0.8)} | {f"t_log_{c}": F.log1p(F.col(c).cast("double")) for c in distances if there(c, 0.8)}
+    d = d.withColumns(made) if made else d
+    names = ["__one", *made]
+    for c, reference in effects.items():
+        if share.get(c, (0.0, 0))[1] > 1:
+            levels = levels_of(d, c)
+            levels = [v for v in levels if v == reference] + [v for v in levels if v != reference]
+            d, more = dummies(d, c, levels, f"t_{c}__")
+            names += more
+    return d.dropna(subset=names), names
+
+
 def wealth_index(df: DataFrame, columns: list[str], reversed_columns: tuple[str, ...] = ()) -> tuple[DataFrame, float]:
     """Adds wealth: the first principal component of standardised shares, sign-fixed and standardised; and its explained share."""
     stats = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(columns)]).collect()[0]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -218,6 +219,46 @@ def gi_star(values: DataFrame, weights: DataFrame) -> DataFrame:
     return g.join(F.broadcast(m)).select(F.col("i").alias("id"), ((F.col("sv") - F.col("m") * k) / (F.col("s") * F.sqrt((n * k - k * k) / (n - 1)))).alias("gi"))  # one row
 
 
+def local_permutation(values: DataFrame, weights: DataFrame, permutations: int = 999, seed: int = 42, alpha: float = 0.05, most_units: int = 1_000_000) -> DataFrame:
+    """(id, local_i, quadrant, p, cluster, gi, gi_p): local Moran and Getis-Ord statistics with conditional permutation p.
+
+    An area keeps its value and draws as many neighbours as it has from all others, without repeats; p is the share of
+    draws at least as far on the observed side. Areas are dealt to tasks, each with the values of all map units, of which
+    there may be ``most_units``. Areas without neighbours, and null values, take no part.
+    """
+    held = values.filter("v IS NOT NULL").select("id", F.col("v").cast("double").alias("v"))
+    known = weights.join(held.select(F.col("id").alias("i")), "i", "left_semi").join(held.select(F.col("id").alias("j")), "j", "left_semi")
+    every = [r["v"] for r in held.orderBy("id").select("v").limit(most_units + 1).collect()]  # at most most_units numbers
+    if len(every) > most_units:
+        raise ValueError(f"more than {most_units} map units")
+    shared = held.sparkSession.sparkContext.broadcast(np.array(every))
+    order = held.select("id", (F.row_number().over(Window.orderBy("id")) - 1).alias("at"))  # as many rows as map units
+    near = known.groupBy(F.col("i").alias("id")).agg(F.count(F.lit(1)).alias("k"))
+    own = known.join(held.select(F.col("id").alias("j"), "v"), "j").groupBy(F.col("i").alias("id")).agg(F.sum("v").alias("around"))
+    rows = local_moran(held, known.withColumn("w", 1 / F.count(F.lit(1)).over(Window.partitionBy("i")))).join(near, "id").join(own, "id").join(order, "id").join(gi_star(held, known), "id")
+    kind = dict(held.dtypes)["id"]
+
+    def drawn(frames):
+        v = shared.value
+        n = len(v)
+        for f in frames:
+            out = []
+            for r in f.itertuples(index=False):
+                rng = np.random.default_rng([seed, int(r.at)])
+                chosen = np.empty((permutations, int(r.k)), np.int64)
+                for c, top in enumerate(range(n - 1 - int(r.k), n - 1)):  # Floyd's sampling, all permutations at once
+                    pick = rng.integers(0, top + 1, permutations)
+                    chosen[:, c] = np.where((chosen[:, :c] == pick[:, None]).any(axis=1), top, pick)
+                sums = v[chosen + (chosen >= int(r.at))].sum(axis=1)
+                more, less = int((sums >= r.around - 1e-12).sum()), int((sums <= r.around + 1e-12).sum())
+                p = (min(more, less) + 1) / (permutations + 1)
+                label = {"HH": "High-High", "LL": "Low-Low", "HL": "High-Low", "LH": "Low-High"}[r.quadrant] if p < alpha else "Not significant"
+                out.append((r.id, r.local_i, r.quadrant, p, label, r.gi, p))
+            yield pd.DataFrame(out, columns=["id", "local_i", "quadrant", "p", "cluster", "gi", "gi_p"])
+
+    return rows.select("id", "local_i", "quadrant", "k", "around", "at", "gi").mapInPandas(drawn, f"id {kind}, local_i double, quadrant string, p double, cluster string, gi double, gi_p double")
+
+
 def spatial_blocks(points: DataFrame, size: float) -> DataFrame:
     return points.withColumn("block", F.concat_ws("_", _cell("x", size).cast("string"), _cell("y", size).cast("string")))
 

@@ -303,3 +303,35 @@ def matched_yield(t):
 def linear_baseline(t):
     d = t("dwelling").withColumns({"lp": F.ln("price"), "b": F.col("bedrooms").cast("double")})
     return M.cv_metrics(M.linear_baseline(d.filter("did % 5 <> 0"), d.filter("did % 5 = 0"), ["b", "plot", "floor_m2"], "lp").withColumn("fold", F.lit(0)), ["fold"], "lp", "prediction")
+
+
+@query("dedup_listings")
+def dedup_listings(t):
+    """Classes of listings that are one posting: by portal id, or by market, type, bedrooms, place, price and text."""
+    l = t("listing_raw")  # noqa: E741
+    rows = l.select(
+        F.col("lid").alias("rid"), "source", "source_id", F.col("listing_type").alias("market"), F.col("property_type").alias("ptype"), F.col("bedrooms_raw").alias("bedrooms"), F.lower("location_raw").alias("place"),
+        F.col("amount0").alias("price"), "agent", U.comparison_text(F.col("description"), F.col("title")).alias("txt"),
+    )
+    return U.clusters(rows, U.listing_links(rows))
+
+
+@query("lisa_permutation")
+def lisa_permutation(t):
+    from . import spatial as P
+
+    return P.S.local_permutation(P._values(t), P.S.knn_weights(P._areas(t), 6))
+
+
+@query("feature_matrix", ", f AS (SELECT * FROM dwelling) SELECT CAST(count(*) AS BIGINT) AS n, round(avg(CAST(bedrooms AS DOUBLE)), 6) AS bedrooms, round(avg(floor_m2), 6) AS floor_m2, round(avg(CAST(kind = (SELECT min(kind) FROM dwelling) AS DOUBLE)), 6) AS first_kind FROM f", ("dwelling",))
+def feature_matrix(t):
+    d, names = M.feature_matrix(t("dwelling"), ["bedrooms", "floor_m2", "absent"], ["kind"], xy=None)
+    first = next(n for n in names if n.startswith("kind__"))
+    return d.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("bedrooms"), 6).alias("bedrooms"), F.round(F.avg("floor_m2"), 6).alias("floor_m2"), F.round(F.avg(f"`{first}`"), 6).alias("first_kind"))
+
+
+@query("price_regression")
+def price_regression(t):
+    d = t("dwelling").withColumns({"listing_type": F.lit("sale"), "lp": F.ln("price"), "plot_decimals": F.col("plot")})
+    made, names = M.price_design(d, "sale", ["f_pool", "f_gated"], [], {"kind": None})
+    return _rows(t, M.ols_cluster(made, "lp", names, "unit"))

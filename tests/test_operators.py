@@ -133,3 +133,54 @@ def test_moran_ignores_scale(spark):
     w = S.knn_weights(a, 4)
     one, two = (S.moran_i(d, w).collect()[0]["moran"] for d in (v, v.withColumn("v", F.col("v") * 7 - 3)))
     assert one == pytest.approx(two) and one > 0.3
+
+
+def test_local_permutation(spark):
+    rng = np.random.default_rng(9)
+    side = 7
+    v = {(i, j): (10.0 if i < 3 and j < 3 else 0.0) + rng.normal(0, 0.1) for i in range(side) for j in range(side)}
+    number = {c: k for k, c in enumerate(v)}
+    values = spark.createDataFrame([(number[c], x) for c, x in v.items()] + [(99, None)], "id int, v double")
+    pairs = [(number[a], number[b], 1.0) for a in v for b in v if a != b and max(abs(a[0] - b[0]), abs(a[1] - b[1])) == 1]
+    weights = spark.createDataFrame(pairs + [(0, 99, 1.0)], "i int, j int, w double")
+    got = {r["id"]: r for r in S.local_permutation(values, weights).collect()}
+    assert set(got) == set(number.values())
+    corner = got[number[1, 1]]
+    assert corner["cluster"] == "High-High" and corner["p"] <= 0.01 and corner["gi"] > 3
+    assert got[number[5, 5]]["quadrant"] == "LL" and sum(r["p"] < 0.05 for r in got.values()) < len(got)
+    assert got == {r["id"]: r for r in S.local_permutation(values, weights).collect()}
+
+
+def test_listing_links_against_plain(spark):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(60)]
+    rows = []
+    for i in range(120):
+        text = " ".join(rng.choice(words, 12)) if i % 3 else rows[-1][9] + (" extra" if i % 2 else "") if rows else "x"
+        rows.append((i, f"s{i % 2}", str(i % 90) if i % 7 else None, ["rent", "sale", None][i % 3 and i % 2], "house", None if i % 4 else 2, "kira", float(1000 + (i // 3) * 3), f"a{i % 5}", text))
+    names = ["rid", "source", "source_id", "market", "ptype", "bedrooms", "place", "price", "agent", "txt"]
+    df = spark.createDataFrame(rows, "rid int, source string, source_id string, market string, ptype string, bedrooms int, place string, price double, agent string, txt string")
+    want = set()
+    of = lambda r, *c: tuple(r[names.index(x)] for x in c)
+    for a in rows:
+        same = [b[0] for b in rows if None not in of(a, "source", "source_id") and of(b, "source", "source_id") == of(a, "source", "source_id")]
+        if same and a[0] != min(same):
+            want.add((min(same), a[0]))
+        for b in rows:
+            if of(a, "market", "ptype", "bedrooms", "place") != of(b, "market", "ptype", "bedrooms", "place") or not (b[7] > a[7] or b[7] == a[7] and b[0] > a[0]) or b[7] > a[7] * 1.005:
+                continue
+            ratio = U.indel_ratio(U.token_sort(a[9]), U.token_sort(b[9]))
+            if ratio >= 88 or a[8] == b[8] and b[7] - a[7] <= 1e-3 * a[7] and ratio >= 60:
+                want.add((a[0], b[0]))
+    assert {(r["u"], r["v"]) for r in U.listing_links(df).collect()} == want and len(want) > 20
+
+
+def test_features_and_design(spark):
+    rows = [(i, "sale" if i % 2 else "rent", float(i % 5), None if i % 10 else 1.0, ["a", "b", None][i % 3], i % 2, 100.0 * i, 7.0, float(1 + i % 9)) for i in range(60)]
+    df = spark.createDataFrame(rows, "i int, listing_type string, bedrooms double, rare double, kind string, f_pool int, x double, y double, plot_decimals double")
+    d, names = M.feature_matrix(df, ["bedrooms", "rare", "absent"], ["kind"])
+    assert names == ["bedrooms", "f_pool", "kind__a", "kind__b", "kind__missing", "x_km", "y_km"] and d.count() == 60
+    assert d.agg(F.sum("kind__missing")).first()[0] == 20.0
+    made, terms = M.price_design(df, "sale", ["f_pool", "rare"], ["x"], {"kind": "b"})
+    assert terms == ["__one", "t_bedrooms", "t_bedrooms_squared", "t_log_plot", "t_log_x", "t_kind__1"] and made.count() == 30
+    assert "t_log_plot" not in M.price_design(df, "rent", [], [], {})[1]
