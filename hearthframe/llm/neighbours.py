@@ -7,7 +7,7 @@
    most about ``QUERIES_AT_ONCE``, and the rows of their windows stream past them; a job holds its queries, their best so
    far and one chunk of rows. The windows of all curves merge, reranked by the exact inner product. Nothing outside the
    windows is looked at.
-4. How many curves are used and how wide their windows are is fitted on a bounded sample of the queries (``SAMPLE``): their
+4. Which curves are used, how many, and how wide their windows are is fitted on a bounded sample of the queries (``SAMPLE``): their
    true neighbours among all nodes are found by a scan, and the cheapest windows that hold the target share of them
    are taken. So windows are a few blocks wide where vectors lie in clusters, and grow with the table where they have
    no structure to follow; at a target of 1 they span it, and the search is exact.
@@ -32,9 +32,10 @@ from .common import Scratch, only, table
 
 CURVES = 6
 FEWEST_CURVES = 2
-DIMENSIONS = 4
-BITS = 10
-BLOCK = 2048
+#: Dimensions of a projection and bits of each: few dimensions order vectors without structure best, more of them keep
+#: clusters apart. Each family has CURVES curves; an answer uses the first few of one family.
+FAMILIES = ((2, 16), (8, 7))
+BLOCK = 1024
 QUERIES_AT_ONCE = 1024
 NEAREST = 20
 #: Target share of true neighbours in the windows, and the number of queries it is fitted on.
@@ -44,7 +45,7 @@ SEED = 3
 _U = np.uint64
 
 
-def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
+def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     """Place on the Hilbert curve of rows of cell numbers (Skilling's transform, 2004), all rows at once."""
     x = cells.astype(np.uint64).T.copy()
     n = len(x)
@@ -74,8 +75,9 @@ def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key.astype(np.int64)
 
 
-def curve_keys(x: np.ndarray, rms: float, curve: int, dimensions: int = DIMENSIONS, bits: int = BITS) -> np.ndarray:
+def curve_keys(x: np.ndarray, rms: float, curve: int) -> np.ndarray:
     """Keys of one curve: its own projection and shift, cells over about seven standard deviations."""
+    dimensions, bits = FAMILIES[curve // CURVES]
     rng = np.random.default_rng([SEED, curve, x.shape[1]])
     m = min(dimensions, x.shape[1])
     axes = np.linalg.qr(rng.normal(size=(x.shape[1], m)))[0]
@@ -198,29 +200,30 @@ def true_neighbours(nodes: DataFrame, sample: list, k: int) -> DataFrame:
     return found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).select("asker", "node")
 
 
-def fit_windows(nodes: DataFrame, ranks: DataFrame, k: int, block: int, recall: float, sample: int = SAMPLE) -> tuple[int, int]:
-    """(curves, reach): the cheapest windows of ``reach`` blocks to either side on so many curves that hold the target share
+def fit_windows(nodes: DataFrame, ranks: DataFrame, k: int, block: int, recall: float, sample: int = SAMPLE) -> tuple[int, int, int]:
+    """(first, curves, reach): the cheapest windows of ``reach`` blocks to either side on so many curves that hold the target share
     of the sampled queries' true neighbours."""
     total = nodes.count()
     blocks = max(1, -(-total // block))
     if blocks <= 3 or recall >= 1:
-        return 1, blocks
+        return 0, 1, blocks
     asked = nodes.filter("asks").select("node", "vec").orderBy(F.xxhash64("vec")).limit(sample).collect()  # at most ``sample`` vectors
     if not asked:
-        return FEWEST_CURVES, 1
+        return 0, FEWEST_CURVES, 1
     pairs = true_neighbours(nodes, asked, k)
     here = ranks.select(F.col("node").alias("asker"), "curve", F.col("rank").alias("from"))
     apart = pairs.join(ranks, "node").join(here, ["asker", "curve"]).groupBy("asker", "node").agg(F.map_from_entries(F.collect_list(F.struct("curve", F.abs(F.col("rank") - F.col("from"))))).alias("d"))
     got = apart.select("d").collect()  # at most sample * k rows of so many numbers as curves
-    far = np.array([[r["d"][c] for c in range(CURVES)] for r in got], np.float64)
+    far = np.array([[r["d"][c] for c in range(CURVES * len(FAMILIES))] for r in got], np.float64)
     options = []
-    for curves in range(FEWEST_CURVES, CURVES + 1):
-        least = np.sort(far[:, :curves].min(axis=1))
-        need = least[min(len(least) - 1, int(np.ceil(recall * len(least))) - 1)]
-        reach = min(blocks, max(1, int(np.ceil(need / block))))
-        options.append((curves * min(blocks, 2 * reach + 1), curves, reach))
-    _, curves, reach = min(options)
-    return (1, blocks) if min(options)[0] >= FEWEST_CURVES * blocks else (curves, reach)
+    for first in range(0, CURVES * len(FAMILIES), CURVES):
+        for curves in range(FEWEST_CURVES, CURVES + 1):
+            least = np.sort(far[:, first : first + curves].min(axis=1))
+            need = least[min(len(least) - 1, int(np.ceil(recall * len(least))) - 1)]
+            reach = min(blocks, max(1, int(np.ceil(need / block))))
+            options.append((curves * min(blocks, 2 * reach + 1), curves, first, reach))
+    cost, curves, first, reach = min(options)
+    return (first, curves, reach) if cost < FEWEST_CURVES * blocks else (0, 1, blocks)  # windows that span the table: one curve is enough
 
 
 PAIRS = "curve int, asker long, node long, least long, score double"
@@ -299,9 +302,9 @@ def meet(rows: DataFrame, k: int) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys, F.desc("query"), "node").mapInArrow(met, PAIRS)
 
 
-def in_windows(nodes: DataFrame, ranks: DataFrame, curves: int, reach: int, block: int, k: int, scratch: Scratch) -> DataFrame:
+def in_windows(nodes: DataFrame, ranks: DataFrame, first_curve: int, curves: int, reach: int, block: int, k: int, scratch: Scratch) -> DataFrame:
     """(asker, node, least, score): the k best nodes of each asking node in its windows, itself among them."""
-    placed = ranks.filter(F.col("curve") < curves).withColumn("block", F.floor(F.col("rank") / block).cast("int")).drop("rank").join(nodes, "node")
+    placed = ranks.filter(F.col("curve").between(first_curve, first_curve + curves - 1)).withColumn("block", F.floor(F.col("rank") / block).cast("int")).drop("rank").join(nodes, "node")
     placed = scratch.write(placed, "blocks")
     size = placed.agg(F.count_if("asks").alias("asks"), F.max("block").alias("last")).collect()[0]  # two numbers
     per_block = -(-(size["asks"] or 0) // max(1, curves * ((size["last"] or 0) + 1)))
@@ -321,9 +324,9 @@ def search(rows: DataFrame, every: int = 20, k: int = NEAREST, recall: float = R
     spark = rows.sparkSession
     scratch = Scratch(spark, "neighbours")
     nodes, heads, queries = nodes_of(rows, every, k, scratch)
-    ranks = ranked(nodes, scratch, CURVES)
-    curves, reach = fit_windows(nodes, ranks, k, block, recall)
-    found = in_windows(nodes, ranks, curves, reach, block, k + 1, scratch)
+    ranks = ranked(nodes, scratch, CURVES * len(FAMILIES))
+    first, curves, reach = fit_windows(nodes, ranks, k, block, recall)
+    found = in_windows(nodes, ranks, first, curves, reach, block, k + 1, scratch)
     # Nodes back to rows: at most k + 1 nodes of at most k + 1 heads each, of which the first k + 1 can be in an answer.
     spread = found.join(heads, "node").select("asker", "score", F.explode("heads").alias("vec_id"), (F.col("node") == F.col("asker")).alias("own"))
     order = Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id")
