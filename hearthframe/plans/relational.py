@@ -116,12 +116,12 @@ def asof_nearest(t):
   b AS (SELECT floor(code / 2000) * 2000 + 1000 AS bin, quantile_cont(d, 0.05) AS d FROM cap GROUP BY 1 HAVING count(*) >= 10),
   a AS (SELECT bin, max(d) OVER (ORDER BY bin) AS day FROM b),
   s AS (SELECT bin AS x0, day AS y0, lead(bin) OVER (ORDER BY bin) AS x1, lead(day) OVER (ORDER BY bin) AS y1, row_number() OVER (ORDER BY bin) AS k FROM a)
-  SELECT code, round(CASE WHEN x1 IS NULL OR code <= x0 THEN y0 ELSE y0 + (y1 - y0) * (code - x0) / (x1 - x0) END, 2) AS day FROM cap JOIN s ON (k = 1 OR code >= x0) AND (x1 IS NULL OR code < x1)""",
+  SELECT code, round(CASE WHEN x1 IS NULL OR code <= x0 THEN y0 ELSE y0 + (y1 - y0) * (code - x0) / (x1 - x0) END, 6) AS day FROM cap JOIN s ON (k = 1 OR code >= x0) AND (x1 IS NULL OR code < x1)""",
 )
 def code_date(t):
     cap = t("orders").select(F.col("o_orderkey").alias("code"), F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).alias("d"))
     out = R.interpolate(cap.select("code"), R.monotone_anchors(cap, "code", "d"), "code", "bin", "day")
-    return out.select("code", F.round("y", 2).alias("day"))
+    return out.select("code", F.round("y", 6).alias("day"))
 
 
 @query("cpi_splice", ", o AS (SELECT month, value FROM monthly WHERE month <= DATE '1999-06-01'), n AS (SELECT month, value / 1000 AS value FROM monthly WHERE month >= DATE '1999-01-01'), r AS (SELECT n.value / o.value AS r FROM n JOIN o USING (month) WHERE month = DATE '1999-01-01') SELECT CAST(month AS VARCHAR) AS month, round(coalesce(n.value, o.value * r), 8) AS value FROM o FULL JOIN n USING (month), r", ("monthly",))
