@@ -34,15 +34,18 @@ def _matrix(row, k: int) -> np.ndarray:
 
 
 def ols_cluster(df: DataFrame, y: str, xs: list[str], cluster: str) -> list[dict]:
-    """Coefficients with CR1 standard errors; clusters are reduced to their cross products (hundreds of rows)."""
+    """Coefficients with CR1 standard errors. Clusters are reduced to their cross products, and those to their sum and, in
+    a second pass, to the cross products of their scores, so the driver sees two rows for any number of clusters."""
     names = [*xs, y]
-    parts = _products(df.dropna(subset=[*names, cluster]), names, [cluster]).collect()
-    mats = [(_matrix(r, len(names)), r["n"]) for r in parts]
-    k, n, g = len(xs), sum(m[1] for m in mats), len(mats)
-    total = sum(m[0] for m in mats)
+    parts = _products(df.dropna(subset=[*names, cluster]), names, [cluster])
+    pairs = [c for c in parts.columns if c not in (cluster, "n")]
+    row = parts.agg(*[F.sum(c).alias(c) for c in ["n", *pairs]], F.count(F.lit(1)).alias("g")).collect()[0]
+    total, k, n, g = _matrix(row, len(names)), len(xs), row["n"], row["g"]
     inv = np.linalg.pinv(total[:k, :k])
     b = inv @ total[:k, k]
-    meat = sum(np.outer(s, s) for s in (m[:k, k] - m[:k, :k] @ b for m, _ in mats))
+    cell = lambda i, j: F.col(f"p{min(i, j)}_{max(i, j)}")
+    scores = parts.select(*[(cell(i, k) - sum((cell(i, j) * float(b[j]) for j in range(k)), F.lit(0.0))).alias(f"s{i}") for i in range(k)])
+    meat = _matrix(_products(scores, [f"s{i}" for i in range(k)], []).collect()[0], k)
     v = inv @ meat @ inv * (g / (g - 1)) * ((n - 1) / (n - k))
     se = np.sqrt(np.diag(v))
     residual = total[k, k] - b @ total[:k, k]
@@ -61,35 +64,87 @@ def did_2x2(panel: DataFrame) -> DataFrame:
     return panel.agg(((m(1, 1) - m(0, 1)) - (m(1, 0) - m(0, 0))).alias("did"), F.count(F.lit(1)).alias("n"))
 
 
-def did_cluster(panel: DataFrame, draws: int = 999, seed: int = 42) -> dict:
-    """Difference in differences with point effects, CR1 t and a wild cluster bootstrap p (Webb weights, null imposed).
+WEBB = np.array([-np.sqrt(1.5), -1, -np.sqrt(0.5), np.sqrt(0.5), 1, np.sqrt(1.5)])
+
+
+def did_fit(panel: DataFrame, treatments: list[str], draws: int = 999, seed: int = 42) -> list[dict]:
+    """Difference in differences of several treatments at once, with point effects, CR1 t and a wild cluster bootstrap p
+    of each (Webb weights, its null imposed).
 
-    Points are both the fixed effects and the clusters; each is reduced to its cross products, and all draws are made
-    from those.
+    Points are both the fixed effects and the clusters; each is reduced to its cross products, from which all draws are
+    made where it lies, with numbers fixed by the point and the seed. A draw's coefficients and its variance are sums over
+    points, so the driver sees ``draws`` numbers a part, never the points.
     """
-    d = panel.withColumns({"x": (F.col("post") * F.col("treated")).cast("double"), "p": F.col("post").cast("double"), "yy": F.col("y").cast("double")})
-    d = demeaned(d, ["x", "p", "yy"], "point")
-    parts = _products(d, ["x", "p", "yy"], ["point"]).collect()
-    mats = np.array([_matrix(r, 3) for r in parts])
-    n, g, k = sum(r["n"] for r in parts), len(parts), 2 + len(parts)
-    total = mats.sum(axis=0)
-    inv = np.linalg.pinv(total[:2, :2])
-    factor = (g / (g - 1)) * ((n - 1) / (n - k))
-
-    def t_of(xy: np.ndarray) -> tuple[float, float, float]:
-        b = inv @ xy.sum(axis=0)
-        s = xy - mats[:, :2, :2] @ b
-        v = inv @ (s.T @ s) @ inv * factor
-        return b[0], np.sqrt(v[0, 0]), b[0] / np.sqrt(v[0, 0])
-
-    coef, se, t = t_of(mats[:, :2, 2])
-    restricted = total[1, 2] / total[1, 1]
-    fitted = mats[:, :2, 1] * restricted
-    residual = mats[:, :2, 2] - fitted
-    rng = np.random.default_rng(seed)
-    webb = np.array([-np.sqrt(1.5), -1, -np.sqrt(0.5), np.sqrt(0.5), 1, np.sqrt(1.5)])
-    ts = np.array([t_of(fitted + residual * rng.choice(webb, g)[:, None])[2] for _ in range(draws)])
-    return {"coef": float(coef), "se": float(se), "t": float(t), "p_boot": float((np.abs(ts) >= abs(t)).mean()), "n": int(n), "points": g}
+    k = len(treatments) + 1
+    names = [f"__x{i}" for i in range(k)]
+    d = panel.withColumns({names[i]: (F.col("post") * F.col(c)).cast("double") for i, c in enumerate(treatments)} | {names[-1]: F.col("post").cast("double"), "__y": F.col("y").cast("double")}).dropna(subset=[*names, "__y", "point"])
+    parts = _products(demeaned(d.select("point", *names, "__y"), [*names, "__y"], "point"), [*names, "__y"], ["point"])
+    cells = [c for c in parts.columns if c not in ("point", "n")]
+    ever = [F.count_if(F.col(f"t{i}") > 0).alias(f"t{i}") for i in range(k - 1)]
+    row = parts.agg(*[F.sum(c).alias(c) for c in ["n", *cells]], F.count(F.lit(1)).alias("g")).collect()[0]
+    treated = d.groupBy("point").agg(*[F.max(c).alias(f"t{i}") for i, c in enumerate(treatments)]).agg(*ever).collect()[0]
+    total, n, g = _matrix(row, k + 1), row["n"], row["g"]
+    inv = np.linalg.pinv(total[:k, :k])
+    b = inv @ total[:k, k]
+    factor = (g / (g - 1)) * ((n - 1) / (n - k - g)) if g > 1 and n - k > g else float("nan")
+    keyed = parts.select(F.xxhash64(F.col("point").cast("string")).alias("key"), *cells)
+
+    def drawn(j: int, betas: np.ndarray | None):
+        """Sums over points: without betas each draw's X'y, else the square of its coefficient's score."""
+        kept = [i for i in range(k) if i != j]
+        null = np.zeros(k)
+        null[kept] = np.linalg.pinv(total[np.ix_(kept, kept)]) @ total[kept, k]
+
+        def run(frames):
+            sums = np.zeros((draws, k) if betas is None else draws)
+            for f in frames:
+                for key, *v in f.itertuples(index=False, name=None):
+                    m = _matrix(dict(zip(cells, v)), k + 1)
+                    fitted = m[:k, :k] @ null
+                    xy = fitted + np.outer(np.random.default_rng([seed, j, key % 2**63]).choice(WEBB, draws), m[:k, k] - fitted)
+                    sums += xy if betas is None else ((xy - betas @ m[:k, :k]) @ inv[j]) ** 2
+            yield pd.DataFrame({"draw": np.arange(draws), "v": list(sums.reshape(draws, -1))})
+
+        met = keyed.mapInPandas(run, "draw int, v array<double>")
+        rows = met.groupBy("draw").agg(F.array(*[F.sum(F.col("v")[i]) for i in range(k if betas is None else 1)]).alias("v")).orderBy("draw").collect()  # one row a draw
+        return np.array([r["v"] for r in rows])
+
+    own = keyed.select(*[((sum((float(inv[j, i]) * (F.col(f"p{i}_{k}") - sum((F.col(f"p{min(i, q)}_{max(i, q)}") * float(b[q]) for q in range(k)), F.lit(0.0))) for i in range(k)), F.lit(0.0))) ** 2).alias(f"v{j}") for j in range(k - 1)])
+    squares = own.agg(*[F.sum(f"v{j}").alias(f"v{j}") for j in range(k - 1)]).collect()[0]
+    out = []
+    for j, name in enumerate(treatments):
+        se = float(np.sqrt(squares[f"v{j}"] * factor))
+        t = float(b[j] / se) if se > 0 else float("nan")
+        p = float("nan")
+        if draws and se > 0:
+            betas = drawn(j, None) @ inv
+            ts = betas[:, j] / np.sqrt(drawn(j, betas)[:, 0] * factor)
+            p = float((np.abs(ts) >= abs(t)).mean())
+        out.append({"treatment": name, "coef": float(b[j]), "se": se, "t": t, "p_boot": p, "n": int(n), "points": int(g), "treated_points": int(treated[f"t{j}"])})
+    return out
+
+
+def did_cluster(panel: DataFrame, draws: int = 999, seed: int = 42) -> dict:
+    """Difference in differences of one treatment (did_fit)."""
+    found = did_fit(panel, ["treated"], draws, seed)[0]
+    return {c: found[c] for c in ("coef", "se", "t", "p_boot", "n", "points")}
+
+
+def did_checks(panel: DataFrame, minutes: str, limits: tuple[float, ...] = (10, 20, 25), bands: tuple[float, ...] = (0, 15, 30), placebos: tuple[str, ...] = (), near: float = 15, subsets: dict[str, Column] | None = None, trim: tuple[float, float] = (0.05, 0.95), draws: int = 199, seed: int = 42) -> list[dict]:
+    """Difference in differences under other choices: nearness limits, bands of travel time together, placebo columns of
+    minutes to other places, values between two quantiles of their period, and subsets of rows. One row a check and treatment."""
+    m = F.col(minutes)
+    d = panel.withColumns({f"near_{v:g}": (m <= v).cast("int") for v in {*limits, near}} | {f"band_{a:g}_{b:g}": ((m > a if a else m >= a) & (m <= b)).cast("int") for a, b in zip(bands, bands[1:])} | {f"placebo_{c}": (F.col(c) <= near).cast("int") for c in placebos})
+    q = panel.groupBy("post").agg(F.percentile("y", trim[0]).alias("__lo"), F.percentile("y", trim[1]).alias("__hi"))
+    runs = [(f"limit {v:g}", d, [f"near_{v:g}"]) for v in limits] + [("dose", d, [f"band_{a:g}_{b:g}" for a, b in zip(bands, bands[1:])])] + [(f"placebo {c}", d, [f"placebo_{c}"]) for c in placebos]
+    runs += [("trimmed", d.join(q, "post").filter(F.col("y").between(F.col("__lo"), F.col("__hi"))), [f"near_{near:g}"])] + [(k, d.filter(c), [f"near_{near:g}"]) for k, c in (subsets or {}).items()]
+    return [{"check": label} | r for label, rows, treatments in runs for r in did_fit(rows, treatments, draws, seed)]
+
+
+def specifications(df: DataFrame, y: str, specs: dict[str, list[str]], controls: list[str], cluster: str, further: tuple[str, ...] = ()) -> list[dict]:
+    """Coefficients of the terms of each specification beside the controls, without and with the further terms; clustered errors."""
+    d = df.withColumn("__one", F.lit(1.0))
+    return [{"spec": name, "further": bool(more)} | r for name, terms in specs.items() for more in ([[], list(further)] if further else [[]]) for r in ols_cluster(d, y, ["__one", *terms, *more, *controls], cluster) if r["term"] in (*terms, *more)]
 
 
 def premium(coefs: list[dict], term: str) -> dict:
@@ -153,25 +208,64 @@ def block_folds(df: DataFrame, block: str, folds: int) -> DataFrame:
     return df.join(df.sparkSession.createDataFrame(rows, f"{block} {kind}, fold int"), block)
 
 
-def forest_cv(df: DataFrame, features: list[str], y: str, fold: str, trees: int = 20, seed: int = 42, boosted: bool = False) -> DataFrame:
-    """Predictions of every row by a forest (or boosted trees) fitted on the other folds' rows that have a target; missing features take the training median."""
-    from pyspark.ml.feature import VectorAssembler
+def learner(features: list[str], y: str, trees: int, seed: int, boosted: bool):
+    """A forest, or boosted trees, over the column __x made by ``filled``."""
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
-    together = VectorAssembler(inputCols=[f"__in_{f}" for f in features], outputCol="__x")
-    make = (lambda: GBTRegressor(featuresCol="__x", labelCol=y, maxIter=trees, seed=seed)) if boosted else (lambda: RandomForestRegressor(featuresCol="__x", labelCol=y, numTrees=trees, maxDepth=6, seed=seed))
+    return GBTRegressor(featuresCol="__x", labelCol=y, maxIter=trees, seed=seed) if boosted else RandomForestRegressor(featuresCol="__x", labelCol=y, numTrees=trees, maxDepth=6, seed=seed)
+
+
+def middles(train: DataFrame, features: list[str]) -> dict[str, float]:
+    row = train.agg(*[F.percentile_approx(f, 0.5, 10_000).alias(f) for f in features]).collect()[0]  # one row
+    return {f: float(row[f] or 0.0) for f in features}
+
+
+def filled(df: DataFrame, features: list[str], middle: dict[str, float]) -> DataFrame:
+    """Adds __in_<feature>, the value or else the median, and their vector __x."""
+    from pyspark.ml.feature import VectorAssembler
+
+    known = lambda f: F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double"))
+    return VectorAssembler(inputCols=[f"__in_{f}" for f in features], outputCol="__x").transform(df.withColumns({f"__in_{f}": F.coalesce(known(f), F.lit(middle[f])) for f in features}))
+
+
+def forest_cv(df: DataFrame, features: list[str], y: str, fold: str, trees: int = 20, seed: int = 42, boosted: bool = False) -> DataFrame:
+    """Predictions of every row by a forest (or boosted trees) fitted on the other folds' rows that have a target; missing features take the training median."""
     out = None
     for r in sorted(x[0] for x in df.select(fold).distinct().collect()):
         train, test = df.filter((F.col(fold) != r) & F.col(y).isNotNull()), df.filter(F.col(fold) == r)
-        middle = train.agg(*[F.percentile_approx(f, 0.5, 10_000).alias(f) for f in features]).collect()[0]  # one row
-        ready = lambda d: together.transform(d.withColumns({f"__in_{f}": F.coalesce(F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")), F.lit(float(middle[f] or 0.0))) for f in features}))
-        part = make().fit(ready(train)).transform(ready(test)).drop("__x", *[f"__in_{f}" for f in features])
+        middle = middles(train, features)
+        part = learner(features, y, trees, seed, boosted).fit(filled(train, features, middle)).transform(filled(test, features, middle)).drop("__x", *[f"__in_{f}" for f in features])
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def gwr(spark: SparkSession, df: DataFrame, y: str, xs: list[str], neighbours: int = 100) -> DataFrame:
-    """(rid, fitted, b0 .. bk): adaptive bisquare local regression at every point with a target and features.
+def random_folds(df: DataFrame, rid: str, folds: int, seed: int = 42) -> DataFrame:
+    """Adds fold from a hash of the id, so a rerun deals the same folds."""
+    return df.withColumn("fold", F.pmod(F.xxhash64(F.col(rid), F.lit(seed)), F.lit(folds)).cast("int"))
+
+
+def cv_schemes(df: DataFrame, features: list[str], y: str, rid: str, block: str, folds: int = 5, trees: int = 20, neighbours: int = 50) -> DataFrame:
+    """(scheme, model, n, rmse, mae, r2, mape) over all rows: folds of whole blocks against random folds; a forest, a linear
+    baseline and a local regression (needs x, y coordinates in columns "x" and "y") predict each fold from the others."""
+    out = None
+    for scheme, d in (("block", block_folds(df, block, folds)), ("random", random_folds(df, rid, folds))):
+        found = {"forest": forest_cv(d, features, y, "fold", trees)}
+        for r in sorted(x[0] for x in d.select("fold").distinct().collect()):
+            train, test = d.filter(F.col("fold") != r), d.filter(F.col("fold") == r)
+            for name, part in (("linear", linear_baseline(train, test, features, y)), ("local", test.join(gwr(df.sparkSession, train.withColumnRenamed(rid, "rid"), y, features, neighbours, at=test.withColumnRenamed(rid, "rid")).select(F.col("rid").alias(rid), F.col("fitted").alias("prediction")), rid))):
+                found[name] = found[name].unionByName(part) if name in found else part
+        for name, part in found.items():
+            rows = cv_metrics(part.withColumns({"scheme": F.lit(scheme), "model": F.lit(name)}), ["scheme", "model"], y, "prediction")
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def gwr(spark: SparkSession, df: DataFrame, y: str, xs: list[str], neighbours: int = 100, at: DataFrame | None = None) -> DataFrame:
+    """(rid, fitted, b0 .. bk, residual, leverage, c0 .. ck): adaptive bisquare local regression at every point with a target
+    and features, or at every point of ``at`` with features, whose residual and leverage are null.
+
+    leverage is the weight of a point's own target in its fitted value; c are the sums of squared weights of all targets in
+    a coefficient, so a coefficient's variance is c times that of the errors.
 
     A fit weighs only the points nearer than its neighbours-th nearest. At cell size s the points within s of a point
     lie in its nine cells, so the fit is final if so many are within s; the rest go on with larger cells, at most to the
@@ -179,11 +273,15 @@ def gwr(spark: SparkSession, df: DataFrame, y: str, xs: list[str], neighbours: i
     """
     from .spatial import _cell, _room, _widened
 
-    names = [f"b{i}" for i in range(len(xs) + 1)]
-    data = df.select("rid", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in xs], F.col(y).cast("double").alias("__y")).dropna()
-    far, n = _room(data, "x", "y", [("x", "y")], data)
-    kind = f"rid {dict(data.dtypes)['rid']}, b struct<fitted:double,{','.join(f'{c}:double' for c in names)}>"
-    columns = ["b.fitted", *[f"b.{c}" for c in names]]
+    names, squares = [f"b{i}" for i in range(len(xs) + 1)], [f"c{i}" for i in range(len(xs) + 1)]
+    features = [f"__f{i}" for i in range(len(xs))]
+    place = ["rid", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), *[F.col(c).cast("double").alias(f) for c, f in zip(xs, features)]]
+    data = df.select(*place, F.col(y).cast("double").alias("__y")).dropna()
+    goal = data if at is None else at.select(*place).dropna().withColumn("__y", F.lit(None).cast("double"))
+    far, n = _room(goal, "x", "y", [("x", "y")], data)
+    skipped = int(at is None)  # a point is no neighbour of itself
+    kind = f"rid {dict(data.dtypes)['rid']}, b struct<fitted:double,{','.join(f'{c}:double' for c in [*names, 'residual', 'leverage', *squares])}>"
+    columns = [f"b.{c}" for c in ("fitted", *names, "residual", "leverage", *squares)]
 
     def met(left: DataFrame, s: float) -> DataFrame:
         near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
@@ -191,31 +289,78 @@ def gwr(spark: SparkSession, df: DataFrame, y: str, xs: list[str], neighbours: i
         whole = s >= far
 
         def fit(targets: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
-            at, design, target = around[["x", "y"]].to_numpy(float), np.c_[np.ones(len(around)), around[xs].to_numpy(float)], around["__y"].to_numpy(float)
-            k, rows = min(neighbours, n - 1), []
-            for rid, px, py, *mine in targets[["rid", "x", "y", *xs]].itertuples(index=False, name=None):
+            at, design, target = around[["x", "y"]].to_numpy(float), np.c_[np.ones(len(around)), around[features].to_numpy(float)], around["__y"].to_numpy(float)
+            k, rows = min(neighbours, n - skipped), []
+            for rid, px, py, real, *mine in targets[["rid", "x", "y", "__y", *features]].itertuples(index=False, name=None):
                 d = np.hypot(at[:, 0] - px, at[:, 1] - py)
-                if len(d) <= k:
+                if len(d) < k + skipped:
                     continue
-                h = np.partition(d, k)[k] + 1e-9
+                h = np.partition(d, k - 1 + skipped)[k - 1 + skipped] + 1e-9
                 if h > s and not whole:
                     continue
                 held = d < h
                 w = (1 - (d[held] / h) ** 2) ** 2
                 x = design[held]
                 xw = x * w[:, None]
-                b = np.linalg.lstsq(xw.T @ x, xw.T @ target[held], rcond=None)[0]
-                rows.append((rid, dict(zip(["fitted", *names], [float(np.array([1.0, *mine]) @ b), *map(float, b)]))))
+                inv, me = np.linalg.pinv(xw.T @ x), np.array([1.0, *mine])
+                to = inv @ xw.T
+                b = to @ target[held]
+                value, known = float(me @ b), real is not None and real == real
+                rest = [real - value, float(me @ inv @ me)] if known else [None, None]
+                rows.append((rid, dict(zip(["fitted", *names, "residual", "leverage", *squares], [value, *map(float, b), *rest, *map(float, (to * to).sum(axis=1))]))))
             return pd.DataFrame(rows, columns=["rid", "b"])
 
         cells = left.withColumns({"__cx": _cell("x", s), "__cy": _cell("y", s)})
         return cells.groupBy("__cx", "__cy").cogroup(sources.groupBy("__cx", "__cy")).applyInPandas(fit, kind)
 
+    if not n:
+        return spark.createDataFrame([], kind).select("rid", *columns)
     start = far * (2 * (neighbours + 1) / (np.pi * max(n, 1))) ** 0.5
-    done = _widened(data.drop("__y"), "rid", min(float(start), far) or 1.0, far, met)
+    done = _widened(goal, "rid", min(float(start), far) or 1.0, far, met)
     return (spark.createDataFrame([], kind) if done is None else done).select("rid", *columns)
 
 
+def gwr_score(fits: DataFrame) -> dict:
+    """n, rss, trace (effective parameters), sigma2 and the corrected Akaike criterion of a local regression, from one aggregation."""
+    r = fits.agg(F.count("residual").alias("n"), F.sum(F.col("residual") * F.col("residual")).alias("rss"), F.sum("leverage").alias("trace")).collect()[0]
+    n, rss, trace = r["n"], r["rss"] or 0.0, r["trace"] or 0.0
+    aicc = n * np.log(2 * np.pi * rss / n) + n + 2 * n * (trace + 1) / (n - trace - 2) if rss > 0 and n - trace > 2 else float("inf")
+    return {"n": int(n), "rss": float(rss), "trace": float(trace), "sigma2": float(rss / (n - trace)) if n > trace else float("nan"), "aicc": float(aicc)}
+
+
+def gwr_bandwidth(spark: SparkSession, df: DataFrame, y: str, xs: list[str], least: int, most: int) -> list[dict]:
+    """(neighbours, n, rss, trace, sigma2, aicc) of the numbers of neighbours tried, best first: golden sections of [least, most]."""
+    tried: dict[int, dict] = {}
+
+    def cost(k: int) -> float:
+        if k not in tried:
+            tried[k] = {"neighbours": k} | gwr_score(gwr(spark, df, y, xs, k))
+        return tried[k]["aicc"]
+
+    low, high, share = least, most, (5**0.5 - 1) / 2
+    while high - low > 2:
+        a, b = round(high - share * (high - low)), round(low + share * (high - low))
+        if a >= b:
+            break
+        low, high = (low, b) if cost(a) <= cost(b) else (a, high)
+    for k in range(low, high + 1):
+        cost(k)
+    return sorted(tried.values(), key=lambda r: (r["aicc"], r["neighbours"]))
+
+
+def gwr_tests(fits: DataFrame, terms: int, alpha: float = 0.05) -> DataFrame:
+    """Adds t0 .. and sig0 ..: a coefficient's t, and whether it passes alpha divided by the effective number of parameters
+    per term, for the many dependent tests."""
+    from statistics import NormalDist
+
+    s = gwr_score(fits)
+    z = NormalDist().inv_cdf(1 - min(alpha, alpha * terms / max(s["trace"], 1e-9)) / 2)
+    free = max(s["n"] - 1, 1)
+    cut = z + (z**3 + z) / (4 * free) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * free**2)  # Student's quantile by its series in 1 / free
+    t = {f"t{i}": F.col(f"b{i}") / F.sqrt(F.nullif(F.col(f"c{i}") * s["sigma2"], F.lit(0.0))) for i in range(terms)}
+    return fits.withColumns(t).withColumns({f"sig{i}": F.abs(f"t{i}") > float(cut) for i in range(terms)})
+
+
 def moran_permutation(values: DataFrame, weights: DataFrame, permutations: int = 999, seed: int = 42) -> dict:
     """Pseudo p of Moran's I for map units (hundreds of rows, gathered for the permutations)."""
     v = values.orderBy("id").toPandas()
