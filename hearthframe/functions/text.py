@@ -98,6 +98,7 @@ FREQUENCIES = (
 )
 DEPOSIT = rf"\b{_M}\s*months?\s*(?:security\s*)?deposit|(?:security\s*)?deposit\s*(?:of\s*)?{_M}\s*months?"
 AREA_SUFFIX = r"\s+(i{1,3}|iv|v|vi|ward|central|a|b)$"
+PLACE_NOISE = r"\b(road|rd|estate|hill|area|town|village|zone|near|along|off|opp\.?|behind|kampala|wakiso|mukono|uganda|division|municipality|central|trading centre|stage)\b"
 PHONE = r"(?:\+?256|\b0)[\s-]?[37]\d{2}[\s-]?\d{3}[\s-]?\d{3}\b"
 EMAIL = r"[\w.+-]+@[\w-]+\.[\w.]+"
 NEGOTIABLE = r"negotiab|\bneg\b|\bnego\b"

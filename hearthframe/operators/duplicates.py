@@ -133,6 +133,105 @@ def match_place(texts: DataFrame, gazetteer: DataFrame, text: str, tid: str) ->
     return m.select(tid, place.alias("place"), method.alias("method"))
 
 
+def window_ratio(a: str, b: str) -> float:
+    """Best Indel ratio of the shorter text and a run of the longer one of at most its length; runs cut short lie at the ends."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not a:
+        return 0.0 if b else 100.0
+    m = len(a)
+    runs = {b[max(0, end - m) : end] for end in range(1, len(b) + 1)} | {b[start:] for start in range(len(b) - m + 1, len(b))}
+    best = max(indel_ratio(a, r) for r in runs)
+    if len(a) == len(b) and best < 100:
+        best = max(best, *(indel_ratio(b, r) for r in {a[:i] for i in range(1, m)} | {a[i:] for i in range(1, m)} | {a}))
+    return best
+
+
+def token_set_ratio(a: str, b: str) -> float:
+    """Indel ratio of two texts as sets of words: of what they share against each, or of both, whichever is highest."""
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    both, mine, other = " ".join(sorted(x & y)), " ".join(sorted(x - y)), " ".join(sorted(y - x))
+    if both and (not mine or not other):
+        return 100.0
+    gap = 1 if both else 0
+    whole = 2 * (len(both) + gap) + len(mine) + len(other)
+    away = (len(mine) + len(other)) * (1 - indel_ratio(mine, other) / 100)
+    found = [100 - 100 * away / whole]
+    if both:
+        found += [100 - 100 * (gap + len(rest)) / (2 * len(both) + gap + len(rest)) for rest in (mine, other)]
+    return max(found)
+
+
+def window_token_ratio(a: str, b: str) -> float:
+    """window_ratio of sorted words; 100 if a word is shared."""
+    x, y = set(a.split()), set(b.split())
+    if x & y:
+        return 100.0
+    return max(window_ratio(token_sort(a), token_sort(b)), window_ratio(" ".join(sorted(x)), " ".join(sorted(y))))
+
+
+def weighted_ratio(a: str, b: str) -> float:
+    """Composite similarity, 0 to 100: plain and word ratios of texts of like length, windows of the longer one otherwise, discounted by form."""
+    if not a or not b:
+        return 0.0
+    longer = max(len(a), len(b)) / min(len(a), len(b))
+    plain = indel_ratio(a, b)
+    if longer < 1.5:
+        return max(plain, 0.95 * indel_ratio(token_sort(a), token_sort(b)), 0.95 * token_set_ratio(a, b))
+    scale = 0.9 if longer <= 8 else 0.6
+    return max(plain, scale * window_ratio(a, b), 0.95 * scale * window_token_ratio(a, b))
+
+
+def match_place_fuzzy(texts: DataFrame, gazetteer: DataFrame, text: str, tid: str, least: float = 90.0, most_names: int = 20_000) -> DataFrame:
+    """(tid, place, method): match_place, and for texts it leaves without a place the name most like the text's core, from ``least`` on.
+
+    The core is the text without general place words, of four letters or more; ties go to the earlier name. Each distinct
+    core is held once against all names, of which there may be ``most_names``; more raise an error.
+    """
+    first = match_place(texts, gazetteer, text, tid)
+    n = gazetteer.select("ord", F.col("place").cast("string").alias("place"), T.plain_name(F.col("name")).alias("plain"), T.sound_key(F.col("name")).alias("sound")).filter("plain <> ''")
+    exact = n.groupBy(F.col("plain").alias("key")).agg(F.max_by("place", "ord").alias("place"), F.min("ord").alias("o"))
+    sound = n.groupBy(F.col("sound").alias("key")).agg(F.min_by("place", "ord").alias("place"), F.min("ord").alias("o")).join(exact.select("key"), "key", "left_anti")
+    known = [(r["key"], r["place"]) for r in exact.unionByName(sound).orderBy("o", "key").limit(most_names + 1).collect()]  # at most most_names rows
+    if len(known) > most_names:
+        raise ValueError(f"more than {most_names} names")
+    core = T.plain_name(F.regexp_replace(T.plain_name(F.col(text)), T.PLACE_NOISE, " "))
+    left = texts.join(first.filter("place IS NULL").select(tid), tid, "left_semi").select(tid, core.alias("core")).filter(F.length("core") >= 4)
+
+    def likest(cores: pd.Series) -> pd.Series:
+        found = []
+        for c in cores:
+            best, place = max(((weighted_ratio(c, key), -i) for i, (key, _) in enumerate(known)), default=(0.0, 0))
+            found.append(known[-place][1] if known and best >= least else None)
+        return pd.Series(found, dtype="object")
+
+    met = left.select("core").distinct().withColumn("near", F.pandas_udf(likest, "string")("core")).filter("near IS NOT NULL")
+    out = first.join(left.join(met, "core").select(tid, "near"), tid, "left")
+    return out.select(tid, F.coalesce(F.col("place").cast("string"), "near").alias("place"), F.coalesce("method", F.when(F.col("near").isNotNull(), "lookup_fuzzy")).alias("method"))
+
+
+def match_in_pool(texts: DataFrame, names: DataFrame, tid: str, like: float = 85.0, least: float = 88.0) -> DataFrame:
+    """(tid, nid, ratio): the parish of the same district most like the text's, from ``least`` on, ties to the smaller nid.
+
+    Where sub-counties of the district are ``like`` the text's own, only their parishes count, else the district's.
+    texts (tid, district, subcounty, parish), names (nid, district, subcounty, parish). Keys are met by district, each
+    distinct triple once.
+    """
+    keys = {c: F.coalesce(T.area_key(F.col(c)), F.lit("")).alias(c[0]) for c in ("district", "subcounty", "parish")}
+
+    def one(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([indel_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    ratio = F.pandas_udf(one, "double")
+    keyed = texts.select(tid, *keys.values())
+    pool = keyed.select("d", "s").distinct().join(names.select("nid", *keys.values()).select("nid", "d", F.col("s").alias("ns"), F.col("p").alias("np")), "d").withColumn("near", ratio("s", "ns") >= like)
+    pool = pool.withColumn("any", F.max("near").over(Window.partitionBy("d", "s"))).filter("near = any").select("d", "s", "nid", "np")
+    best = keyed.select("d", "s", "p").distinct().join(pool, ["d", "s"]).withColumn("ratio", ratio("p", "np")).filter(F.col("ratio") >= least).groupBy("d", "s", "p").agg(F.min_by(F.struct("nid", "ratio"), F.struct(-F.col("ratio"), F.col("nid"))).alias("b"))
+    return keyed.join(best, ["d", "s", "p"]).select(tid, "b.nid", "b.ratio")
+
+
 def match_fuzzy(texts: DataFrame, names: DataFrame, block: str, tid: str, least: float = 85.0) -> DataFrame:
     """(tid, name, ratio): best name of the same block by Indel ratio of sound keys, from ``least`` on, ties to the smaller name."""
 
@@ -144,12 +243,26 @@ def match_fuzzy(texts: DataFrame, names: DataFrame, block: str, tid: str, least:
     return met.groupBy(tid).agg(F.max("ratio").alias("ratio"), F.min_by("name", F.struct(-F.col("ratio"), "name")).alias("name"))
 
 
-def match_area(texts: DataFrame, areas: DataFrame, tid: str) -> DataFrame:
-    """(tid, area): the first comma part whose key names an area, resolved by the text's district where several do."""
+def _area_hits(texts: DataFrame, areas: DataFrame, tid: str, carry: list[str]) -> DataFrame:
+    """(tid, area, d, carry): areas of the first part of a text whose key names any, those of the text's district if there are such."""
     parts = texts.select(tid, "district", F.posexplode(F.split("text", "[,/]| - ")).alias("pos", "part")).withColumn("key", T.area_key(F.col("part"))).filter(F.length("key") >= 4)
-    keyed = areas.select("area", F.col("district").alias("d"), T.area_key(F.col("area")).alias("key"))
-    hits = parts.join(keyed, "key")
-    first = hits.withColumn("f", F.min("pos").over(Window.partitionBy(tid))).filter("pos = f")
+    keyed = areas.select("area", F.col("district").alias("d"), *carry, T.area_key(F.col("area")).alias("key"))
+    first = parts.join(keyed, "key").withColumn("f", F.min("pos").over(Window.partitionBy(tid))).filter("pos = f")
     same = F.coalesce((F.lower("d") == F.lower(F.trim("district"))).cast("int"), F.lit(0))
-    kept = first.withColumn("same", same).withColumn("any", F.max("same").over(Window.partitionBy(tid))).filter("same = any")
-    return kept.groupBy(tid).agg(F.count_distinct("area", "d").alias("n"), F.min("area").alias("area")).filter("n = 1").select(tid, "area")
+    return first.withColumn("same", same).withColumn("any", F.max("same").over(Window.partitionBy(tid))).filter("same = any")
+
+
+def match_area(texts: DataFrame, areas: DataFrame, tid: str) -> DataFrame:
+    """(tid, area): the first comma part whose key names an area, resolved by the text's district where several do."""
+    return _area_hits(texts, areas, tid, []).groupBy(tid).agg(F.count_distinct("area", "d").alias("n"), F.min("area").alias("area")).filter("n = 1").select(tid, "area")
+
+
+def match_area_point(texts: DataFrame, areas: DataFrame, tid: str, most_km: float = 3.0) -> DataFrame:
+    """(tid, area, lat, lon): match_area with its point; several areas of a name whose points lie within ``most_km`` in both
+    directions count as neighbours, and give the first by district and name with the mean of their points."""
+    g = _area_hits(texts, areas, tid, ["lat", "lon"]).groupBy(tid).agg(
+        F.count_distinct("area", "d").alias("n"), F.min_by("area", F.struct("d", "area")).alias("area"), F.min_by(F.struct("lat", "lon"), F.struct("d", "area", "lat", "lon")).alias("one"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), (F.max("lat") - F.min("lat")).alias("dy"), (F.max("lon") - F.min("lon")).alias("dx")
+    )
+    near = (F.col("dy") * 111 < most_km) & (F.col("dx") * 111 < most_km)
+    pick = lambda c: F.when(F.col("n") == 1, F.col(f"one.{c}")).otherwise(F.col(c)).alias(c)
+    return g.filter((F.col("n") == 1) | near).select(tid, "area", pick("lat"), pick("lon"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthframe.functions import finance as fin
+from hearthframe.operators import index as X
 
 COMMUTE = {"circuity": 1.3, "days": 22, "trips": 2, "hours": 176}
 PLOTS = {"standard": 5000 / 435.6, "small": 2500 / 435.6}
@@ -77,6 +78,49 @@ def affordability_premium(values: DataFrame, betas: tuple[float, ...] = (0.19, 0
     return d.withColumns({"needed_with": q(F.col("value")), "needed_without": q(F.col("value") - F.col("premium"))})
 
 
+def able_shares(premiums: DataFrame, parishes: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds to rows of ``affordability_premium`` the share of the catchment's households able to pay with and without the
+    premium, and the premium in years of its median income. Premiums are a short table; each meets all parishes."""
+    incomes = X.parish_incomes(parishes)
+    d = premiums.withColumns({"level": F.lit("total"), "area": F.lit("TOTAL")})
+    out = X.mixture_shares(d.select("level", "area", *keys, "needed_with", "needed_without"), incomes, keys, {"w": F.col("needed_with"), "o": F.col("needed_without")}, ("total",))
+    typical = X.area_incomes(incomes, ("total",)).select("median_income")
+    return premiums.join(out, keys).join(F.broadcast(typical)).withColumns({"able_with": 1 - F.col("w"), "able_without": 1 - F.col("o"), "premium_years": F.col("premium") / (12 * F.col("median_income"))}).drop("w", "o")  # one row
+
+
+def yield_benchmarks(areas: DataFrame, growth: DataFrame, min_n: int = 20) -> DataFrame:
+    """One row: growth's (cagr, last_change), the median yield of areas with enough listings, the yield of their pooled medians, and total return."""
+    y = yields(areas, min_n).agg(F.percentile("gross_yield", 0.5).alias("median_yield"), (12 * F.percentile("rent_per_bed", 0.5) / F.percentile("price_per_bed", 0.5)).alias("pooled_yield"))
+    return growth.join(F.broadcast(y)).withColumn("total_return", F.col("pooled_yield") + F.col("cagr"))  # one row
+
+
+def visibility(listings: DataFrame, parishes: DataFrame, tenure: DataFrame, area: str) -> DataFrame:
+    """Listings and rentals for each thousand households of an area, and its renting households: all, in one room, and for
+    each rental on offer. tenure (area, share_rented, share_one_room); an area without listings has none."""
+    n = listings.groupBy(area).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("listing_type") == "rent").alias("r"))
+    d = parishes.groupBy(area).agg(F.sum("households").alias("households")).join(n, area, "left").join(tenure, area, "left").withColumns({"listings": F.coalesce("n", F.lit(0)), "rentals": F.coalesce("r", F.lit(0))}).drop("n", "r")
+    d = d.withColumns({"per_1000_hh": F.try_divide(1000 * F.col("listings"), F.col("households")), "rent_per_1000_hh": F.try_divide(1000 * F.col("rentals"), F.col("households")), "renting_households": F.col("households") * F.col("share_rented")})
+    return d.withColumns({"single_room_renters": F.col("renting_households") * F.col("share_one_room"), "renters_per_listing": F.try_divide("renting_households", "rentals")})
+
+
+def supply_by_group(rentals: DataFrame, area: str, minutes: str, budget: float, local: DataFrame, limits: tuple[int, ...] = (20, 30, 45, 60), min_n: int = 20) -> DataFrame:
+    """(kind, name, n, within_budget, within_local, single_rooms) by area, by band of travel time and over all, from min_n rentals on.
+
+    local (area, local_budget) is the budget of an area's own households; where there is none, and in the other groups, the
+    common one counts. Rows of no area or no time are in the groups they have. One aggregation over grouping sets.
+    """
+    m = F.col(minutes)
+    band = F.lit(f"{limits[-1]}+")
+    for lo, hi in reversed(list(zip((None, *limits), limits))):
+        band = F.when(m <= hi, f"<{hi}" if lo is None else f"{lo}-{hi}").otherwise(band)
+    d = rentals.join(local, area, "left").select(F.col(area).alias("area"), F.when(m > 0, band).alias("band"), F.col("rent_month").alias("rent"), "bedrooms", F.coalesce("local_budget", F.lit(float(budget))).alias("own"))
+    share = lambda c: F.avg(c.cast("double"))
+    g = d.groupingSets([[F.col("area")], [F.col("band")], []], F.col("area"), F.col("band")).agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"), share(F.col("rent") <= budget).alias("within_budget"), share(F.col("rent") <= F.col("own")).alias("l"), share(F.col("bedrooms") <= 1).alias("single_rooms"))
+    kind = F.when(F.col("g") == 1, "area").when(F.col("g") == 2, "time").otherwise("all")
+    named = g.select(kind.alias("kind"), F.coalesce("area", "band").alias("name"), "n", "within_budget", F.when(F.col("g") == 1, F.col("l")).otherwise(F.col("within_budget")).alias("within_local"), "single_rooms")
+    return named.filter((F.col("n") >= min_n) & ((F.col("kind") == "all") | F.col("name").isNotNull()))
+
+
 def worker_ratios(workers: DataFrame, bars: DataFrame) -> DataFrame:
     """Household income of one and two earners against each threshold; workers (occupation, earnings), bars (bar, needed): both short lists."""
     d = workers.withColumn("earners", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("__k", F.lit(1)).join(bars.withColumn("__k", F.lit(1)), "__k").drop("__k")

@@ -15,8 +15,8 @@ LEVELS = ("total", "district", "subcounty")
 
 
 def tagged(df: DataFrame, levels: tuple[str, ...] = LEVELS) -> DataFrame:
-    """Each row once a level, with (level, area)."""
-    area = {"total": F.lit("TOTAL"), "district": F.col("district"), "subcounty": F.concat_ws("/", "district", "subcounty")}
+    """Each row once a level, with (level, area); the level "parish" needs a column of that name."""
+    area = {"total": F.lit("TOTAL"), "district": F.col("district"), "subcounty": F.concat_ws("/", "district", "subcounty"), "parish": F.concat_ws("/", F.col("district"), F.col("parish").cast("string")) if "parish" in levels else None}
     return df.withColumn("__l", F.explode(F.array(*[F.struct(F.lit(k).alias("level"), area[k].alias("area")) for k in levels]))).select("*", "__l.level", "__l.area").drop("__l")
 
 
@@ -38,7 +38,7 @@ def area_medians(listings: DataFrame, levels: tuple[str, ...] = LEVELS, bedrooms
     """(level, area, n_rent, n_sale, median_rent, median_price), medians only from min_n listings on."""
     rent = F.when((F.col("listing_type") == "rent") & F.col("bedrooms").between(*bedrooms), F.col("rent_month"))
     price = F.when((F.col("listing_type") == "sale") & F.col("ptype").isin("house", "apartment"), F.col("price"))
-    g = tagged(listings.select("district", "subcounty", rent.alias("r"), price.alias("p")), levels).groupBy("level", "area")
+    g = tagged(listings.select("district", "subcounty", *(["parish"] if "parish" in levels else []), rent.alias("r"), price.alias("p")), levels).groupBy("level", "area")
     m = g.agg(F.count("r").alias("n_rent"), F.count("p").alias("n_sale"), F.percentile("r", 0.5).alias("__r"), F.percentile("p", 0.5).alias("__p"))
     return m.withColumns({"median_rent": F.when(F.col("n_rent") >= min_n, F.col("__r")), "median_price": F.when(F.col("n_sale") >= min_n, F.col("__p"))}).drop("__r", "__p")
 

@@ -195,6 +195,32 @@ def queen_weights(boxes: DataFrame) -> DataFrame:
     return pairs.withColumn("w", 1 / F.count(F.lit(1)).over(Window.partitionBy("i")))
 
 
+def contiguity_weights(boxes: DataFrame, k: int = 6) -> DataFrame:
+    """queen_weights, or if any area shares no vertex with another, the k nearest centres of all areas."""
+    w = queen_weights(boxes)
+    if boxes.join(w.select(F.col("i").alias("id")), "id", "left_anti").isEmpty():
+        return w
+    return knn_weights(boxes.select("id", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y")), k)
+
+
+def prepared_units(units: DataFrame, names: list[str], district: str, kept: list[str]) -> DataFrame:
+    """Units of the kept districts, whatever their case, with trimmed names in title case."""
+    return units.filter(F.upper(F.trim(district)).isin([k.upper() for k in kept])).withColumns({c: F.initcap(F.trim(c)) for c in names})
+
+
+def dissolve(parts: DataFrame, unit: str, ring: str = "ring", digits: int = 3) -> DataFrame:
+    """(unit, ax, ay, bx, by): the outline of each unit's parts taken together, by one aggregation over edges.
+
+    An edge that two parts of a unit share lies inside it and goes, so parts must meet along whole edges and not overlap;
+    coordinates are compared at ``digits`` decimals. Edges run from the smaller end; rings may repeat their first vertex,
+    and rings that are null or have no edge give none.
+    """
+    v = F.transform(ring, lambda p: F.struct(F.round(p["x"], digits).alias("x"), F.round(p["y"], digits).alias("y")))
+    ahead = F.concat(F.slice("__v", 2, F.greatest(F.size("__v") - 1, F.lit(0))), F.slice("__v", 1, 1))
+    edges = parts.select(unit, v.alias("__v")).select(unit, F.explode(F.arrays_zip(F.col("__v").alias("a"), ahead.alias("b"))).alias("e")).select(unit, F.least("e.a", "e.b").alias("a"), F.greatest("e.a", "e.b").alias("b")).filter("a <> b")
+    return edges.groupBy(unit, "a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n % 2 = 1").select(unit, F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"))
+
+
 def local_moran(values: DataFrame, weights: DataFrame) -> DataFrame:
     """(id, z, lag, local_i, quadrant) of values (id, v)."""
     m = values.agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import index, models, places, relational, spatial, streams, text  # noqa: F401  each registers its queries
+from . import index, models, places, relational, spatial, streams, studies, text  # noqa: F401  each registers its queries
 from .registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "affordability_index_district"

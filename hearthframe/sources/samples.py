@@ -78,7 +78,7 @@ VIEWS: dict[str, str] = {
     "index_listings": """
         SELECT o_orderkey AS lid, CASE WHEN o_orderkey % 5 < 2 THEN 'rent' ELSE 'sale' END AS listing_type, 0.5e0 * (o_orderkey % 6 + 1) AS bedrooms,
           CASE WHEN o_orderkey % 5 < 2 THEN o_totalprice END AS rent_month, CASE WHEN o_orderkey % 5 >= 2 THEN 100 * o_totalprice END AS price,
-          CASE o_orderkey % 3 WHEN 0 THEN 'house' WHEN 1 THEN 'apartment' ELSE 'land' END AS ptype, r_name AS district, n_name AS subcounty, o_orderdate AS listing_date
+          CASE o_orderkey % 3 WHEN 0 THEN 'house' WHEN 1 THEN 'apartment' ELSE 'land' END AS ptype, r_name AS district, n_name AS subcounty, o_custkey AS parish, o_orderdate AS listing_date
         FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey""",
     # V4
     "points": "SELECT o_orderkey AS pid, CAST((o_orderkey * 7919) % 10007 AS DOUBLE) AS x, CAST((o_orderkey * 104729) % 10009 AS DOUBLE) AS y, o_totalprice AS value FROM {orders}",
