@@ -342,3 +342,16 @@ def class_breaks(df: DataFrame, value: str, classes: int, scheme: str = "quantil
     """Adds the class (from 0, right-closed) of each value; null for a null."""
     edges = class_edges(df, value, classes, scheme)
     return df.join(F.broadcast(edges)).withColumn("class", F.when(F.col(value).isNotNull(), F.size(F.filter("__e", lambda e: e < F.col(value))))).drop("__e")  # one row
+
+
+def scaled_unit(df: DataFrame, value: str) -> DataFrame:
+    """One row (unit, word): the thousands that suit the 75th percentile of the values, for labels; 1 for no values."""
+    typical = df.agg(F.percentile(value, 0.75).alias("p"))
+    unit = F.when(F.col("p") >= 1e9, 1e9).when(F.col("p") >= 1e6, 1e6).when(F.col("p") >= 1e3, 1e3).otherwise(1.0)
+    return typical.select(unit.alias("unit")).withColumn("word", F.when(F.col("unit") == 1e9, "billion").when(F.col("unit") == 1e6, "million").when(F.col("unit") == 1e3, "thousand").otherwise(""))
+
+
+def label_counts(df: DataFrame, label: str, labels: list[str]) -> DataFrame:
+    """(label, n) of all the labels, in any number, none included."""
+    named = df.sparkSession.createDataFrame([(x,) for x in labels], f"{label} string")
+    return named.join(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")), label, "left").select(label, F.coalesce("n", F.lit(0)).alias("n"))

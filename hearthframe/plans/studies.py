@@ -12,6 +12,7 @@ from hearthframe.operators import index as X
 from hearthframe.operators import models as M
 from hearthframe.operators import relational as R
 from hearthframe.operators import spatial as S
+from hearthframe.sources import records as C
 
 from . import index as PI
 from . import models as PM
@@ -173,3 +174,37 @@ PARISH = PI.FULL.replace("district || '/' || subcounty FROM inc)", "district ||
 @query("affordability_index_parish", PARISH + f" SELECT area, n_rent, n_sale, {PI._r(PI.INDEX_VALUES, 4)} FROM ix WHERE level = 'parish'", PI.VIEWS)
 def affordability_index_parish(t):
     return PI.rounded(X.area_index(t("index_listings"), t("parish_income"), ("parish",), min_n=3), ["area", "n_rent", "n_sale"], PI.INDEX_VALUES, 4)
+
+
+# ---- Pages, sheets and labels. ----
+@query("archived_pages", "SELECT lid, 'summary' AS layout, location_raw AS location, CASE WHEN lid % 2 = 0 THEN 'House Sale' ELSE 'House' END AS type, CASE lid % 3 WHEN 0 THEN '5' WHEN 1 THEN '7' ELSE '1' END AS bedrooms, '1' AS bathrooms, CASE WHEN lid % 2 = 0 THEN 'Ugx ' || CAST(lid AS VARCHAR) END AS price, CASE WHEN lid % 2 <> 0 THEN 'Ugx ' || CAST(lid AS VARCHAR) END AS rent, 'fine home ' || CAST(lid AS VARCHAR) AS description, '3 bedroom house for sale in ' || location_raw AS headline FROM listing_raw", ("listing_raw",))
+def archived_pages(t):
+    status, rooms = F.when(F.col("lid") % 2 == 0, "For sale").otherwise("For rent"), F.when(F.col("lid") % 3 == 0, "Five").when(F.col("lid") % 3 == 1, "7").otherwise("one")
+    text = F.concat(F.lit("3 bedroom house for sale in "), "location_raw", F.lit(", QUICK SUMMARY Code: 1 Location: "), "location_raw", F.lit(" District: "), "region_raw", F.lit(" Price: Ugx "), F.col("lid").cast("string"), F.lit(" Category: House BedRooms: "), rooms, F.lit(" Bathrooms: one Size 25 Decimals Tenure Private Mailo Status "), status, F.lit(" Agent x DESCRIPTION fine home "), F.col("lid").cast("string"), F.lit(" Tell a friend more"))
+    return t("listing_raw").select("lid", C.archived_page(text, ("Location", "Rooms")).alias("p")).select("lid", *[f"p.{c}" for c in ("layout", "location", "type", "bedrooms", "bathrooms", "price", "rent", "description", "headline")])
+
+
+@query("detail_pages", "SELECT lid, CAST(lid AS VARCHAR) AS source_id, CASE WHEN lid % 2 = 0 THEN 'sale' ELSE 'rent' END AS listing_type, '4 bedroom home' AS title, 'first line second line' AS description, CASE WHEN lid % 2 <> 0 THEN 'per month' END AS price_period, '4' AS bedrooms_raw FROM listing_raw", ("listing_raw",))
+def detail_pages(t):
+    status = F.when(F.col("lid") % 2 == 0, "For Sale").otherwise("For Rent")
+    lines = F.array(F.lit("# 4 bedroom home, code: 233, today"), F.lit("QUICK SUMMARY"), F.lit("Code:"), F.col("lid").cast("string"), F.lit("Price"), F.lit("Ugx 5"), F.lit("BedRooms:"), F.lit("Four"), F.lit("Status:"), status, F.lit("DESCRIPTION"), F.lit("first line"), F.lit("second line"), F.lit("Reviews (2)"), F.lit("no part of it"))
+    return t("listing_raw").select("lid", C.detail_page(lines).alias("p")).select("lid", *[f"p.{c}" for c in ("source_id", "listing_type", "title", "description", "price_period", "bedrooms_raw")])
+
+
+@query("wide_quarters", ", q AS (SELECT year(month) AS y, quarter(month) AS q, avg(value) AS v, count(*) AS n FROM monthly GROUP BY 1, 2), f AS (SELECT make_date(y, (q - 1) * 3 + 1, 1) AS d, v, n FROM q), l AS (SELECT d, 'a' AS area, round(v, 3) AS value FROM f UNION ALL SELECT d, 'b', CAST(n AS DOUBLE) FROM f) SELECT CAST(year(d) - CAST(month(d) < 7 AS INTEGER) AS VARCHAR) || '/' || CAST((year(d) - CAST(month(d) < 7 AS INTEGER) + 1) % 100 AS VARCHAR) AS fy, CAST(d AS VARCHAR) AS period_start, area, value FROM l WHERE d >= (SELECT min(d) FROM f WHERE month(d) = 7)", ("monthly",))
+def wide_quarters(t):
+    m = F.col("month")
+    q = t("monthly").groupBy(F.trunc("month", "quarter").alias("month")).agg(F.avg("value").alias("a"), F.count(F.lit(1)).cast("double").alias("b"))
+    first = q.filter(F.month("month") == 7).agg(F.min("month").alias("d0"))
+    sheet = q.join(F.broadcast(first)).filter("month >= d0").select("month", F.when(F.month(m) == 7, F.concat(F.year(m).cast("string"), F.lit("/"), F.pmod(F.year(m) + 1, F.lit(100)).cast("string"))).alias("fy"), F.concat(F.lit("Q"), F.pmod(F.quarter(m) + 1, F.lit(4)) + 1).alias("quarter"), "a", "b")  # one row
+    return C.wide_quarters(sheet, "month", "fy", "quarter", ["a", "b"]).select("fy", F.col("period_start").cast("string").alias("period_start"), "area", "value")
+
+
+@query("scaled_unit", "SELECT CASE WHEN quantile_cont(price, 0.75) >= 1e9 THEN 1e9 WHEN quantile_cont(price, 0.75) >= 1e6 THEN 1e6 WHEN quantile_cont(price, 0.75) >= 1e3 THEN 1e3 ELSE 1e0 END AS unit, 'million' AS word FROM index_listings", ("index_listings",))
+def scaled_unit(t):
+    return S.scaled_unit(t("index_listings"), "price")
+
+
+@query("label_counts", PS.PIP + PS.KNN + ", q AS (SELECT CASE WHEN z >= 0 AND lag >= 0 THEN 'HH' WHEN z < 0 AND lag < 0 THEN 'LL' WHEN z >= 0 THEN 'HL' ELSE 'LH' END AS quadrant FROM z JOIN l USING (id)) SELECT k AS quadrant, CAST(count(quadrant) AS BIGINT) AS n FROM (VALUES ('HH'), ('LL'), ('HL'), ('LH'), ('none')) v(k) LEFT JOIN q ON quadrant = k GROUP BY 1", ("points", "units"))
+def label_counts(t):
+    return S.label_counts(S.local_moran(PS._values(t), S.knn_weights(PS._areas(t), 6)), "quadrant", ["HH", "LL", "HL", "LH", "none"])

@@ -35,6 +35,17 @@ SUMMARY_FIELDS = {
     "tenure": r"Tenure\s+(.*?)\s+Status",
     "status": r"Status\s+(For\s+\w+)",
 }
+ARCHIVED_FIELDS = {
+    "category": r"Category:\s*(.*?)\s+(?:BedRooms:|Bathrooms:|Size\b|Tenure\b|Status\b)",
+    "bathrooms": r"Bathrooms:\s*(\w+)",
+}
+SUMMARY_PAGE = r"QUICK SUMMARY(.*?)DESCRIPTION(.*?)(Send this property|Tell a friend|Email this|Related|$)"
+SPECIFICATION_PAGE = r"PROPERTY SPECIFICATIONS(.*?)(PROPERTY DETAILS|$)"
+DETAILS_PAGE = r"PROPERTY DETAILS(.*?)(Send this property|Tell a friend|Email this|Related Properties|$)"
+HEADLINE = r"(\d+\s*bedroom[^.>]{0,80}?(?:for rent|for sale)[^,>]{0,60})"
+NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve".split()
+DESCRIPTION_STOPS = ("●", "REVIEWS")
+DESCRIPTION_LENGTH, DESCRIPTION_LINES, HEADING_LINES = 3000, 80, 400
 # ---- End of fixed values. ----
 
 
@@ -167,6 +178,73 @@ def specification_fields(text: Column, keys: tuple[str, ...]) -> Column:
     return F.map_from_entries(F.arrays_zip(found(1), F.transform(found(2), lambda v: F.trim(v))))
 
 
+def number_word(text: Column) -> Column:
+    """Digits of a number word up to twelve; other text as it is, in lower case; null for none."""
+    t = X.empty_as_null(F.lower(F.trim(text)))
+    words = F.create_map(*[x for i, w in enumerate(NUMBER_WORDS) for x in (F.lit(w), F.lit(str(i)))])
+    return F.coalesce(F.try_element_at(words, t), t)
+
+
+def archived_page(text: Column, keys: tuple[str, ...]) -> Column:
+    """struct of an archived page's plain text in either layout: the summary's fields, or the specification list as a map.
+
+    The description ends at the first stop phrase and holds no contact data; price and rent follow the status. Text in
+    neither layout gives a struct of nulls but for what its headline tells; null text gives null.
+    """
+    none = lambda c: X.empty_as_null(F.trim(c))
+    block, told = F.regexp_extract(text, "(?i)" + SUMMARY_PAGE, 1), F.regexp_extract(text, "(?i)" + SUMMARY_PAGE, 2)
+    summary = text.rlike("(?i)" + SUMMARY_PAGE)
+    found = {k: F.when(summary, none(F.regexp_extract(block, "(?i)" + p, 1))) for k, p in (SUMMARY_FIELDS | ARCHIVED_FIELDS).items()}
+    sale = F.coalesce(F.lower(found["status"]).contains("sale"), F.lit(False))
+    spec = none(F.regexp_extract(text, "(?i)" + SPECIFICATION_PAGE, 1))
+    listed = F.when(~summary & spec.isNotNull(), specification_fields(spec, keys))
+    details = F.when(summary, told).otherwise(F.regexp_extract(text, "(?i)" + DETAILS_PAGE, 1))
+    return F.when(
+        text.isNotNull(),
+        F.struct(
+            F.when(summary, "summary").when(spec.isNotNull(), "specifications").alias("layout"), found["location"].alias("location"), found["district"].alias("district"),
+            F.when(summary, F.concat(F.coalesce(found["category"], F.lit("")), F.when(sale, " Sale").otherwise(""))).alias("type"), number_word(found["bedrooms"]).alias("bedrooms"), number_word(found["bathrooms"]).alias("bathrooms"),
+            found["size"].alias("size"), found["tenure"].alias("tenure"), found["status"].alias("status"), F.when(sale, found["price"]).alias("price"), F.when(~sale, found["price"]).alias("rent"),
+            none(X.redact(F.substring(F.trim(details), 1, DESCRIPTION_LENGTH))).alias("description"), none(F.regexp_extract(text, "(?i)" + HEADLINE, 1)).alias("headline"), listed.alias("fields"),
+        ),
+    )
+
+
+def detail_page(lines: Column) -> Column:
+    """struct of a live page's lines: the summary block's fields, the description up to a stop mark, the heading before its
+    code, the deal and number words; null without a summary block."""
+    fields = summary_fields(lines)
+    at = F.array_position(lines, "DESCRIPTION").cast("int")
+    after = F.slice(lines, at + 1, DESCRIPTION_LINES - 1)
+    stops = F.transform(after, lambda x: x.startswith(DESCRIPTION_STOPS[0]) | F.upper(x).startswith(DESCRIPTION_STOPS[1]))
+    end = F.array_position(stops, True).cast("int")
+    told = F.when(at > 0, F.array_join(F.when(end > 0, F.slice(after, 1, F.greatest(end - 1, F.lit(0)))).otherwise(after), " "))
+    head = F.get(F.filter(F.slice(lines, 1, HEADING_LINES), lambda x: x.rlike(r"code:\s*\d+")), F.lit(0))
+    title = F.trim(F.regexp_replace(F.get(F.split(head, ", code:"), F.lit(0)), r"^[^\p{L}\p{N}]+", ""))
+    status, price = F.lower(F.coalesce(fields["Status"], F.lit(""))), F.coalesce(fields["Price"], F.lit(""))
+    deal = F.when(status.contains("rent"), "rent").when(status.contains("sale"), "sale")
+    monthly = price.rlike(r"(?i)month|/m\b|pm\b") | status.contains("rent")
+    return F.when(
+        fields.isNotNull(),
+        F.struct(
+            fields["Code"].alias("source_id"), deal.alias("listing_type"), fields["Category"].alias("property_type"), title.alias("title"), F.coalesce(told, F.lit("")).alias("description"), fields["Price"].alias("price_raw"),
+            F.when(price.rlike(r"(?i)\$|usd"), "USD").otherwise("UGX").alias("currency_raw"), F.when(monthly, "per month").alias("price_period"), fields["Location"].alias("location_raw"), fields["District"].alias("district_raw"),
+            number_word(fields["BedRooms"]).alias("bedrooms_raw"), number_word(fields["Bathrooms"]).alias("bathrooms_raw"), fields["Size"].alias("size_raw"), fields["Tenure"].alias("tenure_raw"),
+        ),
+    )
+
+
+def wide_quarters(sheet: DataFrame, order: str, fy: str, quarter: str, areas: list[str]) -> DataFrame:
+    """(fy, quarter, period_start, area, value) of a sheet with one column an area, its fiscal year named on the first row
+    of each year ('2015/16') and quarters 'Q1' (July) to 'Q4'. Rows without a quarter are left out; values that are no
+    numbers are null. The window runs over one sheet, which holds four rows a year."""
+    d = sheet.withColumn("__fy", F.last(fy, True).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))).filter(F.col(quarter).isNotNull())
+    q, year = F.substring(F.trim(quarter), 2, 1).try_cast("int"), F.substring("__fy", 1, 4).try_cast("int")
+    start = F.make_date(year + (q >= 3).cast("int"), F.pmod((q - 1) * 3 + 6, F.lit(12)) + 1, F.lit(1))
+    long = d.select(F.col("__fy").alias("fy"), F.col(quarter).alias("quarter"), start.alias("period_start"), *[F.col(a).cast("string").alias(a) for a in areas]).unpivot(["fy", "quarter", "period_start"], areas, "area", "value")
+    return long.withColumn("value", F.round(F.col("value").try_cast("double"), 3))
+
+
 LINKED = "`@type` string, name string, description string, datePosted string, offers struct<price:string,priceCurrency:string>"
 
 
