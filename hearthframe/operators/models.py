@@ -497,6 +497,12 @@ def ols_hc1(df: DataFrame, y: str, xs: list[str]) -> list[dict]:
     return [{"term": x, "coef": float(b[i]), "se": float(se[i]), "n": int(n)} for i, x in enumerate(xs)]
 
 
+def variants(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """Each row once for every variant of the sample whose rule it meets (a null rule is not met), with its name in ``variant``; one scan for all."""
+    named = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))
+    return df.withColumn("variant", F.explode(named))
+
+
 def time_dummy_index(df: DataFrame, y: str, period: str, controls: list[str], least: int = 15) -> list[dict]:
     """Hedonic index by period (first = 100) from period dummies, HC1; periods with too few rows after all filters are left out."""
     d = df.dropna(subset=[y, period, *controls])

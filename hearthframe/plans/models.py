@@ -213,11 +213,10 @@ def convergence(t):
     return r.groupBy("percent").agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("amount0", 0.5), 4).alias("median"))
 
 
-@query("robustness_variants", ", v AS (SELECT * FROM (VALUES ('without alpha', 'alpha'), ('without beta', 'beta'), ('without gamma', 'gamma'), ('all', '')) x(variant, dropped)) SELECT variant, CAST(count(*) AS BIGINT) AS n, round(quantile_cont(amount0, 0.5), 4) AS median FROM listing_raw, v WHERE source <> dropped GROUP BY 1", ("listing_raw",))
+@query("robustness_variants", ", v AS (SELECT * FROM (VALUES ('without alpha', 'alpha'), ('without beta', 'beta'), ('without gamma', 'gamma'), ('all', ''), ('with a listing date', '-')) x(variant, dropped)) SELECT variant, CAST(count(*) AS BIGINT) AS n, round(quantile_cont(amount0, 0.5), 4) AS median FROM listing_raw, v WHERE CASE WHEN dropped = '-' THEN listing_date IS NOT NULL ELSE source <> dropped END GROUP BY 1", ("listing_raw",))
 def robustness_variants(t):
-    v = F.array(*[F.struct(F.lit(n).alias("variant"), F.lit(d).alias("dropped")) for n, d in (("without alpha", "alpha"), ("without beta", "beta"), ("without gamma", "gamma"), ("all", ""))])
-    r = t("listing_raw").withColumn("v", F.explode(v)).filter(F.col("source") != F.col("v.dropped"))
-    return r.groupBy("v.variant").agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("amount0", 0.5), 4).alias("median"))
+    rules = {f"without {s}": F.col("source") != s for s in ("alpha", "beta", "gamma")} | {"all": F.lit(True), "with a listing date": F.col("listing_date").isNotNull()}
+    return M.variants(t("listing_raw").select("source", "listing_date", "amount0"), rules).groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("amount0", 0.5), 4).alias("median"))
 
 
 def _scores(t):

@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hearthframe.operators import explain as E
 from hearthframe.operators import models as M
@@ -125,3 +126,9 @@ def test_cross_validation_schemes(spark):
     assert got["random", "forest"]["rmse"] < got["block", "forest"]["rmse"]
     folds = M.random_folds(df, "id", 3)
     assert sorted(map(tuple, folds.select("id", "fold").collect())) == sorted(map(tuple, M.random_folds(df.repartition(3), "id", 3).select("id", "fold").collect()))
+
+
+def test_variants_of_a_sample(spark):
+    df = spark.createDataFrame([("a", 1), ("b", None), (None, 3)], "s string, v int")
+    got = M.variants(df, {"all": F.lit(True), "not a": F.col("s") != "a", "known": F.col("v").isNotNull(), "none": F.lit(False)}).groupBy("variant").count().collect()
+    assert {r["variant"]: r["count"] for r in got} == {"all": 3, "not a": 1, "known": 2}
