@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import contamination, lines, mixing, neighbours, ngram_join, pii, quality, sharding, toxicity, urls
+from . import alignment, contamination, language, lines, mixing, neighbours, ngram_join, pii, quality, resampling, sharding, toxicity, urls
 
 QUERIES = {
     "op1_bootstrapped_pii": pii.op1_bootstrapped_pii,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_chosen_path_jaccard": ngram_join.op8_chosen_path_jaccard,
     "op9_benchmark_decontamination": contamination.op9_benchmark_decontamination,
     "op10_glob_url_filter": urls.op10_glob_url_filter,
+    "op11_centroid_language": language.op11_centroid_language,
+    "op12_importance_resampling": resampling.op12_importance_resampling,
+    "op13_token_alignment": alignment.op13_token_alignment,
 }
 
 ORACLE_SQL = {
@@ -24,4 +27,5 @@ ORACLE_SQL = {
     "op8_chosen_path_jaccard": ngram_join.ORACLE_SQL,
     "op9_benchmark_decontamination": contamination.ORACLE_SQL,
     "op10_glob_url_filter": urls.ORACLE_SQL,
+    "op12_importance_resampling": resampling.ORACLE_SQL,
 }
