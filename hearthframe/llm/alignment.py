@@ -23,6 +23,8 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +35,9 @@ from .common import Scratch, only, table
 
 FOLDER = "/opt/tokenizers"
 BYTES_FILE, PIECES_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-MOST_ENTRIES, MOST_TEXTS = 1 << 19, 2048
+MOST_ENTRIES, MOST_TEXTS, LOT = 1 << 19, 2048, 1 << 16
 #: A run without a space longer than this goes to the library whose merges don't slow down on long runs.
-LONG_RUN = 2000
+LONG_RUN = 20_000
 LABELS = np.frombuffer(b".ab|", np.uint8)
 SPAN = re.compile(rb"[.ab]*\|")
 
@@ -84,7 +86,7 @@ class ByteTokens:
 
     def ids(self, text: str) -> list[int]:
         spaced = " " + text
-        if self.ranked and not self.long.search(spaced):
+        if self.ranked and not (len(spaced) > LONG_RUN and self.long.search(spaced)):
             return self.ranked.encode_ordinary(spaced)
         return self.own.encode(spaced, add_special_tokens=False).ids
 
@@ -131,138 +133,177 @@ def spans(labels: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ends, count(LABELS[1]), count(LABELS[2])
 
 
-def align_text(text: str | None, a: ByteTokens, b: PieceTokens) -> tuple[np.ndarray, ...] | None:
-    """(A ids, B ids, group ends, tokens of A, tokens of B by group), or None for a text without tokens."""
+Tokens = tuple[np.ndarray, np.ndarray, int]
+NONE = (np.empty(0, np.int32), np.empty(0, np.int32), 0)
+
+
+def tokens_of(text: str | None, a: ByteTokens, b: PieceTokens) -> Tokens:
+    """A ids, B ids and the number of bytes of a text; nothing for a text without tokens."""
     if not text:
-        return None
+        return NONE
     raw = b" " + text.encode("utf-8", "surrogatepass")
-    ids_a = a.ids(text)
-    if b"".join(map(a.bytes.__getitem__, ids_a)) != raw:
-        return None
     ids_b = b.ids(text)
     if b"".join(map(b.bytes.__getitem__, ids_b)) != raw:
-        return None
-    ids_a, ids_b = np.array(ids_a, np.int32), np.array(ids_b, np.int32)
-    return (ids_a, ids_b, *spans(label_string(np.cumsum(a.sizes[ids_a]), np.cumsum(b.sizes[ids_b]), len(raw))))
-
-
-def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
-    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.empty(0), kind))
+        return NONE
+    ids_a = np.asarray(a.ids(text), np.int32)
+    # Ranked merges cut the text's own bytes, so their number tells whether any is missing; it holds for both libraries by test.
+    if int(a.sizes[ids_a].sum()) != len(raw):
+        return NONE
+    return ids_a, np.array(ids_b, np.int32), len(raw)
+
+
+@dataclass
+class Lot:
+    """Texts aligned together: ids, and group ends and sizes, one text after the other; text i has those from cut i to cut i + 1."""
+
+    a: np.ndarray
+    b: np.ndarray
+    ends: np.ndarray
+    size_a: np.ndarray
+    size_b: np.ndarray
+    cut_a: np.ndarray
+    cut_b: np.ndarray
+    cut: np.ndarray
+
+
+def _cuts(sizes: list[int]) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64)
+
+
+def align_lot(tokens: list[Tokens], a: ByteTokens, b: PieceTokens) -> Lot:
+    """One label string for all texts of the lot: both tokenizers end a token where a text ends, so no group crosses two texts."""
+    ids_a, ids_b = (np.concatenate([t[i] for t in tokens]) for i in (0, 1))
+    bytes_cut = _cuts([t[2] for t in tokens])
+    ends, size_a, size_b = spans(label_string(np.cumsum(a.sizes[ids_a]), np.cumsum(b.sizes[ids_b]), int(bytes_cut[-1])))
+    cut = np.searchsorted(ends, bytes_cut, side="right")
+    return Lot(ids_a, ids_b, ends - np.repeat(bytes_cut[:-1], np.diff(cut)), size_a, size_b, _cuts([len(t[0]) for t in tokens]), _cuts([len(t[1]) for t in tokens]), cut)
+
+
+def lots(texts: pa.Array, a: ByteTokens, b: PieceTokens, most_texts: int) -> Iterator[tuple[int, int, Lot]]:
+    """(first, end, lot) of a column's texts, at most ``most_texts`` and about ``LOT`` tokens at a time; a longer text is a lot of its own."""
+    first, held, n = 0, [], 0
+    for i in range(len(texts)):
+        held.append(tokens_of(texts[i].as_py(), a, b))
+        n += len(held[-1][0]) + len(held[-1][1])
+        if n >= LOT or len(held) >= most_texts:
+            yield first, i + 1, align_lot(held, a, b)
+            first, held, n = i + 1, [], 0
+    if held:
+        yield first, len(texts), align_lot(held, a, b)
 
 
 def align(docs: DataFrame, keep: list[str], text: str = "text", folder: str = FOLDER) -> DataFrame:
     """The kept columns of every row with ``a``, ``b`` (ids), ``ends`` (byte offsets in space+text where groups end), ``size_a``
     and ``size_b`` (tokens of each group); empty arrays for a text without tokens. No shuffle."""
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
-    none = np.empty(0, np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = tokenizers_of(folder)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            at = 0
-            while at < batch.num_rows:  # rows go on in lots of bounded tokens
-                first, held, n = at, [], 0
-                while at < batch.num_rows and n < MOST_ENTRIES:
-                    held.append(align_text(texts[at].as_py(), a, b) or (none,) * 5)
-                    n += len(held[-1][0]) + len(held[-1][1])
-                    at += 1
-                kinds = (pa.int32(),) * 2 + (pa.int64(),) + (pa.int32(),) * 2
-                lists = [_lists([h[i].astype(np.int32 if k == pa.int32() else np.int64) for h in held], k) for i, k in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(first, at - first) for i in range(len(keep))], *lists], names=[*keep, "a", "b", "ends", "size_a", "size_b"])
+            for first, end, lot in lots(batch.column(batch.num_columns - 1), a, b, MOST_TEXTS):
+                of = lambda cut, values, kind: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(values, kind))
+                lists = [of(lot.cut_a, lot.a, pa.int32()), of(lot.cut_b, lot.b, pa.int32()), of(lot.cut, lot.ends, pa.int64()), of(lot.cut, lot.size_a, pa.int32()), of(lot.cut, lot.size_b, pa.int32())]
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(first, end - first) for i in range(len(keep))], *lists], names=[*keep, "a", "b", "ends", "size_a", "size_b"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(run, f"{kept}, a array<int>, b array<int>, ends array<bigint>, size_a array<int>, size_b array<int>")
 
 
-def text_links(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, lot: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, times): the id pairs that share a group (A id * 2^32 + B id), each once in order, and in how many pairs of
-    token occurrences. Large groups are counted by their distinct ids."""
-    na, nb = size_a.astype(np.int64), size_b.astype(np.int64)
+def links(lot: Lot, most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, times, cuts): of each text the id pairs that share a group (A id * 2^32 + B id), each once, and in how many pairs of
+    token occurrences. Large groups are counted by their distinct ids, the others ``most`` links at a time."""
+    na, nb = lot.size_a, lot.size_b
     total = na * nb
     start_a, start_b = np.cumsum(na) - na, np.cumsum(nb) - nb
-    keys, times = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for g in np.flatnonzero(total > 4096):
-        ua, ca = np.unique(a[start_a[g] : start_a[g] + na[g]], return_counts=True)
-        ub, cb = np.unique(b[start_b[g] : start_b[g] + nb[g]], return_counts=True)
-        keys.append(((ua.astype(np.int64) << 32)[:, None] | ub.astype(np.int64)[None, :]).ravel())
+    owner = np.repeat(np.arange(len(lot.cut) - 1), np.diff(lot.cut))
+    low = 16 if not len(lot.b) else max(1, int(lot.b.max()).bit_length())
+    high = low + (1 if not len(lot.a) else max(1, int(lot.a.max()).bit_length()))
+    code = lambda text, a, b: (text << high) | (a.astype(np.int64) << low) | b.astype(np.int64)
+    codes, times = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for g in np.flatnonzero(total > 4096).tolist():
+        ua, ca = np.unique(lot.a[start_a[g] : start_a[g] + na[g]], return_counts=True)
+        ub, cb = np.unique(lot.b[start_b[g] : start_b[g] + nb[g]], return_counts=True)
+        codes.append(code(int(owner[g]), ua[:, None], ub[None, :]).ravel())
         times.append((ca[:, None] * cb[None, :]).ravel())
     small = np.flatnonzero((total > 0) & (total <= 4096))
-    for part in np.split(small, np.searchsorted(np.cumsum(total[small]), np.arange(lot, int(total[small].sum()), lot))):
+    done = np.cumsum(total[small])
+    for part in np.split(small, np.searchsorted(done, np.arange(most, int(done[-1]) if len(done) else 0, most))):
         if not len(part):
             continue
-        # a row a token of A, then one for each token of B in its group
-        each_a = np.repeat(na[part], 1)
-        token_a = np.repeat(start_a[part] - (np.cumsum(each_a) - each_a), each_a) + np.arange(int(each_a.sum()))
-        fan = np.repeat(nb[part], each_a)
-        from_b = np.repeat(np.repeat(start_b[part], each_a) - (np.cumsum(fan) - fan), fan) + np.arange(int(fan.sum()))
-        k, n = np.unique((np.repeat(a[token_a].astype(np.int64), fan) << 32) | b[from_b].astype(np.int64), return_counts=True)
-        keys.append(k)
-        times.append(n)
-    key, n = np.concatenate(keys), np.concatenate(times)
-    if len(keys) <= 2 or not len(key):
-        return key, n
-    order = np.argsort(key, kind="stable")
-    key, n = key[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[first], np.add.reduceat(n, first)
+        # A row for each token of A, then one for each token of B in its group.
+        n = na[part]
+        token_a = np.repeat(start_a[part] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        fan = np.repeat(nb[part], n)
+        token_b = np.repeat(np.repeat(start_b[part], n) - (np.cumsum(fan) - fan), fan) + np.arange(int(fan.sum()))
+        k, c = np.unique(code(np.repeat(np.repeat(owner[part], n), fan), np.repeat(lot.a[token_a], fan), lot.b[token_b]), return_counts=True)
+        codes.append(k)
+        times.append(c)
+    key, n = np.concatenate(codes), np.concatenate(times)
+    if len(codes) > 2:
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        key, n = key[first], np.add.reduceat(n, first)
+    cuts = np.searchsorted(key >> high, np.arange(len(lot.cut)))
+    ids = ((key >> low & ((1 << (high - low)) - 1)) << 32) | (key & ((1 << low) - 1))
+    return ids, n, cuts
 
 
 class GroupText:
-    """The groups of a text as ``a1,a2|b1;a3|b2,b3``: each token with the mark that follows it, put in order by its group."""
+    """The groups of texts as ``a1,a2|b1;a3|b2,b3``: each token with the mark that follows it, put in order by its group."""
 
     def __init__(self, size_a: int, size_b: int):
-        self.marked = [f"{i}{m}".encode() for n, m in ((size_a, ","), (size_a, "|"), (size_b, ","), (size_b, ";")) for i in range(n)]
+        marked = [f"{i}{m}".encode() for n, m in ((size_a, ","), (size_a, "|"), (size_b, ","), (size_b, ";")) for i in range(n)]
+        self.width = np.array([len(m) for m in marked], np.int64)
+        self.letters = np.frombuffer(b"".join(m.ljust(int(self.width.max())) for m in marked), np.uint8).reshape(len(marked), -1)
         self.n_a, self.n_b = size_a, size_b
 
-    def __call__(self, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> bytes:
-        if not len(size_a):
-            return b""
-        done_a, done_b = np.cumsum(size_a), np.cumsum(size_b)
-        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    def __call__(self, lot: Lot) -> list[bytes]:
+        done_a, done_b = np.cumsum(lot.size_a), np.cumsum(lot.size_b)
+        last_a, last_b = np.zeros(len(lot.a), np.int64), np.zeros(len(lot.b), np.int64)
         last_a[done_a - 1] = last_b[done_b - 1] = 1
-        code = np.empty(len(a) + len(b), np.int64)
-        code[np.arange(len(a)) + np.repeat(done_b - size_b, size_a)] = a + last_a * self.n_a
-        code[np.arange(len(b)) + np.repeat(done_a, size_b)] = b + 2 * self.n_a + last_b * self.n_b
-        return b"".join(map(self.marked.__getitem__, code.tolist()))[:-1]
+        code = np.empty(len(lot.a) + len(lot.b), np.int64)
+        code[np.arange(len(lot.a)) + np.repeat(done_b - lot.size_b, lot.size_a)] = lot.a + last_a * self.n_a
+        code[np.arange(len(lot.b)) + np.repeat(done_a, lot.size_b)] = lot.b + 2 * self.n_a + last_b * self.n_b
+        width = self.width[code]
+        shown = self.letters[code][np.arange(self.letters.shape[1]) < width[:, None]].tobytes()
+        cut = _cuts(width)[lot.cut_a + lot.cut_b].tolist()
+        return [shown[i : max(i, j - 1)] for i, j in zip(cut[:-1], cut[1:])]
 
 
 BLOCK = "doc array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, sha array<string>, upto array<int>, pair array<int>, times array<bigint>, keys array<bigint>, texts array<int>"
 
 
-def link_blocks(aligned: DataFrame, doc: str = "doc_id", folder: str = FOLDER, most_entries: int = MOST_ENTRIES, most_texts: int = MOST_TEXTS) -> DataFrame:
+def link_blocks(docs: DataFrame, doc: str = "doc_id", text: str = "text", folder: str = FOLDER, most_entries: int = MOST_ENTRIES, most_texts: int = MOST_TEXTS) -> DataFrame:
     """Blocks of texts as sparse rows over the block's distinct id pairs (``keys``, in ``texts`` texts of it each): of text i,
     pairs ``pair[upto[i-1]:upto[i]]`` with their numbers of links, next to its counts and digest. No shuffle."""
-    rows = aligned.select(F.col(f"`{doc}`").cast("bigint").alias("doc"), "a", "b", "size_a", "size_b")
+    rows = only(docs, doc=doc, text=text).withColumn("doc", F.col("doc").cast("bigint"))
 
-    def block(held: list[tuple]) -> pa.RecordBatch:
-        every = np.concatenate([h[-2] for h in held])
-        keys, pair = np.unique(every, return_inverse=True)
+    def block(held: list[list]) -> pa.RecordBatch:
+        docs, n_a, n_b, n_groups, n_links, sha, sizes, keys, times = zip(*held)
+        keys, pair = np.unique(np.concatenate(keys), return_inverse=True)
         one = lambda values, kind: pa.array([values], pa.list_(kind))
-        numbers = [one([h[i] for h in held], pa.int64()) for i in range(5)]
         return pa.RecordBatch.from_arrays(
-            [*numbers, one([h[5] for h in held], pa.string()), one(np.cumsum([len(h[-2]) for h in held]), pa.int32()), one(pair.astype(np.int32), pa.int32()), one(np.concatenate([h[-1] for h in held]), pa.int64()), one(keys, pa.int64()), one(np.bincount(pair, minlength=len(keys)), pa.int32())],
+            [one(list(chain.from_iterable(docs)), pa.int64()), *[one(np.concatenate(x), pa.int64()) for x in (n_a, n_b, n_groups, n_links)], one(list(chain.from_iterable(sha)), pa.string()), one(np.cumsum(np.concatenate(sizes)), pa.int32())]
+            + [one(pair.astype(np.int32), pa.int32()), one(np.concatenate(times), pa.int64()), one(keys, pa.int64()), one(np.bincount(pair, minlength=len(keys)), pa.int32())],
             names=[c.split()[0] for c in BLOCK.split(", ")],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a_side, b_side = tokenizers_of(folder)
-        shown = GroupText(len(a_side.bytes), len(b_side.bytes))
-        held, entries = [], 0
+        a, b = tokenizers_of(folder)
+        shown = GroupText(len(a.bytes), len(b.bytes))
+        held, entries, texts = [], 0, 0
         for batch in batches:
-            docs, *lists = batch.columns
-            flat = [x.values.to_numpy(zero_copy_only=False) for x in lists]
-            cuts = [x.offsets.to_numpy() for x in lists]
-            for i in range(batch.num_rows):
-                a, b, size_a, size_b = (v[c[i] : c[i + 1]] for v, c in zip(flat, cuts))
-                keys, times = text_links(a, b, size_a, size_b)
-                sha = hashlib.sha256(shown(a, b, size_a, size_b)).hexdigest() if len(a) else ""
-                held.append((docs[i].as_py(), len(a), len(b), len(size_a), int(times.sum()), sha, keys, times))
-                entries += len(keys)
-                if entries >= most_entries or len(held) >= most_texts:
+            ids, column = batch.columns
+            for first, end, lot in lots(column, a, b, most_texts):
+                keys, times, cuts = links(lot)
+                counted = [np.diff(c) for c in (lot.cut_a, lot.cut_b, lot.cut)] + [np.diff(_cuts(times)[cuts])]
+                sha = [hashlib.sha256(g).hexdigest() if n else "" for g, n in zip(shown(lot), counted[2].tolist())]
+                held.append([ids.slice(first, end - first).to_pylist(), *counted, sha, np.diff(cuts), keys, times])
+                entries, texts = entries + len(keys), texts + end - first
+                if entries >= most_entries or texts >= most_texts:
                     yield block(held)
-                    held, entries = [], 0
+                    held, entries, texts = [], 0, 0
         if held:
             yield block(held)
 
@@ -277,7 +318,7 @@ def link_statistics(docs: DataFrame, doc: str = "doc_id", text: str = "text", fo
     ids), one of counts and blocks by block, all of rows of bounded size.
     """
     scratch = Scratch(docs.sparkSession, "alignment")
-    blocks = scratch.write(link_blocks(align(only(docs, doc=doc, text=text), ["doc"], folder=folder), "doc", folder).withColumn("block", F.monotonically_increasing_id()), "blocks")
+    blocks = scratch.write(link_blocks(docs, doc, text, folder).withColumn("block", F.monotonically_increasing_id()), "blocks")
     pairs = blocks.select("block", F.posexplode(F.arrays_zip("keys", "texts")).alias("at", "p")).select("block", "at", F.col("p.keys").alias("key"), "p.texts")
     counts = pairs.groupBy("key").agg(F.sum("texts").alias("count"))
     known = counts.select("key", "count", (F.col("count") == F.max("count").over(Window.partitionBy(F.shiftright("key", 32)))).alias("best"))

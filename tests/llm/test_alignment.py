@@ -73,15 +73,20 @@ def test_links_against_a_walk_over_tokens(spark):
 @pytest.mark.parametrize("entries, texts", [(1, 1), (50, 7), (1 << 19, 2048)])
 def test_blocks_of_any_size_hold_the_same_links(spark, entries, texts):
     docs = spark.createDataFrame(list(enumerate(random_texts(60))), "doc_id bigint, text string").repartition(3)
-    blocks = A.link_blocks(A.align(docs, ["doc_id"]), most_entries=entries, most_texts=texts).collect()
+    blocks = A.link_blocks(docs, most_entries=entries, most_texts=texts).collect()
     counts = Counter()
     for b in blocks:
-        assert len(b["doc"]) <= texts and len(set(b["keys"])) == len(b["keys"])
+        assert len(b["doc"]) < 2 * texts and len(set(b["keys"])) == len(b["keys"])
         counts.update(dict(zip(b["keys"], b["texts"])))
     want = Counter()
     for r in A.align(docs, ["doc_id"]).collect():
-        want.update(A.text_links(*[np.array(r[c]) for c in ("a", "b", "size_a", "size_b")])[0].tolist())
-    assert counts == want
+        i = j = 0
+        pairs = set()
+        for n, m in zip(r["size_a"], r["size_b"]):
+            pairs |= {(x << 32) | y for x in r["a"][i : i + n] for y in r["b"][j : j + m]}
+            i, j = i + n, j + m
+        want.update(pairs)
+    assert counts == want and sum(len(b["doc"]) for b in blocks) == 60
 
 
 def test_spans_end_at_labels_of_both():
@@ -90,18 +95,22 @@ def test_spans_end_at_labels_of_both():
     assert [x.tolist() for x in A.spans(labels)] == [[3, 9], [2, 2], [1, 3]]
 
 
-@pytest.mark.parametrize("lot", [1, 64, 1 << 22])
-def test_links_of_large_and_small_groups(lot):
+@pytest.mark.parametrize("most", [1, 64, 1 << 22])
+def test_links_of_large_and_small_groups_of_three_texts(most):
     rng = np.random.default_rng(3)
-    size_a, size_b = np.array([1, 90, 3, 0, 2, 200]), np.array([1, 80, 2, 0, 5, 90])
+    size_a, size_b = np.array([1, 90, 3, 2, 200, 2]), np.array([1, 80, 2, 5, 90, 1])
     a, b = rng.integers(0, 9, size_a.sum()).astype(np.int32), rng.integers(0, 7, size_b.sum()).astype(np.int32)
-    want, i, j = Counter(), 0, 0
-    for n, m in zip(size_a, size_b):
-        want.update((int(x), int(y)) for x in a[i : i + n] for y in b[j : j + m])
+    cut = np.array([0, 2, 2, 6])
+    lot = A.Lot(a, b, np.arange(6), size_a, size_b, np.append(0, np.cumsum(size_a))[cut], np.append(0, np.cumsum(size_b))[cut], cut)
+    keys, times, cuts = A.links(lot, most)
+    i = j = 0
+    want = [Counter(), Counter(), Counter()]
+    for g, (n, m) in enumerate(zip(size_a, size_b)):
+        want[0 if g < 2 else 2].update((int(x), int(y)) for x in a[i : i + n] for y in b[j : j + m])
         i, j = i + n, j + m
-    keys, times = A.text_links(a, b, size_a, size_b, lot)
-    assert {(int(k) >> 32, int(k) & 0xFFFFFFFF): int(n) for k, n in zip(keys, times)} == dict(want)
-    assert (np.diff(keys) > 0).all()
+    for t in range(3):
+        got = {(int(k) >> 32, int(k) & 0xFFFFFFFF): int(n) for k, n in zip(keys[cuts[t] : cuts[t + 1]], times[cuts[t] : cuts[t + 1]])}
+        assert got == dict(want[t]) and len(got) == cuts[t + 1] - cuts[t]
 
 
 def test_both_libraries_agree_on_the_byte_level_ids():
