@@ -267,57 +267,45 @@ def gwr(spark: SparkSession, df: DataFrame, y: str, xs: list[str], neighbours: i
     leverage is the weight of a point's own target in its fitted value; c are the sums of squared weights of all targets in
     a coefficient, so a coefficient's variance is c times that of the errors.
 
-    A fit weighs only the points nearer than its neighbours-th nearest. At cell size s the points within s of a point
-    lie in its nine cells, so the fit is final if so many are within s; the rest go on with larger cells, at most to the
-    extent of the data. Cells start at a size that holds about twice the neighbours.
+    A fit weighs only the points nearer than its neighbours-th nearest. A leaf of the packed tree of points meets the leaves
+    that hold those of any of its points, so a task's rows are bounded by the number of neighbours.
     """
-    from .spatial import _cell, _room, _widened
+    from . import tree
 
     names, squares = [f"b{i}" for i in range(len(xs) + 1)], [f"c{i}" for i in range(len(xs) + 1)]
     features = [f"__f{i}" for i in range(len(xs))]
     place = ["rid", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), *[F.col(c).cast("double").alias(f) for c, f in zip(xs, features)]]
     data = df.select(*place, F.col(y).cast("double").alias("__y")).dropna()
     goal = data if at is None else at.select(*place).dropna().withColumn("__y", F.lit(None).cast("double"))
-    far, n = _room(goal, "x", "y", [("x", "y")], data)
+    at_place = tuple(F.col(c) for c in "xyxy")
+    held = tree.build(data.drop("rid"), at_place, capacity=tree.SMALL)
+    asking, n = tree.build(goal, at_place), held.n
     skipped = int(at is None)  # a point is no neighbour of itself
     kind = f"rid {dict(data.dtypes)['rid']}, b struct<fitted:double,{','.join(f'{c}:double' for c in [*names, 'residual', 'leverage', *squares])}>"
     columns = [f"b.{c}" for c in ("fitted", *names, "residual", "leverage", *squares)]
 
-    def met(left: DataFrame, s: float) -> DataFrame:
-        near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-        sources = data.drop("rid").withColumn("dx", near).withColumn("dy", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumns({"__cx": _cell("x", s) + F.col("dx"), "__cy": _cell("y", s) + F.col("dy")}).drop("dx", "dy")
-        whole = s >= far
-
-        def fit(targets: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
-            at, design, target = around[["x", "y"]].to_numpy(float), np.c_[np.ones(len(around)), around[features].to_numpy(float)], around["__y"].to_numpy(float)
-            k, rows = min(neighbours, n - skipped), []
-            for rid, px, py, real, *mine in targets[["rid", "x", "y", "__y", *features]].itertuples(index=False, name=None):
-                d = np.hypot(at[:, 0] - px, at[:, 1] - py)
-                if len(d) < k + skipped:
-                    continue
-                h = np.partition(d, k - 1 + skipped)[k - 1 + skipped] + 1e-9
-                if h > s and not whole:
-                    continue
-                held = d < h
-                w = (1 - (d[held] / h) ** 2) ** 2
-                x = design[held]
-                xw = x * w[:, None]
-                inv, me = np.linalg.pinv(xw.T @ x), np.array([1.0, *mine])
-                to = inv @ xw.T
-                b = to @ target[held]
-                value, known = float(me @ b), real is not None and real == real
-                rest = [real - value, float(me @ inv @ me)] if known else [None, None]
-                rows.append((rid, dict(zip(["fitted", *names, "residual", "leverage", *squares], [value, *map(float, b), *rest, *map(float, (to * to).sum(axis=1))]))))
-            return pd.DataFrame(rows, columns=["rid", "b"])
-
-        cells = left.withColumns({"__cx": _cell("x", s), "__cy": _cell("y", s)})
-        return cells.groupBy("__cx", "__cy").cogroup(sources.groupBy("__cx", "__cy")).applyInPandas(fit, kind)
+    def fit(targets: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
+        at, design, target = around[["x", "y"]].to_numpy(float), np.c_[np.ones(len(around)), around[features].to_numpy(float)], around["__y"].to_numpy(float)
+        k, rows = min(neighbours, n - skipped), []
+        for rid, px, py, real, *mine in targets[["rid", "x", "y", "__y", *features]].itertuples(index=False, name=None):
+            d = np.hypot(at[:, 0] - px, at[:, 1] - py)
+            h = np.partition(d, k - 1 + skipped)[k - 1 + skipped] + 1e-9
+            inner = d < h
+            w = (1 - (d[inner] / h) ** 2) ** 2
+            x = design[inner]
+            xw = x * w[:, None]
+            inv, me = np.linalg.pinv(xw.T @ x), np.array([1.0, *mine])
+            to = inv @ xw.T
+            b = to @ target[inner]
+            value, known = float(me @ b), real is not None and real == real
+            rest = [real - value, float(me @ inv @ me)] if known else [None, None]
+            rows.append((rid, dict(zip(["fitted", *names, "residual", "leverage", *squares], [value, *map(float, b), *rest, *map(float, (to * to).sum(axis=1))]))))
+        return pd.DataFrame(rows, columns=["rid", "b"])
 
     if not n:
         return spark.createDataFrame([], kind).select("rid", *columns)
-    start = far * (2 * (neighbours + 1) / (np.pi * max(n, 1))) ** 0.5
-    done = _widened(goal, "rid", min(float(start), far) or 1.0, far, met)
-    return (spark.createDataFrame([], kind) if done is None else done).select("rid", *columns)
+    found = tree.nearest_leaves(asking, held, min(neighbours, n - skipped) + skipped)
+    return found.rows().groupBy("key").cogroup(found.others().groupBy("key")).applyInPandas(fit, kind).select("rid", *columns)
 
 
 def gwr_score(fits: DataFrame) -> dict:

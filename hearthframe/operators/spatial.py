@@ -1,8 +1,8 @@
-"""Spatial joins and statistics on grid cells: every pairing goes through an equi-join on cells, never all pairs."""
+"""Spatial joins and statistics. Points, places, lines and units meet by leaves of packed trees (``tree``), never by all pairs."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hearthframe.functions.geo import distance, in_ring, segment_distance
 
-from .graph import _settled
+from . import tree
 from .relational import exact_quantiles, value_ranks
 
 
@@ -19,19 +19,13 @@ def _cell(c: Column | str, size: float) -> Column:
     return F.floor((F.col(c) if isinstance(c, str) else c) / size)
 
 
-def rings_to_cells(units: DataFrame, ring: str, size: float) -> DataFrame:
-    """Units once for each grid cell their bounding box touches."""
-    lo = lambda k: F.array_min(F.transform(ring, lambda v: v[k]))
-    hi = lambda k: F.array_max(F.transform(ring, lambda v: v[k]))
-    rows = units.withColumn("__cx", F.explode(F.sequence(_cell(lo("x"), size), _cell(hi("x"), size))))
-    return rows.withColumn("__cy", F.explode(F.sequence(_cell(lo("y"), size), _cell(hi("y"), size))))
-
-
-def point_in_unit(points: DataFrame, units: DataFrame, pid: str, unit: str, ring: str = "ring", size: float = 1000.0) -> DataFrame:
-    """(pid, unit) of the first unit (by id) that holds each point; points in none are left out."""
-    p = points.select(pid, "x", "y", _cell("x", size).alias("__cx"), _cell("y", size).alias("__cy"))
-    met = p.join(rings_to_cells(units.select(unit, ring), ring, size), ["__cx", "__cy"]).filter(in_ring(F.col("x"), F.col("y"), F.col(ring)))
-    return met.groupBy(pid).agg(F.min(unit).alias(unit))
+def point_in_unit(points: DataFrame, units: DataFrame, pid: str, unit: str, ring: str = "ring") -> DataFrame:
+    """(pid, unit) of the first unit (by id) that holds each point; points in none, and without coordinates, are left out."""
+    end = lambda f, c: f(F.transform("__ring", lambda v: v[c].cast("double")))
+    p = tree.build(points.select(pid, "x", "y"), _at("x", "y"))
+    u = tree.build(units.select(F.col(unit).alias("__unit"), F.col(ring).alias("__ring")), tuple(end(f, c) for f in (F.array_min, F.array_max) for c in "xy"), capacity=tree.SMALL)
+    met = tree.leaves_within(p, u, 0.0, whole=False).met().filter(in_ring(F.col("x"), F.col("y"), F.col("__ring")))
+    return met.groupBy(pid).agg(F.min("__unit").alias(unit))
 
 
 def analysis_unit(tagged: DataFrame, small: str, large: str, least: int) -> DataFrame:
@@ -48,89 +42,46 @@ def hex_grid(spark_df: DataFrame, size: float, x0: float, y0: float, x1: float,
     return grid.select("hex_id", (x0 + F.col("c") * dx).alias("x"), (y0 + F.col("r") * dy + F.when(F.col("c") % 2 == 1, dy / 2).otherwise(0.0)).alias("y"))
 
 
-def count_within(points: DataFrame, poi: DataFrame, pid: str, radius: float) -> DataFrame:
-    """(pid, n) of places within the radius, 0 where none; cells of the radius make it an equi-join on nine cells."""
-    near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    p = points.select(pid, "x", "y").withColumn("__cx", _cell("x", radius)).withColumn("__cy", _cell("y", radius))
-    q = poi.select("px", "py").withColumn("dx", near).withColumn("dy", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumns({"__cx": _cell("px", radius) + F.col("dx"), "__cy": _cell("py", radius) + F.col("dy")}).drop("dx", "dy")
-    hits = p.join(q, ["__cx", "__cy"]).filter(distance(F.col("x"), F.col("y"), F.col("px"), F.col("py")) <= radius).groupBy(pid).agg(F.count(F.lit(1)).alias("n"))
-    return points.select(pid).join(hits, pid, "left").select(pid, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+def _at(x: str, y: str) -> tuple[Column, Column, Column, Column]:
+    return F.col(x), F.col(y), F.col(x), F.col(y)
 
 
-def _room(points: DataFrame, x: str, y: str, goals: list[tuple[str, str]], others: DataFrame) -> tuple[float, int]:
-    """(far, n): a length no distance between a point and one of the others exceeds, and the number of the others; far is 0 if either is empty.
-
-    goals are the coordinate columns of the others, whose boxes hold them.
-    """
-    low = [F.min(c).alias(f"lo{i}{k}") for i, g in enumerate(goals) for k, c in enumerate(g)]
-    high = [F.max(c).alias(f"hi{i}{k}") for i, g in enumerate(goals) for k, c in enumerate(g)]
-    o = others.agg(*low, *high, F.count(F.lit(1)).alias("n")).collect()[0]
-    p = points.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")).collect()[0]
-    if p["x0"] is None or not o["n"]:
-        return 0.0, int(o["n"])
-    span = [max(p[f"{c}1"], *[o[f"hi{i}{k}"] for i in range(len(goals))]) - min(p[f"{c}0"], *[o[f"lo{i}{k}"] for i in range(len(goals))]) for k, c in enumerate("xy")]
-    return float(span[0] ** 2 + span[1] ** 2) ** 0.5 * 1.0001 + 1e-6, int(o["n"])
+def _unplaced(points: DataFrame, pid: str) -> DataFrame:
+    return points.filter(~tree.known(F.col("x").cast("double"), F.col("y").cast("double"))).select(pid)
 
 
-def _widened(points: DataFrame, pid: str, start: float, far: float, met: Callable[[DataFrame, float], DataFrame]) -> DataFrame | None:
-    """(pid, b) of met(points left, cell size), which answers the points it is sure of; cells grow four times a round until every point has an answer.
+def count_within(points: DataFrame, poi: DataFrame, pid: str, radius: float) -> DataFrame:
+    """(pid, n) of places within the radius, 0 where none, null for a point without coordinates.
 
-    A round at a size of at least far must answer all that are left. The rounds' results are checkpointed.
-    """
-    left, done, s = points, None, start
-    while not left.isEmpty():
-        tried = _settled(left.join(met(left, s), pid, "left"))
-        hit = tried.filter("b IS NOT NULL").select(pid, "b")
-        done = hit if done is None else done.unionByName(hit)
-        left = tried.filter("b IS NULL").drop("b")
-        if s >= far and not left.isEmpty():
-            raise ValueError(f"points without an answer, such as {left.first()}")
-        s *= 4
-    return done
-
-
-def nearest(points: DataFrame, poi: DataFrame, pid: str, poi_id: str, size: float) -> DataFrame:
-    """(pid, poi, dist) of the nearest place of every point, ties to the smaller id, by cells that grow until the answer is sure.
-
-    At cell size s a place within s of a point lies in its nine cells, so a found distance of at most s is final; the
-    rest go on with cells of four times the size, at most to the extent of the data. The number of rounds is the
-    logarithm of the extent. Cells start at ``size``, or smaller where places are dense.
+    Groups of places that lie within the radius as a whole are counted by their number, without meeting their rows.
     """
-    far, n = _room(points, "x", "y", [("px", "py")], poi)
-    if not n and not points.isEmpty():
-        raise ValueError("no places to be near to")
-
-    def met(left: DataFrame, s: float) -> DataFrame:
-        q = poi.select(F.col(poi_id).alias("__poi"), "px", "py").withColumn("dx", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn("dy", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumns({"__cx": _cell("px", s) + F.col("dx"), "__cy": _cell("py", s) + F.col("dy")})
-        near = left.withColumns({"__cx": _cell("x", s), "__cy": _cell("y", s)}).join(q, ["__cx", "__cy"]).withColumn("__d", distance(F.col("x"), F.col("y"), F.col("px"), F.col("py"))).filter(F.col("__d") <= s)
-        return near.groupBy(pid).agg(F.min(F.struct(F.col("__d").alias("dist"), F.col("__poi").alias(poi_id))).alias("b"))
+    p, q = tree.build(points.select(pid, "x", "y"), _at("x", "y")), tree.build(poi.select("px", "py"), _at("px", "py"), capacity=tree.SMALL)
+    near = F.filter("others", lambda o: distance(F.col("x"), F.col("y"), o["px"], o["py"]) <= radius)
+    found = tree.leaves_within(p, q, radius).beside().select(pid, (F.col("inside") + F.coalesce(F.size(near), F.lit(0))).alias("n"))
+    return found.unionByName(_unplaced(points, pid), allowMissingColumns=True)
 
-    done = _widened(points.select(pid, "x", "y"), pid, min(size, far / max(n, 1) ** 0.5) or size, far, met)
-    return points.select(pid).join(poi.select(poi_id)).withColumn("dist", F.lit(0.0)).limit(0) if done is None else done.select(pid, f"b.{poi_id}", "b.dist")
 
+def nearest(points: DataFrame, poi: DataFrame, pid: str, poi_id: str) -> DataFrame:
+    """(pid, poi, dist) of the nearest place of every point, however far, ties to the smaller id; null for a point without coordinates.
 
-def nearest_line(points: DataFrame, segments: DataFrame, pid: str, reach: float) -> DataFrame:
-    """(pid, dist) of every point to its nearest segment (ax, ay, bx, by), however far; null if there are no segments.
-
-    Segments are dealt to the cells of size s they may be within s of, so a found distance of at most s is final; the
-    rest go on with larger cells. Cells start at ``reach``, or smaller where segments are dense.
+    Points without any place to be near to raise an error.
     """
-    far, n = _room(points, "x", "y", [("ax", "ay"), ("bx", "by")], segments)
-    if not n:
-        return points.select(pid, F.lit(None).cast("double").alias("dist"))
-    d = segment_distance(*[F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")])
+    p, q = tree.build(points.select(pid, "x", "y"), _at("x", "y")), tree.build(poi.select(F.col(poi_id).alias("__poi"), "px", "py"), _at("px", "py"), capacity=tree.SMALL)
+    if p.n and not q.n:
+        raise ValueError("no places to be near to")
+    best = F.array_min(F.transform("others", lambda o: F.struct(distance(F.col("x"), F.col("y"), o["px"], o["py"]).alias("d"), o["__poi"].alias("poi"))))
+    found = tree.nearest_leaves(p, q).beside().select(pid, best.alias("b")).select(pid, F.col("b.poi").alias(poi_id), F.col("b.d").alias("dist"))
+    return found.unionByName(_unplaced(points, pid), allowMissingColumns=True)
 
-    def met(left: DataFrame, s: float) -> DataFrame:
-        lo = lambda a, b: _cell(F.least(F.col(a), F.col(b)) - s, s)
-        hi = lambda a, b: _cell(F.greatest(F.col(a), F.col(b)) + s, s)
-        centre = [(F.col(c) + 0.5) * s for c in ("__cx", "__cy")]
-        q = segments.select("ax", "ay", "bx", "by").withColumn("__cx", F.explode(F.sequence(lo("ax", "bx"), hi("ax", "bx")))).withColumn("__cy", F.explode(F.sequence(lo("ay", "by"), hi("ay", "by"))))
-        q = q.filter(segment_distance(*centre, *[F.col(c) for c in ("ax", "ay", "bx", "by")]) <= 1.7072 * s)  # a cell's corner is 0.7072 s from its centre
-        near = left.withColumns({"__cx": _cell("x", s), "__cy": _cell("y", s)}).join(q, ["__cx", "__cy"]).withColumn("__d", d).filter(F.col("__d") <= s)
-        return near.groupBy(pid).agg(F.min("__d").alias("b"))
 
-    done = _widened(points.select(pid, "x", "y"), pid, min(reach, far / n**0.5) or reach, far, met)
-    return points.select(pid, F.lit(0.0).alias("dist")).limit(0) if done is None else done.select(pid, F.col("b").alias("dist"))
+def nearest_line(points: DataFrame, segments: DataFrame, pid: str) -> DataFrame:
+    """(pid, dist) of every point to its nearest segment (ax, ay, bx, by), however far; null if there are no segments or the point has no coordinates."""
+    low, high = (tuple(f(F.col(f"a{c}"), F.col(f"b{c}")) for c in "xy") for f in (F.least, F.greatest))
+    ends = segments.select("ax", "ay", "bx", "by").filter(tree.known(*[F.col(c).cast("double") for c in ("ax", "ay", "bx", "by")]))
+    p, q = tree.build(points.select(pid, "x", "y"), _at("x", "y")), tree.build(ends, (*low, *high), capacity=tree.SMALL)
+    d = segment_distance(*[F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")])
+    dist = tree.nearest_leaves(p, q).met().groupBy(pid).agg(F.min(d).alias("dist"))
+    return points.select(pid).join(dist, pid, "left")
 
 
 def count_up_to(limits: DataFrame, values: DataFrame, limit: str, value: str) -> DataFrame:
@@ -143,49 +94,31 @@ def count_up_to(limits: DataFrame, values: DataFrame, limit: str, value: str) ->
     return n.select(F.col("v").alias(limit), (F.col("a") - F.col("b")).alias("n"))
 
 
-def nearest_within_budget(origins: DataFrame, listings: DataFrame, oid: str, reach: float) -> DataFrame:
-    """(oid, dist, n): nearest listing whose rent is in the origin's budget, however far, and how many such listings there are; dist infinite and n 0 if none.
+def nearest_within_budget(origins: DataFrame, listings: DataFrame, oid: str) -> DataFrame:
+    """(oid, dist, n): nearest listing whose rent is in the origin's budget, however far, and how many such listings there are; dist
+    infinite and n 0 if none. dist is null for an origin without coordinates.
 
-    Cells start at ``reach``, or smaller where listings are dense, and grow until every origin with a listing in its budget has its nearest one.
+    Origins and listings are packed by place and by amount, so that a group of listings is known to be in or out of a group's budgets.
     """
     q = listings.select("px", "py", "rent").filter("rent IS NOT NULL")
-    counted = origins.select(oid, "x", "y", F.col("budget").cast("double").alias("budget"))
-    counted = counted.join(count_up_to(counted, q, "budget", "rent"), "budget", "left").select(oid, "x", "y", "budget", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
-    far, n = _room(origins, "x", "y", [("px", "py")], q)
-
-    def met(left: DataFrame, s: float) -> DataFrame:
-        near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-        o = left.withColumn("dx", near).withColumn("dy", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumns({"__cx": _cell("x", s) + F.col("dx"), "__cy": _cell("y", s) + F.col("dy")})
-        d = o.join(q.withColumns({"__cx": _cell("px", s), "__cy": _cell("py", s)}), ["__cx", "__cy"]).filter(F.col("rent") <= F.col("budget")).withColumn("__d", distance(F.col("x"), F.col("y"), F.col("px"), F.col("py"))).filter(F.col("__d") <= s)
-        return d.groupBy(oid).agg(F.min("__d").alias("b"))
-
-    done = _widened(counted.filter("n > 0").drop("n"), oid, min(reach, far / max(n, 1) ** 0.5) or reach, far, met)
-    got = counted.select(oid, "n") if done is None else counted.select(oid, "n").join(done, oid, "left")
-    return got.select(oid, F.lit(float("inf")).alias("dist") if done is None else F.coalesce("b", F.lit(float("inf"))).alias("dist"), "n")
+    o = origins.select(oid, "x", "y", F.col("budget").cast("double").alias("budget"))
+    counts = count_up_to(o, q, "budget", "rent")
+    asking, held = tree.build(o, _at("x", "y"), F.col("budget")), tree.build(q, _at("px", "py"), F.col("rent"), tree.SMALL)
+    best = F.array_min(F.transform(F.filter("others", lambda h: h["rent"] <= F.col("budget")), lambda h: distance(F.col("x"), F.col("y"), h["px"], h["py"])))
+    found = tree.nearest_leaves(asking, held, up_to_value=True).beside().select(oid, "budget", F.coalesce(best, F.lit(float("inf"))).alias("dist"))
+    placed = tree.known(F.col("x").cast("double"), F.col("y").cast("double"))
+    rest = o.filter(~(placed & tree.known(F.col("budget")))).select(oid, "budget", F.when(placed, F.lit(float("inf"))).alias("dist"))
+    return found.unionByName(rest).join(counts, "budget", "left").select(oid, "dist", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def knn_weights(areas: DataFrame, k: int) -> DataFrame:
-    """(i, j, w): the k nearest other areas of each (id, x, y), ties to the smaller id, row-standardised; all others if there are fewer.
-
-    At cell size s the areas within s of one lie in its nine cells, so an area with k others within s is done; the rest
-    go on with larger cells, at most to the extent of the data.
-    """
-    own = areas.select(F.col("id").alias("i"), "x", "y")
-    far, n = _room(own, "x", "y", [("x", "y")], own)
-    least = min(k, n - 1)
-    near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-
-    def met(left: DataFrame, s: float) -> DataFrame:
-        q = own.select(F.col("i").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj")).withColumn("dx", near).withColumn("dy", near).withColumns({"__cx": _cell("xj", s) + F.col("dx"), "__cy": _cell("yj", s) + F.col("dy")}).drop("dx", "dy")
-        d = left.withColumns({"__cx": _cell("x", s), "__cy": _cell("y", s)}).join(q, ["__cx", "__cy"]).filter("i <> j").withColumn("d", distance(F.col("x"), F.col("y"), F.col("xj"), F.col("yj"))).filter(F.col("d") <= s)
-        best = d.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).filter(F.col("r") <= k)
-        return best.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("r", "j"))).alias("b")).filter(F.size("b") >= least)
-
-    start = far * (2 * (k + 1) / (3.14 * max(n, 1))) ** 0.5
-    done = _widened(own, "i", min(start, far) or 1.0, far, met) if n > 1 else None
-    if done is None:
-        return own.select("i", F.col("i").alias("j"), F.lit(0.0).alias("w")).limit(0)
-    return done.select("i", F.explode("b").alias("b"), F.size("b").alias("n")).select("i", "b.j", (1.0 / F.col("n")).alias("w"))
+    """(i, j, w): the k nearest other areas of each (id, x, y), ties to the smaller id, row-standardised; all others if there
+    are fewer. An area without coordinates has no neighbours and is none."""
+    own = tree.build(areas.select(F.col("id").alias("i"), "x", "y"), _at("x", "y"), capacity=tree.SMALL)
+    others = replace(own, items=own.items.withColumnsRenamed({"i": "j", "x": "xj", "y": "yj"}))
+    away = F.transform(F.filter("others", lambda o: o["j"] != F.col("i")), lambda o: F.struct(distance(F.col("x"), F.col("y"), o["xj"], o["yj"]).alias("d"), o["j"].alias("j")))
+    best = tree.nearest_leaves(own, others, k + 1).beside().select("i", F.slice(F.array_sort(away), 1, k).alias("b"))  # one of the k + 1 is the area itself
+    return best.select("i", F.explode("b.j").alias("j"), F.size("b").alias("n")).select("i", "j", (1.0 / F.col("n")).alias("w"))
 
 
 def queen_weights(boxes: DataFrame) -> DataFrame:

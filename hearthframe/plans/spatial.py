@@ -25,7 +25,7 @@ def utm_project(t):
 
 def _tagged(t):
     u = t("units").select("unit", "region_id", ring("x0", "y0", "x1", "y1").alias("ring"))
-    return S.point_in_unit(t("points"), u, "pid", "unit", size=1001.0)
+    return S.point_in_unit(t("points"), u, "pid", "unit")
 
 
 PIP = ", pip AS (SELECT pid, unit, region_id, value, x, y FROM points JOIN units ON x >= x0 AND x < x1 AND y >= y0 AND y < y1)"
@@ -57,7 +57,7 @@ NEAR = ", d AS (SELECT pid, poi, sqrt((px - x) * (px - x) + (py - y) * (py - y))
 
 @query("nearest_poi", NEAR + " SELECT pid, min_by(poi, (dist, poi)) AS poi, round(min(dist), 6) AS dist FROM d GROUP BY 1", ("points", "poi"))
 def nearest_poi(t):
-    return S.nearest(t("points"), t("poi"), "pid", "poi", 500.0).select("pid", "poi", F.round("dist", 6).alias("dist"))
+    return S.nearest(t("points"), t("poi"), "pid", "poi").select("pid", "poi", F.round("dist", 6).alias("dist"))
 
 
 @query("count_within", NEAR + " SELECT pid, CAST(count(*) FILTER (WHERE dist <= 1000) AS BIGINT) AS n FROM d GROUP BY 1", ("points", "poi"))
@@ -78,7 +78,7 @@ def nearest_line(t):
 
     w = Window.partitionBy("line").orderBy("poi")
     seg = t("poi").select(F.col("px").alias("ax"), F.col("py").alias("ay"), F.lead("px").over(w).alias("bx"), F.lead("py").over(w).alias("by")).filter("bx IS NOT NULL")
-    return S.nearest_line(t("points"), seg, "pid", 400.0).select("pid", F.round("dist", 6).alias("dist"))
+    return S.nearest_line(t("points"), seg, "pid").select("pid", F.round("dist", 6).alias("dist"))
 
 
 @query(
@@ -89,7 +89,7 @@ def nearest_line(t):
 def nearest_in_budget(t):
     o = t("poi").select(F.col("poi").alias("oid"), F.col("px").alias("x"), F.col("py").alias("y"), (20000.0 + 3000 * (F.col("poi") % 40)).alias("budget"))
     q = t("points").select(F.col("x").alias("px"), F.col("y").alias("py"), F.col("value").alias("rent"))
-    r = S.nearest_within_budget(o, q, "oid", 1500.0)
+    r = S.nearest_within_budget(o, q, "oid")
     return r.select("oid", F.round(F.when(F.col("dist") == float("inf"), 1e12).otherwise(F.col("dist")), 4).alias("dist"), "n")
 
 
@@ -191,3 +191,65 @@ def shortest_time(t):
 def cumulative_access(t):
     o = t("supplier").select(F.col("s_suppkey").cast("bigint").alias("node"), (F.col("s_suppkey") * 2.0).alias("amount")).unionByName(t("supplier").select((F.col("s_suppkey") + 1000000).cast("bigint").alias("node"), F.lit(0.0).alias("amount")))
     return G.cumulative_access(_times(t), o, (10, 20, 30))
+
+
+# ---- Access for every origin. ----
+def _origins(t):
+    return t("poi").select(F.col("poi").cast("bigint").alias("origin"), (F.col("px") + 50).alias("x"), (F.col("py") + 20).alias("y"))
+
+
+def _nodes(t):
+    return t("poi").select(F.col("poi").cast("bigint").alias("node"), F.col("px").alias("x"), F.col("py").alias("y"))
+
+
+SNAPPED = ", o AS (SELECT poi AS origin, px + 50 AS x, py + 20 AS y FROM poi), po AS (SELECT origin, min_by(poi, (d, poi)) AS node, min(d) / 1000 / 4e0 * 60 AS walk FROM (SELECT origin, poi, sqrt((px - x) * (px - x) + (py - y) * (py - y)) AS d FROM o CROSS JOIN poi) GROUP BY 1)"
+
+
+@query("snap_to_node", SNAPPED + " SELECT CAST(origin AS BIGINT) AS origin, CAST(node AS BIGINT) AS node, round(walk, 6) AS walk FROM po", ("poi",))
+def snap_to_node(t):
+    return G.snap(_origins(t), _nodes(t), "origin", 4.0).withColumn("walk", F.round("walk", 6))
+
+
+FRAGMENTS = ", e AS (SELECT src AS u, dst AS v, minutes FROM road_edges WHERE kind <> 2 AND minutes <= 5 UNION ALL SELECT dst, src, minutes FROM road_edges WHERE kind <> 2 AND minutes <= 5), r AS (SELECT DISTINCT u AS node, u AS l FROM e UNION SELECT e.v, r.l FROM r JOIN e ON e.u = r.node), c AS (SELECT node, min(l) AS c FROM r GROUP BY 1), big AS (SELECT c FROM c GROUP BY 1 ORDER BY count(*) DESC, c LIMIT 1)"
+
+
+@query("largest_component", FRAGMENTS + " SELECT u, v, minutes FROM e JOIN c ON node = u JOIN big USING (c)", ("road_edges",))
+def largest_component(t):
+    return G.largest_component(G.both_ways(_roads(t).filter("kind <> 2 AND minutes <= 5").select(F.col("src").alias("u"), F.col("dst").alias("v"), "minutes")))
+
+
+# All edges take a minute or more, so walks within 20 minutes are few for each origin and the recursion ends.
+FROM_EACH = SNAPPED + ", b AS (SELECT u, v, min(minutes) AS minutes FROM (SELECT src AS u, dst AS v, minutes FROM road_edges UNION ALL SELECT dst, src, minutes FROM road_edges) GROUP BY 1, 2), w AS (SELECT DISTINCT CAST(node AS BIGINT) AS src, CAST(node AS BIGINT) AS node, 0e0 AS t FROM po UNION SELECT w.src, b.v, w.t + b.minutes FROM w JOIN b ON b.u = w.node WHERE w.t + b.minutes <= 20), fe AS (SELECT origin, w.node, min(t) AS minutes FROM po JOIN w ON w.src = po.node GROUP BY 1, 2)"
+
+
+def _from_each(t):
+    e = _roads(t).select(F.col("src").cast("bigint").alias("u"), F.col("dst").cast("bigint").alias("v"), "minutes")
+    o = G.snap(_origins(t), _nodes(t), "origin", 4.0)
+    return o, G.times_from_each(G.both_ways(e), o, 20.0)
+
+
+@query("times_from_each", FROM_EACH + " SELECT CAST(origin AS BIGINT) AS origin, CAST(node AS BIGINT) AS node, minutes FROM fe", ("poi", "road_edges"))
+def times_from_each(t):
+    return _from_each(t)[1]
+
+
+CELLS = ", c AS (SELECT 500 * floor(x / 500) + 250 AS cx, 500 * floor(y / 500) + 250 AS cy, CAST(count(*) AS DOUBLE) AS lit, sum(value) AS built, CAST(floor(x / 500) AS BIGINT) % 4 AS unit FROM points GROUP BY ALL), cs AS (SELECT *, 1000 * (unit + 1) * lit / sum(lit) OVER u AS jobs_lit, 1000 * (unit + 1) * built / sum(built) OVER u AS jobs_built, 1000 * (unit + 1) * sqrt(lit * built) / sum(sqrt(lit * built)) OVER u AS jobs_mix FROM c WINDOW u AS (PARTITION BY unit)), cn AS (SELECT cx, cy, min_by(poi, (d, poi)) AS node, min(d) / 1000 / 4e0 * 60 AS cwalk FROM (SELECT cx, cy, poi, sqrt((px - cx) * (px - cx) + (py - cy) * (py - cy)) AS d FROM c CROSS JOIN poi) GROUP BY 1, 2), m AS (SELECT origin, minutes + walk + cwalk AS reach, lit, jobs_lit, jobs_built, jobs_mix FROM fe JOIN po USING (origin) JOIN cn ON cn.node = fe.node JOIN cs USING (cx, cy))"
+AMOUNTS = ("lit", "jobs_lit", "jobs_built", "jobs_mix")
+
+
+@query(
+    "access_by_origin",
+    FROM_EACH + CELLS + " SELECT CAST(po.origin AS BIGINT) AS origin, round(any_value(walk), 6) AS access, " + ", ".join(f"round(coalesce(sum({a}) FILTER (WHERE reach <= {m}), 0), 4) AS {a}_{m}" for a in AMOUNTS for m in (10, 15, 20)) + " FROM po LEFT JOIN m USING (origin) GROUP BY 1",
+    ("poi", "road_edges", "points"),
+)
+def access_by_origin(t):
+    """Lights, and jobs of four units spread over their cells by lights, by buildings and by both, that each origin reaches within the minutes."""
+    at = lambda c: 500 * F.floor(F.col(c) / 500) + 250
+    grid = t("points").groupBy(at("x").cast("double").alias("x"), at("y").cast("double").alias("y"), (F.floor(F.col("x") / 500) % 4).alias("unit")).agg(F.count(F.lit(1)).cast("double").alias("lit"), F.sum("value").alias("built"))
+    grid = grid.withColumn("cell", F.concat_ws("_", "x", "y"))
+    totals = t("region").select((F.col("r_regionkey") % 4).cast("bigint").alias("unit")).distinct().withColumn("total", 1000.0 * (F.col("unit") + 1))
+    cells = G.spread_amounts(grid, totals, {"jobs_lit": F.col("lit"), "jobs_built": F.col("built"), "jobs_mix": F.sqrt(F.col("lit") * F.col("built"))})
+    o, times = _from_each(t)
+    placed = G.snap(grid, _nodes(t), "cell", 4.0).join(cells.drop("x", "y"), "cell")
+    found = G.access_by_origin(times, o, placed, list(AMOUNTS), (10, 15, 20))
+    return found.select("origin", F.round("access", 6).alias("access"), *[F.round(c, 4).alias(c) for c in found.columns[2:]])

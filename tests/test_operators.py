@@ -46,7 +46,7 @@ def test_mixture_quantile_inverts(spark):
 def test_supply(spark):
     o = spark.createDataFrame([(1, 0.0, 0.0, 150.0), (2, 0.0, 0.0, 600.0), (3, 0.0, 0.0, 50.0)], "oid int, x double, y double, budget double")
     q = spark.createDataFrame([(100.0, 0.0, 500.0), (900.0, 0.0, 100.0)], "px double, py double, rent double")
-    got = {r["oid"]: (r["dist"], r["n"]) for r in S.nearest_within_budget(o, q, "oid", 1000.0).collect()}
+    got = {r["oid"]: (r["dist"], r["n"]) for r in S.nearest_within_budget(o, q, "oid").collect()}
     assert got == {1: (900.0, 1), 2: (100.0, 2), 3: (math.inf, 0)}
 
 
@@ -55,16 +55,16 @@ def test_nearest_is_exact(spark):
     p, q = rng.uniform(0, 5000, (60, 2)), rng.uniform(0, 5000, (25, 2))
     pts = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(p)], "pid int, x double, y double")
     poi = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(q)], "poi int, px double, py double")
-    got = {r["pid"]: r["poi"] for r in S.nearest(pts, poi, "pid", "poi", 200.0).collect()}
+    got = {r["pid"]: r["poi"] for r in S.nearest(pts, poi, "pid", "poi").collect()}
     assert got == {i: int(np.hypot(*(q - x).T).argmin()) for i, x in enumerate(p)}
 
 
 def test_point_in_ring_and_lines(spark):
     tri = spark.createDataFrame([(1, [(0.0, 0.0), (4.0, 0.0), (0.0, 4.0)])], "unit int, ring array<struct<x:double,y:double>>")
     pts = spark.createDataFrame([(1, 1.0, 1.0), (2, 3.0, 3.0), (3, -1.0, 1.0)], "pid int, x double, y double")
-    assert [r["pid"] for r in S.point_in_unit(pts, tri, "pid", "unit", size=1.5).collect()] == [1]
+    assert [r["pid"] for r in S.point_in_unit(pts, tri, "pid", "unit").collect()] == [1]
     seg = spark.createDataFrame([(0.0, 0.0, 10.0, 0.0)], "ax double, ay double, bx double, by double")
-    assert S.nearest_line(pts.filter("pid = 2"), seg, "pid", 5.0).collect()[0]["dist"] == 3.0
+    assert S.nearest_line(pts.filter("pid = 2"), seg, "pid").collect()[0]["dist"] == 3.0
 
 
 def test_shortest_times(spark):

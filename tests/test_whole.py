@@ -47,10 +47,10 @@ def test_links_compare_whole_texts(spark):
 def test_nearest_goes_on_to_the_last_point(spark):
     spots = [(1, 0.0, 0.0), (2, 40_000.0, 3.0), (3, -9e6, 7e6), (4, 11.0, 0.0)]
     pts, poi = spark.createDataFrame(spots, "pid int, x double, y double"), spark.createDataFrame([(7, 10.0, 0.0), (8, 12.0, 0.0)], "poi int, px double, py double")
-    got = {r["pid"]: (r["poi"], r["dist"]) for r in S.nearest(pts, poi, "pid", "poi", 5.0).collect()}
+    got = {r["pid"]: (r["poi"], r["dist"]) for r in S.nearest(pts, poi, "pid", "poi").collect()}
     assert got == {i: (p, pytest.approx(d)) for i, x, y in spots for d, p in [min((math.hypot(x - a, y), k) for k, a in ((7, 10.0), (8, 12.0)))]}
     with pytest.raises(ValueError):
-        S.nearest(pts, poi.limit(0), "pid", "poi", 5.0)
+        S.nearest(pts, poi.limit(0), "pid", "poi")
 
 
 def test_searches_have_no_limit(spark):
@@ -65,12 +65,12 @@ def test_searches_have_no_limit(spark):
         k = max(0.0, min(1.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / d)) if d else 0.0
         return math.hypot(ax + k * (bx - ax) - x, ay + k * (by - ay) - y)
 
-    got = {r["pid"]: r["dist"] for r in S.nearest_line(pts, seg, "pid", 50.0).collect()}
+    got = {r["pid"]: r["dist"] for r in S.nearest_line(pts, seg, "pid").collect()}
     assert got == {i: pytest.approx(min(line(x, y, *e) for e in ends)) for i, (x, y) in enumerate(spots)}
-    assert [r["dist"] for r in S.nearest_line(pts.limit(2), seg.limit(0), "pid", 50.0).collect()] == [None, None]
+    assert [r["dist"] for r in S.nearest_line(pts.limit(2), seg.limit(0), "pid").collect()] == [None, None]
     homes = [(x, y, float(r)) for (x, y), r in zip(rng.uniform(0, 3000, (300, 2)).tolist(), rng.integers(1, 60, 300))]
     origins = [(i, x, y, float(b)) for i, ((x, y), b) in enumerate(zip(spots, rng.integers(0, 70, len(spots))))]
-    rows = S.nearest_within_budget(spark.createDataFrame(origins, "oid int, x double, y double, budget double"), spark.createDataFrame(homes, "px double, py double, rent double"), "oid", 20.0).collect()
+    rows = S.nearest_within_budget(spark.createDataFrame(origins, "oid int, x double, y double, budget double"), spark.createDataFrame(homes, "px double, py double, rent double"), "oid").collect()
     want = {i: ([math.hypot(x - h[0], y - h[1]) for h in homes if h[2] <= b]) for i, x, y, b in origins}
     assert {r["oid"]: (r["dist"], r["n"]) for r in rows} == {i: (pytest.approx(min(d, default=math.inf)), len(d)) for i, d in want.items()}
 
