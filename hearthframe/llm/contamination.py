@@ -219,7 +219,8 @@ def search(index: DataFrame, block: Windows, slack: int, every: bool) -> DataFra
         cuts = np.cumsum([0, *map(len, windows.terms)])
         flat = np.concatenate([np.empty(0, np.int64), *windows.terms])
         for batch in batches:
-            for row in batch.to_pylist():
+            for at_row in range(batch.num_rows):  # a segment at a time, so that a batch is never all Python objects at once
+                row = batch.slice(at_row, 1).to_pylist()[0]
                 seg = Segment(row)
                 spans: dict[int, list[tuple[int, int]]] = {}
                 near: dict[int, list[tuple[int, int]]] = {}
