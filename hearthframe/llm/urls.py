@@ -4,10 +4,12 @@ All glob patterns are packed one after another into words of 64 bits. Reading on
 pattern at once and masks them by that character; a ``*`` is a state that keeps itself. The urls of an Arrow batch
 advance together, a position at a time.
 
-A canonical url is ``.host/path``: the host lower-cased (A to Z), the path as it is. Rules (verdict, host, path) become
-globs of the same automaton. Of the rules that fit, the longest decides, of equally long ones the first listed; where
-none fits, a url that a block glob fits is blocked, and any other is allowed. Rules and globs come from the constants
-below or from a table (``read_rules``), of at most ``MOST_PATTERNS`` rows.
+A canonical url is ``.host/path``: the host lower-cased (A to Z), the path as it is. Rules (verdict, host, path) are patterns of
+the same automaton: host and path to the letter (a ``*`` in them is a ``*`` of the url), after any subdomain and before anything.
+Of the rules that fit, the longest decides, of equally long ones the first listed; where none fits, a url that a block glob
+fits is blocked, and any other is allowed. Rules and globs come from the constants below or from a table (``read_rules``), of
+at most ``MOST_PATTERNS`` rows. Patterns are dealt to packs of ``PACK``; a pack is run over a lot of urls and only the longest rule
+and the block are kept, so memory grows with a pack's states and not with the number of patterns.
 
 Null urls and urls without ``://`` have empty host and path, fit no rule and are blocked (``INVALID``). Urls of any length are
 read whole, those of a batch in bounded lots. Repeated rows are judged alike. Other columns of the input are not read
@@ -41,33 +43,35 @@ HOST_ENDS = ("xxx", "porn", "adult", "sex", "casino", "bet", "poker")
 PATH_PARTS = ("phpsessid=", "jsessionid=", "/cgi-bin/", "/wp-login.php", "/wp-admin/", "/cart/", "/checkout/", "/signin/", "/logout", "/unsubscribe")
 FILE_ENDS = ("exe", "msi", "dmg", "apk", "iso", "zip", "rar", "7z", "gz", "mp3", "mp4", "avi", "mkv", "wmv", "jpg", "jpeg", "png", "gif", "ico", "css", "js", "swf")
 BLOCK_GLOBS = (*[f"*{w}*/*" for w in HOST_WORDS], *[f"*.{e}/*" for e in HOST_ENDS], *[f"*/*{t.removeprefix('/')}*" if not t.startswith("/") else f"*{t}*" for t in PATH_PARTS], *[f"*/*.{e}" for e in FILE_ENDS])
-MOST_PATTERNS = 100_000
+MOST_PATTERNS, PACK = 100_000, 256
 INVALID = "block"
-#: Rows of a batch that advance together; bounds the automaton's memory whatever the batch holds.
+#: Rows of a batch that advance together; with PACK it bounds the automaton's memory whatever the batch holds.
 ROWS_AT_ONCE = 4096
 
 
 class GlobSet:
-    """Globs compiled to multiword Shift-And masks. ``match`` gives a rows-by-globs array of booleans."""
+    """Globs, and literal texts after a subdomain (``rules``), compiled to multiword Shift-And masks. ``match`` gives a rows-by-patterns
+    array of booleans, rules first."""
 
-    def __init__(self, globs: list[str]):
-        self.globs = list(globs)
+    def __init__(self, globs: list[str], rules: list[str] = ()):
+        self.globs = [*rules, *globs]
         cells: list[tuple[str, bool, bool]] = []  # character, star before it, star may cross "/"
         starts, ends, tails = [], [], []
-        for glob in self.globs:
-            if not glob.strip("*"):
+        for k, glob in enumerate(self.globs):
+            literal = k < len(rules)
+            if not literal and not glob.strip("*"):
                 raise ValueError("a glob needs a character besides *")
             starts.append(len(cells))
-            star = path = False
-            for ch in glob:
-                if ch == "*":
+            star, path = literal, False  # a rule stands after any subdomain
+            for ch in f".{glob}" if literal else glob:
+                if ch == "*" and not literal:
                     star = True
                     continue
                 cells.append((ch, star, path))
                 path |= ch == "/"
                 star = False
             ends.append(len(cells) - 1)
-            tails.append(star)
+            tails.append(star or literal)
         self.size = len(cells)
         self.words = max(1, -(-self.size // 64))
         self.starts, self.ends, self.tails = starts, ends, tails
@@ -181,22 +185,35 @@ def read_rules(patterns: DataFrame, most: int = MOST_PATTERNS) -> tuple[Rules, t
 
 def judge(pages: DataFrame, rules: Rules = RULES, block_globs: tuple[str, ...] = BLOCK_GLOBS, url: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """The kept columns with host, path, the longest rule that fits, and the verdict. No shuffle; masks are made once a task."""
-    rules = tuple(rules)
-    globs = [f"*.{host}{path}*" for _, host, path in rules] + list(block_globs)
-    shortest_first = sorted(range(len(rules)), key=lambda i: -len(rules[i][1] + rules[i][2]))[::-1]
+    rules, block_globs = tuple(rules), tuple(block_globs)
+    texts = [host + path for _, host, path in rules]
+    # Longest first, of equal length the first listed: the first that fits decides.
+    order = sorted(range(len(rules)), key=lambda i: (-len(texts[i]), i))
+    packed = lambda items: [items[i : i + PACK] for i in range(0, len(items), PACK)]
 
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        automaton = GlobSet(globs)
+        by_rule = [(part, GlobSet([], [texts[i] for i in part])) for part in packed(order)]
+        by_glob = [GlobSet(list(part)) for part in packed(block_globs)]
         for urls in batches:
             parts = [canonical_parts(u) for u in urls]
-            hits = automaton.match([f".{h}{p}" for h, p in parts])
-            rule = np.full(len(parts), None, object)
-            verdict = np.where(hits[:, len(rules) :].any(axis=1), "block", "allow").astype(object)
-            verdict[[i for i, (h, p) in enumerate(parts) if not h and not p]] = INVALID
-            for r in shortest_first:  # the longest is written last
-                fits = hits[:, r]
-                rule[fits] = rules[r][1] + rules[r][2]
-                verdict[fits] = rules[r][0]
+            rule, verdict = np.full(len(parts), None, object), np.full(len(parts), "allow", object)
+            for a in range(0, len(parts), ROWS_AT_ONCE):
+                lot = [f".{h}{p}" for h, p in parts[a : a + ROWS_AT_ONCE]]
+                first, blocked = np.full(len(lot), -1), np.zeros(len(lot), bool)
+                for part, automaton in by_rule:
+                    hits = automaton.match(lot)
+                    new = (first < 0) & hits.any(axis=1)
+                    first[new] = np.array(part)[hits[new].argmax(axis=1)]
+                for automaton in by_glob:
+                    blocked |= automaton.match(lot).any(axis=1)
+                for i, r in enumerate(first.tolist()):
+                    h, p = parts[a + i]
+                    if r >= 0:
+                        rule[a + i], verdict[a + i] = texts[r], rules[r][0]
+                    elif not h and not p:
+                        verdict[a + i] = INVALID
+                    elif blocked[i]:
+                        verdict[a + i] = "block"
             yield pd.DataFrame({"host": [h for h, _ in parts], "path": [p for _, p in parts], "rule": rule, "verdict": verdict})
 
     udf = F.pandas_udf(judged, "host string, path string, rule string, verdict string")
