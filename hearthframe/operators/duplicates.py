@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,19 +37,84 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * (len(a) - s.bit_count()) / (len(a) + len(b))
 
 
+def indel_ratios(a: list[str], b: list[str], lot: int = 4096) -> np.ndarray:
+    """indel_ratio of many pairs at once: the bits of a step are machine words of all pairs of a lot side by side."""
+    n = len(a)
+    out = np.empty(n)
+    length = np.array([(len(x), len(y)) for x, y in zip(a, b)], np.int64).reshape(n, 2)
+    total = length.sum(axis=1)
+    short = length.min(axis=1) == 0
+    out[short] = np.where(total[short] == 0, 100.0, 0.0)
+    rest = np.flatnonzero(~short)
+    rest = rest[np.lexsort((length[rest, 1], -(-length[rest, 0] // 64)))]  # pairs of like size together
+    for at in range(0, len(rest), lot):
+        part = rest[at : at + lot]
+        lefts = {x: i for i, x in enumerate(dict.fromkeys(a[i] for i in part))}
+        points = lambda x: np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32)
+        letters = np.unique(np.concatenate([points(x) for x in lefts]))
+        words, steps, row = int(-(-length[part, 0].max() // 64)), int(length[part, 1].max()), len(letters) + 1
+        step = max(1, (1 << 25) // (row * words * 8))
+        if len(lefts) > step:  # a lot of few pairs bounds the table of letters
+            out[part] = np.concatenate([indel_ratios([a[i] for i in part[k : k + step]], [b[i] for i in part[k : k + step]], lot) for k in range(0, len(part), step)])
+            continue
+        places = np.zeros((words, len(lefts) * row), np.uint64)
+        for x, i in lefts.items():
+            place = np.arange(len(x))
+            np.bitwise_or.at(places, (place >> 6, np.searchsorted(letters, points(x)) + i * row), np.left_shift(np.uint64(1), (place & 63).astype(np.uint64)))
+        other = np.full((len(part), steps), row - 1, np.int64)
+        for k, i in enumerate(part):
+            own = points(b[i])
+            at_letter = np.minimum(np.searchsorted(letters, own), row - 2)
+            other[k, : len(own)] = np.where(letters[at_letter] == own, at_letter, row - 1)
+        other = np.ascontiguousarray((other + np.array([lefts[a[i]] for i in part])[:, None] * row).T)
+        s = np.full((words, len(part)), np.uint64(0xFFFFFFFFFFFFFFFF))
+        for code in other:
+            carry = None
+            for w in range(words):
+                u = s[w] & places[w][code]
+                t = s[w] + u
+                over = t < u
+                if carry is not None:
+                    t += carry
+                    over |= t < carry
+                s[w] = t | (s[w] & ~u)
+                carry = over.astype(np.uint64)
+        held = np.zeros(len(part), np.int64)
+        for w in range(words):
+            bits = np.clip(length[part, 0] - 64 * w, 0, 64)
+            mask = np.where(bits == 64, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << np.minimum(bits, 63).astype(np.uint64)) - np.uint64(1))
+            held += np.bitwise_count(~s[w] & mask).astype(np.int64)
+        out[part] = 200.0 * held / total[part]
+    return out
+
+
+# The characters that separate words, which are those that Unicode calls white space.
+WHITE = r"[\x09-\x0d\x1c-\x20\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
 def token_sort(text: str | None) -> str:
     return " ".join(sorted((text or "").split()))
 
 
-def token_sort_ratio(a: Column | str, b: Column | str) -> Column:
-    """Indel ratio of two texts with their words sorted, 0 to 100."""
+def sorted_words(text: Column | str) -> Column:
+    """The text's words in order of code points, one space between them; once a row, so that pairs don't sort."""
+    return F.array_join(F.array_sort(F.filter(F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), WHITE), lambda w: w != "")), " ")
+
+
+def ratio_of(a: Column | str, b: Column | str) -> Column:
+    """Indel ratio of two columns, 0 to 100, a batch of pairs at a time; null as empty."""
 
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([indel_ratio(token_sort(p), token_sort(q)) for p, q in zip(x, y)], dtype="float64")
+        return pd.Series(indel_ratios([p or "" for p in x], [q or "" for q in y]), dtype="float64")
 
     return F.pandas_udf(ratio, "double")(a, b)
 
 
+def token_sort_ratio(a: Column | str, b: Column | str) -> Column:
+    """Indel ratio of two texts with their words sorted, 0 to 100."""
+    return ratio_of(sorted_words(a), sorted_words(b))
+
+
 def candidate_pairs(rows: DataFrame, block: list[str], rid: str = "rid", price: str = "price", tolerance: float = PRICE_TOLERANCE, carry: list[str] | None = None) -> DataFrame:
     """Pairs (a, b) of one block whose prices differ by at most the tolerance of the lower.
 
@@ -64,10 +130,18 @@ def candidate_pairs(rows: DataFrame, block: list[str], rid: str = "rid", price:
     return a.join(b, ["__block", "__k"]).filter(later & (F.col("pb") <= F.col("pa") * (1 + tolerance))).drop("__block", "__k")
 
 
-def links(pairs: DataFrame, similarity: Column) -> DataFrame:
-    """(u, v) of pairs that are one listing: similar texts, or the same agent and price and fairly similar texts."""
+def links(pairs: DataFrame, a: str = "words_a", b: str = "words_b") -> DataFrame:
+    """(u, v) of pairs that are one listing: similar texts, or the same agent and price and fairly similar texts.
+
+    ``a`` and ``b`` are the texts' sorted words. A pair whose lengths alone keep its ratio too low is dropped unseen (what two texts
+    share is no longer than the shorter one); the others are spread over all tasks and worked out a batch at a time.
+    """
     same = F.coalesce((F.col("agent_a") == F.col("agent_b")) & ((F.col("pb") - F.col("pa")) <= 1e-3 * F.col("pa")), F.lit(False))
-    return pairs.withColumn("sim", similarity).filter((F.col("sim") >= SIMILAR) | (same & (F.col("sim") >= SIMILAR_SAME_AGENT))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    least = F.when(same, SIMILAR_SAME_AGENT).otherwise(SIMILAR)
+    able = pairs.withColumn("least", least).filter(200 * F.least(F.length(a), F.length(b)) >= F.col("least") * (F.length(a) + F.length(b)))
+    tasks = max(pairs.sparkSession.sparkContext.defaultParallelism, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = able.select("a", "b", "least", a, b).repartition(tasks, "a", "b")
+    return spread.withColumn("sim", ratio_of(a, b)).filter(F.col("sim") >= F.col("least")).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def same_posting(rows: DataFrame, rid: str = "rid", keys: tuple[str, ...] = ("source", "source_id")) -> DataFrame:
@@ -80,8 +154,8 @@ def same_posting(rows: DataFrame, rid: str = "rid", keys: tuple[str, ...] = ("so
 def listing_links(rows: DataFrame, rid: str = "rid") -> DataFrame:
     """(u, v) among listings: equal portal ids, and pairs of one market, type, number of bedrooms and place (nulls are a value) with
     nearly one price that are linked by agent or text. rows: rid, source, source_id, market, ptype, bedrooms, place, price, agent, txt."""
-    pairs = candidate_pairs(rows, ["market", "ptype", "bedrooms", "place"], rid, carry=["txt", "agent"])
-    return same_posting(rows, rid).unionByName(links(pairs, token_sort_ratio("txt_a", "txt_b"))).distinct()
+    pairs = candidate_pairs(rows.withColumn("words", sorted_words("txt")), ["market", "ptype", "bedrooms", "place"], rid, carry=["words", "agent"])
+    return same_posting(rows, rid).unionByName(links(pairs)).distinct()
 
 
 def clusters(rows: DataFrame, edges: DataFrame, rid: str = "rid", most_rounds: int = 60) -> DataFrame:
@@ -184,30 +258,92 @@ def weighted_ratio(a: str, b: str) -> float:
     return max(plain, scale * window_ratio(a, b), 0.95 * scale * window_token_ratio(a, b))
 
 
-def match_place_fuzzy(texts: DataFrame, gazetteer: DataFrame, text: str, tid: str, least: float = 90.0, most_names: int = 20_000) -> DataFrame:
-    """(tid, place, method): match_place, and for texts it leaves without a place the name most like the text's core, from ``least`` on.
+def _grams(name: str) -> list[tuple[int, list[str]]]:
+    """(length, grams) of a name: pairs of neighbouring letters of each word, ends included, the k-th of a pair marked k. A name
+    that repeats words has a second form without the repeats; a name of one letter has that letter."""
+    forms, words = [], name.split()
+    for form in dict.fromkeys((tuple(words), tuple(dict.fromkeys(words)))):
+        seen: dict[str, int] = {}
+        grams = []
+        for w in form:
+            padded = f" {w} "
+            for i in range(len(padded) - 1):
+                g = padded[i : i + 2]
+                seen[g] = seen.get(g, 0) + 1
+                grams.append(f"{g}{seen[g]}")
+        n = sum(map(len, form)) + len(form) - 1
+        forms.append((n, grams + ([name] if len(name) == 1 else [])))
+    return forms
+
+
+def _least_shared(n: Column) -> Column:
+    """How many grams of the smaller of two names, of n letters, the other one has at least if their composite similarity is 90 or more.
+
+    Up to 90 % of likeness a letter put in or taken out breaks at most two pairs, and a third of n in all; of a name that lies
+    within the other only its two ends can be broken.
+    """
+    return F.greatest(F.lit(0), F.least(n - 1, F.ceil(n * 2 / 3 + 1 - 1e-9)))
+
+
+def likely_pairs(left: DataFrame, right: DataFrame, lid: str, rid: str, text: str) -> DataFrame:
+    """Pairs (lid, rid) of names that may have a composite similarity of 90 or more: an inverted index of letter pairs.
+
+    In such a pair the smaller name shares most of its grams with the other, so it shares one of its rarest few. Each
+    side's rarest grams are met by equality with all grams of the other; what is met must then share enough.
+    """
+    kind = "array<struct<n:int,g:array<string>>>"
+
+    @F.pandas_udf(kind)
+    def grams(names: pd.Series) -> pd.Series:
+        return pd.Series([[{"n": n, "g": g} for n, g in _grams(x or "")] for x in names])
+
+    def indexed(rows: DataFrame, key: str) -> DataFrame:
+        forms = rows.select(F.col(key).alias("id"), grams(text).alias("forms")).select("id", F.posexplode("forms").alias("form", "f")).select("id", "form", "f.n", "f.g")
+        # Single letters are there to be met by names of one letter.
+        return forms.withColumn("every", F.array_distinct(F.concat("g", F.filter(F.split(F.regexp_replace(F.array_join("g", ""), "[0-9 ]", ""), ""), lambda c: c != ""))))
+
+    a, b = indexed(left, lid), indexed(right, rid)
+    often = b.select(F.explode("every").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
+
+    def rarest(rows: DataFrame) -> DataFrame:
+        each = rows.select("id", "form", "n", F.size("g").alias("all"), F.explode("g").alias("gram")).join(often, "gram", "left")
+        listed = each.groupBy("id", "form", "n", "all").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "gram"))).alias("o"))  # the grams of a name
+        few = F.greatest(F.lit(1), F.col("all") - _least_shared(F.col("n")) + 1)
+        return listed.select("id", F.explode(F.slice("o", 1, few.cast("int"))).alias("o")).select("id", "o.gram").distinct()
+
+    every = lambda rows: rows.select("id", F.explode("every").alias("gram")).distinct()
+    one = rarest(a).withColumnRenamed("id", "l").join(every(b).withColumnRenamed("id", "r"), "gram").select("l", "r")
+    two = every(a).withColumnRenamed("id", "l").join(rarest(b).withColumnRenamed("id", "r"), "gram").select("l", "r")
+    met = one.unionByName(two).distinct()
+    name = lambda rows, k: rows.select(F.col("id").alias(k), F.struct("n", "g").alias(f"f{k}"))
+    shared = F.size(F.array_intersect("fl.g", "fr.g"))
+    enough = (shared >= _least_shared(F.col("fl.n"))) | (shared >= _least_shared(F.col("fr.n")))
+    return met.join(name(a, "l"), "l").join(name(b, "r"), "r").filter(enough).select(F.col("l").alias(lid), F.col("r").alias(rid)).distinct()
+
+
+def match_place_fuzzy(texts: DataFrame, gazetteer: DataFrame, text: str, tid: str, least: float = 90.0) -> DataFrame:
+    """(tid, place, method): match_place, and for texts it leaves without a place the name most like the text's core, from ``least`` (90 or more) on.
 
-    The core is the text without general place words, of four letters or more; ties go to the earlier name. Each distinct
-    core is held once against all names, of which there may be ``most_names``; more raise an error.
+    The core is the text without general place words, of four letters or more; ties go to the earlier name. Distinct cores
+    meet names, in any number, through an inverted index of letter pairs; only what may be similar is compared.
     """
+    if least < 90:
+        raise ValueError("the index holds for similarities of 90 or more")
     first = match_place(texts, gazetteer, text, tid)
     n = gazetteer.select("ord", F.col("place").cast("string").alias("place"), T.plain_name(F.col("name")).alias("plain"), T.sound_key(F.col("name")).alias("sound")).filter("plain <> ''")
     exact = n.groupBy(F.col("plain").alias("key")).agg(F.max_by("place", "ord").alias("place"), F.min("ord").alias("o"))
     sound = n.groupBy(F.col("sound").alias("key")).agg(F.min_by("place", "ord").alias("place"), F.min("ord").alias("o")).join(exact.select("key"), "key", "left_anti")
-    known = [(r["key"], r["place"]) for r in exact.unionByName(sound).orderBy("o", "key").limit(most_names + 1).collect()]  # at most most_names rows
-    if len(known) > most_names:
-        raise ValueError(f"more than {most_names} names")
+    known = exact.unionByName(sound).filter("key <> ''")
     core = T.plain_name(F.regexp_replace(T.plain_name(F.col(text)), T.PLACE_NOISE, " "))
     left = texts.join(first.filter("place IS NULL").select(tid), tid, "left_semi").select(tid, core.alias("core")).filter(F.length("core") >= 4)
+    pairs = likely_pairs(left.select("core", F.col("core").alias("__t")).distinct(), known.select("key", F.col("key").alias("__t")), "core", "key", "__t")
 
-    def likest(cores: pd.Series) -> pd.Series:
-        found = []
-        for c in cores:
-            best, place = max(((weighted_ratio(c, key), -i) for i, (key, _) in enumerate(known)), default=(0.0, 0))
-            found.append(known[-place][1] if known and best >= least else None)
-        return pd.Series(found, dtype="object")
+    def weighted(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([weighted_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
-    met = left.select("core").distinct().withColumn("near", F.pandas_udf(likest, "string")("core")).filter("near IS NOT NULL")
+    tasks = max(texts.sparkSession.sparkContext.defaultParallelism, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    scored = pairs.repartition(tasks, "core", "key").withColumn("ratio", F.pandas_udf(weighted, "double")("core", "key")).filter(F.col("ratio") >= least)
+    met = scored.join(known, "key").groupBy("core").agg(F.min_by("place", F.struct(-F.col("ratio"), "o", "key")).alias("near"))
     out = first.join(left.join(met, "core").select(tid, "near"), tid, "left")
     return out.select(tid, F.coalesce(F.col("place").cast("string"), "near").alias("place"), F.coalesce("method", F.when(F.col("near").isNotNull(), "lookup_fuzzy")).alias("method"))
 

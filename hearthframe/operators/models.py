@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -46,10 +46,10 @@ def ols_cluster(df: DataFrame, y: str, xs: list[str], cluster: str) -> list[dict
     cell = lambda i, j: F.col(f"p{min(i, j)}_{max(i, j)}")
     scores = parts.select(*[(cell(i, k) - sum((cell(i, j) * float(b[j]) for j in range(k)), F.lit(0.0))).alias(f"s{i}") for i in range(k)])
     meat = _matrix(_products(scores, [f"s{i}" for i in range(k)], []).collect()[0], k)
-    v = inv @ meat @ inv * (g / (g - 1)) * ((n - 1) / (n - k))
-    se = np.sqrt(np.diag(v))
+    # One cluster, or no row more than terms, leaves errors undefined.
+    se = np.sqrt(np.diag(inv @ meat @ inv * (g / (g - 1)) * ((n - 1) / (n - k)))) if g > 1 and n > k else np.full(k, np.nan)
     residual = total[k, k] - b @ total[:k, k]
-    return [{"term": x, "coef": float(b[i]), "se": float(se[i]), "t": float(b[i] / se[i]), "n": int(n), "clusters": g, "rss": float(residual)} for i, x in enumerate(xs)]
+    return [{"term": x, "coef": float(b[i]), "se": float(se[i]) if se[i] == se[i] else None, "t": float(b[i] / se[i]) if se[i] > 0 else None, "n": int(n or 0), "clusters": g, "rss": float(residual)} for i, x in enumerate(xs)]
 
 
 def demeaned(df: DataFrame, columns: list[str], group: str) -> DataFrame:
@@ -153,46 +153,105 @@ def premium(coefs: list[dict], term: str) -> dict:
     return {"term": term, "premium": float(pct(c["coef"])), "low": float(pct(c["coef"] - 1.96 * c["se"])), "high": float(pct(c["coef"] + 1.96 * c["se"]))}
 
 
+def _by_rank(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, v, c, below, n): how often each value is in its group, how many of the group are below it, and the group's size.
+
+    Values are counted first and put in order by ranges, so neither a large group nor a frequent value is a task of its own.
+    """
+    from .relational import in_ranges, range_starts
+
+    known = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    placed = in_ranges(known.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c")), ["g", "v"])
+    starts = range_starts(placed, {"__start": F.sum("c")})
+    w = Window.partitionBy("__range").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = placed.join(F.broadcast(starts), "__range").select("g", "v", "c", (F.col("__start") + F.sum("c").over(w) - F.col("c")).alias("below"))  # a row a range
+    sizes = ordered.groupBy("g").agg(F.min("below").alias("first"), F.sum("c").alias("n"))
+    return ordered.join(sizes, "g").select("g", "v", "c", (F.col("below") - F.col("first")).alias("below"), "n")
+
+
+def values_at(ranks: DataFrame, asked: DataFrame, parts: int = 1024) -> DataFrame:
+    """The asked rows (g, rank from 0, ...) with the value ``v`` of that rank. ranks as of _by_rank.
+
+    Ranks of a group fall into at most ``parts`` buckets of equal width; a value is in the buckets its ranks touch.
+    """
+    width = F.greatest(F.lit(1), F.ceil(F.col("n") / parts)).cast("bigint")
+    held = ranks.withColumn("b", F.explode(F.sequence(F.floor(F.col("below") / width), F.floor((F.col("below") + F.col("c") - 1) / width)))).select("g", "b", "v", "c", "below")
+    sized = asked.join(ranks.select("g", "n").distinct(), "g").withColumn("b", F.floor(F.col("rank") / width)).drop("n")
+    return sized.join(held, ["g", "b"]).filter((F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("below") + F.col("c"))).drop("b", "c", "below")
+
+
+def _asked(ranks: DataFrame, rows, schema: str) -> DataFrame:
+    """Rows (g, ...) that rows(n, key) makes of each group's size, a group at a time; key tells groups apart for their random draws."""
+    kind = dict(ranks.dtypes)["g"]
+    sizes = ranks.groupBy("g").agg(F.max("n").alias("n")).withColumn("key", F.crc32(F.col("g").cast("string").cast("binary")))
+    names = ["g", *[c.split()[0] for c in schema.split(", ")]]
+
+    def made(frames):
+        for f in frames:
+            for g, n, key in zip(f["g"], f["n"], f["key"]):
+                got = rows(int(n), int(key))
+                if got is not None and len(got[0]):
+                    yield pd.DataFrame(dict(zip(names, [[g] * len(got[0]), *got])))
+
+    return sizes.repartition("g").mapInPandas(made, f"g {kind}, {schema}")
+
+
 def bootstrap_median(df: DataFrame, group: str, value: str, draws: int = 1000, seed: int = 42) -> DataFrame:
-    """(group, median, low, high): percentile interval of resampled medians; one group's sorted values at a time."""
+    """(group, median, low, high): percentile interval of resampled medians; nulls and NaN are no values, a group without any has nulls.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(pdf[value].dropna().to_numpy())
-        if not len(x):
-            return pd.DataFrame([(pdf[group].iloc[0], None, None, None)], columns=[group, "median", "low", "high"])
-        # A resampled median is an order statistic whose place is binomial; drawing places needs no copies of the values.
-        rng = np.random.default_rng(seed)
-        u = rng.beta((len(x) + 1) / 2, (len(x) + 1) / 2, draws)
-        m = x[np.minimum((u * len(x)).astype(int), len(x) - 1)]
-        return pd.DataFrame([(pdf[group].iloc[0], float(np.median(x)), float(np.percentile(m, 2.5)), float(np.percentile(m, 97.5)))], columns=[group, "median", "low", "high"])
+    The median of a resample is the value at a random place: with n values the middle of n uniform numbers has a beta
+    distribution (of an even n the two middle ones have a joint one), and the place is that number times n. So only places
+    are drawn, and their values looked up among counted values; no group is gathered and nothing is resampled.
+    """
+    ranks = _by_rank(df, group, value)
+
+    def places(n: int, key: int):
+        rng = np.random.default_rng([seed, key])
+        m = (n + 1) // 2
+        u = rng.beta(m, n + 1 - m, draws)
+        pick = lambda u: np.minimum((u * n).astype(np.int64), n - 1)
+        second = pick(u + (1 - u) * rng.beta(1, n - m, draws)) if n % 2 == 0 else pick(u)
+        at = np.arange(draws)
+        return np.r_[-1, -1, at, at], np.r_[(n - 1) // 2, n // 2, pick(u), second]
 
-    kind = dict(df.dtypes)[group]
-    return df.select(group, value).groupBy(group).applyInPandas(one, f"{group} {kind}, median double, low double, high double")
+    medians = values_at(ranks, _asked(ranks, places, "draw int, rank bigint")).groupBy("g", "draw").agg(F.avg("v").alias("m"))
+    drawn = F.when(F.col("draw") >= 0, F.col("m"))
+    found = medians.groupBy("g").agg(F.max(F.when(F.col("draw") < 0, F.col("m"))).alias("median"), F.percentile(drawn, F.array(F.lit(0.025), F.lit(0.975))).alias("e"))  # a number a draw
+    return df.select(F.col(group).alias("g")).distinct().join(found, "g", "left").select(F.col("g").alias(group), "median", F.col("e")[0].alias("low"), F.col("e")[1].alias("high"))
 
 
 def precision_curve(df: DataFrame, group: str, value: str, sizes: tuple[int, ...] = (10, 20, 40, 80), draws: int = 30, seed: int = 42) -> DataFrame:
-    """(group, size, half_width): mean relative half-width of the median's interval at sample sizes."""
+    """(group, size, half_width): mean relative half-width of the median's interval at sample sizes, for groups of at least that many values.
+
+    Samples are drawn as places in the group and looked up, so a group gives only its samples to a task, whatever its size.
+    """
+    ranks = _by_rank(df, group, value)
+
+    def places(n: int, key: int):
+        rng = np.random.default_rng([seed, key])
+        rows = [(s, d, r) for s in sizes if n >= s for d in range(draws) for r in rng.choice(n, s, replace=False, shuffle=False).tolist()]
+        return tuple(map(list, zip(*rows))) if rows else None
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(pdf[value].dropna().to_numpy())
         rng = np.random.default_rng(seed)
         rows = []
-        for s in sizes:
-            if len(x) < s:
-                continue
+        for s, part in pdf.groupby("size"):
             halves = []
-            for _ in range(draws):
-                m = np.median(rng.choice(rng.choice(x, s, replace=False), (200, s)), axis=1)
-                halves.append((np.percentile(m, 97.5) - np.percentile(m, 2.5)) / 2 / np.median(x))
-            rows.append((pdf[group].iloc[0], s, float(np.mean(halves))))
+            for _, x in part.sort_values("v").groupby("draw")["v"]:
+                m = np.median(rng.choice(x.to_numpy(), (200, int(s))), axis=1)
+                middle = np.median(x)
+                halves.append((np.percentile(m, 97.5) - np.percentile(m, 2.5)) / 2 / middle if middle else np.nan)
+            rows.append((pdf["g"].iloc[0], int(s), float(np.mean(halves))))
         return pd.DataFrame(rows, columns=[group, "size", "half_width"])
 
-    return df.select(group, value).groupBy(group).applyInPandas(one, f"{group} {dict(df.dtypes)[group]}, size int, half_width double")
+    asked = values_at(ranks, _asked(ranks, places, "size int, draw int, rank bigint"))
+    return asked.groupBy("g").applyInPandas(one, f"{group} {dict(df.dtypes)[group]}, size int, half_width double")
 
 
 def cv_metrics(df: DataFrame, group: list[str], y: str, yhat: str) -> DataFrame:
+    """(n, rmse, mae, r2, mape) by group; r2 of a constant target is null."""
     e = F.col(y) - F.col(yhat)
-    return df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), (1 - F.sum(e * e) / (F.count(F.lit(1)) * F.var_pop(y))).alias("r2"), F.avg(F.abs(F.exp(e) - 1)).alias("mape"))
+    return df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), (1 - F.try_divide(F.sum(e * e), F.count(F.lit(1)) * F.var_pop(y))).alias("r2"), F.avg(F.abs(F.exp(e) - 1)).alias("mape"))
 
 
 def block_folds(df: DataFrame, block: str, folds: int) -> DataFrame:
@@ -349,18 +408,81 @@ def gwr_tests(fits: DataFrame, terms: int, alpha: float = 0.05) -> DataFrame:
     return fits.withColumns(t).withColumns({f"sig{i}": F.abs(f"t{i}") > float(cut) for i in range(terms)})
 
 
-def moran_permutation(values: DataFrame, weights: DataFrame, permutations: int = 999, seed: int = 42) -> dict:
-    """Pseudo p of Moran's I for map units (hundreds of rows, gathered for the permutations)."""
-    v = values.orderBy("id").toPandas()
-    w = weights.toPandas()
-    at = {i: k for k, i in enumerate(v["id"])}
-    i, j = w["i"].map(at).to_numpy(), w["j"].map(at).to_numpy()
-    z = (v["v"] - v["v"].mean()).to_numpy()
-    stat = lambda z: float((w["w"].to_numpy() * z[i] * z[j]).sum() / (z @ z) * len(z) / w["w"].sum())
-    rng = np.random.default_rng(seed)
-    sims = np.array([stat(rng.permutation(z)) for _ in range(permutations)])
-    observed = stat(z)
-    return {"moran": observed, "p": float(((np.abs(sims - sims.mean()) >= abs(observed - sims.mean())).sum() + 1) / (permutations + 1)), "z": float((observed - sims.mean()) / sims.std())}
+def shuffled(numbers: np.ndarray, n: int, draw: int, seed: int) -> np.ndarray:
+    """Where a draw's permutation of 0 .. n - 1 sends the numbers: a keyed Feistel network of eight rounds over the next power of
+    four, gone through again until the number is below n. No table of the permutation is held anywhere."""
+    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+    mask = np.uint64((1 << half) - 1)
+    keys = np.random.default_rng([seed, draw]).integers(0, 1 << 62, 8, dtype=np.uint64)
+
+    def once(x: np.ndarray) -> np.ndarray:
+        left, right = x >> np.uint64(half), x & mask
+        for k in keys:
+            f = (right + k) * np.uint64(0x9E3779B97F4A7C15)
+            f = (f ^ (f >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            left, right = right, left ^ ((f ^ (f >> np.uint64(32))) & mask)
+        return (left << np.uint64(half)) | right
+
+    x = once(numbers.astype(np.uint64))
+    while (over := x >= np.uint64(n)).any():
+        x[over] = once(x[over])
+    return x.astype(np.int64)
+
+
+def moran_permutation(values: DataFrame, weights: DataFrame, permutations: int = 999, seed: int = 42, lot: int = 100) -> dict:
+    """Pseudo p of Moran's I of values (id, v) under weights (i, j, w): (moran, p, z); nulls and NaN take no part, undefined is None.
+
+    Each unit works out where every draw sends its value (a keyed permutation of unit numbers), so a draw's values are met by
+    joins and its I is a sum over weights; draws go ``lot`` at a time. The driver sees a number a draw and no unit.
+    """
+    from .graph import _settled
+    from .relational import numbered
+    from .spatial import _held
+
+    held = numbered(_held(values).select("id", F.col("v").cast("double").alias("v")), ["id"], "at")
+    m = held.agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.count(F.lit(1)).alias("n")).collect()[0]
+    n = m["n"]
+    nothing = {"moran": None, "p": None, "z": None}
+    if not n or not m["s"]:
+        return nothing
+    z = _settled(held.select("id", "at", ((F.col("v") - m["m"]) / m["s"]).alias("z")))
+    place = z.select("id", "at")
+    ways = weights.join(place.withColumnsRenamed({"id": "i", "at": "a"}), "i").join(place.withColumnsRenamed({"id": "j", "at": "b"}), "j").select("a", "b", "w")
+    ways = _settled(ways)
+    total = ways.agg(F.sum("w").alias("w")).collect()[0]["w"]
+    if not total:
+        return nothing
+
+    def drawn(first: int, last: int) -> DataFrame:
+        """(at, z of each draw): what the draws put at a unit; draw 0 is the values as they are."""
+
+        def send(frames):
+            for f in frames:
+                at = f["at"].to_numpy(np.int64)
+                for d in range(first, last):
+                    yield pd.DataFrame({"draw": d, "at": at if d == 0 else shuffled(at, n, d, seed), "z": f["z"].to_numpy()})
+
+        sent = z.select("at", "z").mapInPandas(send, "draw int, at bigint, z double")
+        return sent.groupBy("at").agg(F.transform(F.sort_array(F.collect_list(F.struct("draw", "z"))), lambda x: x["z"]).alias("z"))  # a number a draw
+
+    sums: list[float] = []
+    for first in range(0, permutations + 1, lot):
+        last = min(first + lot, permutations + 1)
+        zs = drawn(first, last)
+        met = ways.join(zs.select(F.col("at").alias("a"), F.col("z").alias("za")), "a").join(zs.select(F.col("at").alias("b"), F.col("z").alias("zb")), "b")
+
+        def add(frames, width=last - first):
+            acc = np.zeros(width)
+            for f in frames:
+                if len(f):
+                    acc += (f["w"].to_numpy()[:, None] * np.stack(f["za"]) * np.stack(f["zb"])).sum(axis=0)
+            yield pd.DataFrame({"k": range(width), "s": acc})
+
+        part = {r["k"]: r["s"] for r in met.select("w", "za", "zb").mapInPandas(add, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()}  # a row a draw
+        sums += [part[k] / total for k in range(last - first)]
+    observed, sims = sums[0], np.array(sums[1:])
+    far = np.abs(sims - sims.mean()) >= abs(observed - sims.mean())
+    return {"moran": float(observed), "p": float((far.sum() + 1) / (permutations + 1)), "z": float((observed - sims.mean()) / sims.std()) if sims.std() > 0 else None}
 
 
 def covered(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, int]]:

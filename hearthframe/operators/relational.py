@@ -95,17 +95,20 @@ def rebased(series: DataFrame, group: list[str], order: str, value: str) -> Data
 
 
 def growth(series: DataFrame, day: str, value: str, lag: int) -> DataFrame:
-    """One row (cagr, last_change): compound growth over the whole series and change over so many periods at its end."""
+    """One row (cagr, last_change): compound growth over the whole series and change over so many periods at its end; null
+    where the value to start from is 0, or the series is of one day."""
     w = Window.orderBy(day)
     l = series.withColumns({"__lag": F.lag(value, lag).over(w)})  # noqa: E741
     a = l.agg(F.min_by(value, day).alias("first"), F.max_by(value, day).alias("last"), F.min(day).alias("d0"), F.max(day).alias("d1"), F.max_by("__lag", day).alias("before"))
     years = F.datediff("d1", "d0") / 365.25
-    return a.select((F.pow(F.col("last") / F.col("first"), 1 / years) - 1).alias("cagr"), (F.col("last") / F.col("before") - 1).alias("last_change"))
+    return a.select((F.pow(F.try_divide("last", "first"), F.try_divide(F.lit(1.0), years)) - 1).alias("cagr"), (F.try_divide("last", "before") - 1).alias("last_change"))
 
 
 def splice(old: DataFrame, new: DataFrame, month: str, value: str, link: str) -> DataFrame:
-    """One series of two bases: the old one scaled by the ratio at the link month, the new one where it exists."""
-    ratio = new.filter(F.col(month) == link).select(F.col(value).alias("n")).join(old.filter(F.col(month) == link).select(F.col(value).alias("o"))).select((F.col("n") / F.col("o")).alias("ratio"))
+    """One series of two bases: the old one scaled by the ratio at the link month, the new one where it exists. Without a
+    value of both at the link month, or with an old one of 0, the old months stay and are null."""
+    at = lambda df, name: df.agg(F.max(F.when(F.col(month) == link, F.col(value))).alias(name))
+    ratio = at(new, "n").join(at(old, "o")).select(F.try_divide("n", "o").alias("ratio"))
     o = old.join(F.broadcast(ratio)).select(month, (F.col(value) * F.col("ratio")).alias("__o"))  # one row
     return o.join(new.select(month, F.col(value).alias("__n")), month, "full").select(month, F.coalesce("__n", "__o").alias(value))
 
@@ -115,17 +118,51 @@ def last_mean(series: DataFrame, day: str, value: str, k: int) -> DataFrame:
     return series.filter(F.col(value).isNotNull()).orderBy(F.desc(day)).limit(k).agg(F.avg(value).alias("mean"))
 
 
+def in_ranges(df: DataFrame, by: list[str]) -> DataFrame:
+    """The rows in order, dealt to ranges: adds ``__range`` and ``__place`` (from 0) in it. Written down, so that places don't change when a task is repeated."""
+    from .graph import _settled
+
+    placed = _settled(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()))
+    return placed.withColumns({"__range": F.shiftright("__at", 33), "__place": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__at")
+
+
+def range_starts(placed: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """(__range, a column for each sum): what the ranges before hold of it; the driver sees a row a range."""
+    parts = sorted(placed.groupBy("__range").agg(*[c.alias(n) for n, c in sums.items()]).collect(), key=lambda r: r["__range"])
+    kinds = {f.name: f.dataType.simpleString() for f in placed.groupBy("__range").agg(*[c.alias(n) for n, c in sums.items()]).schema.fields}
+    before, rows = dict.fromkeys(sums, 0), []
+    for r in parts:
+        rows.append((r["__range"], *[float(before[n]) if kinds[n] == "double" else before[n] for n in sums]))
+        before = {n: before[n] + (r[n] or 0) for n in sums}
+    return placed.sparkSession.createDataFrame(rows, ", ".join(f"`{n}` {k}" for n, k in kinds.items()))
+
+
+def numbered(df: DataFrame, by: list[str], name: str = "number") -> DataFrame:
+    """The rows with their place in the order, from 0 and without gaps; no task sees more than a range."""
+    placed = in_ranges(df, by)
+    starts = range_starts(placed, {"__before": F.count(F.lit(1))})
+    return placed.join(F.broadcast(starts), "__range").withColumn(name, F.col("__before") + F.col("__place")).drop("__range", "__place", "__before")  # a row a range
+
+
 def concentration(areas: DataFrame, weight: str, value: str, order: list[str]) -> DataFrame:
-    """Cumulative shares (x, y) of weight and value along the order; one sort of the table of areas."""
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy(F.lit(1))
-    return areas.select("*", (F.sum(weight).over(w) / F.sum(weight).over(total)).alias("x"), (F.sum(value).over(w) / F.sum(value).over(total)).alias("y"))
+    """Cumulative shares (x, y) of weight and value along the order: running sums by ranges, on top of what the ranges before hold."""
+    placed = in_ranges(areas, order)
+    double = {n: F.sum(F.col(c).cast("double")) for n, c in (("__w", weight), ("__v", value))}
+    starts = range_starts(placed, double)
+    total = placed.agg(*[c.alias(f"{n}t") for n, c in double.items()])
+    w = Window.partitionBy("__range").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
+    met = placed.join(F.broadcast(starts), "__range").join(F.broadcast(total))  # a row a range, one row
+    share = lambda n, c: F.try_divide(F.col(n) + F.coalesce(F.sum(F.col(c).cast("double")).over(w), F.lit(0.0)), F.col(f"{n}t"))
+    return met.select(*areas.columns, share("__w", weight).alias("x"), share("__v", value).alias("y"))
 
 
 def concentration_index(curve: DataFrame) -> DataFrame:
-    """(c, top20, bottom50): 1 - 2 * area under the curve; value shares of the richest fifth and the poorest half of the weight."""
-    w = Window.orderBy("x", "y")
-    seg = curve.select(F.coalesce(F.lag("x").over(w), F.lit(0.0)).alias("x0"), F.coalesce(F.lag("y").over(w), F.lit(0.0)).alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    """(c, top20, bottom50): 1 - 2 * area under the curve; value shares of the richest fifth and the poorest half of the weight.
+
+    Each point meets the one before it by its number, so no task holds the curve."""
+    points = numbered(curve.select("x", "y").filter("x IS NOT NULL AND y IS NOT NULL"), ["x", "y"])
+    before = points.select((F.col("number") + 1).alias("number"), F.col("x").alias("x0"), F.col("y").alias("y0"))
+    seg = points.join(before, "number", "left").select(F.coalesce("x0", F.lit(0.0)).alias("x0"), F.coalesce("y0", F.lit(0.0)).alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"))
     at = lambda q: F.max(F.when((F.col("x0") < q) & (F.col("x1") >= q), F.col("y0") + (F.col("y1") - F.col("y0")) * (q - F.col("x0")) / (F.col("x1") - F.col("x0"))))
     return seg.agg((1 - 2 * F.sum((F.col("x1") - F.col("x0")) * (F.col("y0") + F.col("y1")) / 2)).alias("c"), (1 - at(0.8)).alias("top20"), at(0.5).alias("bottom50"))
 
@@ -145,7 +182,7 @@ def quantile_bins(df: DataFrame, value: str, bins: int, name: str = "bin") -> Da
 
 
 def winsorised(df: DataFrame, value: str, low: float, high: float) -> DataFrame:
-    """The value drawn in to the two quantiles; a null stays null."""
+    """The value drawn in to the two quantiles; a null stays null, and a NaN becomes one."""
     edge = exact_quantiles(df, value, [low, high], "__q")
     drawn = F.least(F.greatest(F.col(value), F.col("__q")[0]), F.col("__q")[1])
-    return df.join(F.broadcast(edge)).withColumn(value, F.when(F.col(value).isNotNull(), drawn)).drop("__q")  # one row
+    return df.join(F.broadcast(edge)).withColumn(value, F.when(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")), drawn)).drop("__q")  # one row

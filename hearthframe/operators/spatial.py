@@ -154,28 +154,41 @@ def dissolve(parts: DataFrame, unit: str, ring: str = "ring", digits: int = 3) -
     return edges.groupBy(unit, "a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n % 2 = 1").select(unit, F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"))
 
 
+def _held(values: DataFrame) -> DataFrame:
+    """The values (id, v) that are there: nulls and NaN take no part."""
+    return values.filter(F.col("v").isNotNull() & ~F.isnan(F.col("v").cast("double")))
+
+
 def local_moran(values: DataFrame, weights: DataFrame) -> DataFrame:
-    """(id, z, lag, local_i, quadrant) of values (id, v)."""
-    m = values.agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
-    z = values.join(F.broadcast(m)).select("id", ((F.col("v") - F.col("m")) / F.col("s")).alias("z"))  # one row
+    """(id, z, lag, local_i, quadrant) of values (id, v) with a neighbour that has a value; nulls and NaN take no part.
+
+    Weights are used as they are. Of values that are all equal z is undefined: it and what follows from it are null.
+    """
+    held = _held(values)
+    m = held.agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    z = held.join(F.broadcast(m)).select("id", F.try_divide(F.col("v") - F.col("m"), F.col("s")).alias("z"))  # one row
     lag = weights.join(z.select(F.col("id").alias("j"), F.col("z").alias("zj")), "j").groupBy("i").agg(F.sum(F.col("w") * F.col("zj")).alias("lag"))
-    q = F.when((F.col("z") >= 0) & (F.col("lag") >= 0), "HH").when((F.col("z") < 0) & (F.col("lag") < 0), "LL").when(F.col("z") >= 0, "HL").otherwise("LH")
+    known = F.col("z").isNotNull() & F.col("lag").isNotNull()
+    q = F.when(~known, F.lit(None)).when((F.col("z") >= 0) & (F.col("lag") >= 0), "HH").when((F.col("z") < 0) & (F.col("lag") < 0), "LL").when(F.col("z") >= 0, "HL").otherwise("LH")
     return z.join(lag, z["id"] == lag["i"]).select("id", "z", "lag", (F.col("z") * F.col("lag")).alias("local_i"), q.alias("quadrant"))
 
 
 def moran_i(values: DataFrame, weights: DataFrame) -> DataFrame:
     """One row (moran, expected, n) of row-standardised weights."""
     l = local_moran(values, weights)  # noqa: E741
-    return l.agg((F.sum("local_i") / F.sum(F.col("z") * F.col("z"))).alias("moran"), (-1 / (F.count(F.lit(1)) - 1)).alias("expected"), F.count(F.lit(1)).alias("n"))
+    return l.agg(F.try_divide(F.sum("local_i"), F.sum(F.col("z") * F.col("z"))).alias("moran"), F.try_divide(F.lit(-1.0), F.count(F.lit(1)) - 1).alias("expected"), F.count(F.lit(1)).alias("n"))
 
 
 def gi_star(values: DataFrame, weights: DataFrame) -> DataFrame:
-    """(id, gi): Getis-Ord z of binary weights that include the area itself."""
-    w = weights.select("i", "j").unionByName(values.select(F.col("id").alias("i"), F.col("id").alias("j")))
-    m = values.agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.count(F.lit(1)).alias("n"))
-    g = w.join(values.select(F.col("id").alias("j"), "v"), "j").groupBy("i").agg(F.sum("v").alias("sv"), F.count(F.lit(1)).alias("k"))
+    """(id, gi): Getis-Ord z of binary weights that include the area itself. Nulls and NaN take no part; gi is null where it is
+    undefined, as of an area that neighbours all others, or of values that are all equal."""
+    held = _held(values)
+    w = weights.select("i", "j").join(held.select(F.col("id").alias("i")), "i", "left_semi").select("i", "j").unionByName(held.select(F.col("id").alias("i"), F.col("id").alias("j")))
+    m = held.agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.count(F.lit(1)).alias("n"))
+    g = w.join(held.select(F.col("id").alias("j"), "v"), "j").groupBy("i").agg(F.sum("v").alias("sv"), F.count(F.lit(1)).alias("k"))
     k, n = F.col("k"), F.col("n")
-    return g.join(F.broadcast(m)).select(F.col("i").alias("id"), ((F.col("sv") - F.col("m") * k) / (F.col("s") * F.sqrt((n * k - k * k) / (n - 1)))).alias("gi"))  # one row
+    scale = F.col("s") * F.sqrt(F.try_divide((n * k - k * k).cast("double"), (n - 1).cast("double")))
+    return g.join(F.broadcast(m)).select(F.col("i").alias("id"), F.try_divide(F.col("sv") - F.col("m") * k, scale).alias("gi"))  # one row
 
 
 def local_permutation(values: DataFrame, weights: DataFrame, permutations: int = 999, seed: int = 42, alpha: float = 0.05, most_units: int = 1_000_000) -> DataFrame:
@@ -185,7 +198,7 @@ def local_permutation(values: DataFrame, weights: DataFrame, permutations: int =
     draws at least as far on the observed side. Areas are dealt to tasks, each with the values of all map units, of which
     there may be ``most_units``. Areas without neighbours, and null values, take no part.
     """
-    held = values.filter("v IS NOT NULL").select("id", F.col("v").cast("double").alias("v"))
+    held = _held(values).select("id", F.col("v").cast("double").alias("v"))
     known = weights.join(held.select(F.col("id").alias("i")), "i", "left_semi").join(held.select(F.col("id").alias("j")), "j", "left_semi")
     every = [r["v"] for r in held.orderBy("id").select("v").limit(most_units + 1).collect()]  # at most most_units numbers
     if len(every) > most_units:
