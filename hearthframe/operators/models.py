@@ -33,8 +33,8 @@ def _matrix(row, k: int) -> np.ndarray:
     return m
 
 
-def ols_cluster(df: DataFrame, y: str, xs: list[str], cluster: str) -> list[dict]:
-    """Coefficients with CR1 standard errors. Clusters are reduced to their cross products, and those to their sum and, in
+def ols_cluster(df: DataFrame, y: str, xs: list[str], cluster: str, absorbed: int = 0) -> list[dict]:
+    """Coefficients with CR1 standard errors; ``absorbed`` effects count as terms of the fit. Clusters are reduced to their cross products, and those to their sum and, in
     a second pass, to the cross products of their scores, so the driver sees two rows for any number of clusters."""
     names = [*xs, y]
     parts = _products(df.dropna(subset=[*names, cluster]), names, [cluster])
@@ -47,7 +47,7 @@ def ols_cluster(df: DataFrame, y: str, xs: list[str], cluster: str) -> list[dict
     scores = parts.select(*[(cell(i, k) - sum((cell(i, j) * float(b[j]) for j in range(k)), F.lit(0.0))).alias(f"s{i}") for i in range(k)])
     meat = _matrix(_products(scores, [f"s{i}" for i in range(k)], []).collect()[0], k)
     # One cluster, or no row more than terms, leaves errors undefined.
-    se = np.sqrt(np.diag(inv @ meat @ inv * (g / (g - 1)) * ((n - 1) / (n - k)))) if g > 1 and n > k else np.full(k, np.nan)
+    se = np.sqrt(np.diag(inv @ meat @ inv * (g / (g - 1)) * ((n - 1) / (n - k - absorbed)))) if g > 1 and n > k + absorbed else np.full(k, np.nan)
     residual = total[k, k] - b @ total[:k, k]
     return [{"term": x, "coef": float(b[i]), "se": float(se[i]) if se[i] == se[i] else None, "t": float(b[i] / se[i]) if se[i] > 0 else None, "n": int(n or 0), "clusters": g, "rss": float(residual)} for i, x in enumerate(xs)]
 
@@ -141,10 +141,68 @@ def did_checks(panel: DataFrame, minutes: str, limits: tuple[float, ...] = (10,
     return [{"check": label} | r for label, rows, treatments in runs for r in did_fit(rows, treatments, draws, seed)]
 
 
-def specifications(df: DataFrame, y: str, specs: dict[str, list[str]], controls: list[str], cluster: str, further: tuple[str, ...] = ()) -> list[dict]:
-    """Coefficients of the terms of each specification beside the controls, without and with the further terms; clustered errors."""
-    d = df.withColumn("__one", F.lit(1.0))
-    return [{"spec": name, "further": bool(more)} | r for name, terms in specs.items() for more in ([[], list(further)] if further else [[]]) for r in ols_cluster(d, y, ["__one", *terms, *more, *controls], cluster) if r["term"] in (*terms, *more)]
+def within(df: DataFrame, columns: list[str], effects: list[str], tolerance: float = 1e-10, most_rounds: int = 500) -> tuple[DataFrame, int]:
+    """The columns less all their effects (group means, worked out together), and how many effects that takes away.
+
+    The means of one effect are taken off after the other, again and again, until none is left. That needs only the sums of the
+    cells in which all effects are equal, so the rounds run over the table of cells and the rows are met once, at the end.
+    Rows with an unknown column or effect are left out.
+    """
+    from .graph import _settled
+
+    rows = df.dropna(subset=[*columns, *effects])
+    own, of = [f"__m{i}" for i in range(len(columns))], [f"__o{i}" for i in range(len(columns))]
+    cells = _settled(rows.groupBy(*effects).agg(F.count(F.lit(1)).alias("__n"), *[F.avg(F.col(c).cast("double")).alias(o) for c, o in zip(columns, of)]).withColumns({m: F.col(o) for m, o in zip(own, of)}))
+    size = cells.agg(*[F.max(F.abs(m)).alias(m) for m in own]).collect()[0]
+    scale = max([1e-300, *[v for v in size if v is not None]])
+    for _ in range(most_rounds):
+        shift = []
+        for e in effects:
+            w = Window.partitionBy(e)
+            cells = cells.withColumns({f"__d{m}": F.sum(F.col("__n") * F.col(m)).over(w) / F.sum("__n").over(w) for m in own}).withColumns({m: F.col(m) - F.col(f"__d{m}") for m in own})
+            cells = cells.withColumn(f"__s{len(shift)}", F.greatest(*[F.abs(f"__d{m}") for m in own], F.lit(0.0))).drop(*[f"__d{m}" for m in own])
+            shift.append(f"__s{len(shift)}")
+        cells = _settled(cells)
+        most = cells.agg(*[F.max(x).alias(x) for x in shift]).collect()[0]
+        cells = cells.drop(*shift)
+        if max([0.0, *[v for v in most if v is not None]]) <= tolerance * scale or len(effects) == 1:
+            break
+    else:
+        raise RuntimeError(f"effects still change after {most_rounds} rounds")
+    levels = cells.agg(*[F.count_distinct(e).alias(e) for e in effects]).collect()[0]
+    met = rows.join(cells.select(*effects, *[(F.col(m) - F.col(o)).alias(m) for m, o in zip(own, of)]), effects)
+    return met.withColumns({c: F.col(c) + F.col(m) for c, m in zip(columns, own)}).drop(*own), sum(levels) - len(effects) + 1
+
+
+def specifications(df: DataFrame, y: str, specs: dict[str, list[str]], controls: list[str], cluster: str, further: tuple[str, ...] = (), effects: dict[str, list[str]] | None = None) -> list[dict]:
+    """Coefficients of the terms of each specification beside the controls, without and with the further terms; clustered errors.
+
+    ``effects`` names the columns whose levels a specification takes out (sectors, bands of time); it then needs no constant.
+    """
+    d, rows = df.withColumn("__one", F.lit(1.0)), []
+    for name, terms in specs.items():
+        for more in [[], list(further)] if further else [[]]:
+            xs, taken = [*terms, *more, *controls], (effects or {}).get(name)
+            if taken:
+                data, absorbed = within(df, [y, *xs], taken)
+                fit = ols_cluster(data, y, xs, cluster, absorbed)
+            else:
+                fit = ols_cluster(d, y, ["__one", *xs], cluster)
+            rows += [{"spec": name, "further": bool(more)} | r for r in fit if r["term"] in (*terms, *more)]
+    return rows
+
+
+def placebo_lines(df: DataFrame, y: str, line: str, others: list[str], controls: list[str], cluster: str) -> list[dict]:
+    """For each other line, the line's and its coefficient with normal p side by side, in one fit beside the controls: what a line
+    without a new road seems to do."""
+    import math
+
+    d, rows = df.withColumn("__one", F.lit(1.0)), []
+    p = lambda r: math.erfc(abs(r["t"]) / 2**0.5) if r["t"] is not None else None
+    for other in others:
+        fit = {r["term"]: r for r in ols_cluster(d, y, ["__one", line, other, *controls], cluster)}
+        rows.append({"line": other, "coef_other": fit[other]["coef"], "p_other": p(fit[other]), "coef_line": fit[line]["coef"], "p_line": p(fit[line]), "n": fit[line]["n"]})
+    return rows
 
 
 def premium(coefs: list[dict], term: str) -> dict:

@@ -42,6 +42,14 @@ def hex_grid(spark_df: DataFrame, size: float, x0: float, y0: float, x1: float,
     return grid.select("hex_id", (x0 + F.col("c") * dx).alias("x"), (y0 + F.col("r") * dy + F.when(F.col("c") % 2 == 1, dy / 2).otherwise(0.0)).alias("y"))
 
 
+def hex_grid_over(points: DataFrame, size: float, margin: float = 0.0) -> DataFrame:
+    """hex_grid over the box of the points (x, y), widened by the margin; none for no points."""
+    box = points.agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1")).collect()[0]
+    if box["x0"] is None:
+        return hex_grid(points, size, 0.0, 0.0, 0.0, 0.0).limit(0)
+    return hex_grid(points, size, box["x0"] - margin, box["y0"] - margin, box["x1"] + margin, box["y1"] + margin)
+
+
 def _at(x: str, y: str) -> tuple[Column, Column, Column, Column]:
     return F.col(x), F.col(y), F.col(x), F.col(y)
 
@@ -121,6 +129,78 @@ def knn_weights(areas: DataFrame, k: int) -> DataFrame:
     return best.select("i", F.explode("b.j").alias("j"), F.size("b").alias("n")).select("i", "j", (1.0 / F.col("n")).alias("w"))
 
 
+def convex_hull(points: DataFrame) -> DataFrame:
+    """(ord, x, y): the corners of the convex hull of the points (x, y), anticlockwise from the least x, then y; a single point or
+    two ends where there are no more, none for no points. Unknown coordinates take no part.
+
+    Each task keeps only the hull of what it has seen; the partial hulls are dealt out and merged again, then put together.
+    """
+
+    def cross(o, a, b):
+        return (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+
+    def chain(corners):
+        out: list = []
+        for p in corners:
+            while len(out) > 1 and cross(out[-2], out[-1], p) <= 0:
+                out.pop()
+            out.append(p)
+        return out
+
+    def hull(corners: list) -> list:
+        at = sorted(set(corners))
+        return at if len(at) < 3 else chain(at)[:-1] + chain(at[::-1])[:-1]
+
+    def merged(frames):
+        held: list = []
+        for f in frames:
+            held = hull([*held, *zip(f["x"].tolist(), f["y"].tolist())])
+        yield pd.DataFrame({"ord": range(len(held)), "x": [p[0] for p in held], "y": [p[1] for p in held]})
+
+    kind = "ord int, x double, y double"
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    part = points.filter(tree.known(x, y)).select(x.alias("x"), y.alias("y")).mapInPandas(merged, kind)
+    again = part.repartition(16).mapInPandas(merged, kind)  # sixteen hulls are left of any number
+    return again.coalesce(1).mapInPandas(merged, kind)
+
+
+def keep_near_hull(hexes: DataFrame, points: DataFrame, hid: str, size: float, reach: float = 3000.0) -> DataFrame:
+    """Hexagons (flat-topped, of that size, by their centres x, y) that come within reach of the points' convex hull, or meet it."""
+    ring = convex_hull(points).agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("__h"))  # one row of corners
+    ahead = lambda r: F.concat(F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, 1, 1))
+    corner = [(size, 0.0), (size / 2, 3**0.5 / 2 * size), (-size / 2, 3**0.5 / 2 * size), (-size, 0.0), (-size / 2, -(3**0.5) / 2 * size), (size / 2, -(3**0.5) / 2 * size)]
+    own = F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in corner])
+    met = hexes.join(F.broadcast(ring)).withColumn("__c", own)
+
+    def gap(a: Column, b: Column) -> Column:
+        """Least distance from a's corners to b's edges."""
+        edges = F.arrays_zip(b.alias("p"), ahead(b).alias("q"))
+        return F.array_min(F.transform(a, lambda p: F.array_min(F.transform(edges, lambda e: segment_distance(p["x"], p["y"], e["p"]["x"], e["p"]["y"], e["q"]["x"], e["q"]["y"])))))
+
+    h, c = F.col("__h"), F.col("__c")
+    inside = F.exists(c, lambda p: in_ring(p["x"], p["y"], h)) | F.exists(h, lambda p: in_ring(p["x"], p["y"], c))
+    near = F.least(gap(c, h), gap(h, c)) <= reach
+    return met.filter((F.size(h) > 0) & (inside | near)).select(*hexes.columns)
+
+
+def ring_weights(rings: DataFrame, digits: int = 3) -> DataFrame:
+    """(i, j, w): areas (id, ring) whose outlines share a corner, or where a corner of one lies on an edge of the other;
+    row-standardised. Rings of any shape; coordinates are compared at ``digits`` decimals.
+
+    Corners meet corners by equality; corners meet edges by the leaves of a packed tree of edges.
+    """
+    v = rings.select("id", F.transform("ring", lambda p: F.struct(F.round(p["x"], digits).alias("x"), F.round(p["y"], digits).alias("y"))).alias("r")).filter(F.size("r") > 0)
+    ahead = F.concat(F.slice("r", 2, F.greatest(F.size("r") - 1, F.lit(0))), F.slice("r", 1, 1))
+    edges = v.select("id", F.explode(F.arrays_zip(F.col("r").alias("a"), ahead.alias("b"))).alias("e")).select(F.col("id").alias("j"), F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by"))
+    corners = v.select(F.col("id").alias("i"), F.explode("r").alias("p")).select("i", "p.x", "p.y").distinct()
+    low, high = (tuple(f(F.col(f"a{c}"), F.col(f"b{c}")) for c in "xy") for f in (F.least, F.greatest))
+    p, q = tree.build(corners, _at("x", "y")), tree.build(edges, (*low, *high), capacity=tree.SMALL)
+    near = tree.leaves_within(p, q, 10.0**-digits, whole=False).met().filter("i <> j")
+    on = near.filter(segment_distance(*[F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")]) <= 0.5 * 10.0**-digits).select("i", "j")
+    pairs = on.unionByName(on.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
+    return pairs.withColumn("w", 1 / F.count(F.lit(1)).over(Window.partitionBy("i")))
+
+
 def queen_weights(boxes: DataFrame) -> DataFrame:
     """(i, j, w): areas that share a vertex, row-standardised; an equi-join on vertices."""
     v = boxes.select("id", F.explode(F.array(*[F.struct(F.col(a).alias("vx"), F.col(b).alias("vy")) for a in ("x0", "x1") for b in ("y0", "y1")])).alias("v"))

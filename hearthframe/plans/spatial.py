@@ -253,3 +253,23 @@ def access_by_origin(t):
     placed = G.snap(grid, _nodes(t), "cell", 4.0).join(cells.drop("x", "y"), "cell")
     found = G.access_by_origin(times, o, placed, list(AMOUNTS), (10, 15, 20))
     return found.select("origin", F.round("access", 6).alias("access"), *[F.round(c, 4).alias(c) for c in found.columns[2:]])
+
+
+@query("ring_weights", "SELECT a.unit AS i, b.unit AS j, round(1e0 / count(*) OVER (PARTITION BY a.unit), 6) AS w FROM units a JOIN units b ON a.unit <> b.unit AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1", ("units",))
+def ring_weights(t):
+    return S.ring_weights(t("units").select(F.col("unit").alias("id"), ring("x0", "y0", "x1", "y1").alias("ring"))).select("i", "j", F.round("w", 6).alias("w"))
+
+
+# An edge of the hull has no place beyond it, and none on its line outside it.
+HULL = ", e AS (SELECT a.px AS ax, a.py AS ay, b.px AS bx, b.py AS b_y FROM poi a JOIN poi b ON a.poi <> b.poi WHERE NOT EXISTS (SELECT 1 FROM poi c WHERE (b.px - a.px) * (c.py - a.py) - (b.py - a.py) * (c.px - a.px) < 0 OR ((b.px - a.px) * (c.py - a.py) - (b.py - a.py) * (c.px - a.px) = 0 AND (c.px - a.px) * (c.px - b.px) + (c.py - a.py) * (c.py - b.py) > 0)))"
+
+
+@query("convex_hull", HULL + " SELECT DISTINCT ax AS x, ay AS y FROM e", ("poi",))
+def convex_hull(t):
+    return S.convex_hull(t("poi").select(F.col("px").alias("x"), F.col("py").alias("y"))).select("x", "y")
+
+
+@query("hexes_near_hull")
+def hexes_near_hull(t):
+    grid = S.hex_grid_over(t("poi").select(F.col("px").alias("x"), F.col("py").alias("y")), 1000.0, 6000.0)
+    return S.keep_near_hull(grid, t("poi").select(F.col("px").alias("x"), F.col("py").alias("y")), "hex_id", 1000.0, 3000.0)

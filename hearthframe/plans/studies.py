@@ -106,6 +106,34 @@ def specifications(t):
     return PM._rows(t, M.specifications(d, "y", {"distance": ["distance"], "time": ["minutes"], "both": ["minutes", "distance"]}, ["z", "p"], "point", ("wealth",)))
 
 
+def _corridor(t):
+    """The panel with the sector and the band of travel time of its points, and two further lines to be near to."""
+    d = t("panel").withColumns({"minutes": F.log1p((F.col("point") * 7 % 40).cast("double")), "wealth": F.sin("point"), "p": F.col("post").cast("double")})
+    return d.withColumns({"sector": F.col("point") % 8, "band": F.floor(F.col("point") * 7 % 40 / 8), "to_road": F.log1p((F.col("row_id") % 90).cast("double")), "to_rail": F.log1p((F.col("row_id") * 7 % 64).cast("double"))})
+
+
+@query("fixed_effects")
+def fixed_effects(t):
+    specs = {"plain": ["to_road"], "sectors": ["to_road"], "sectors and bands": ["to_road"]}
+    return PM._rows(t, M.specifications(_corridor(t), "y", specs, ["z", "p"], "point", effects={"sectors": ["sector"], "sectors and bands": ["sector", "band"]}))
+
+
+# One effect is demeaned by SQL alike; the coefficient is that of the demeaned columns.
+@query(
+    "sector_effects",
+    ", d AS (SELECT y - avg(y) OVER s AS y, x - avg(x) OVER s AS x FROM (SELECT y, ln(1 + row_id % 90) AS x, point % 8 AS sector FROM panel) WINDOW s AS (PARTITION BY sector)) SELECT round(sum(x * y) / sum(x * x), 8) AS coef, CAST(count(*) AS BIGINT) AS n FROM d",
+    ("panel",),
+)
+def sector_effects(t):
+    d, _ = M.within(_corridor(t), ["y", "to_road"], ["sector"])
+    return d.agg(F.round(F.sum(F.col("to_road") * F.col("y")) / F.sum(F.col("to_road") * F.col("to_road")), 8).alias("coef"), F.count(F.lit(1)).alias("n"))
+
+
+@query("placebo_lines")
+def placebo_lines(t):
+    return PM._rows(t, M.placebo_lines(_corridor(t), "y", "to_road", ["to_rail", "minutes"], ["wealth", "z"], "point"))
+
+
 def _spots(t):
     return t("poi").select(F.col("poi").alias("rid"), F.col("px").alias("x"), F.col("py").alias("y"), (F.col("poi") % 7).cast("double").alias("z"), (F.sin(F.col("px") / 2000) + 0.2 * (F.col("poi") % 7) + (F.col("poi") % 13) / 50).alias("v"))
 
