@@ -293,6 +293,21 @@ def raw_layer(t):
     return S.to_raw(t("listing_raw")).select("source_id", "source", "price_raw", "title", "lat")
 
 
+@query("raw_files", "SELECT CAST(lid AS VARCHAR) AS source_id, source, title, 'said: \"as new\"' || chr(10) || title AS description, price_raw, CAST(NULL AS VARCHAR) AS tenure_raw FROM listing_raw WHERE source <> 'gamma' UNION ALL SELECT CAST(lid AS VARCHAR), source, title, NULL, price_raw, NULL FROM listing_raw WHERE source = 'gamma'", ("listing_raw",))
+def raw_files(t):
+    """Listings written as CSV files of two portals with columns of their own, and read back as the raw layer."""
+    import uuid
+
+    from hearthframe import shared_folder
+
+    rows = t("listing_raw").select(F.col("lid").cast("string").alias("source_id"), "source", "title", F.concat_ws("\n", F.lit('said: "as new"'), "title").alias("description"), "price_raw")
+    root = f"{shared_folder(rows.sparkSession)}/raw-{uuid.uuid4().hex}"
+    for name, part in (("a", rows.filter("source <> 'gamma'")), ("b", rows.filter("source = 'gamma'").select("price_raw", "title", "source_id", "source"))):
+        part.write.options(header=True, escape="\"", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{root}/{name}")
+    back = S.read_raw(rows.sparkSession, f"{root}/*")
+    return back.select("source_id", "source", "title", F.when(F.col("description") == F.concat_ws("\n", F.lit('said: "as new"'), "title"), F.col("description")).alias("description"), "price_raw", "tenure_raw")
+
+
 @query("extract_import", "SELECT CAST(lid AS VARCHAR) AS source_id, price_raw, listing_type, 'beta' AS source FROM listing_raw", ("listing_raw",))
 def extract_import(t):
     x = t("listing_raw").select(F.col("lid").alias("HouseCode"), F.col("price_raw").alias("Price"), F.concat(F.lit("For "), F.initcap("listing_type")).alias("Status"))

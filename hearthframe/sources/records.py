@@ -42,6 +42,10 @@ ARCHIVED_FIELDS = {
 SUMMARY_PAGE = r"QUICK SUMMARY(.*?)DESCRIPTION(.*?)(Send this property|Tell a friend|Email this|Related|$)"
 SPECIFICATION_PAGE = r"PROPERTY SPECIFICATIONS(.*?)(PROPERTY DETAILS|$)"
 DETAILS_PAGE = r"PROPERTY DETAILS(.*?)(Send this property|Tell a friend|Email this|Related Properties|$)"
+TITLE_WORDS, TITLE_BEDROOMS = r"(?i)^(furnished|unfurnished|\d+\s*bdrm)\s*", r"(?i)\d+\s*bdrm\s*"
+SUMMARY_BLOCK = r"(?i)QUICK SUMMARY(.*?)DESCRIPTION"
+CODE_LINE, CODE_MARK, LEADING_MARKS = r"code:\s*\d+", ", code:", r"^[^\p{L}\p{N}]+"
+MONTHLY, IN_DOLLARS = r"(?i)month|/m\b|pm\b", r"(?i)\$|usd"
 HEADLINE = r"(\d+\s*bedroom[^.>]{0,80}?(?:for rent|for sale)[^,>]{0,60})"
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve".split()
 DESCRIPTION_STOPS = ("●", "REVIEWS")
@@ -74,10 +78,68 @@ def to_raw(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+BAD = "_bad"
+
+
+def _headers(spark: SparkSession, paths: tuple[str, ...]) -> dict[tuple[str, ...], list[str]]:
+    """The CSV files below the paths by their columns; of each file its first line is read, and of folders the files in them."""
+    import csv
+
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(conf)
+        for status in fs.globStatus(at) or []:
+            files = [status] if status.isFile() else [f for f in fs.listStatus(status.getPath()) if f.isFile()]
+            for f in files:
+                name = f.getPath().getName()
+                if name.startswith(("_", ".")) or not f.getLen():
+                    continue
+                reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(f.getPath()), "UTF-8"))
+                line = (reader.readLine() or "").removeprefix(chr(0xFEFF))
+                reader.close()
+                found.setdefault(tuple(next(csv.reader([line]), [])), []).append(f.getPath().toString())
+    return found
+
+
+def scan_csv(spark: SparkSession, *paths: str) -> DataFrame:
+    """Rows of CSV files as text, columns by name whatever their order in a file, missing ones null; ``_file``, ``_at`` (the order of
+    the rows of a file: rising, with gaps) and ``_bad``, the whole line of a row with too few or too many fields, else null.
+
+    Quoted newlines and doubled quotes belong to their field. Files of one header are one scan; files with only a header, or
+    nothing, give no rows. A column that comes twice in a header counts the first time.
+    """
+    out = None
+    for header, files in sorted(_headers(spark, paths).items()):
+        names = [f"c{i}" for i in range(len(header))]
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, BAD]])
+        rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).option("columnPruning", False).csv(files)
+        first = {h.strip().lower(): n for n, h in reversed(list(zip(names, header))) if h.strip()}
+        # Spark reads no bad row by itself: the first column is asked for with it, all columns are parsed to tell bad rows.
+        whole = F.concat(F.col(BAD), F.substring(F.coalesce(names[0], F.lit("")), 1, 0))
+        part = rows.select(*[F.col(n).alias(h) for h, n in first.items()], F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"), whole.alias(BAD))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return spark.createDataFrame([], f"_file string, _at bigint, {BAD} string") if out is None else out
+
+
 def read_raw(spark: SparkSession, *paths: str) -> DataFrame:
-    """Raw CSV snapshots, every column as text."""
-    strings = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS])
-    return to_raw(spark.read.schema(strings).option("header", True).option("multiLine", True).option("escape", '"').csv(list(paths)))
+    """Raw CSV snapshots of any portals, every column as text; rows that are no whole rows are left out (``bad_rows`` has them)."""
+    return to_raw(scan_csv(spark, *paths).filter(f"{BAD} IS NULL"))
+
+
+def bad_rows(spark: SparkSession, *paths: str) -> DataFrame:
+    """(_file, _at, _bad) of the rows that read_raw leaves out."""
+    return scan_csv(spark, *paths).filter(f"{BAD} IS NOT NULL").select("_file", "_at", BAD)
+
+
+def read_extract_files(spark: SparkSession, source: str, *paths: str, row_tag: str = "row") -> DataFrame:
+    """A portal's extract from XML files (a ``row_tag`` a listing) or CSV files, as read_extract; other columns of the files are dropped."""
+    if all(p.lower().endswith(".xml") for p in paths):
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in EXTRACT_COLUMNS])
+        return read_extract(spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(list(paths)), source)
+    rows = scan_csv(spark, *paths).filter(f"{BAD} IS NULL")
+    return read_extract(rows.select(*[F.col(k.lower()).alias(k) for k in EXTRACT_COLUMNS if k.lower() in rows.columns]), source)
 
 
 def read_extract(df: DataFrame, source: str) -> DataFrame:
@@ -92,7 +154,7 @@ def read_extract(df: DataFrame, source: str) -> DataFrame:
 def title_parts(title: Column) -> Column:
     """struct(ptype, place, admin, deal) of a title of the form '... in place, area for rent'; fields null if it isn't."""
     part = lambda n: X.empty_as_null(F.regexp_extract(title, TITLE, n))
-    kind = F.regexp_replace(F.regexp_replace(part(1), r"(?i)^(furnished|unfurnished|\d+\s*bdrm)\s*", ""), r"(?i)\d+\s*bdrm\s*", "")
+    kind = F.regexp_replace(F.regexp_replace(part(1), TITLE_WORDS, ""), TITLE_BEDROOMS, "")
     return F.struct(X.empty_as_null(F.trim(kind)).alias("ptype"), F.regexp_replace(F.trim(part(2)), SUBTYPE, "").alias("place"), part(3).alias("admin"), F.lower(part(4)).alias("deal"))
 
 
@@ -165,7 +227,7 @@ def summary_fields(lines: Column, keys: tuple[str, ...] = SUMMARY_KEYS, start: s
 
 def summary_grammar(text: Column) -> Column:
     """struct of the fields of a one-line summary: 'Location: .. District: .. Price: .. Category: ..'."""
-    block = F.regexp_extract(text, r"(?i)QUICK SUMMARY(.*?)DESCRIPTION", 1)
+    block = F.regexp_extract(text, SUMMARY_BLOCK, 1)
     found = {k: X.empty_as_null(F.regexp_extract(block, "(?i)" + p, 1)) for k, p in SUMMARY_FIELDS.items()}
     is_sale = F.coalesce(F.lower(found["status"]).contains("sale"), F.lit(False))
     return F.struct(*[v.alias(k) for k, v in found.items()], is_sale.alias("is_sale"))
@@ -219,16 +281,16 @@ def detail_page(lines: Column) -> Column:
     stops = F.transform(after, lambda x: x.startswith(DESCRIPTION_STOPS[0]) | F.upper(x).startswith(DESCRIPTION_STOPS[1]))
     end = F.array_position(stops, True).cast("int")
     told = F.when(at > 0, F.array_join(F.when(end > 0, F.slice(after, 1, F.greatest(end - 1, F.lit(0)))).otherwise(after), " "))
-    head = F.get(F.filter(F.slice(lines, 1, HEADING_LINES), lambda x: x.rlike(r"code:\s*\d+")), F.lit(0))
-    title = F.trim(F.regexp_replace(F.get(F.split(head, ", code:"), F.lit(0)), r"^[^\p{L}\p{N}]+", ""))
+    head = F.get(F.filter(F.slice(lines, 1, HEADING_LINES), lambda x: x.rlike(CODE_LINE)), F.lit(0))
+    title = F.trim(F.regexp_replace(F.get(F.split(head, CODE_MARK), F.lit(0)), LEADING_MARKS, ""))
     status, price = F.lower(F.coalesce(fields["Status"], F.lit(""))), F.coalesce(fields["Price"], F.lit(""))
     deal = F.when(status.contains("rent"), "rent").when(status.contains("sale"), "sale")
-    monthly = price.rlike(r"(?i)month|/m\b|pm\b") | status.contains("rent")
+    monthly = price.rlike(MONTHLY) | status.contains("rent")
     return F.when(
         fields.isNotNull(),
         F.struct(
             fields["Code"].alias("source_id"), deal.alias("listing_type"), fields["Category"].alias("property_type"), title.alias("title"), F.coalesce(told, F.lit("")).alias("description"), fields["Price"].alias("price_raw"),
-            F.when(price.rlike(r"(?i)\$|usd"), "USD").otherwise("UGX").alias("currency_raw"), F.when(monthly, "per month").alias("price_period"), fields["Location"].alias("location_raw"), fields["District"].alias("district_raw"),
+            F.when(price.rlike(IN_DOLLARS), "USD").otherwise("UGX").alias("currency_raw"), F.when(monthly, "per month").alias("price_period"), fields["Location"].alias("location_raw"), fields["District"].alias("district_raw"),
             number_word(fields["BedRooms"]).alias("bedrooms_raw"), number_word(fields["Bathrooms"]).alias("bathrooms_raw"), fields["Size"].alias("size_raw"), fields["Tenure"].alias("tenure_raw"),
         ),
     )
