@@ -1,8 +1,10 @@
-"""Append-only snapshots as streams: upsert of the latest row of each key, first sights and counts, and the cleaning projection.
+"""Append-only snapshots as streams: the latest row of each key, first sights and counts, postings without repeats, and the cleaning projection.
 
-A stream reads new files once (the checkpoint holds the offsets). State is kept as reduced batches, one folder each, and
-merged into a base now and then, so a batch writes what it brought and not the whole state. A call that names a ``root``
-goes on where the last one with that root ended; without one it is a run of its own. Empty sources give empty results.
+A stream reads new files once (the checkpoint holds the offsets), and Spark's own state store keeps what is known of each
+key. Every batch gives the keys it changed; they are written as a folder of the batch's number, so a batch that is run again
+replaces itself, and the table is the last change of each key. A call that names a ``root`` goes on where the last one with that
+root ended; without one it is a run of its own, whose folder is deleted when its result has been written. Empty sources give
+empty results.
 """
 
 from __future__ import annotations
@@ -15,84 +17,70 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from hearthframe import shared_folder
-from hearthframe.operators.relational import latest_snapshot
-
-
-def stream_root(spark: SparkSession, root: str | None = None) -> str:
-    return root or f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+from hearthframe.operators.graph import _settled
 
 
 def file_stream(spark: SparkSession, folder: str, glob: str, schema: StructType) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).option("recursiveFileLookup", "true").parquet(folder)
 
 
-class MergedStore:
-    """Rows by key under an associative merge: reduced batches, and a base that holds those up to its own batch.
+def _filesystem(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
-    A batch that is run again writes the same folder. Only finished folders (with their mark) are read.
-    """
 
-    def __init__(self, spark: SparkSession, root: str, schema: StructType, merge: Callable[[DataFrame], DataFrame], compact_every: int = 8):
-        self.spark, self.root, self.schema, self.merge, self.compact_every = spark, root, schema, merge, compact_every
+def _changes(stream: DataFrame, mode: str, root: str | None, table: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Everything there is now, in batches, then stop: table() of all changes, each with its ``__batch``."""
+    spark = stream.sparkSession
+    at = root or f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
 
-    def _finished(self, kind: str) -> list[int]:
-        jvm = self.spark._jvm
-        fs_path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{kind}")
-        fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(fs_path):
-            return []
-        marked = [s.getPath() for s in fs.listStatus(fs_path) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return sorted(int(p.getName()) for p in marked)
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("__batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{at}/changes/{number:012d}")
 
-    def _write(self, df: DataFrame, kind: str, number: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/{kind}/{number:012d}")
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    fs, folder = _filesystem(spark, f"{at}/changes")
+    schema = StructType(stream.schema.fields).add("__batch", "long")
+    rows = spark.read.schema(schema).parquet(f"{at}/changes/*") if fs.exists(folder) else spark.createDataFrame([], schema)
+    if root:
+        return table(rows)
+    kept = _settled(table(rows))
+    fs, folder = _filesystem(spark, at)
+    fs.delete(folder, True)
+    return kept
 
-    def _parts(self, upto: int | None = None) -> list[str]:
-        bases = [b for b in self._finished("base") if upto is None or b <= upto]
-        since = bases[-1] if bases else -1
-        batches = [b for b in self._finished("batch") if b > since and (upto is None or b <= upto)]
-        return [f"{self.root}/base/{since:012d}"] * bool(bases) + [f"{self.root}/batch/{b:012d}" for b in batches]
 
-    def add(self, batch: DataFrame, batch_id: int) -> None:
-        self._write(self.merge(batch), "batch", batch_id)
-        if (batch_id + 1) % self.compact_every == 0:
-            self._write(self.read(batch_id), "base", batch_id)
+def _last(keys: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """The last change of each key, nulls being a key."""
 
-    def read(self, upto: int | None = None) -> DataFrame:
-        parts = self._parts(upto)
-        return self.merge(self.spark.read.schema(self.schema).parquet(*parts)) if parts else self.spark.createDataFrame([], self.schema)
+    def table(rows: DataFrame) -> DataFrame:
+        rest = [c for c in rows.columns if c not in (*keys, "__batch")]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "__batch").alias("r")).select(*keys, "r.*")
 
+    return table
 
-def run_available(stream: DataFrame, root: str, each: Callable[[DataFrame, int], None]) -> None:
-    """Everything there is now, in batches, then stop."""
-    q = stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(each).start()
-    q.awaitTermination()
 
+def stream_latest(stream: DataFrame, keys: list[str], order: list[str], root: str | None = None) -> DataFrame:
+    """The latest row of each key: an aggregate in the state store, given out when it changes."""
+    rest = [c for c in stream.columns if c not in keys]
+    best = stream.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*")
+    return _changes(best, "update", root, _last(keys)).select(*stream.columns)
 
-def _merged(stream: DataFrame, root: str | None, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    spark = stream.sparkSession
-    at = stream_root(spark, root)
-    store = MergedStore(spark, at, stream.schema, merge)
-    run_available(stream, at, store.add)
-    return store.read()
 
+def stream_first_seen(stream: DataFrame, keys: list[str], seen: str, root: str | None = None) -> DataFrame:
+    """(keys, first_seen, n_postings): least sight and number of postings of each key over all batches."""
+    known = stream.groupBy(*keys).agg(F.min(seen).alias("first_seen"), F.count(F.lit(1)).alias("n_postings"))
+    return _changes(known, "update", root, _last(keys))
 
-def stream_latest(stream: DataFrame, keys: list[str], order: list[str], root: str | None = None) -> DataFrame:
-    columns = stream.columns
-    return _merged(stream, root, lambda df: latest_snapshot(df, keys, order).select(*columns))
 
+def stream_unrepeated(stream: DataFrame, keys: list[str], at: str, delay: str, root: str | None = None) -> DataFrame:
+    """The first row that comes of each key; a repeat within ``delay`` of event time ``at`` is dropped, and so is a row later than that.
 
-def stream_first_seen(stream: DataFrame, keys: list[str], seen: str, root: str | None = None) -> DataFrame:
-    """(keys, first_seen, n_postings): least sight and number of postings of each key, summed over the batches."""
-    ones = stream.select(*keys, F.col(seen).alias("first_seen"), F.lit(1).cast("bigint").alias("n_postings"))
-    return _merged(ones, root, lambda df: df.groupBy(*keys).agg(F.min("first_seen").alias("first_seen"), F.sum("n_postings").alias("n_postings")))
+    The state of a key goes when the watermark has passed it by the delay, so state is bounded by the rows of that time.
+    """
+    once = stream.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
+    return _changes(once, "append", root, lambda rows: rows.drop("__batch"))
 
 
 def stream_project(stream: DataFrame, projection: Callable[[DataFrame], DataFrame], root: str | None = None) -> DataFrame:
     """A projection of new rows, appended to a table."""
-    spark = stream.sparkSession
-    at = stream_root(spark, root)
-    made = projection(stream)
-    store = MergedStore(spark, at, made.schema, lambda df: df, compact_every=1 << 62)
-    run_available(made, at, store.add)
-    return store.read()
+    return _changes(projection(stream), "append", root, lambda rows: rows.drop("__batch"))
