@@ -171,6 +171,11 @@ def quantile_bins(t):
     return R.quantile_bins(t("listing_raw"), "amount0", 5).select("lid", "bin")
 
 
+@query("winsorised_with_gaps", ", e AS (SELECT quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM gappy_points WHERE NOT isnan(value)) SELECT pid, CASE WHEN NOT isnan(value) THEN round(least(greatest(value, lo), hi), 4) END AS value FROM gappy_points, e", ("gappy_points",))
+def winsorised_with_gaps(t):
+    return R.winsorised(t("gappy_points").select("pid", "value"), "value", 0.05, 0.95).select("pid", F.round("value", 4).alias("value"))
+
+
 @query("winsorised", ", e AS (SELECT quantile_cont(amount0, 0.05) AS lo, quantile_cont(amount0, 0.95) AS hi FROM listing_raw) SELECT lid, round(least(greatest(amount0, lo), hi), 4) AS amount0 FROM listing_raw, e", ("listing_raw",))
 def winsorised(t):
     return R.winsorised(t("listing_raw"), "amount0", 0.05, 0.95).select("lid", F.round("amount0", 4).alias("amount0"))

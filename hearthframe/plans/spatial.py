@@ -273,3 +273,31 @@ def convex_hull(t):
 def hexes_near_hull(t):
     grid = S.hex_grid_over(t("poi").select(F.col("px").alias("x"), F.col("py").alias("y")), 1000.0, 6000.0)
     return S.keep_near_hull(grid, t("poi").select(F.col("px").alias("x"), F.col("py").alias("y")), "hex_id", 1000.0, 3000.0)
+
+
+# ---- Unknown coordinates and values. ----
+@query(
+    "nearest_with_gaps",
+    ", d AS (SELECT pid, poi, sqrt((px - x) * (px - x) + (py - y) * (py - y)) AS dist FROM gappy_points CROSS JOIN poi WHERE x IS NOT NULL AND NOT isnan(y)), m AS (SELECT pid, min_by(poi, (dist, poi)) AS poi, min(dist) AS dist, count(*) FILTER (WHERE dist <= 1000) AS n FROM d GROUP BY 1) SELECT pid, poi, round(dist, 6) AS dist, CAST(n AS BIGINT) AS n FROM gappy_points LEFT JOIN m USING (pid)",
+    ("gappy_points", "poi"),
+)
+def nearest_with_gaps(t):
+    near = S.nearest(t("gappy_points"), t("poi"), "pid", "poi").select("pid", "poi", F.round("dist", 6).alias("dist"))
+    return near.join(S.count_within(t("gappy_points"), t("poi"), "pid", 1000.0), "pid")
+
+
+GAPS = ", h AS (SELECT * FROM gappy_areas WHERE v IS NOT NULL AND NOT isnan(v)), m AS (SELECT avg(v) AS m, stddev_pop(v) AS s, count(*) AS n FROM h), z AS (SELECT id, v, (v - m) / s AS z FROM h, m)"
+
+
+@query("local_moran_with_gaps", GAPS + ", l AS (SELECT i AS id, sum(w * z) AS lag FROM gappy_weights JOIN z ON z.id = j GROUP BY 1) SELECT id, round(z * lag, 6) AS local_i, CASE WHEN z >= 0 AND lag >= 0 THEN 'HH' WHEN z < 0 AND lag < 0 THEN 'LL' WHEN z >= 0 THEN 'HL' ELSE 'LH' END AS quadrant FROM z JOIN l USING (id)", ("gappy_areas", "gappy_weights"))
+def local_moran_with_gaps(t):
+    return S.local_moran(t("gappy_areas"), t("gappy_weights")).select("id", F.round("local_i", 6).alias("local_i"), "quadrant")
+
+
+@query(
+    "gi_star_with_gaps",
+    GAPS + ", ws AS (SELECT i, j FROM gappy_weights UNION ALL SELECT id, id FROM h), g AS (SELECT i, sum(v) AS sv, count(*) AS k FROM ws JOIN h ON h.id = ws.j WHERE i IN (SELECT id FROM h) GROUP BY 1) SELECT i AS id, round((sv - m * k) / nullif(s * sqrt((n * k - k * k) / CAST(n - 1 AS DOUBLE)), 0), 6) AS gi FROM g, m",
+    ("gappy_areas", "gappy_weights"),
+)
+def gi_star_with_gaps(t):
+    return S.gi_star(t("gappy_areas"), t("gappy_weights")).select("id", F.round("gi", 6).alias("gi"))

@@ -82,10 +82,19 @@ VIEWS: dict[str, str] = {
         FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey""",
     # V4
     "points": "SELECT o_orderkey AS pid, CAST((o_orderkey * 7919) % 10007 AS DOUBLE) AS x, CAST((o_orderkey * 104729) % 10009 AS DOUBLE) AS y, o_totalprice AS value FROM {orders}",
+    # Points with unknown coordinates and values among them.
+    "gappy_points": """
+        SELECT pid, CASE WHEN pid % 11 = 0 THEN NULL ELSE x END AS x, CASE WHEN pid % 13 = 0 THEN CAST('NaN' AS DOUBLE) ELSE y END AS y,
+          CASE WHEN pid % 7 = 0 THEN NULL WHEN pid % 17 = 0 THEN CAST('NaN' AS DOUBLE) ELSE value END AS value FROM {points}""",
     # V5
     "units": """
         SELECT n_nationkey AS unit, n_regionkey AS region_id, 2002.0 * (n_nationkey % 5) AS x0, 2002.0 * CAST(floor(n_nationkey / 5) AS INT) AS y0,
           2002.0 * (n_nationkey % 5) + 2002.0 AS x1, 2002.0 * CAST(floor(n_nationkey / 5) AS INT) + 2002.0 AS y1 FROM {nation}""",
+    # Areas some of which have no value, one that neighbours all others, and one that neighbours none.
+    "gappy_areas": "SELECT n_nationkey AS id, CASE WHEN n_nationkey % 6 = 2 THEN NULL WHEN n_nationkey = 9 THEN CAST('NaN' AS DOUBLE) ELSE n_nationkey * 1.5e0 + n_nationkey % 4 END AS v FROM {nation}",
+    "gappy_weights": """
+        SELECT a.n_nationkey AS i, b.n_nationkey AS j, 0.5e0 AS w FROM {nation} a JOIN {nation} b
+          ON (a.n_nationkey = 1 AND b.n_nationkey <> 1) OR (a.n_nationkey > 1 AND a.n_nationkey < 24 AND b.n_nationkey BETWEEN a.n_nationkey + 1 AND a.n_nationkey + 2)""",
     # V6
     "poi": "SELECT s_suppkey AS poi, CAST((s_suppkey * 6151) % 10007 AS DOUBLE) AS px, CAST((s_suppkey * 3571) % 10009 AS DOUBLE) AS py, s_nationkey AS line FROM {supplier}",
     # V7
