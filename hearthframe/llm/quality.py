@@ -4,9 +4,10 @@ A text is cut into pieces of 256 bytes so that the dictionaries, not the text's
 whole text is compressed against both dictionaries. The normalised difference of the two compressed sizes, and nothing
 else, is turned into a probability by a logistic curve fitted on labelled rows that taught no dictionary.
 
-Learning uses bounded, documented samples: at most ``most_rows`` labelled rows (smallest hash of doc_id, half of each
-label), read whole, and of the pieces of six tenths of them at most ``most_pieces`` a label (smallest hash). Null and
-empty texts score as a difference of 0; texts of any length are read whole. Repeated rows score alike; copies teach
+Learning uses a bounded, documented sample: at most ``most_rows`` labelled rows (smallest hash of doc_id, half of each
+label), read whole. Six tenths of them teach the dictionaries with all their pieces: lots of about ``lot`` pieces each give a
+dictionary, in tasks of their own, and a label's dictionary is trained on those of its lots (of one lot, it is that lot's).
+Labels other than 0 and 1 teach nothing. Null and empty texts score as a difference of 0; texts of any length are read whole. Repeated rows score alike; copies teach
 once. Of several labels of one doc_id the highest counts. Null labels or ids teach nothing. Without rows of both labels
 every score is the known rate. An empty table gives an empty result. Other columns of the input are not read.
 """
@@ -29,7 +30,7 @@ PIECE = 256
 DICTIONARY_BYTES = 112_640
 LEVEL = 3
 MOST_ROWS = 8000
-MOST_PIECES = 60_000
+LOT_PIECES = 60_000
 CUT = 0.3
 
 
@@ -104,8 +105,8 @@ def measure(rows: DataFrame, bad: bytes, good: bytes, keep: list[str]) -> DataFr
     return rows.select(*keep, measured("text").alias("difference"))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0, most_rows: int = MOST_ROWS, most_pieces: int = MOST_PIECES) -> QualityModel:
-    taught = with_held_out(labels, label, folds, held)
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0, most_rows: int = MOST_ROWS, lot: int = LOT_PIECES) -> QualityModel:
+    taught = with_held_out(labels, label, folds, held).filter(F.col("label").isin(0, 1))
     counts = {int(r["label"]): int(r["count"]) for r in taught.groupBy("label").count().collect()}  # a row for each label
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(10))
@@ -121,11 +122,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
             yield pd.DataFrame(rows, columns=["label", "piece"])
 
     every = chosen.filter(part < 6).select("label", "text").dropDuplicates(["text"]).mapInPandas(cut, "label int, piece binary")
-    lot = F.xxhash64("piece", F.lit(SEED))
-    sets = {y: [bytes(r["piece"]) for r in every.filter(F.col("label") == y).orderBy(lot, "piece").limit(most_pieces).collect()] for y in (0, 1)}  # at most most_pieces of 256 bytes each
-    if not sets[0] or not sets[1]:
+    sizes = {int(r["label"]): int(r["count"]) for r in every.groupBy("label").count().collect()}  # a row for each label
+    if not sizes.get(0) or not sizes.get(1):
         return plain
-    bad, good = dictionary(sets[0]), dictionary(sets[1])
+    lots = F.when(F.col("label") == 0, -(-sizes[0] // lot)).otherwise(-(-sizes[1] // lot))
+    order = F.xxhash64("piece", F.lit(SEED))
+
+    def of_lot(group: pd.DataFrame) -> pd.DataFrame:
+        own = group.sort_values(["at", "piece"])  # about ``lot`` pieces
+        return pd.DataFrame({"label": [int(group["label"].iloc[0])], "lot": [int(group["lot"].iloc[0])], "content": [dictionary([bytes(p) for p in own["piece"]])]})
+
+    dealt = every.select("label", "piece", order.alias("at")).withColumn("lot", F.pmod(F.col("at"), lots))
+    made = dealt.groupBy("label", "lot").applyInPandas(of_lot, "label int, lot bigint, content binary").collect()  # a dictionary of fixed size a lot
+    of = {y: [bytes(r["content"]) for r in sorted(made, key=lambda r: r["lot"]) if r["label"] == y] for y in (0, 1)}
+    bad, good = (of[y][0] if len(of[y]) == 1 else dictionary([p for d in of[y] for p in pieces(d)]) for y in (0, 1))
     rest = measure(chosen.filter(part >= 6), bad, good, ["label"]).toPandas()  # at most most_rows numbers
     y = rest["label"].to_numpy(np.float64)
     if len(y) == 0 or y.min() == y.max():

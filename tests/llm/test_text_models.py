@@ -211,7 +211,9 @@ def test_quality_is_the_difference_of_direct_compressions(spark):
         z = model.weights @ np.array([1, d, d * abs(d)])
         assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-12)
     assert quality.score(rows.limit(0), model, ["doc_id"]).count() == 0
-    assert quality.train(docs, labels, most_pieces=40).weights[1] != 0
+    assert quality.train(docs, labels, lot=40).weights[1] != 0
+    odd = labels.union(spark.createDataFrame([(10_000 + i, 7) for i in range(50)], labels.schema)) if len(labels.columns) == 2 else labels
+    assert quality.train(docs, odd).good == quality.train(docs, labels).good
 
 
 def test_margin_is_the_sum_over_pairs():
