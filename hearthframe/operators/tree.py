@@ -36,6 +36,12 @@ def known(*columns: Column) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
+def _tasks(df: DataFrame) -> int:
+    """Tasks to deal small rows of costly work to: a named number is not joined to fewer by size."""
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _curve(cells: list[Column], bits: int) -> Column:
     """Place on the curve: the bits of the cell numbers, by turns."""
     key = F.lit(0).cast("bigint")
@@ -93,7 +99,7 @@ def build(rows: DataFrame, box: tuple[Column, Column, Column, Column], value: Co
 
     placed = boxed.withColumns({f"__cell_{k}": cell(k, c) for k, c in middle.items()}).withColumn("__tie", F.xxhash64(*[f"`{c}`" for c in rows.columns]))
     placed = placed.withColumn("__key", _curve([F.col(f"__cell_{k}") for k in middle], bits)).drop(*[f"__cell_{k}" for k in middle])
-    in_order = placed.repartitionByRange("__key", "__tie").sortWithinPartitions("__key", "__tie").withColumn("__at", F.monotonically_increasing_id())
+    in_order = placed.repartitionByRange(_tasks(rows), "__key", "__tie").sortWithinPartitions("__key", "__tie").withColumn("__at", F.monotonically_increasing_id())
     # A range's number and a row's place in it are read off the written rows, so they don't change when a task is repeated.
     items = _settled(in_order.drop("__key", "__tie")).withColumn("__leaf", F.shiftleft(F.shiftright("__at", _PART), _PART).bitwiseOR(F.floor(F.col("__at").bitwiseAND(F.lit((1 << _PART) - 1)) / capacity)))
     leaves = _settled(items.groupBy(F.col("__leaf").alias("node")).agg(F.count(F.lit(1)).alias("n"), *[(F.min if c.endswith("0") else F.max)(f"__{c}").alias(c) for c in _BOX]))
@@ -138,13 +144,15 @@ class Search:
 
     def met(self) -> DataFrame:
         """Each asking row beside each row it is to meet."""
-        return self.rows().drop("inside").join(self.others(), "key").drop("key")
+        n = _tasks(self.state)
+        return self.rows().drop("inside").repartition(n, "key").join(self.others().repartition(n, "key"), "key").drop("key")
 
     def beside(self) -> DataFrame:
         """Each asking row once, with ``inside`` and the array ``others`` of the rows it is to meet, null for none: as many as a few leaves hold."""
-        held = self.others()
+        n = _tasks(self.state)
+        held = self.others().repartition(n, "key")
         lists = held.groupBy("key").agg(F.collect_list(F.struct(*[f"`{c}`" for c in held.columns if c != "key"])).alias("others"))
-        return self.rows().join(lists, "key", "left").drop("key")
+        return self.rows().repartition(n, "key").join(lists, "key", "left").drop("key")
 
 
 def _descend(asking: Tree, held: Tree, pruned, most: int) -> Search:
@@ -153,6 +161,7 @@ def _descend(asking: Tree, held: Tree, pruned, most: int) -> Search:
     state = asking.leaves.select(
         (F.col("node") * 2).alias("key"), F.col("node").alias("leaf"), F.lit(None).cast("bigint").alias("at"), *[F.col(c).alias(f"l{c}") for c in _BOX], F.lit(0).cast("bigint").alias("inside"), F.array(F.lit(0).cast("bigint")).alias("nodes")
     )
+    state = state.repartition(_tasks(state), "key")
     near, far = _distances()
     found = F.struct("node", "n", near.alias("near"), far.alias("far"), F.col("nv0").alias("first"), F.col("nv1").alias("last"))
     kept, split = ["leaf", "at", *box, "inside"], False
