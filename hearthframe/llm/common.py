@@ -48,10 +48,13 @@ class Scratch:
         self.names: set[str] = set()
         _MADE.append(self.root)
 
-    def write(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    def write(self, df: DataFrame, name: str, partition_by: list[str] | None = None, rows_a_group: int | None = None) -> DataFrame:
+        """rows_a_group: for rows of long arrays; a reader unpacks a group of rows at once, so it bounds a task's memory."""
         path = f"{self.root}/{name}"
         self.names.add(name)
         writer = df.write.mode("overwrite").option("compression", "zstd")
+        if rows_a_group:
+            writer = writer.option("parquet.block.row.count.limit", rows_a_group)
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path) if not partition_by else self.spark.read.parquet(path)
 

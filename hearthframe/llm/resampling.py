@@ -1,7 +1,7 @@
 """Importance resampling towards a target distribution over hashed word runs.
 
-The document-by-bucket count matrix is written once, as compressed sparse rows in blocks of bounded size. Its column sums
-give the raw distribution, those of the target texts' matrix the target distribution; the log ratios are the buckets'
+The document-by-bucket count matrix is written once, as compressed sparse rows in blocks of bounded size, of which a task
+reads a bounded number at once. Its column sums give the raw distribution, those of the target texts' matrix the target distribution; the log ratios are the buckets'
 gains, and the product of the matrix with the gains gives the documents' weights. Gumbel noise by id makes the highest
 scores a draw without replacement; scores are cut at the draw's size by their histogram and ranked by ranges.
 
@@ -27,7 +27,9 @@ from .common import Remembered, Scratch, only, table
 BUCKETS = 10_000
 SEED = 2024
 LEAST_WORDS, PERCENT = 20, 10
-MOST_ROWS, MOST_ENTRIES = 4096, 1 << 19
+MOST_ROWS, MOST_ENTRIES = 4096, 1 << 15
+#: Blocks of the written matrix that a task reads at once.
+BLOCKS_AT_ONCE = 64
 PIECE = 1 << 20
 _SPACES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -170,7 +172,7 @@ def ranked(scored: DataFrame, scratch: Scratch, least: int, percent: int) -> Dat
 def resample(docs: DataFrame, target: DataFrame, doc: str = "doc_id", text: str = "text", target_text: str = "text", buckets: int = BUCKETS, longest: int = 1, seed: int = SEED, least: int = LEAST_WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_features, weight, score, rank) of every row of docs; rows with a rank are the draw."""
     scratch = Scratch(docs.sparkSession, "resampling")
-    matrix = scratch.write(count_matrix(docs, doc, text, buckets, longest), "matrix")
+    matrix = scratch.write(count_matrix(docs, doc, text, buckets, longest), "matrix", rows_a_group=BLOCKS_AT_ONCE)
     aim = count_matrix(target.select(F.lit(0).alias("d"), F.col(f"`{target_text}`").alias("t")), "d", "t", buckets, longest)
     product = matrix_product(matrix, bucket_gains(column_sums(matrix, buckets), column_sums(aim, buckets)))
     scored = scratch.write(product.withColumn("score", F.col("weight") + gumbel("doc", seed)).withColumn("row", F.monotonically_increasing_id()), "scored")

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -81,3 +82,18 @@ def test_blocks_are_bounded_and_hold_every_row(spark):
     assert sum(len(b["doc"]) for b in blocks) == docs.count() and all(len(b["doc"]) <= 9 for b in blocks)
     assert sum(sum(b["times"]) for b in blocks) == sum(sum(b["n"]) for b in blocks) == sum(len(runs(t, 1)) for t in texts(100))
     assert R.column_sums(spark.createDataFrame(blocks, R.MATRIX)).sum() == np.sum([sum(b["n"]) for b in blocks])
+
+
+def test_a_reader_of_the_matrix_unpacks_few_blocks_at_once(spark, monkeypatch):
+    """Blocks by default, and row groups of the written matrix, are bounded: all blocks of a file at once fill an executor."""
+    import pyarrow.parquet as pq
+
+    assert R.MOST_ENTRIES * R.BLOCKS_AT_ONCE * 8 <= 1 << 24
+    monkeypatch.setattr(R.Scratch, "drop", lambda self, *names: made.append(f"{self.root}/matrix"))
+    monkeypatch.setattr(R.count_matrix, "__defaults__", (*R.count_matrix.__defaults__[:-2], 2, 1 << 15))
+    made = []
+    docs = spark.createDataFrame([(i, "w x y " * 9) for i in range(400)], "doc_id bigint, text string").coalesce(1)
+    assert R.resample(docs, docs.limit(1)).count() == 400
+    files = [f for f in Path(made[0].removeprefix("file:")).iterdir() if f.suffix == ".parquet"]
+    groups = [m.row_group(i).num_rows for m in map(pq.read_metadata, files) for i in range(m.num_row_groups)]
+    assert sum(groups) == 200 and max(groups) <= R.BLOCKS_AT_ONCE
