@@ -7,7 +7,8 @@ A id and a B id share a group, and holds each text's links against those counts.
 
 Counting: the texts of a task are put in blocks of bounded size that hold each linked id pair once. Only these distinct pairs
 are shuffled, with the number of texts in the block that hold them, so a pair in every text costs one row a block and not one a
-text. The blocks are a written table, so a lost executor repeats tasks of it and not the encoding.
+text. The blocks are a written table, so a lost executor repeats tasks of it and not the encoding. A block is written in slices
+of bounded size and read a few slices at a time, and its counts come back to it as rows, so no executor holds many blocks at once.
 
 Texts that are null or empty, or whose joined token bytes differ from space+text under either tokenizer, have no tokens and
 no groups. Whole texts are encoded, of any length; the memory of a task grows with its longest text and that text's distinct
@@ -24,10 +25,11 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, zip_longest
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ from .common import Scratch, only, table
 FOLDER = "/opt/tokenizers"
 BYTES_FILE, PIECES_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 MOST_ENTRIES, MOST_TEXTS, LOT = 1 << 19, 2048, 1 << 16
+#: Entries of a slice of a block, and slices that a task reads at once.
+SLICE, SLICES_AT_ONCE = 1 << 15, 32
 #: A run without a space longer than this goes to the library whose merges don't slow down on long runs.
 LONG_RUN = 20_000
 LABELS = np.frombuffer(b".ab|", np.uint8)
@@ -271,28 +275,37 @@ class GroupText:
         return [shown[i : max(i, j - 1)] for i, j in zip(cut[:-1], cut[1:])]
 
 
-BLOCK = "doc array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, sha array<string>, upto array<int>, pair array<int>, times array<bigint>, keys array<bigint>, texts array<int>"
+BLOCK = "block bigint, first int, doc array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, sha array<string>, upto array<int>, pair array<int>, times array<bigint>, keys array<bigint>, texts array<int>"
 
 
-def link_blocks(docs: DataFrame, doc: str = "doc_id", text: str = "text", folder: str = FOLDER, most_entries: int = MOST_ENTRIES, most_texts: int = MOST_TEXTS) -> DataFrame:
+def link_blocks(docs: DataFrame, doc: str = "doc_id", text: str = "text", folder: str = FOLDER, most_entries: int = MOST_ENTRIES, most_texts: int = MOST_TEXTS, most_slice: int = SLICE) -> DataFrame:
     """Blocks of texts as sparse rows over the block's distinct id pairs (``keys``, in ``texts`` texts of it each): of text i,
-    pairs ``pair[upto[i-1]:upto[i]]`` with their numbers of links, next to its counts and digest. No shuffle."""
+    pairs ``pair[upto[i-1]:upto[i]]`` with their numbers of links, next to its counts and digest. A block is one or more rows, each
+    with about ``most_slice`` entries of its texts and of its pairs, of which its first has the number ``first``. No shuffle."""
     rows = only(docs, doc=doc, text=text).withColumn("doc", F.col("doc").cast("bigint"))
 
-    def block(held: list[list]) -> pa.RecordBatch:
+    def block(held: list[list], number: int) -> Iterator[pa.RecordBatch]:
         docs, n_a, n_b, n_groups, n_links, sha, sizes, keys, times = zip(*held)
+        docs, sha = list(chain.from_iterable(docs)), list(chain.from_iterable(sha))
+        counted = [np.concatenate(x) for x in (n_a, n_b, n_groups, n_links)]
         keys, pair = np.unique(np.concatenate(keys), return_inverse=True)
+        texts, times, upto = np.bincount(pair, minlength=len(keys)), np.concatenate(times), _cuts(np.concatenate(sizes))
+        ends = [i for i in range(1, len(docs)) if upto[i] // most_slice > upto[i - 1] // most_slice]  # where the entries so far pass a multiple
+        cuts = [0, *ends, len(docs)]
         one = lambda values, kind: pa.array([values], pa.list_(kind))
-        return pa.RecordBatch.from_arrays(
-            [one(list(chain.from_iterable(docs)), pa.int64()), *[one(np.concatenate(x), pa.int64()) for x in (n_a, n_b, n_groups, n_links)], one(list(chain.from_iterable(sha)), pa.string()), one(np.cumsum(np.concatenate(sizes)), pa.int32())]
-            + [one(pair.astype(np.int32), pa.int32()), one(np.concatenate(times), pa.int64()), one(keys, pa.int64()), one(np.bincount(pair, minlength=len(keys)), pa.int32())],
-            names=[c.split()[0] for c in BLOCK.split(", ")],
-        )
+        for span, first in zip_longest(zip(cuts[:-1], cuts[1:]), range(0, len(keys), most_slice)):
+            i, j = span or (0, 0)
+            k = slice(first, first + most_slice) if first is not None else slice(0, 0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([number], pa.int64()), pa.array([first or 0], pa.int32()), one(docs[i:j], pa.int64()), *[one(x[i:j], pa.int64()) for x in counted], one(sha[i:j], pa.string()), one(upto[i + 1 : j + 1] - upto[i], pa.int32())]
+                + [one(pair[upto[i] : upto[j]].astype(np.int32), pa.int32()), one(times[upto[i] : upto[j]], pa.int64()), one(keys[k], pa.int64()), one(texts[k], pa.int32())],
+                names=[c.split()[0] for c in BLOCK.split(", ")],
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = tokenizers_of(folder)
         shown = GroupText(len(a.bytes), len(b.bytes))
-        held, entries, texts = [], 0, 0
+        held, entries, texts, number = [], 0, 0, TaskContext.get().partitionId() << 33
         for batch in batches:
             ids, column = batch.columns
             for first, end, lot in lots(column, a, b, most_texts):
@@ -302,10 +315,10 @@ def link_blocks(docs: DataFrame, doc: str = "doc_id", text: str = "text", folder
                 held.append([ids.slice(first, end - first).to_pylist(), *counted, sha, np.diff(cuts), keys, times])
                 entries, texts = entries + len(keys), texts + end - first
                 if entries >= most_entries or texts >= most_texts:
-                    yield block(held)
-                    held, entries, texts = [], 0, 0
+                    yield from block(held, number)
+                    held, entries, texts, number = [], 0, 0, number + 1
         if held:
-            yield block(held)
+            yield from block(held, number)
 
     return rows.mapInArrow(run, BLOCK)
 
@@ -315,29 +328,31 @@ def link_statistics(docs: DataFrame, doc: str = "doc_id", text: str = "text", fo
     pair), count_sum (over links, the texts that hold the pair) and groups_sha256.
 
     Two shuffles of the blocks' distinct pairs by pair, one of the counts by A id (an A id has at most as many pairs as B has
-    ids), one of counts and blocks by block, all of rows of bounded size.
+    ids), one of counts and slices by block, all of rows of bounded size; a task holds one block's counts, which are bounded.
     """
     scratch = Scratch(docs.sparkSession, "alignment")
-    blocks = scratch.write(link_blocks(docs, doc, text, folder).withColumn("block", F.monotonically_increasing_id()), "blocks")
-    pairs = blocks.select("block", F.posexplode(F.arrays_zip("keys", "texts")).alias("at", "p")).select("block", "at", F.col("p.keys").alias("key"), "p.texts")
+    blocks = scratch.write(link_blocks(docs, doc, text, folder), "blocks", rows_a_group=SLICES_AT_ONCE)
+    pairs = blocks.select("block", "first", F.posexplode(F.arrays_zip("keys", "texts")).alias("at", "p")).select("block", (F.col("first") + F.col("at")).alias("at"), F.col("p.keys").alias("key"), "p.texts")
     counts = pairs.groupBy("key").agg(F.sum("texts").alias("count"))
     known = counts.select("key", "count", (F.col("count") == F.max("count").over(Window.partitionBy(F.shiftright("key", 32)))).alias("best"))
-    back = pairs.join(known, "key").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "count", "best"))).alias("of"))  # as many as the block's pairs
-    read = blocks.select("block", "doc", "n_a", "n_b", "n_groups", "n_links", "sha", "upto", "pair", "times")
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    back = pairs.join(known, "key").select(F.col("block").alias("of"), "at", "count", "best")
+    read = blocks.select("block", "doc", "n_a", "n_b", "n_groups", "n_links", "sha", "upto", "pair", "times").filter(F.size("doc") > 0)
+
+    def finish(of: pa.Table, slices: pa.Table) -> pa.Table:
+        at = of.column("at").to_numpy()
+        count, best = np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+        count[at], best[at] = of.column("count").to_numpy(), of.column("best").to_numpy()
+        made = []
+        for batch in slices.to_batches():
             for i in range(batch.num_rows):
                 row = {n: batch.column(n)[i].values for n in batch.schema.names[1:]}
                 upto, pair, times = (row[n].to_numpy() for n in ("upto", "pair", "times"))
-                count, best = np.zeros(0, np.int64), np.zeros(0, bool)
-                if row["of"] is not None:
-                    count, best = row["of"].field("count").to_numpy(), row["of"].field("best").to_numpy(zero_copy_only=False)
                 total = lambda each: np.diff(np.concatenate([[0], np.concatenate([[0], np.cumsum(each)])[upto]]))
-                sums = [total(times * best[pair]), total(times * count[pair])] if len(pair) else [np.zeros(len(upto), np.int64)] * 2
-                yield pa.RecordBatch.from_arrays([row["doc"], row["n_a"], row["n_b"], row["n_groups"], row["n_links"], *[pa.array(s, pa.int64()) for s in sums], row["sha"]], names=[c.split()[0] for c in RESULT.split(", ")])
+                sums = [total(times * best[pair]), total(times * count[pair])]
+                made.append(pa.RecordBatch.from_arrays([row["doc"], row["n_a"], row["n_b"], row["n_groups"], row["n_links"], *[pa.array(s, pa.int64()) for s in sums], row["sha"]], names=[c.split()[0] for c in RESULT.split(", ")]))
+        return pa.Table.from_batches(made)
 
-    return read.join(back, "block", "left").mapInArrow(finish, RESULT)
+    return back.groupBy("of").cogroup(read.groupBy("block")).applyInArrow(finish, RESULT)
 
 
 RESULT = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"

@@ -89,6 +89,18 @@ def test_blocks_of_any_size_hold_the_same_links(spark, entries, texts):
     assert counts == want and sum(len(b["doc"]) for b in blocks) == 60
 
 
+def test_a_block_is_written_in_slices_of_bounded_size(spark, monkeypatch):
+    """A block of all its pairs in one row is unpacked, and gathered again, whole: many of them fill an executor."""
+    texts = [None, ""] + random_texts(80) + ["..."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(1)
+    most = max(len(b["pair"]) for b in A.link_blocks(docs, most_texts=1).collect())
+    rows = A.link_blocks(docs, most_slice=100).collect()
+    assert len({r["block"] for r in rows}) == 1 and len(rows) > 10
+    assert all(len(r["keys"]) <= 100 and len(r["pair"]) < 100 + most for r in rows)
+    monkeypatch.setattr(A.link_blocks, "__defaults__", (*A.link_blocks.__defaults__[:-1], 100))
+    assert sorted(tuple(r[c] for c in COLUMNS) for r in A.link_statistics(docs).collect()) == sorted(plain(texts))
+
+
 def test_spans_end_at_labels_of_both():
     labels = A.label_string(np.array([2, 3, 6, 9]), np.array([3, 4, 5, 9]), 9)
     assert labels == b".a|bba..|"
