@@ -216,13 +216,18 @@ def url_parts(url: Column) -> Column:
     )
 
 
+def _once(value: Column, used) -> Column:
+    """used(value), where the value is worked out once a row and not in each place that names it."""
+    return F.get(F.transform(F.array(value), used), F.lit(0))
+
+
 def summary_fields(lines: Column, keys: tuple[str, ...] = SUMMARY_KEYS, start: str = "QUICK SUMMARY", span: int = 60) -> Column:
     """map of key to the line after it, within a page's summary block; null without one."""
     at = F.array_position(lines, start).cast("int")
-    block = F.when(at > 0, F.slice(lines, at, span))
-    bare = F.transform(block, lambda x: F.trim(F.rtrim(x, F.lit(":"))))
-    value = lambda k: F.get(block, F.nullif(F.array_position(bare, k).cast("int"), F.lit(0)))
-    return F.when(at > 0, F.create_map(*[x for k in keys for x in (F.lit(k), value(k))]))
+    found = lambda b: F.struct(b.alias("block"), F.transform(b, lambda x: F.trim(F.rtrim(x, F.lit(":")))).alias("bare"))
+    value = lambda f, k: F.get(f["block"], F.nullif(F.array_position(f["bare"], k).cast("int"), F.lit(0)))
+    listed = lambda f: F.create_map(*[x for k in keys for x in (F.lit(k), value(f, k))])
+    return F.when(at > 0, _once(_once(F.slice(lines, at, span), found), listed))
 
 
 def summary_grammar(text: Column) -> Column:
@@ -275,7 +280,10 @@ def archived_page(text: Column, keys: tuple[str, ...]) -> Column:
 def detail_page(lines: Column) -> Column:
     """struct of a live page's lines: the summary block's fields, the description up to a stop mark, the heading before its
     code, the deal and number words; null without a summary block."""
-    fields = summary_fields(lines)
+    return _once(summary_fields(lines), lambda fields: _detail(lines, fields))
+
+
+def _detail(lines: Column, fields: Column) -> Column:
     at = F.array_position(lines, "DESCRIPTION").cast("int")
     after = F.slice(lines, at + 1, DESCRIPTION_LINES - 1)
     stops = F.transform(after, lambda x: x.startswith(DESCRIPTION_STOPS[0]) | F.upper(x).startswith(DESCRIPTION_STOPS[1]))

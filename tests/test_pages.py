@@ -45,3 +45,16 @@ def test_label_units_and_counts(spark):
         assert tuple(S.scaled_unit(spark.createDataFrame([(v,) for v in values], "v double"), "v").collect()[0]) == want
     df = spark.createDataFrame([("HH",), ("HH",), (None,), ("zz",)], "l string")
     assert {r["l"]: r["n"] for r in S.label_counts(df, "l", ["HH", "LL"]).collect()} == {"HH": 2, "LL": 0}
+
+
+def _named(df, pattern):
+    """How often an expression stands in the optimized plan, as it is worked out each time."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count(pattern)
+
+
+def test_a_summary_block_is_cut_out_once_a_page(spark):
+    spark.conf.set("spark.sql.maxToStringFields", 10_000)
+    lines = spark.createDataFrame([(["QUICK SUMMARY", "Code:", "7", "Status:", "For Sale"],), (["no block"],), (None,)], "l array<string>")
+    got = lines.select(C.detail_page(F.col("l")).alias("p"))
+    assert [r.p and (r.p.source_id, r.p.listing_type, r.p.bedrooms_raw) for r in got.collect()] == [("7", "sale", None), None, None]
+    assert _named(got, "QUICK SUMMARY") <= 4
