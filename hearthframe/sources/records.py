@@ -259,11 +259,15 @@ def archived_page(text: Column, keys: tuple[str, ...]) -> Column:
     neither layout gives a struct of nulls but for what its headline tells; null text gives null.
     """
     none = lambda c: X.empty_as_null(F.trim(c))
-    block, told = F.regexp_extract(text, "(?i)" + SUMMARY_PAGE, 1), F.regexp_extract(text, "(?i)" + SUMMARY_PAGE, 2)
-    summary = text.rlike("(?i)" + SUMMARY_PAGE)
-    found = {k: F.when(summary, none(F.regexp_extract(block, "(?i)" + p, 1))) for k, p in (SUMMARY_FIELDS | ARCHIVED_FIELDS).items()}
+    parts = F.struct(text.rlike("(?i)" + SUMMARY_PAGE).alias("summary"), *[F.regexp_extract(text, "(?i)" + SUMMARY_PAGE, i).alias(n) for i, n in ((1, "block"), (2, "told"))], none(F.regexp_extract(text, "(?i)" + SPECIFICATION_PAGE, 1)).alias("spec"))
+    taken = lambda p: F.struct(p.alias("parts"), *[F.when(p["summary"], none(F.regexp_extract(p["block"], "(?i)" + e, 1))).alias(k) for k, e in (SUMMARY_FIELDS | ARCHIVED_FIELDS).items()])
+    return _once(_once(parts, taken), lambda found: _archived(text, found, keys))
+
+
+def _archived(text: Column, found: Column, keys: tuple[str, ...]) -> Column:
+    none = lambda c: X.empty_as_null(F.trim(c))
+    summary, told, spec = (found["parts"][c] for c in ("summary", "told", "spec"))
     sale = F.coalesce(F.lower(found["status"]).contains("sale"), F.lit(False))
-    spec = none(F.regexp_extract(text, "(?i)" + SPECIFICATION_PAGE, 1))
     listed = F.when(~summary & spec.isNotNull(), specification_fields(spec, keys))
     details = F.when(summary, told).otherwise(F.regexp_extract(text, "(?i)" + DETAILS_PAGE, 1))
     return F.when(

@@ -58,3 +58,11 @@ def test_a_summary_block_is_cut_out_once_a_page(spark):
     got = lines.select(C.detail_page(F.col("l")).alias("p"))
     assert [r.p and (r.p.source_id, r.p.listing_type, r.p.bedrooms_raw) for r in got.collect()] == [("7", "sale", None), None, None]
     assert _named(got, "QUICK SUMMARY") <= 4
+
+
+def test_an_archived_page_is_matched_once(spark):
+    spark.conf.set("spark.sql.maxToStringFields", 10_000)
+    text = "QUICK SUMMARY Code: 1 Location: here Price: 5 Status For sale Agent x DESCRIPTION fine Tell a friend"
+    got = spark.createDataFrame([(text,), ("neither",), (None,)], "t string").select(C.archived_page(F.col("t"), ("Location",)).alias("p"))
+    assert [r.p and r.p.layout for r in got.collect()] == ["summary", None, None]
+    assert _named(got, "regexp_extract(t#") <= 6
