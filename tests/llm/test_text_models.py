@@ -304,3 +304,21 @@ def test_terms_that_tell_only_in_a_pair(law):
     fm = toxicity.fit(terms, np.array(y), bits=10, epochs=30)
     none, one, two, both = (fm.score(np.array(x, np.int64)) for x in ([], [1], [2], [1, 2]))
     assert one > both and two > both and both < 0.2 < 0.8 < one if law == "apart" else both > one + 0.1 and two < none - 0.1
+
+
+def test_toxicity_is_fitted_in_tasks(spark, monkeypatch):
+    """The driver runs no fit of its own; the tasks' machine is that of a plain fit of the same rows."""
+    docs, labels = corpus(spark)
+    hasher = toxicity.TermHasher()
+    rows = toxicity.teaching_rows(docs.select("doc_id", "text"), toxicity.with_held_out(labels, "toxic", 4, 2), toxicity.MOST_ROWS).collect()
+    rows = sorted((r["doc_id"], r["label"], hasher(r["text"]).astype(np.int32).tobytes()) for r in rows)
+    taught = [r["label"] for r in toxicity.with_held_out(labels, "toxic", 4, 2).collect()]
+    plain = toxicity.fit([np.frombuffer(t, np.int32).astype(np.int64) for _, _, t in rows], np.array([y for _, y, _ in rows], float), prior=sum(taught) / len(taught)).thin()
+
+    def refused(*_):
+        raise AssertionError("pairs are sought on the driver")
+
+    monkeypatch.setattr(toxicity, "telling_pairs", refused)
+    made = toxicity.train(docs, labels)
+    assert (made.bias, made.slope, made.shift) == (plain.bias, plain.slope, plain.shift)
+    assert (made.linear == plain.linear).all() and (made.factors == plain.factors).all()
