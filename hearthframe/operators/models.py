@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -384,10 +385,12 @@ def gwr(spark: SparkSession, df: DataFrame, y: str, xs: list[str], neighbours: i
     leverage is the weight of a point's own target in its fitted value; c are the sums of squared weights of all targets in
     a coefficient, so a coefficient's variance is c times that of the errors.
 
-    A fit weighs only the points nearer than its neighbours-th nearest. A leaf of the packed tree of points meets the leaves
-    that hold those of any of its points, so a task's rows are bounded by the number of neighbours.
+    A fit weighs only the points nearer than its neighbours-th nearest. A block of points meets the leaves of the packed tree that
+    hold those of any of its points; in its task few neighbouring points at a time are fitted together, by products of matrices
+    over the rows that any of them may weigh.
     """
     from . import tree
+    from .spatial import _away, _numbers
 
     names, squares = [f"b{i}" for i in range(len(xs) + 1)], [f"c{i}" for i in range(len(xs) + 1)]
     features = [f"__f{i}" for i in range(len(xs))]
@@ -395,34 +398,38 @@ def gwr(spark: SparkSession, df: DataFrame, y: str, xs: list[str], neighbours: i
     data = df.select(*place, F.col(y).cast("double").alias("__y")).dropna()
     goal = data if at is None else at.select(*place).dropna().withColumn("__y", F.lit(None).cast("double"))
     at_place = tuple(F.col(c) for c in "xyxy")
-    held = tree.build(data.drop("rid"), at_place, capacity=tree.SMALL)
-    asking, n = tree.build(goal, at_place), held.n
+    held = tree.build(data.drop("rid"), at_place, capacity=tree.HELD)
+    n = held.n
+    asking = tree.build(goal, at_place, capacity=lambda rows: tree.block_of(rows, n))
     skipped = int(at is None)  # a point is no neighbour of itself
-    kind = f"rid {dict(data.dtypes)['rid']}, b struct<fitted:double,{','.join(f'{c}:double' for c in [*names, 'residual', 'leverage', *squares])}>"
-    columns = [f"b.{c}" for c in ("fitted", *names, "residual", "leverage", *squares)]
-
-    def fit(targets: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
-        at, design, target = around[["x", "y"]].to_numpy(float), np.c_[np.ones(len(around)), around[features].to_numpy(float)], around["__y"].to_numpy(float)
-        k, rows = min(neighbours, n - skipped), []
-        for rid, px, py, real, *mine in targets[["rid", "x", "y", "__y", *features]].itertuples(index=False, name=None):
-            d = np.hypot(at[:, 0] - px, at[:, 1] - py)
-            h = np.partition(d, k - 1 + skipped)[k - 1 + skipped] + 1e-9
-            inner = d < h
-            w = (1 - (d[inner] / h) ** 2) ** 2
-            x = design[inner]
-            xw = x * w[:, None]
-            inv, me = np.linalg.pinv(xw.T @ x), np.array([1.0, *mine])
-            to = inv @ xw.T
-            b = to @ target[inner]
-            value, known = float(me @ b), real is not None and real == real
-            rest = [real - value, float(me @ inv @ me)] if known else [None, None]
-            rows.append((rid, dict(zip(["fitted", *names, "residual", "leverage", *squares], [value, *map(float, b), *rest, *map(float, (to * to).sum(axis=1))]))))
-        return pd.DataFrame(rows, columns=["rid", "b"])
+    columns = ["fitted", *names, "residual", "leverage", *squares]
+    kind = f"rid {dict(data.dtypes)['rid']}, {', '.join(f'{c} double' for c in columns)}"
+    k, terms = min(neighbours, n - skipped), len(xs) + 1
+
+    def fit(own: pa.Table, around: pa.Table) -> pa.Table:
+        xy, mine, real = _numbers(own, "x", "y"), np.c_[np.ones(own.num_rows), *[_numbers(own, f) for f in features]], _numbers(own, "__y")[:, 0]
+        at, design, target = _numbers(around, "x", "y"), np.c_[np.ones(around.num_rows), *[_numbers(around, f) for f in features]], _numbers(around, "__y")[:, 0]
+        both = (design[:, :, None] * design[:, None, :]).reshape(len(at), -1)
+        out = np.full((own.num_rows, len(columns)), np.nan)
+
+        def answer(part, rows):
+            d = _away(at[rows], xy[part, :1], xy[part, 1:])
+            h = np.partition(d, k - 1 + skipped, axis=1)[:, k - 1 + skipped, None] + 1e-9
+            w = np.where(d < h, (1 - (d / h) ** 2) ** 2, 0.0)
+            inv = np.linalg.pinv((w @ both[rows]).reshape(-1, terms, terms))
+            b = (inv @ (w @ (design[rows] * target[rows, None]))[:, :, None])[:, :, 0]
+            me = mine[part]
+            value, own_weight = (me * b).sum(1), np.einsum("pi,pij,pj->p", me, inv, me)
+            spread = np.einsum("pij,pjk,pik->pi", inv, (w * w @ both[rows]).reshape(-1, terms, terms), inv)
+            out[part] = np.c_[value, b, real[part] - value, np.where(np.isnan(real[part]), np.nan, own_weight), spread]
+
+        tree.narrowed(xy, np.arange(len(at)), lambda part, middle, way, rows: rows[tree.within_reach(_away(at[rows], *middle), k + skipped, way)], answer)
+        unknown = {c: np.isnan(real) for c in ("residual", "leverage")}
+        return pa.table({"rid": own["rid"], **{c: pa.array(out[:, i], mask=unknown.get(c)) for i, c in enumerate(columns)}})
 
     if not n:
-        return spark.createDataFrame([], kind).select("rid", *columns)
-    found = tree.nearest_leaves(asking, held, min(neighbours, n - skipped) + skipped)
-    return found.rows().groupBy("key").cogroup(found.others().groupBy("key")).applyInPandas(fit, kind).select("rid", *columns)
+        return spark.createDataFrame([], kind)
+    return tree.nearest_leaves(asking, held, k + skipped, wider=tree.WIDER).each(fit, kind)
 
 
 def gwr_score(fits: DataFrame) -> dict:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from hearthframe.operators import models as M
 from hearthframe.operators import spatial as S
 from hearthframe.operators import tree
 
@@ -30,6 +31,20 @@ def test_long_lines_send_few_rows(spark, searches):
     assert searches[0].others().count() <= 8 * 600  # each point or each lot of 32 would meet a share of all lines
 
 
+def test_local_fits_share_rows(spark, searches):
+    rng = np.random.default_rng(2)
+    at = rng.uniform(0, 100, (2000, 2))
+    z, y = rng.uniform(0, 1, 2000), rng.normal(0, 1, 2000)
+    got = M.gwr(spark, frame(spark, [(i, *p, z[i], y[i]) for i, p in enumerate(at)], "rid int, x double, y double, z double, t double"), "t", ["z"], 20).toPandas().sort_values("rid")
+    for i in range(0, 2000, 97):
+        d = np.hypot(*(at - at[i]).T)
+        h = np.sort(d)[20] + 1e-9
+        w, x = np.where(d < h, (1 - (d / h) ** 2) ** 2, 0.0), np.c_[np.ones(2000), z]
+        to = np.linalg.inv((x * w[:, None]).T @ x) @ (x * w[:, None]).T
+        assert got.iloc[i][["b0", "b1", "c0", "c1"]].tolist() == pytest.approx([*(to @ y), *(to * to).sum(1)], rel=1e-6)
+    assert searches[0].others().count() <= 5 * 2000
+
+
 def test_blocks_are_split_where_much_is_near(spark, searches, monkeypatch):
     monkeypatch.setattr(tree, "MOST_NODES", 1)
     monkeypatch.setattr(tree, "BLOCK", 256)
