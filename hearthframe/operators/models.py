@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .graph import _settled
+
 
 def _products(df: DataFrame, names: list[str], group: list[str]) -> DataFrame:
     """Sums of products of all pairs of columns, by group."""
@@ -135,6 +137,7 @@ def did_checks(panel: DataFrame, minutes: str, limits: tuple[float, ...] = (10,
     """Difference in differences under other choices: nearness limits, bands of travel time together, placebo columns of
     minutes to other places, values between two quantiles of their period, and subsets of rows. One row a check and treatment."""
     m = F.col(minutes)
+    panel = _settled(panel)  # each check meets the rows many times: what they were joined from is read, and sent to the driver for a broadcast, once
     d = panel.withColumns({f"near_{v:g}": (m <= v).cast("int") for v in {*limits, near}} | {f"band_{a:g}_{b:g}": ((m > a if a else m >= a) & (m <= b)).cast("int") for a, b in zip(bands, bands[1:])} | {f"placebo_{c}": (F.col(c) <= near).cast("int") for c in placebos})
     q = panel.groupBy("post").agg(F.percentile("y", trim[0]).alias("__lo"), F.percentile("y", trim[1]).alias("__hi"))
     runs = [(f"limit {v:g}", d, [f"near_{v:g}"]) for v in limits] + [("dose", d, [f"band_{a:g}_{b:g}" for a, b in zip(bands, bands[1:])])] + [(f"placebo {c}", d, [f"placebo_{c}"]) for c in placebos]
