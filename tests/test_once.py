@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from hearthframe.operators import models as M
+from hearthframe.sources import samples
 
 
 def test_checks_read_their_panel_once(spark):
@@ -17,3 +18,9 @@ def test_checks_read_their_panel_once(spark):
     rows = spark.range(n).select("id", (F.col("id") % 12).alias("point"), (F.col("id") % 5 % 2).cast("int").alias("post"), (F.col("id") * 37 % 101 / 9).alias("y"), (F.col("id") % 12 * 3).cast("double").alias("minutes"))
     got = M.did_checks(rows.mapInPandas(seen, rows.schema), "minutes", draws=9)
     assert len(got) == 6 and all(r["n"] == n for r in got if r["check"] != "trimmed") and read.value == n
+
+
+def test_costly_rows_are_dealt_by_number(spark, tmp_path):
+    spark.range(0, 900_000, 1, 1).write.parquet(str(tmp_path / "t"))
+    sizes = [len(p) for p in samples.spread(spark.read.parquet(str(tmp_path / "t"))).rdd.glom().collect()]
+    assert sum(sizes) == 900_000 and len(sizes) == 12 and max(sizes) <= 76_000
