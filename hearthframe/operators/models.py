@@ -317,7 +317,8 @@ def cv_metrics(df: DataFrame, group: list[str], y: str, yhat: str) -> DataFrame:
 
 
 def block_folds(df: DataFrame, block: str, folds: int) -> DataFrame:
-    """Adds fold: whole blocks dealt by size to the emptiest fold. The table of blocks (thousands) is dealt on the driver."""
+    """Adds fold: whole blocks dealt by size to the emptiest fold. The table of blocks (thousands) is dealt on the driver and sent to
+    the rows: blocks are few and large, so rows brought together by block would be one task each."""
     sizes = df.groupBy(block).count().orderBy(F.desc("count"), block).collect()
     load = [0] * folds
     rows = []
@@ -326,7 +327,7 @@ def block_folds(df: DataFrame, block: str, folds: int) -> DataFrame:
         load[k] += r["count"]
         rows.append((r[block], k))
     kind = dict(df.dtypes)[block]
-    return df.join(df.sparkSession.createDataFrame(rows, f"{block} {kind}, fold int"), block)
+    return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, f"{block} {kind}, fold int")), block)
 
 
 def learner(features: list[str], y: str, trees: int, seed: int, boosted: bool):
@@ -349,13 +350,25 @@ def filled(df: DataFrame, features: list[str], middle: dict[str, float]) -> Data
     return VectorAssembler(inputCols=[f"__in_{f}" for f in features], outputCol="__x").transform(df.withColumns({f"__in_{f}": F.coalesce(known(f), F.lit(middle[f])) for f in features}))
 
 
+#: Training rows of a task of a learner, about.
+FIT_ROWS = 100_000
+
+
+def dealt(df: DataFrame, columns: list[str], rows: int) -> DataFrame:
+    """The columns of about ``rows`` rows, in tasks of equal numbers of them. Which rows a task has, and their order, follow from the
+    rows' values alone: a learner samples task by task to find its splits, so it would else depend on files and cores."""
+    h = F.xxhash64(*df.columns)
+    return df.select(*columns, h.alias("__h")).repartition(max(1, -(-rows // FIT_ROWS)), "__h").sortWithinPartitions("__h", *columns).drop("__h")
+
+
 def forest_cv(df: DataFrame, features: list[str], y: str, fold: str, trees: int = 20, seed: int = 42, boosted: bool = False) -> DataFrame:
     """Predictions of every row by a forest (or boosted trees) fitted on the other folds' rows that have a target; missing features take the training median."""
     out = None
-    for r in sorted(x[0] for x in df.select(fold).distinct().collect()):
+    sizes = {r[fold]: r["count"] for r in df.groupBy(fold).count().collect()}
+    for r in sorted(sizes):
         train, test = df.filter((F.col(fold) != r) & F.col(y).isNotNull()), df.filter(F.col(fold) == r)
         middle = middles(train, features)
-        part = learner(features, y, trees, seed, boosted).fit(filled(train, features, middle)).transform(filled(test, features, middle)).drop("__x", *[f"__in_{f}" for f in features])
+        part = learner(features, y, trees, seed, boosted).fit(filled(dealt(train, [*features, y], sum(sizes.values()) - sizes[r]), features, middle)).transform(filled(test, features, middle)).drop("__x", *[f"__in_{f}" for f in features])
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -132,3 +132,24 @@ def test_variants_of_a_sample(spark):
     df = spark.createDataFrame([("a", 1), ("b", None), (None, 3)], "s string, v int")
     got = M.variants(df, {"all": F.lit(True), "not a": F.col("s") != "a", "known": F.col("v").isNotNull(), "none": F.lit(False)}).groupBy("variant").count().collect()
     assert {r["variant"]: r["count"] for r in got} == {"all": 3, "not a": 1, "known": 2}
+
+
+def test_rows_of_one_large_block_stay_in_many_tasks(spark):
+    df = spark.range(4000).select("id", F.lit("a").alias("block"), F.col("id").cast("double").alias("x")).repartition(4)
+    parts = [len(p) for p in M.block_folds(df, "block", 2).select("id").rdd.glom().collect()]
+    assert sum(parts) == 4000 and max(parts) <= 1000
+
+
+def test_boosted_trees_do_not_depend_on_the_layout_of_rows(spark):
+    # More training rows than the learner takes to find its splits, so it samples them.
+    df = spark.range(30_000).select("id", (F.pmod(F.xxhash64("id"), F.lit(10_007)) / 7).alias("x"), (F.col("id") % 2).cast("int").alias("fold")).withColumn("ly", F.sin("x") + F.col("x") / 500)
+    one, many = ({r["id"]: r["prediction"] for r in M.forest_cv(df.repartition(n, "id"), ["x"], "ly", "fold", 2, boosted=True).collect()} for n in (1, 7))
+    assert len(one) == 30_000 and one.keys() == many.keys()
+    assert max(abs(one[i] - many[i]) for i in one) < 1e-9
+
+
+def test_training_rows_go_to_tasks_by_number(spark, monkeypatch):
+    monkeypatch.setattr(M, "FIT_ROWS", 500)
+    df = spark.range(4000).select("id", F.lit(1.0).alias("x"), F.lit(2.0).alias("ly")).coalesce(1)
+    parts = [len(p) for p in M.dealt(df, ["x", "ly"], 4000).rdd.glom().collect()]
+    assert len(parts) == 8 and sum(parts) == 4000 and max(parts) < 650
