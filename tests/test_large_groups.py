@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from hearthframe.operators import duplicates as U
 from hearthframe.operators import index as X
 from hearthframe.operators import models as M
 
@@ -73,3 +74,46 @@ def test_mixture_quantile_against_bisection(spark):
                 b = mid
         key = next(k for k in got if k[1] == d)
         assert got[key] == pytest.approx(math.exp(a), rel=1e-6)
+
+
+def listings(spark, n, groups, seed=6):
+    rng = np.random.default_rng(seed)
+    words = ["plot", "house", "lake", "view", "gated", "tiled", "quiet", "ready", "title", "bedroom"]
+    pool = [" ".join(rng.choice(words, 9)) for _ in range(12)]
+    pool += [p[:-3] + "xyz" for p in pool[:6]]
+    rows = [
+        (i, "alpha", str(int(rng.integers(0, groups))) if rng.random() < 0.7 else None, "sale", "house", None, "p", float(round(100 * (1 + 0.004 * rng.integers(0, 40)) * (1 + rng.choice([0, 0.0005])), 3)), rng.choice(["a1", "a2", "a3"]) if rng.random() < 0.8 else None, str(rng.choice(pool)))
+        for i in rng.permutation(n).tolist()
+    ]
+    return spark.createDataFrame(rows, "rid long, source string, source_id string, market string, ptype string, bedrooms string, place string, price double, agent string, txt string").repartition(3)
+
+
+@pytest.mark.parametrize("n,groups,most", [(60, 5000, 16384), (900, 5000, 16384), (900, 5000, 100), (900, 300, 16384)])
+def test_ties_make_the_classes_of_all_links(spark, monkeypatch, n, groups, most):
+    monkeypatch.setattr(U, "TIE_ROWS", most)
+    rows = listings(spark, n, groups)
+    up = list(range(n))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    every = U.listing_links(rows).collect()
+    for r in every:
+        a, b = root(r["u"]), root(r["v"])
+        up[max(a, b)] = min(a, b)
+    got = {r["rid"]: r["cluster"] for r in U.listing_clusters(rows).collect()}
+    assert got == {i: root(i) for i in range(n)} and 1 < len(set(got.values())) < n
+
+
+def test_copies_make_ties_not_pairs(spark):
+    df = spark.range(2000).select(F.col("id").alias("rid"), F.lit("p").alias("place"), F.lit(100.0).alias("price"), F.lit("a").alias("agent"), F.lit("house with a view").alias("words"))
+    assert U.ties(df, ["place"]).count() == 1999  # two million links
+
+
+def test_long_chains_of_links_settle_in_few_rounds(spark):
+    order = np.random.default_rng(2).permutation(600).tolist()
+    rows = spark.createDataFrame([(i,) for i in order], "rid long")
+    edges = spark.createDataFrame(list(zip(order, order[1:])), "u long, v long")
+    assert {r["cluster"] for r in U.clusters(rows, edges, most_rounds=14).collect()} == {0}
