@@ -60,3 +60,22 @@ def test_blocks_are_split_where_much_is_near(spark, searches, monkeypatch):
         may = {i: d[i][rent <= 5.0 * (i % 21)] for i in got}
         assert got == {i: (pytest.approx(m.min(initial=np.inf)), len(m)) for i, m in may.items()}
     assert {s.split for s in searches} == {True, False} and any(len(s.sizes) == 3 for s in searches) and searches[-1].sizes == [1]
+
+
+@pytest.fixture
+def sent(monkeypatch):
+    """What blocks are sent, by search."""
+    made, plain = [], tree.Search.each
+    monkeypatch.setattr(tree.Search, "each", lambda self, *a: made.append(self.others()) or plain(self, *a))
+    return made
+
+
+def test_a_line_is_sent_once_to_a_block(spark, sent):
+    rng = np.random.default_rng(5)
+    at, seg = rng.uniform(0, 1000, (9000, 2)), rng.uniform(0, 1000, (200, 4))
+    got = S.nearest_line(frame(spark, [(i, *p) for i, p in enumerate(at)], "pid int, x double, y double"), frame(spark, seg, "ax double, ay double, bx double, by double"), "pid").toPandas().sort_values("pid")
+    d = seg[:, 2:] - seg[:, :2]
+    k = np.clip(((at[:, None] - seg[:, :2]) * d).sum(2) / (d * d).sum(1), 0, 1)
+    assert got["dist"].tolist() == pytest.approx(np.hypot(*np.moveaxis(seg[:, :2] + k[:, :, None] * d - at[:, None], 2, 0)).min(1).tolist(), abs=1e-6)
+    rows = sent[0].select("key", "ax", "ay", "bx", "by")
+    assert rows.count() == rows.distinct().count()
