@@ -55,10 +55,11 @@ def ols_cluster(df: DataFrame, y: str, xs: list[str], cluster: str, absorbed: in
     return [{"term": x, "coef": float(b[i]), "se": float(se[i]) if se[i] == se[i] else None, "t": float(b[i] / se[i]) if se[i] > 0 else None, "n": int(n or 0), "clusters": g, "rss": float(residual)} for i, x in enumerate(xs)]
 
 
-def demeaned(df: DataFrame, columns: list[str], group: str) -> DataFrame:
-    """Columns less their group's mean; the means come from one aggregation."""
-    m = df.groupBy(group).agg(*[F.avg(c).alias(f"__{c}") for c in columns])
-    return df.join(m, group).withColumns({c: F.col(c) - F.col(f"__{c}") for c in columns}).drop(*[f"__{c}" for c in columns])
+def _centred_products(df: DataFrame, names: list[str], group: list[str], **more: Column) -> DataFrame:
+    """Sums of products of all pairs of columns less their group's means, by one aggregation that is combined before the shuffle: no
+    row is joined to its means. Running means keep a constant column's products zero."""
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    return df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *[(F.covar_pop(names[i], names[j]) * F.count(F.lit(1))).alias(f"p{i}_{j}") for i, j in pairs], *[c.alias(k) for k, c in more.items()])
 
 
 def did_2x2(panel: DataFrame) -> DataFrame:
@@ -81,11 +82,11 @@ def did_fit(panel: DataFrame, treatments: list[str], draws: int = 999, seed: int
     k = len(treatments) + 1
     names = [f"__x{i}" for i in range(k)]
     d = panel.withColumns({names[i]: (F.col("post") * F.col(c)).cast("double") for i, c in enumerate(treatments)} | {names[-1]: F.col("post").cast("double"), "__y": F.col("y").cast("double")}).dropna(subset=[*names, "__y", "point"])
-    parts = _products(demeaned(d.select("point", *names, "__y"), [*names, "__y"], "point"), [*names, "__y"], ["point"])
-    cells = [c for c in parts.columns if c not in ("point", "n")]
+    # A row a point, written once: all sums and draws come from these.
+    parts = _settled(_centred_products(d, [*names, "__y"], ["point"], **{f"t{i}": F.max(c) for i, c in enumerate(treatments)}))
+    cells = [c for c in parts.columns if c.startswith("p") and c != "point"]
     ever = [F.count_if(F.col(f"t{i}") > 0).alias(f"t{i}") for i in range(k - 1)]
-    row = parts.agg(*[F.sum(c).alias(c) for c in ["n", *cells]], F.count(F.lit(1)).alias("g")).collect()[0]
-    treated = d.groupBy("point").agg(*[F.max(c).alias(f"t{i}") for i, c in enumerate(treatments)]).agg(*ever).collect()[0]
+    row = treated = parts.agg(*[F.sum(c).alias(c) for c in ["n", *cells]], F.count(F.lit(1)).alias("g"), *ever).collect()[0]
     total, n, g = _matrix(row, k + 1), row["n"], row["g"]
     inv = np.linalg.pinv(total[:k, :k])
     b = inv @ total[:k, k]
@@ -139,7 +140,7 @@ def did_checks(panel: DataFrame, minutes: str, limits: tuple[float, ...] = (10,
     m = F.col(minutes)
     panel = _settled(panel)  # each check meets the rows many times: what they were joined from is read, and sent to the driver for a broadcast, once
     d = panel.withColumns({f"near_{v:g}": (m <= v).cast("int") for v in {*limits, near}} | {f"band_{a:g}_{b:g}": ((m > a if a else m >= a) & (m <= b)).cast("int") for a, b in zip(bands, bands[1:])} | {f"placebo_{c}": (F.col(c) <= near).cast("int") for c in placebos})
-    q = panel.groupBy("post").agg(F.percentile("y", trim[0]).alias("__lo"), F.percentile("y", trim[1]).alias("__hi"))
+    q = F.broadcast(group_quantiles(panel, "post", "y", {"__lo": trim[0], "__hi": trim[1]}))  # a row a period
     runs = [(f"limit {v:g}", d, [f"near_{v:g}"]) for v in limits] + [("dose", d, [f"band_{a:g}_{b:g}" for a, b in zip(bands, bands[1:])])] + [(f"placebo {c}", d, [f"placebo_{c}"]) for c in placebos]
     runs += [("trimmed", d.join(q, "post").filter(F.col("y").between(F.col("__lo"), F.col("__hi"))), [f"near_{near:g}"])] + [(k, d.filter(c), [f"near_{near:g}"]) for k, c in (subsets or {}).items()]
     return [{"check": label} | r for label, rows, treatments in runs for r in did_fit(rows, treatments, draws, seed)]
@@ -233,6 +234,18 @@ def _by_rank(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def values_at(ranks: DataFrame, asked: DataFrame, parts: int = 1024) -> DataFrame:
     """The asked rows (g, rank from 0, ...) with the value ``v`` of that rank. ranks as of _by_rank.
+def group_quantiles(df: DataFrame, group: str, value: str, at: dict[str, float]) -> DataFrame:
+    """(group, a column for each of ``at``): linearly interpolated quantiles of a group's values; nulls and NaN are no values. The values
+    are counted in order by ranges, so no task holds those of a group."""
+    below, c, n, v = (F.col(x) for x in ("below", "c", "n", "v"))
+    of = lambda rank: F.max(F.when((below <= rank) & (rank < below + c), v))
+    low, high = (lambda q: F.floor((n - 1) * F.lit(float(q)))), (lambda q: F.ceil((n - 1) * F.lit(float(q))))
+    ends = _by_rank(df, group, value).groupBy("g").agg(F.max("n").alias("n"), *[of(f(q)).alias(f"{e}{i}") for i, q in enumerate(at.values()) for e, f in (("l", low), ("h", high))])
+    place = lambda q: (n - 1) * F.lit(float(q))
+    value_at = lambda i, q: F.when(low(q) == high(q), F.col(f"l{i}")).otherwise((high(q) - place(q)) * F.col(f"l{i}") + (place(q) - low(q)) * F.col(f"h{i}"))
+    return ends.select(F.col("g").alias(group), *[value_at(i, q).alias(k) for i, (k, q) in enumerate(at.items())])
+
+
 
     Ranks of a group fall into at most ``parts`` buckets of equal width; a value is in the buckets its ranks touch.
     """
