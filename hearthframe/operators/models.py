@@ -6,6 +6,8 @@ systems of a few dozen unknowns and never sees rows.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -232,8 +234,6 @@ def _by_rank(df: DataFrame, group: str, value: str) -> DataFrame:
     return ordered.join(sizes, "g").select("g", "v", "c", (F.col("below") - F.col("first")).alias("below"), "n")
 
 
-def values_at(ranks: DataFrame, asked: DataFrame, parts: int = 1024) -> DataFrame:
-    """The asked rows (g, rank from 0, ...) with the value ``v`` of that rank. ranks as of _by_rank.
 def group_quantiles(df: DataFrame, group: str, value: str, at: dict[str, float]) -> DataFrame:
     """(group, a column for each of ``at``): linearly interpolated quantiles of a group's values; nulls and NaN are no values. The values
     are counted in order by ranges, so no task holds those of a group."""
@@ -246,6 +246,8 @@ def group_quantiles(df: DataFrame, group: str, value: str, at: dict[str, float])
     return ends.select(F.col("g").alias(group), *[value_at(i, q).alias(k) for i, (k, q) in enumerate(at.items())])
 
 
+def values_at(ranks: DataFrame, asked: DataFrame, parts: int = 1024) -> DataFrame:
+    """The asked rows (g, rank from 0, ...) with the value ``v`` of that rank. ranks as of _by_rank.
 
     Ranks of a group fall into at most ``parts`` buckets of equal width; a value is in the buckets its ranks touch.
     """
@@ -427,9 +429,13 @@ def gwr(spark: SparkSession, df: DataFrame, y: str, xs: list[str], neighbours: i
     data = df.select(*place, F.col(y).cast("double").alias("__y")).dropna()
     goal = data if at is None else at.select(*place).dropna().withColumn("__y", F.lit(None).cast("double"))
     at_place = tuple(F.col(c) for c in "xyxy")
-    held = tree.build(data.drop("rid"), at_place, capacity=tree.HELD)
-    n = held.n
-    asking = tree.build(goal, at_place, capacity=lambda rows: tree.block_of(rows, n))
+    if at is None:  # the rows are sorted and written once
+        asking = tree.build(data, at_place, capacity=lambda rows: tree.block_of(rows, rows))
+        held = asking.cut(tree.HELD)
+    else:
+        held = tree.build(data.drop("rid"), at_place, capacity=tree.HELD)
+        asking = tree.build(goal, at_place, capacity=lambda rows: tree.block_of(rows, held.n))
+    held, n = replace(held, items=held.items.drop("rid")), held.n
     skipped = int(at is None)  # a point is no neighbour of itself
     columns = ["fitted", *names, "residual", "leverage", *squares]
     kind = f"rid {dict(data.dtypes)['rid']}, {', '.join(f'{c} double' for c in columns)}"

@@ -282,14 +282,28 @@ def needed(boxes: np.ndarray, nodes: np.ndarray, n: np.ndarray, k: int) -> np.nd
     return out
 
 
+def compact(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """The boxes of every few rows in order, cut where the curve jumps: a box across a jump would be many times as wide as its rows' places."""
+    if not rows.num_rows:
+        return rows
+    at = rows["at"].to_numpy()
+    x0, x1, y0, y1 = (rows[c].to_numpy() for c in _BOX[:4])
+    first = np.r_[True, at[1:] // FEW != at[:-1] // FEW]  # a range's first number is a multiple of it
+    step = np.where(first, 0.0, np.hypot(np.diff(x0 + x1, prepend=0.0), np.diff(y0 + y1, prepend=0.0)))
+    starts = np.flatnonzero(first)
+    usual = (np.add.reduceat(step, starts) - np.maximum.reduceat(step, starts)) / np.maximum(np.diff(np.r_[starts, len(at)]) - 2, 1)
+    starts = np.flatnonzero(first | (step > 4 * np.repeat(usual, np.diff(np.r_[starts, len(at)]))))
+    ends = [f.reduceat(v, starts) for f, v in ((np.minimum, x0), (np.maximum, x1), (np.minimum, y0), (np.maximum, y1))]
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in (at[starts], *ends)], ["at", *_BOX[:4]])
+
+
 def _tightened(asking: Tree, state: DataFrame, level: DataFrame, sizes: list[int], k: int) -> DataFrame:
     """The state with only those nodes of the level that few neighbouring rows of a group may need for their k nearest; groups of
     few rows stay as they are."""
     large = [size for size in sizes if size > FEW]
     if not large:
         return state
-    ends = [(F.min if c[-1] == "0" else F.max)(f"l{c}").alias(c) for c in _BOX[:4]]
-    parts = asking.boxes.groupBy(_group(F.col("at"), FEW).alias("part")).agg(F.min("at").alias("at"), *ends)
+    parts = asking.boxes.select("at", *[F.col(f"l{c}").alias(c) for c in _BOX[:4]]).mapInArrow(lambda batches: map(compact, batches), "at bigint, " + ", ".join(f"{c} double" for c in _BOX[:4]))
     parts = parts.withColumn("key", F.explode(F.array(*[_key(_group(F.col("at"), size), size) for size in large]))).join(state.select("key"), "key", "left_semi")
     is_large = F.col("key").bitwiseAND(F.lit(63)) > FEW.bit_length() - 1
     met = state.filter(is_large).select("key", F.explode("nodes").alias("node")).join(level.select("node", "n", *[F.col(f"n{c}").alias(c) for c in _BOX[:4]]), "node")

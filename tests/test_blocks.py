@@ -79,3 +79,27 @@ def test_a_line_is_sent_once_to_a_block(spark, sent):
     assert got["dist"].tolist() == pytest.approx(np.hypot(*np.moveaxis(seg[:, :2] + k[:, :, None] * d - at[:, None], 2, 0)).min(1).tolist(), abs=1e-6)
     rows = sent[0].select("key", "ax", "ay", "bx", "by")
     assert rows.count() == rows.distinct().count()
+
+
+def test_nodes_are_held_against_few_points_at_a_time(spark, sent, monkeypatch):
+    monkeypatch.setattr(tree, "MOST_NODES", 16)
+    rng = np.random.default_rng(6)
+    at, y = rng.uniform(0, 100, (6000, 2)), rng.normal(0, 1, 6000)
+    got = M.gwr(spark, frame(spark, [(i, *p, y[i]) for i, p in enumerate(at)], "rid int, x double, y double, t double"), "t", [], 8).toPandas().sort_values("rid")
+    for i in range(0, 6000, 397):
+        d = np.hypot(*(at - at[i]).T)
+        h = np.sort(d)[8] + 1e-9
+        w = np.where(d < h, (1 - (d / h) ** 2) ** 2, 0.0)
+        assert got["fitted"].iloc[i] == pytest.approx((w * y).sum() / w.sum(), rel=1e-6)
+    assert sent[0].count() <= 8 * 6000
+    boxes, nodes, n = (np.sort(rng.uniform(0, 9, (m, 2, 2)), axis=2).reshape(m, 4) for m in (40, 90, 1))
+    n = rng.integers(1, 5, 90)
+    far = lambda b: np.hypot(*[np.maximum(nodes[:, i + 1] - b[i], b[i + 1] - nodes[:, i]) for i in (0, 2)])
+    near = lambda b: np.hypot(*[np.maximum(0, np.maximum(nodes[:, i] - b[i + 1], b[i] - nodes[:, i + 1])) for i in (0, 2)])
+    for k in (1, 30, 400):
+        want = np.zeros(90, bool)
+        for b in boxes:
+            f, order = far(b), np.argsort(far(b))
+            enough = np.searchsorted(np.cumsum(n[order]), k)
+            want |= near(b) <= (f[order[enough]] if enough < 90 else np.inf)
+        assert (tree.needed(boxes, nodes, n, k) == want).all()
