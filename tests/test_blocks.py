@@ -103,3 +103,24 @@ def test_nodes_are_held_against_few_points_at_a_time(spark, sent, monkeypatch):
             enough = np.searchsorted(np.cumsum(n[order]), k)
             want |= near(b) <= (f[order[enough]] if enough < 90 else np.inf)
         assert (tree.needed(boxes, nodes, n, k) == want).all()
+
+
+def test_covariates_sort_the_points_once(spark, monkeypatch):
+    from hearthframe.operators import places as P
+
+    built, plain = [], tree.build
+    monkeypatch.setattr(tree, "build", lambda rows, *a, **k: built.append(rows.columns) or plain(rows, *a, **k))
+    rng = np.random.default_rng(7)
+    at, poi = rng.uniform(0, 3000, (1500, 2)), rng.uniform(0, 3000, (300, 2))
+    pts = frame(spark, [(i, *p) for i, p in enumerate(at)] + [(1500, None, 1.0), (1501, float("nan"), 2.0), (1502, 9e5, 0.0)], "pid int, x double, y double")
+    cells = frame(spark, [(*p, float(i) if i % 7 else None) for i, p in enumerate(poi)], "cx double, cy double, value double")
+    lines = frame(spark, [(0.0, 0.0, 3000.0, 3000.0)], "ax double, ay double, bx double, by double")
+    got = {r["pid"]: r for r in P.add_covariates(pts, cells.select(cells["cx"].alias("px"), cells["cy"].alias("py")), lines, cells, "pid", (0.0, 0.0), 400.0, 200.0).collect()}
+    d = np.hypot(at[:, None, 0] - poi[:, 0], at[:, None, 1] - poi[:, 1])
+    value = np.where(np.arange(300) % 7, np.arange(300.0), np.nan)
+    for i in range(1500):
+        near = value[(d[i] <= 200) & ~np.isnan(value)]
+        assert got[i]["n_poi"] == (d[i] <= 400).sum() and got[i]["mean_cell"] == (pytest.approx(near.mean()) if len(near) else None)
+        assert got[i]["dist_line_km"] == pytest.approx(abs(at[i, 0] - at[i, 1]) / 2**0.5 / 1000)
+    assert len(got) == 1503 and got[1500]["n_poi"] is got[1501]["dist_line_km"] is got[1501]["mean_cell"] is got[1502]["mean_cell"] is None and got[1502]["n_poi"] == 0
+    assert sum("pid" in columns for columns in built) == 1
