@@ -117,3 +117,16 @@ def test_long_chains_of_links_settle_in_few_rounds(spark):
     rows = spark.createDataFrame([(i,) for i in order], "rid long")
     edges = spark.createDataFrame(list(zip(order, order[1:])), "u long, v long")
     assert {r["cluster"] for r in U.clusters(rows, edges, most_rounds=14).collect()} == {0}
+
+
+@pytest.mark.parametrize("query", ["dup_components", "dedup_representatives"])
+def test_classes_of_copies_need_few_links(spark, monkeypatch, query):
+    from hearthframe.plans import models as PM
+
+    made, plain = [], U._labels
+    monkeypatch.setattr(U, "_labels", lambda edges, *a: made.append(edges.count()) or plain(edges, *a))
+    texts = ["the same long text of a posting, number one " * 3, "another posting that is unlike it, two " * 4]
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, texts[0]).otherwise(texts[1]).alias("text"), F.concat(F.lit("s"), (F.col("id") % 2).cast("string")).alias("source"), F.lit("en").alias("lang"), F.lit(150).alias("n_chars"))
+    got = getattr(PM, query)(lambda _: docs).collect()
+    assert {r["cluster"] for r in got} == {0, 1} and len(got) == (600 if query == "dup_components" else 2)
+    assert made == [598]  # 89,700 links
